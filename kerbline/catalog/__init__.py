@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["demand"]
+MODULES = ["demand", "supply", "versions"]
 
 
 def _load():

@@ -438,3 +438,88 @@ FROM (SELECT p_partkey AS street_id, p_name AS street, {sql_pick('p_size', AREAS
 
 def union_all(dfs):
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+
+
+# ---------------------------------------------------------------- shapes and stop offsets
+def shape_points(spark, sf):
+    """Vertices of the route shapes, as far as orders name them."""
+    o = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 40).alias("r"), F.expr("(o_orderkey div 3) % 2").alias("d"), (F.col("o_orderkey") % 3).alias("k"),
+        F.expr("(o_orderkey div 18) % 12").alias("seq"),
+    ).distinct()
+    return o.select(
+        F.concat_ws("-", F.col("r").cast("string"), F.col("d").cast("string"), F.col("k").cast("string")).alias("shape_id"),
+        F.col("seq").cast("long").alias("seq"),
+        (F.lit(980000.0) + F.col("r") * 400 + F.col("seq") * 700).alias("x_ft"),
+        (F.lit(190000.0) + F.col("d") * 5000 + F.col("k") * 60 + F.col("seq") * F.col("seq") * 37 % 500).alias("y_ft"),
+    )
+
+
+CTE["shape_points"] = ((), """
+SELECT CAST(r AS VARCHAR) || '-' || CAST(d AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS shape_id, CAST(seq AS BIGINT) AS seq,
+  980000.0::DOUBLE + r * 400 + seq * 700 AS x_ft, 190000.0::DOUBLE + d * 5000 + k * 60 + seq * seq * 37 % 500 AS y_ft
+FROM (SELECT DISTINCT o_custkey % 40 AS r, (o_orderkey // 3) % 2 AS d, o_orderkey % 3 AS k, (o_orderkey // 18) % 12 AS seq FROM orders)""")
+
+
+def stop_offsets(spark, sf):
+    """Offset of each stop along each shape, from the sequence its trips visit it in."""
+    st, t = stop_times(spark, sf), trips(spark, sf)
+    return st.join(t.select("trip_id", "shape_id"), "trip_id").groupBy("shape_id", "stop_id").agg(
+        (F.min("stop_sequence") * 2.0).alias("stop_offset_ft"))
+
+
+CTE["stop_offsets"] = (("stop_times", "trips"), """
+SELECT shape_id, stop_id, min(stop_sequence) * 2.0::DOUBLE AS stop_offset_ft FROM stop_times JOIN trips USING (trip_id) GROUP BY 1, 2""")
+
+
+def line_stops(spark, sf):
+    """Nine stops per (route, direction) of the vehicle positions, 1000 ft apart."""
+    rd = pings(spark, sf).select("route_id", "direction_id").distinct()
+    return rd.select("route_id", "direction_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select(
+        "route_id", "direction_id", F.concat(F.lit("S"), F.col("i").cast("string")).alias("stop_id"),
+        (F.col("i") * 1000.0 + 500.0).alias("stop_offset_ft"))
+
+
+CTE["line_stops"] = (("pings",), """
+SELECT route_id, direction_id, 'S' || CAST(i AS VARCHAR) AS stop_id, i * 1000.0::DOUBLE + 500.0::DOUBLE AS stop_offset_ft
+FROM (SELECT DISTINCT route_id, direction_id FROM pings), range(0, 9) AS x(i)""")
+
+
+def fixes(spark, sf):
+    """Vehicle positions near the shape of their trip."""
+    p = pings(spark, sf)
+    u, d = F.col("vehicle_id").cast("long"), F.col("direction_id")
+    return p.select(
+        "event_id", "trip_id", "route_id", "vehicle_id", "ts", "direction_id",
+        F.concat_ws("-", (u % 40).cast("string"), d.cast("string"), (u % 3).cast("string")).alias("shape_id"),
+        (F.lit(980000.0) + u % 40 * 400 + F.col("k") * 85).alias("x_ft"),
+        (F.lit(190000.0) + d * 5000 + u % 3 * 60 + F.col("value")).alias("y_ft"),
+    )
+
+
+CTE["fixes"] = (("pings",), """
+SELECT event_id, trip_id, route_id, vehicle_id, ts, direction_id,
+  CAST(u % 40 AS VARCHAR) || '-' || CAST(direction_id AS VARCHAR) || '-' || CAST(u % 3 AS VARCHAR) AS shape_id,
+  980000.0::DOUBLE + u % 40 * 400 + k * 85 AS x_ft, 190000.0::DOUBLE + direction_id * 5000 + u % 3 * 60 + value AS y_ft
+FROM (SELECT *, CAST(vehicle_id AS BIGINT) AS u FROM pings)""")
+
+
+def service_days(spark, sf):
+    """Calendar days named by the exceptions table."""
+    return calendar_dates(spark, sf).select(F.to_date("date", "yyyyMMdd").alias("day")).distinct()
+
+
+CTE["service_days"] = (("calendar_dates",), """
+SELECT DISTINCT CAST(strptime(date, '%Y%m%d') AS DATE) AS day, date AS ymd FROM calendar_dates""")
+CTE["active"] = (("calendar", "calendar_dates", "service_days"), """
+SELECT day, service_id FROM (
+  SELECT d.day, d.ymd, c.service_id FROM service_days d JOIN calendar c ON d.ymd BETWEEN c.start_date AND c.end_date
+    AND CASE WHEN isodow(d.day) <= 5 THEN c.wk WHEN isodow(d.day) = 6 THEN c.sat ELSE '0' END = '1'
+  UNION SELECT d.day, d.ymd, x.service_id FROM service_days d JOIN calendar_dates x ON x.date = d.ymd AND x.exception_type = '1') q
+WHERE NOT EXISTS (SELECT 1 FROM calendar_dates x WHERE x.date = q.ymd AND x.service_id = q.service_id AND x.exception_type = '2')""")
+CTE["wk_trips"] = (("trips", "routes", "stop_times"), """
+SELECT t.feed, t.trip_id, t.route_id, r.route_short_name AS route, t.direction_id, s.start_sec, CAST((s.start_sec // 3600) % 24 AS INT) AS start_hour,
+  upper(regexp_replace(replace(r.route_short_name, '-SBS', ''), '[^A-Za-z0-9]', '', 'g')) AS route_norm
+FROM trips t JOIN routes r ON t.feed = r.feed AND t.route_id = r.route_id
+JOIN (SELECT trip_id, min(sched_sec) AS start_sec FROM stop_times GROUP BY 1) s ON s.trip_id = t.trip_id
+WHERE t.service_id ILIKE '%weekday%' AND t.service_id NOT ILIKE '%SDon%'""")
