@@ -11,6 +11,7 @@ from kerbline.functions import clock
 from kerbline.operators import changes as C
 from kerbline.operators import gtfsdiff as G
 from kerbline.operators import supply as S
+from kerbline.session import materialize
 
 FEED, TS1, TS2, TS3 = "gtfs_supplemented", "20240101T000000Z", "20240108_base", "20240115T120000"
 
@@ -127,7 +128,8 @@ def deltas(s, d):
 
 def two_pairs(s, d):
     a, b = ab(s, d)
-    return G.gtfs_diff(a, b, FEED, TS1, TS2).unionByName(G.gtfs_diff(b, a, FEED, TS2, TS3))
+    both = G.gtfs_diff(a, b, FEED, TS1, TS2).unionByName(G.gtfs_diff(b, a, FEED, TS2, TS3))
+    return materialize(both, "deltas")
 
 
 D1 = sql_deltas("A", "B", TS1, TS2)

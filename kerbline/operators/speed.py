@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.clock import is_peak, is_weekday
-from kerbline.plans.proximity import maybe_broadcast
 from kerbline.plans.spine import safe_ratio
 
 MIN_SEGMENT_MILES = 0.1
@@ -59,7 +58,7 @@ def before_after(facts: DataFrame, programs: DataFrame, days: int = 120, min_n:
         .groupBy(F.upper("route_id").alias("route_norm"), "obs_date")
         .agg(F.sum(F.col("speed") * F.col("trips")).alias("sv"), F.sum("trips").alias("n"))
     )
-    p = maybe_broadcast(programs.withColumn("route_norm", F.upper(F.replace(F.col("route"), F.lit("+"), F.lit("")))))
+    p = programs.withColumn("route_norm", F.upper(F.replace(F.col("route"), F.lit("+"), F.lit(""))))
     near = F.col("obs_date").between(F.date_sub("start_date", days), F.date_add("start_date", days))
     j = daily.join(p, "route_norm").where(near)
     after = F.col("obs_date") >= F.col("start_date")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import clock
 from kerbline.functions.codes import borough_from_route, route_norm
-from kerbline.plans.proximity import maybe_broadcast
 from kerbline.plans.series import with_neighbour
 
 MAX_HEADWAY_S = 10_800
@@ -103,8 +102,8 @@ def weekday_trips(trips: DataFrame, routes: DataFrame, stop_times: DataFrame) ->
         stop_times.where(F.col("departure_time").isNotNull() & (F.col("departure_time") != ""))
         .groupBy("trip_id").agg(F.min(clock.gtfs_seconds(F.col("departure_time"))).alias("start_sec"))
     )
-    r = maybe_broadcast(routes.select("feed", "route_id", F.col("route_short_name").alias("route")))
-    t = trips.join(maybe_broadcast(weekday_services(trips)), ["feed", "service_id"]).join(r, ["feed", "route_id"]).join(first, "trip_id")
+    r = routes.select("feed", "route_id", F.col("route_short_name").alias("route"))
+    t = trips.join(weekday_services(trips), ["feed", "service_id"]).join(r, ["feed", "route_id"]).join(first, "trip_id")
     return t.select(
         "feed", "trip_id", "route_id", "route", route_norm(F.col("route")).alias("route_norm"), "direction_id", "start_sec",
         F.pmod(F.floor(F.col("start_sec") / 3600), F.lit(24)).cast("int").alias("start_hour"),
@@ -155,7 +154,7 @@ def stop_windows(stop_times: DataFrame, trips: DataFrame, chosen: DataFrame) ->
     A trip is first folded to one row per stop with its window flags, so the
     distinct count becomes a plain sum.
     """
-    t = trips.join(maybe_broadcast(chosen.select("feed", "route_id", "service_id")), ["feed", "route_id", "service_id"]).select("trip_id")
+    t = trips.join(chosen.select("feed", "route_id", "service_id"), ["feed", "route_id", "service_id"]).select("trip_id")
     hr = F.pmod(F.floor(clock.gtfs_seconds(F.col("departure_time")) / 3600), F.lit(24))
     spans = {"trips_am": (7, 9), "trips_midday": (10, 15), "trips_eve": (19, 21), "trips_daytime": (5, 21)}
     ev = stop_times.join(t, "trip_id").groupBy("stop_id", "trip_id").agg(
@@ -210,7 +209,7 @@ def scheduled_headway_cells(st: DataFrame, trips: DataFrame, services: DataFrame
 
 def trip_periods(trips: DataFrame, calendar: DataFrame, dates: DataFrame) -> DataFrame:
     """Trips with the period class of their service."""
-    c = maybe_broadcast(classify_service(calendar, dates))
+    c = classify_service(calendar, dates)
     return trips.join(c, "service_id", "left").withColumn("service_period", F.coalesce("period", F.lit("other"))).drop("period")
 
 
@@ -229,7 +228,7 @@ def argmax(df: DataFrame, keys: list[str], order: list[Column], take: list[str])
 def trunk_headways(st: DataFrame, trips: DataFrame, min_arrivals: int = 3) -> DataFrame:
     """Median gap in minutes at the trunk stop per route x period x window x direction."""
     t = trips.select("trip_id", "route_id", "service_period", "direction_id")
-    trunk = maybe_broadcast(trunk_stop(st, trips).select("route_id", "stop_id"))
+    trunk = trunk_stop(st, trips).select("route_id", "stop_id")
     a = st.join(t, "trip_id").join(trunk, ["route_id", "stop_id"])
     a = a.withColumn("tod_window", clock.tod_window(F.col("sched_sec"))).where(F.col("tod_window").isNotNull())
     keys = ["route_id", "service_period", "tod_window", "direction_id"]

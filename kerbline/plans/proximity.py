@@ -16,11 +16,6 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; beyond it the planner's shuffle join is used."""
-    return F.broadcast(df) if small_enough(df, rows) else df
-
-
 def cell(x: Column, y: Column, size: float) -> Column:
     """Grid cell of a point as a struct of two integers."""
     return F.struct(

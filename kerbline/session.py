@@ -49,3 +49,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several later stages read, and read it back.
+
+    Used where recomputing costs more than storing; unlike a cache the table
+    survives the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
