@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["demand", "supply", "versions"]
+MODULES = ["demand", "supply", "versions", "realtime"]
 
 
 def _load():

@@ -307,7 +307,7 @@ FROM (SELECT service_id, o_custkey % 28 + 1 AS d, (CAST(substr(service_id, 1, 1)
 def snapshot(spark, sf, version):
     """Tables of one schedule version; B drops, adds, shifts and moves rows by key rules."""
     t, r, st, sp = trips(spark, sf), routes(spark, sf), stop_times(spark, sf), stops(spark, sf)
-    st = st.withColumn("sched_sec", _text_seconds("arrival_time"))
+    st = st.withColumn("sched_sec", _sched_seconds(F.col("trip_id").cast("long"), F.col("stop_sequence")))
     if version == "B":
         tid, rid, sid = F.col("trip_id").cast("long"), F.col("route_id").cast("int"), F.col("stop_id").cast("long")
         t = t.where(tid % 17 != 0).withColumn(
@@ -324,10 +324,8 @@ def snapshot(spark, sf, version):
             "stops": sp.select("stop_id", "stop_name", "lat", "lon"), "calendar": calendar(spark, sf), "calendar_dates": calendar_dates(spark, sf)}
 
 
-def _text_seconds(c):
-    from kerbline.functions.clock import gtfs_seconds
-
-    return gtfs_seconds(F.col(c))
+def _sched_seconds(trip, seq):
+    return (trip % 23 + 5) * 3600 + (trip % 12) * 300 + seq
 
 
 CTE["trips_b"] = (("trips",), """
@@ -523,3 +521,57 @@ SELECT t.feed, t.trip_id, t.route_id, r.route_short_name AS route, t.direction_i
 FROM trips t JOIN routes r ON t.feed = r.feed AND t.route_id = r.route_id
 JOIN (SELECT trip_id, min(sched_sec) AS start_sec FROM stop_times GROUP BY 1) s ON s.trip_id = t.trip_id
 WHERE t.service_id ILIKE '%weekday%' AND t.service_id NOT ILIKE '%SDon%'""")
+
+
+# ---------------------------------------------------------------- derived vehicle tables (DuckDB text)
+STEP = 600  # resampling step that suits the given data (a trip lasts a day)
+
+CTE["dd"] = (("pings",), "SELECT * FROM pings QUALIFY row_number() OVER (PARTITION BY trip_id, ts ORDER BY event_id) = 1")
+CTE["mono"] = (("dd",), """
+SELECT *, before_max IS NULL OR offset_ft >= before_max - 500 AS keep, greatest(offset_ft, coalesce(before_max, offset_ft)) AS offset_mono
+FROM (SELECT *, max(offset_ft) OVER (PARTITION BY trip_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_max FROM dd)""")
+CTE["traj"] = (("mono",), f"""
+SELECT trip_id, route_id, direction_id, g.ts AS ts, CASE WHEN g.ts = p.ts THEN o ELSE o + (o1 - o) * (g.ts - p.ts) / (t1 - p.ts) END AS offset_ft
+FROM (SELECT *, lead(ts) OVER w AS t1, lead(o) OVER w AS o1, min(ts) OVER (PARTITION BY trip_id) AS tmin, max(ts) OVER (PARTITION BY trip_id) AS tmax
+      FROM (SELECT trip_id, route_id, direction_id, ts, offset_mono AS o FROM mono WHERE keep) WINDOW w AS (PARTITION BY trip_id ORDER BY ts)) p
+JOIN (SELECT x.ts FROM (SELECT min(ts) // {STEP} * {STEP} AS a, max(ts) + {STEP} AS b FROM pings), range(a, b, {STEP}) AS x(ts)) g
+  ON g.ts >= p.ts AND (g.ts < p.t1 OR (p.t1 IS NULL AND g.ts = p.ts)) AND p.tmin < p.tmax""")
+CTE["cross_"] = (("traj", "line_stops"), """
+SELECT s.trip_id, s.route_id, s.direction_id, l.stop_id, min(CAST(floor(t0 + (stop_offset_ft - o0) / (o1 - o0) * (t1 - t0)) AS BIGINT)) AS arr_ts
+FROM (SELECT trip_id, route_id, direction_id, lag(ts) OVER w AS t0, ts AS t1, lag(offset_ft) OVER w AS o0, offset_ft AS o1 FROM traj WINDOW w AS (PARTITION BY trip_id ORDER BY ts)) s
+JOIN line_stops l ON l.route_id = s.route_id AND l.direction_id = s.direction_id AND o0 < stop_offset_ft AND stop_offset_ft <= o1 GROUP BY ALL""")
+CTE["rt_sched"] = (("pings", "line_stops"), """
+SELECT p.trip_id, l.route_id, l.direction_id, l.stop_id, CAST(floor(l.stop_offset_ft / 1000) AS INT) AS stop_seq,
+  CAST((CAST(l.stop_offset_ft * 10 AS BIGINT) + 72000) % 86400 + CAST(vehicle_id AS BIGINT) % 7 * 600 AS INT) AS sched_arr_sec
+FROM (SELECT DISTINCT trip_id, vehicle_id, route_id, direction_id FROM pings) p JOIN line_stops l ON l.route_id = p.route_id AND l.direction_id = p.direction_id""")
+CTE["arr"] = (("cross_", "rt_sched"), """
+SELECT * FROM (SELECT c.*, s.stop_seq, s.sched_arr_sec, (c.arr_ts - 14400) % 86400 AS local_sec,
+  43200 - ((43200 - ((c.arr_ts - 14400) % 86400 - s.sched_arr_sec % 86400)) % 86400 + 86400) % 86400 AS deviation_s
+FROM cross_ c LEFT JOIN rt_sched s ON s.trip_id = c.trip_id AND s.stop_id = c.stop_id)
+QUALIFY row_number() OVER (PARTITION BY trip_id, stop_id, arr_ts ORDER BY abs(deviation_s), stop_seq) = 1""")
+CTE["hcells"] = (("arr", "rt_sched"), """
+SELECT o.route_id, o.direction_id, o.stop_id, local_date, o.local_hour, count(*) AS n_headways, count(DISTINCT arr_ts) AS n_arrivals,
+  CAST(median(headway_s) AS DOUBLE) AS median_headway_s, avg(headway_s) AS mean_headway_s, stddev_samp(headway_s) / avg(headway_s) AS headway_cv,
+  min(headway_s) AS min_headway_s, max(headway_s) AS max_headway_s, CAST(max(sm) AS DOUBLE) AS sched_median_headway_s,
+  avg(CASE WHEN sm IS NOT NULL THEN CASE WHEN headway_s < 0.5 * sm THEN 1.0 ELSE 0.0 END END) AS bunch_share_lt50_sched,
+  CAST(median(deviation_s) AS DOUBLE) AS median_deviation_s, avg(CASE WHEN headway_s < 0.5 * cm THEN 1.0 ELSE 0.0 END) AS bunch_share_lt50_obs,
+  CAST(median(headway_s) AS DOUBLE) - CAST(max(sm) AS DOUBLE) AS headway_deviation_s,
+  CASE WHEN count(*) > 1 AND max(sm) IS NOT NULL THEN (stddev_samp(headway_s) / avg(headway_s) + avg(CASE WHEN headway_s < 0.5 * sm THEN 1.0 ELSE 0.0 END)) / 2
+    WHEN count(*) > 1 THEN stddev_samp(headway_s) / avg(headway_s) WHEN max(sm) IS NOT NULL THEN avg(CASE WHEN headway_s < 0.5 * sm THEN 1.0 ELSE 0.0 END) END AS bunching_index
+FROM (SELECT *, median(headway_s) OVER (PARTITION BY route_id, direction_id, stop_id, local_date, local_hour) AS cm FROM (
+    SELECT *, strftime(make_timestamp((arr_ts - 14400) * 1000000), '%Y-%m-%d') AS local_date, CAST((arr_ts - 14400) % 86400 // 3600 AS INT) AS local_hour
+    FROM (SELECT *, arr_ts - lag(arr_ts) OVER (PARTITION BY route_id, direction_id, stop_id ORDER BY arr_ts, trip_id) AS headway_s FROM arr)
+    WHERE headway_s BETWEEN 30 AND 7200)) o
+LEFT JOIN (SELECT route_id, direction_id, stop_id, CAST(sched_arr_sec % 86400 // 3600 AS INT) AS local_hour, median(gap) AS sm FROM (
+    SELECT *, sched_arr_sec - lag(sched_arr_sec) OVER (PARTITION BY route_id, direction_id, stop_id ORDER BY sched_arr_sec) AS gap FROM (
+      SELECT DISTINCT route_id, direction_id, stop_id, sched_arr_sec FROM rt_sched)) WHERE gap > 0 AND gap <= 7200 GROUP BY ALL) s
+  ON s.route_id = o.route_id AND s.direction_id = o.direction_id AND s.stop_id = o.stop_id AND s.local_hour = o.local_hour
+GROUP BY o.route_id, o.direction_id, o.stop_id, local_date, o.local_hour""")
+
+
+def rt_schedule(spark, sf):
+    """Scheduled arrival of each observed trip at the line's stops."""
+    t = pings(spark, sf).select("trip_id", "vehicle_id", "route_id", "direction_id").distinct()
+    sec = (F.col("stop_offset_ft") * 10 + 72000).cast("long") % 86400 + F.col("vehicle_id").cast("long") % 7 * 600
+    return t.join(line_stops(spark, sf), ["route_id", "direction_id"]).select(
+        "trip_id", "route_id", "direction_id", "stop_id", F.round(F.col("stop_offset_ft") / 1000 - 0.5).cast("int").alias("stop_seq"), sec.cast("int").alias("sched_arr_sec"))

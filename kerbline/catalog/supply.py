@@ -115,7 +115,7 @@ SELECT stop_id, count(*) AS am_trips FROM stop_times WHERE departure_time >= '07
 SCHED_CELLS = """SELECT day, route_id, direction_id, stop_id, CAST((sec // 3600) % 24 AS INT) AS local_hour, median(gap) AS m, count(*) AS sched_n FROM (
   SELECT *, sec - lag(sec) OVER (PARTITION BY day, route_id, direction_id, stop_id ORDER BY sec) AS gap FROM (
     SELECT day, route_id, direction_id, stop_id, sched_sec AS sec FROM stop_times JOIN trips USING (trip_id) JOIN active USING (service_id)))
-  WHERE gap > 0 AND gap <= 10800 GROUP BY ALL"""
+  WHERE gap > 0 AND gap <= 7200 GROUP BY ALL"""
 query("agg24_scheduled_headway_cells", f"""
 SELECT CAST(day AS VARCHAR) AS day, route_id, direction_id, stop_id, local_hour, CAST(m AS DOUBLE) AS sched_median_headway_s, sched_n FROM ({SCHED_CELLS})
 """, "stop_times trips active")(lambda s, d: S.scheduled_headway_cells(

@@ -51,27 +51,25 @@ def iso_weekday(d: Column) -> Column:
     return F.weekday(d) + 1
 
 
+def _by_hour(hour: Column, labels: list) -> Column:
+    """Value of a 24-entry table; the hour expression is evaluated once."""
+    return F.get(F.array(*[F.lit(v) for v in labels]), hour.cast("int"))
+
+
 def period_of(hour: Column) -> Column:
-    out = None
-    for label, lo, hi, _ in PERIODS:
-        out = (F.when if out is None else out.when)(hour.between(lo, hi), label)
-    return out.otherwise(NIGHT[0])
+    labels = [next((p for p, lo, hi, _ in PERIODS if lo <= h <= hi), NIGHT[0]) for h in range(24)]
+    return _by_hour(hour, labels)
 
 
 def period_minutes(hour: Column) -> Column:
-    out = None
-    for _, lo, hi, span in PERIODS:
-        out = (F.when if out is None else out.when)(hour.between(lo, hi), span)
-    return out.otherwise(NIGHT[1])
+    spans = [next((m for _, lo, hi, m in PERIODS if lo <= h <= hi), NIGHT[1]) for h in range(24)]
+    return _by_hour(hour, spans)
 
 
 def tod_window(sec: Column) -> Column:
     """Window of a schedule second; seconds above 24 h fall in the wrapped window."""
-    s = F.pmod(sec, F.lit(DAY_S))
-    out = None
-    for label, lo, hi in TOD_WINDOWS:
-        out = (F.when if out is None else out.when)((s >= lo) & (s < hi), label)
-    return out
+    labels = [next((w for w, lo, hi in TOD_WINDOWS if lo <= h * 3600 < hi), None) for h in range(24)]
+    return _by_hour(F.floor(F.pmod(sec, F.lit(DAY_S)) / 3600), labels)
 
 
 def wrap_half_day(delta: Column) -> Column:

@@ -15,7 +15,7 @@ from kerbline.functions import clock
 from kerbline.functions.codes import borough_from_route, route_norm
 from kerbline.plans.series import with_neighbour
 
-MAX_HEADWAY_S = 10_800
+MAX_HEADWAY_S = 7_200
 SEQ_CHUNK = 600
 
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
@@ -286,8 +286,7 @@ def canonical_predecessor(st: DataFrame, trips: DataFrame) -> DataFrame:
     """Most common previous stop per (route, stop); a terminal takes its next stop."""
     s = st.join(trips.select("trip_id", "route_id"), "trip_id").select("trip_id", "route_id", "stop_id", "stop_seq")
     chunk = F.floor(F.col("stop_seq") / SEQ_CHUNK)
-    s = with_neighbour(s, ["trip_id"], ["stop_seq"], chunk, {"prev_stop": "stop_id"})
-    s = with_neighbour(s, ["trip_id"], ["stop_seq"], chunk, {"next_stop": "stop_id"}, forward=True)
+    s = with_neighbour(s, ["trip_id"], ["stop_seq"], chunk, {"prev_stop": "stop_id"}, {"next_stop": "stop_id"})
     inner = F.col("prev_stop").isNotNull()
     votes = s.where(inner | F.col("next_stop").isNotNull()).groupBy(
         "route_id", "stop_id", inner.alias("inner"), F.coalesce("prev_stop", "next_stop").alias("pred")

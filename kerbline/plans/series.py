@@ -2,8 +2,8 @@
 
 A window ``partitionBy(vehicle)`` sends all rows of a key to one task.  Here a
 series is cut into chunks of its clock (an hour, a day): the window runs inside
-(key, chunk), and what crosses a chunk border comes from a table with one row
-per (key, chunk).  Only that small table is windowed over the key alone.
+(key, chunk), and what crosses a chunk border comes from a table with one or two
+rows per (key, chunk).  Only that small table is windowed over the key alone.
 """
 
 from __future__ import annotations
@@ -39,28 +39,33 @@ def with_neighbour(
     keys: Sequence[str],
     order: Sequence[str],
     chunk: Column,
-    values: Mapping[str, str],
-    forward: bool = False,
+    prev: Mapping[str, str] | None = None,
+    next: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add the previous (or next) row's values, as ``lag``/``lead`` over the whole key would.
+    """Add values of the previous and next row, as ``lag``/``lead`` over the whole key would.
 
     ``chunk`` must not decrease along ``order``; ``order`` should end in a unique column.
+    Rows inside a chunk find both neighbours there.  The first and last row of each
+    chunk (at most two rows per chunk) form a small series of their own: there, the
+    row before a chunk's first row is the last row of the chunk before it.
+    Both parts read the same shuffle, which Spark runs once.
     """
-    keys = list(keys)
-    df = df.withColumn(CHUNK, chunk)
-    payload = F.struct(*[F.col(src).alias(dst) for dst, src in values.items()])
-    w = W.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    inside = F.lead(payload).over(w) if forward else F.lag(payload).over(w)
-    pick = F.min_by if forward else F.max_by
-    edge = df.groupBy(*keys, CHUNK).agg(pick(payload, _order_struct(order)).alias("__edge"))
-    over_chunks = W.partitionBy(*keys).orderBy(CHUNK)
-    carried = F.lead("__edge").over(over_chunks) if forward else F.lag("__edge").over(over_chunks)
-    edge = edge.select(*keys, CHUNK, carried.alias("__carry"))
-    out = null_safe_join(df.withColumn("__in", inside), edge, [*keys, CHUNK])
-    got = F.coalesce("__in", "__carry")
+    keys, prev, next = list(keys), dict(prev or {}), dict(next or {})
+    sources = list(dict.fromkeys([*prev.values(), *next.values()]))
+    payload = F.struct(*sources)
+    sort = [F.col(c).asc_nulls_first() for c in order]
+    w = W.partitionBy(*keys, CHUNK).orderBy(*sort)
+    inside = df.withColumn(CHUNK, chunk).withColumns({"__p": F.lag(payload).over(w), "__n": F.lead(payload).over(w)})
+    whole = F.col("__p").isNotNull() & F.col("__n").isNotNull()
+    along = W.partitionBy(*keys).orderBy(*sort)
+    edges = inside.where(~whole).withColumns(
+        {"__p": F.coalesce("__p", F.lag(payload).over(along)), "__n": F.coalesce("__n", F.lead(payload).over(along))}
+    )
+    out = inside.where(whole).unionByName(edges)
     return out.select(
-        *[c for c in out.columns if c not in ("__in", "__carry", CHUNK)],
-        *[got.getField(dst).alias(dst) for dst in values],
+        *df.columns,
+        *[F.col("__p").getField(src).alias(dst) for dst, src in prev.items()],
+        *[F.col("__n").getField(src).alias(dst) for dst, src in next.items()],
     )
 
 
