@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["demand", "supply", "versions", "realtime"]
+MODULES = ["demand", "supply", "versions", "realtime", "service"]
 
 
 def _load():

@@ -22,6 +22,8 @@ def _quantile_bins(hist: DataFrame, keys: Sequence[str], value: str, bins: int)
     Edges come from a mergeable sketch; they only decide how work is split, so
     their inaccuracy cannot change a result.
     """
+    side = int(bins**0.5)
+    bins = side * side
     probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     edges = hist.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("__edges"))
     if keys:
@@ -31,8 +33,13 @@ def _quantile_bins(hist: DataFrame, keys: Sequence[str], value: str, bins: int)
     else:
         # one row by construction (a global aggregate)
         hist = hist.crossJoin(F.broadcast(edges))
-    edges_below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    return hist.withColumn("__bin", edges_below).drop("__edges")
+    # two short searches instead of one over all edges: first among every side-th edge, then inside
+    v = F.col(value)
+    every = F.sequence(F.lit(side), F.lit(side * (side - 1)), F.lit(side))
+    coarse = F.filter(F.transform(every, lambda i: F.get("__edges", i - 1)), lambda e: e < v)
+    hist = hist.withColumn("__c", F.size(coarse))
+    fine = F.filter(F.slice("__edges", F.col("__c") * side + 1, F.lit(side)), lambda e: e < v)
+    return hist.withColumn("__bin", F.col("__c") * side + F.size(fine)).drop("__edges", "__c")
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,
