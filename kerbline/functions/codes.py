@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Route prefix -> area, the longer prefixes first.
 AREA_BY_PREFIX = [
@@ -116,7 +117,7 @@ def bbl(boro: Column, block: Column, lot: Column) -> Column:
     return F.concat(boro, F.lpad(block, 5, "0"), F.lpad(lot, 4, "0"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
