@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["demand", "supply", "versions", "realtime", "service", "observatory", "spatial"]
+MODULES = ["demand", "supply", "versions", "realtime", "service", "observatory", "spatial", "city", "lake"]
 
 
 def _load():

@@ -128,7 +128,7 @@ UNION ALL SELECT 'city', NULL, NULL, NULL, count(*), round(median(fps), 5) FROM
 
 
 def speed_table(s, d):
-    return T.speed_table(T.along_shape_speed(traj(s, d), LO, HI)).withColumn("median_fps", r("median_fps", 5))
+    return T.speed_table(materialize(T.along_shape_speed(traj(s, d), LO, HI), "speeds")).withColumn("median_fps", r("median_fps", 5))
 
 
 query("agg27_speed_table", TABLE, "traj")(speed_table)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from kerbline.functions.planar import point
 
 TWO_PI = 2 * np.pi
+TOUCH_SQFT = 1e-6  # shared edges leave rounding noise, not area
 
 
 def _cross(a, b):
@@ -82,7 +83,8 @@ def overlap_area(rings: pd.Series, region: pd.Series) -> pd.Series:
             continue
         c = _xy(rg)
         parts = [abs(fan_area(_xy(ring), c)) for ring in rs]
-        out.append(parts[0] - sum(parts[1:]) if parts else 0.0)
+        shared = parts[0] - sum(parts[1:]) if parts else 0.0
+        out.append(shared if shared > TOUCH_SQFT else 0.0)
     return pd.Series(out, dtype="float64")
 
 

@@ -68,13 +68,14 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str
     return out.select(*keys, value, "n", (F.col("__in") + F.col("__ahead")).alias("below"), "total")
 
 
-def with_rank_columns(df: DataFrame, value: str, columns: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+def with_rank_columns(df: DataFrame, value: str, columns: dict[str, Column], keys: Sequence[str] = (),
+                      weight: str | None = None) -> DataFrame:
     """Join rank-like columns built from ``n``, ``below``, ``total`` back to the rows.
 
     Rows whose value is NULL get NULL columns.
     """
     keys = list(keys)
-    pos = value_positions(df, keys, value).select(*keys, value, *[c.alias(k) for k, c in columns.items()])
+    pos = value_positions(df, keys, value, weight).select(*keys, value, *[c.alias(k) for k, c in columns.items()])
     from kerbline.plans.series import null_safe_join
 
     return null_safe_join(df, pos, [*keys, value])
@@ -102,3 +103,15 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
         cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return out.select(*keys, "n", *cols)
+
+
+def rank_many(df: DataFrame, key: str, columns: Sequence[str], rank: Column) -> DataFrame:
+    """A rank-like column for many value columns at once: key plus ``<column>`` ranked.
+
+    The columns are stacked into (name, value), ranked together in one pass, and set
+    side by side again, instead of one ranking job per column.
+    """
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
+    long = df.select(key, stack.alias("s")).select(key, "s.*").where(F.col("value").isNotNull())
+    ranked = with_rank_columns(long, "value", {"rk": rank}, ["name"])
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("name") == c, F.col("rk"))).alias(c) for c in columns])
