@@ -53,11 +53,16 @@ FROM hcells h LEFT JOIN line_stops l ON l.route_id = h.route_id AND l.direction_
 GATED = """SELECT *, NOT (observed_days < 3 OR n_headways < 50 OR bunching_index IS NULL) AS q FROM (SELECT route_id, count(DISTINCT local_date) AS observed_days, CAST(sum(n_headways) AS BIGINT) AS n_headways,
   avg(bunching_index) AS bunching_index, avg(headway_cv) AS headway_cv, median(median_headway_s) AS median_headway_s, median(headway_deviation_s) AS median_deviation_s,
   median(abs(headway_deviation_s)) AS median_abs_deviation_s FROM hcells GROUP BY 1)"""
-ROUND = {"bunching_index": r("bunching_index"), "headway_cv": r("headway_cv")}
+
+
+def _rounds():
+    return {"bunching_index": r("bunching_index"), "headway_cv": r("headway_cv")}
+
+
 query("agg65_leagues", f"""WITH g AS ({GATED}), x AS (SELECT 'most_reliable' AS board, * FROM (SELECT * FROM g WHERE q ORDER BY bunching_index, route_id LIMIT 3)
   UNION ALL SELECT 'least_reliable', * FROM (SELECT * FROM g WHERE q ORDER BY bunching_index DESC, route_id DESC LIMIT 3))
 SELECT * EXCLUDE (q) REPLACE (round(bunching_index, 4) AS bunching_index, round(headway_cv, 4) AS headway_cv), (SELECT count(*) FROM g WHERE NOT q) AS excluded_thin_routes FROM x""", "hcells")(
-    lambda s, d: O.leagues(cells(s, d), 3).withColumns(ROUND))
+    lambda s, d: O.leagues(cells(s, d), 3).withColumns(_rounds()))
 query("agg66_most_improved", f"""WITH ds AS (SELECT local_date, row_number() OVER (ORDER BY local_date) AS i, count(*) OVER () AS nd FROM (SELECT DISTINCT local_date FROM hcells)),
 m AS (SELECT route_id, avg(abs(headway_deviation_s)) FILTER (i <= nd // 2) AS e, avg(abs(headway_deviation_s)) FILTER (i > nd // 2) AS l FROM hcells JOIN ds USING (local_date) WHERE nd >= 4 GROUP BY 1)
 SELECT route_id, round(e, 4) AS early_abs_dev_s, round(l, 4) AS late_abs_dev_s, round(e - l, 4) AS improvement_s FROM m WHERE e - l IS NOT NULL AND route_id IN (SELECT route_id FROM ({GATED}) WHERE q)

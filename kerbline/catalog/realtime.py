@@ -30,13 +30,18 @@ def hw(s, d):
 
 STATS = """SELECT {keys}, count(*) AS n_headways, {stops} round(median(headway_s) / 60, 4) AS median_headway_min, round(avg(headway_s / 60.0::DOUBLE), 6) AS mean_headway_min,
   round(stddev_samp(headway_s / 60.0::DOUBLE) / avg(headway_s / 60.0::DOUBLE), 4) AS bunching_cv FROM ({hw}) GROUP BY {keys} HAVING count(*) >= {n}"""
-ROUND = {"median_headway_min": r("median_headway_min"), "mean_headway_min": r("mean_headway_min", 6), "bunching_cv": r("bunching_cv")}
+
+
+def _rounds():
+    return {"median_headway_min": r("median_headway_min"), "mean_headway_min": r("mean_headway_min", 6), "bunching_cv": r("bunching_cv")}
+
+
 ROUTE_STATS = STATS.format(keys="route_id", stops="count(DISTINCT stop_id) AS n_stops,", hw=HW, n=5)
 query("win02_headways", f"SELECT event_id, route_id, direction_id, stop_id, headway_s FROM ({HW})", "pings")(
     lambda s, d: hw(s, d).select("event_id", "route_id", "direction_id", "stop_id", "headway_s"))
-query("agg19_headway_stats_route", ROUTE_STATS, "pings")(lambda s, d: H.headway_stats(hw(s, d), ["route_id"], 5).withColumns(ROUND))
+query("agg19_headway_stats_route", ROUTE_STATS, "pings")(lambda s, d: H.headway_stats(hw(s, d), ["route_id"], 5).withColumns(_rounds()))
 query("agg19_headway_stats_stop", STATS.format(keys="route_id, direction_id, stop_id", stops="", hw=HW, n=4), "pings")(
-    lambda s, d: H.headway_stats(hw(s, d), H.STOP_KEYS, 4).withColumns(ROUND))
+    lambda s, d: H.headway_stats(hw(s, d), H.STOP_KEYS, 4).withColumns(_rounds()))
 query("agg18_archive_span", """
 SELECT min(ts) AS t0, max(ts) AS t1, count(*) AS frames, count(DISTINCT vehicle_id) AS vehicles, count(DISTINCT route_id) AS routes,
   count(DISTINCT ts // 3600) AS distinct_hours, round((max(ts) - min(ts)) / 3600, 4) AS depth_hours FROM pings""", "pings")(
@@ -57,7 +62,7 @@ s AS (SELECT upper(regexp_replace(replace(route, '-SBS', ''), '[^A-Za-z0-9]', ''
 SELECT route_id, n_headways, median_headway_min, round(sh, 4) AS scheduled_headway_min, round(median_headway_min - sh, 3) AS obs_minus_sched_min, bunching_cv
 FROM o JOIN s ON s.rn = upper(regexp_replace(replace(route_id, '-SBS', ''), '[^A-Za-z0-9]', '', 'g'))""", "pings routes wk_trips")(
     lambda s, d: (lambda mid: H.headway_vs_schedule(
-        obs_routes(s, d).withColumns(ROUND), S.scheduled_headway(wk(s, d)).join(mid), F.col("now_period")).withColumns(
+        obs_routes(s, d).withColumns(_rounds()), S.scheduled_headway(wk(s, d)).join(mid), F.col("now_period")).withColumns(
             {"scheduled_headway_min": r("scheduled_headway_min"), "obs_minus_sched_min": r("obs_minus_sched_min", 3)}))(
         F.broadcast(H.archive_span(P(s, d)).select(clock.period_of(clock.local_hour(clock.local_seconds(F.floor((F.col("t0") + F.col("t1")) / 2)))).alias("now_period")))))
 
@@ -148,9 +153,14 @@ SELECT count(DISTINCT o_custkey) AS total, count(DISTINCT CASE WHEN o_custkey IN
   round(100 * count(DISTINCT CASE WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN o_custkey END) / count(DISTINCT o_custkey), 4) AS follow_up_pct
 FROM orders WHERE o_orderstatus = 'O'""")(lambda s, d: (lambda o: H.follow_up_rate(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), "o_custkey").withColumn(
     "follow_up_pct", r("follow_up_pct")))(I.table(s, d, "orders")))
-CELL_ROUND = {c: r(c) for c in ("mean_headway_s", "headway_cv", "bunch_share_lt50_sched", "bunch_share_lt50_obs", "bunching_index")}
+
+
+def _round_cells():
+    return {c: r(c) for c in ("mean_headway_s", "headway_cv", "bunch_share_lt50_sched", "bunch_share_lt50_obs", "bunching_index")}
+
+
 query("agg23_headway_cells", """SELECT * REPLACE (round(mean_headway_s, 4) AS mean_headway_s, round(headway_cv, 4) AS headway_cv, round(bunch_share_lt50_sched, 4) AS bunch_share_lt50_sched,
-  round(bunch_share_lt50_obs, 4) AS bunch_share_lt50_obs, round(bunching_index, 4) AS bunching_index) FROM hcells""", "hcells")(lambda s, d: cells(s, d).withColumns(CELL_ROUND))
+  round(bunch_share_lt50_obs, 4) AS bunch_share_lt50_obs, round(bunching_index, 4) AS bunching_index) FROM hcells""", "hcells")(lambda s, d: cells(s, d).withColumns(_round_cells()))
 query("set06_earliest_arrival", "SELECT trip_id, stop_seq, min(arr_ts) AS arr_ts FROM arr WHERE stop_seq IS NOT NULL GROUP BY 1, 2", "arr")(
     lambda s, d: H.earliest_arrival(arrivals(s, d)).select("trip_id", "stop_seq", "arr_ts"))
 RUN = """SELECT * FROM (SELECT trip_id, route_id, direction_id, stop_id AS from_stop, lead(stop_id) OVER w AS to_stop, stop_seq, lead(arr_ts) OVER w - arr_ts AS obs_run_s,

@@ -150,7 +150,13 @@ def nearest_by_rings(points: DataFrame, sites: DataFrame, key: str, x: str, y: s
 
 
 def k_nearest_within(queries: DataFrame, items: DataFrame, r: float, k: int, key: str, item: str) -> DataFrame:
-    """The k nearest items of each query point within ``r``, with their rank."""
+    """The k nearest items of each query point within ``r``, with their rank.
+
+    Of many items at one spot only the first k can be among anyone's k nearest, so
+    the rest of such a spot is left out before any pair is formed.
+    """
+    spot = F.row_number().over(W.partitionBy("x", "y").orderBy(item))
+    items = items.withColumn("__spot", spot).where(F.col("__spot") <= k).drop("__spot")
     pairs = point_pairs_within(queries, items, "qx", "qy", "x", "y", r, dist="dist_ft")
     rk = F.row_number().over(W.partitionBy(key).orderBy("dist_ft", item))
     return pairs.withColumn("rk", rk).where(F.col("rk") <= k)
