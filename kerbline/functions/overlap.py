@@ -24,68 +24,87 @@ def _cross(a, b):
     return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
 
 
-def fan_area(ring: np.ndarray, region: np.ndarray) -> float:
-    """Signed area shared by a closed ring and a closed convex counter-clockwise region (vertices in rows)."""
-    centre = region[:-1].mean(axis=0)
-    p, q = ring[:-1] - centre, ring[1:] - centre
+def fan_areas(p: np.ndarray, q: np.ndarray, owner: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Signed area each directed edge p -> q shares, as a fan, with the region of its row.
+
+    ``owner`` is the row of an edge; ``regions`` holds one convex counter-clockwise
+    outline per row (rows x corners x 2, not closed), all with the same number of corners.
+    """
+    centre = regions.mean(axis=1)
+    p, q = p - centre[owner], q - centre[owner]
     turn = _cross(p, q)
-    use = np.abs(turn) > 1e-12
-    if not use.any():
-        return 0.0
-    p, q, turn = p[use], q[use], turn[use]
-    sign, flip = np.sign(turn), turn < 0
-    p2, q2 = np.where(flip[:, None], q, p), np.where(flip[:, None], p, q)
-    turn = np.abs(turn)
-    a0 = np.arctan2(p2[:, 1], p2[:, 0])
-    a1 = a0 + np.arctan2(turn, (p2 * q2).sum(axis=1))
-    v, w = region[:-1] - centre, region[1:] - centre
-    b0 = np.arctan2(v[:, 1], v[:, 0])
-    b1 = b0 + np.arctan2(_cross(v, w), (v * w).sum(axis=1))
-    total = 0.0
+    flip = turn < 0
+    sign, turn = np.sign(turn), np.abs(turn)
+    p, q = np.where(flip[:, None], q, p), np.where(flip[:, None], p, q)
+    a0 = np.arctan2(p[:, 1], p[:, 0])
+    a1 = a0 + np.arctan2(turn, (p * q).sum(axis=1))
+    v = regions - centre[:, None, :]
+    w = np.roll(v, -1, axis=1)
+    wedge = _cross(v, w)
+    b0 = np.arctan2(v[..., 1], v[..., 0])
+    b1 = b0 + np.arctan2(wedge, (v * w).sum(axis=2))
+    total = np.zeros(len(p))
     for shift in (-TWO_PI, 0.0, TWO_PI):
-        lo = np.maximum(a0[:, None], b0[None, :] + shift)
-        hi = np.minimum(a1[:, None], b1[None, :] + shift)
-        i, k = np.nonzero(hi - lo > 1e-15)
+        lo = np.maximum(a0[:, None], b0[owner] + shift)
+        hi = np.minimum(a1[:, None], b1[owner] + shift)
+        i, k = np.nonzero((hi - lo > 1e-15) & (turn > 1e-12)[:, None])
         if len(i) == 0:
             continue
-        lo, hi = lo[i, k], hi[i, k]
-        ends = []
-        for th in (lo, hi):
-            u = np.stack([np.cos(th), np.sin(th)], axis=1)
-            re = turn[i] / _cross(u, q2[i] - p2[i])
-            rc = _cross(v[k], w[k]) / _cross(u, w[k] - v[k])
-            ends.append((u, re, rc))
-        (u0, re0, rc0), (u1, re1, rc1) = ends
-        m0, m1 = np.minimum(re0, rc0)[:, None] * u0, np.minimum(re1, rc1)[:, None] * u1
-        area = 0.5 * _cross(m0, m1)
-        swap = (re0 - rc0) * (re1 - rc1) < 0
+        row = owner[i]
+        side, rim = q[i] - p[i], w[row, k] - v[row, k]
+        u0, u1 = (np.stack([np.cos(t), np.sin(t)], axis=1) for t in (lo[i, k], hi[i, k]))
+        e0, e1 = turn[i] / _cross(u0, side), turn[i] / _cross(u1, side)
+        c0, c1 = wedge[row, k] / _cross(u0, rim), wedge[row, k] / _cross(u1, rim)
+        near0, near1 = np.minimum(e0, c0)[:, None] * u0, np.minimum(e1, c1)[:, None] * u1
+        area = 0.5 * _cross(near0, near1)
+        swap = (e0 - c0) * (e1 - c1) < 0
         if swap.any():
-            e0, e1 = re0[swap, None] * u0[swap], re1[swap, None] * u1[swap]
-            c0, c1 = rc0[swap, None] * u0[swap], rc1[swap, None] * u1[swap]
-            t = _cross(c0 - e0, c1 - c0) / _cross(e1 - e0, c1 - c0)
-            x = e0 + t[:, None] * (e1 - e0)
-            area[swap] = 0.5 * (_cross(m0[swap], x) + _cross(x, m1[swap]))
-        total += float((sign[i] * area).sum())
+            from_e, to_e = e0[swap, None] * u0[swap], e1[swap, None] * u1[swap]
+            from_c, to_c = c0[swap, None] * u0[swap], c1[swap, None] * u1[swap]
+            t = _cross(from_c - from_e, to_c - from_c) / _cross(to_e - from_e, to_c - from_c)
+            x = from_e + t[:, None] * (to_e - from_e)
+            area[swap] = 0.5 * (_cross(near0[swap], x) + _cross(x, near1[swap]))
+        np.add.at(total, i, sign[i] * area)
     return total
 
 
-def _xy(ring) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in ring], dtype=float)
+def shared_areas(xy: np.ndarray, sizes: np.ndarray, ring_rows: np.ndarray, outer: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Shared area per row.  Rings lie one after another in ``xy``; holes (``outer`` False) subtract."""
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    inner = np.ones(len(xy), dtype=bool)
+    inner[np.cumsum(sizes) - 1] = False  # the last vertex of a ring starts no edge
+    at = np.nonzero(inner)[0]
+    areas = fan_areas(xy[at], xy[at + 1], ring_rows[ring[at]], regions)
+    per_ring = np.abs(np.bincount(ring[at], weights=areas, minlength=len(sizes)))
+    out = np.bincount(ring_rows, weights=np.where(outer, per_ring, -per_ring), minlength=len(regions))
+    return np.where(out > TOUCH_SQFT, out, 0.0)
 
 
 @F.pandas_udf(T.DoubleType())
-def overlap_area(rings: pd.Series, region: pd.Series) -> pd.Series:
-    """Shared area of a polygon (outer ring, then holes) and a convex ring; NULL in, NULL out."""
-    out = []
-    for rs, rg in zip(rings, region):
-        if rs is None or rg is None:
-            out.append(None)
-            continue
-        c = _xy(rg)
-        parts = [abs(fan_area(_xy(ring), c)) for ring in rs]
-        shared = parts[0] - sum(parts[1:]) if parts else 0.0
-        out.append(shared if shared > TOUCH_SQFT else 0.0)
-    return pd.Series(out, dtype="float64")
+def _overlap(coords: pd.Series, sizes: pd.Series, region: pd.Series) -> pd.Series:
+    out = np.full(len(coords), np.nan)
+    known = np.array([c is not None and g is not None and len(c) > 0 for c, g in zip(coords, region)])
+    corners = np.array([len(g) // 2 - 1 if g is not None else 0 for g in region])
+    for m in np.unique(corners[known]):
+        rows = np.nonzero(known & (corners == m))[0]
+        regions = np.stack([region.iat[r] for r in rows]).reshape(len(rows), -1, 2)[:, :m, :]
+        xy = np.concatenate([coords.iat[r] for r in rows]).reshape(-1, 2)
+        per_row = [np.asarray(sizes.iat[r]) for r in rows]
+        counts = np.array([len(n) for n in per_row])
+        outer = np.concatenate([np.arange(n) == 0 for n in counts])
+        out[rows] = shared_areas(xy, np.concatenate(per_row), np.repeat(np.arange(len(rows)), counts), outer, regions)
+    return pd.Series(out).where(~np.isnan(out), None).astype(float)
+
+
+def _flat(points: Column) -> Column:
+    return F.flatten(F.transform(points, lambda p: F.array(p.x, p.y)))
+
+
+def overlap_area(rings: Column | str, region: Column | str) -> Column:
+    """Shared area of a polygon (outer ring, then holes) and a convex counter-clockwise ring; NULL in, NULL out."""
+    rings, region = (F.col(c) if isinstance(c, str) else c for c in (rings, region))
+    area = _overlap(_flat(F.flatten(rings)), F.transform(rings, F.size), _flat(region))
+    return F.when(~F.isnan(area), area)
 
 
 def disc(x: Column, y: Column, r: Column, segments: int = 32) -> Column:

@@ -288,11 +288,14 @@ def line_locate(points: DataFrame, lines: DataFrame) -> DataFrame:
     es = F.zip_with(F.slice("line", F.lit(1), n - 1), F.slice("line", F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     x, y = F.col("x_ft"), F.col("y_ft")
 
+    def with_fraction(e):
+        return F.struct(e.a.alias("a"), e.b.alias("b"), P.segment_position(x, y, e.a.x, e.a.y, e.b.x, e.b.y).alias("u"))
+
     def at(e):
-        u = P.segment_position(x, y, e.a.x, e.a.y, e.b.x, e.b.y)
-        return F.struct(P.segment_distance(x, y, e.a.x, e.a.y, e.b.x, e.b.y).alias("perp"), (e.a.cum_ft + u * (e.b.cum_ft - e.a.cum_ft)).alias("off"))
+        px, py = e.a.x + e.u * (e.b.x - e.a.x), e.a.y + e.u * (e.b.y - e.a.y)
+        return F.struct(F.hypot(x - px, y - py).alias("perp"), (e.a.cum_ft + e.u * (e.b.cum_ft - e.a.cum_ft)).alias("off"))
 
-    j = points.join(lines.where("n_points >= 2"), "shape_id").withColumn("__m", F.array_min(F.transform(es, at)))
+    j = points.join(lines.where("n_points >= 2"), "shape_id").withColumn("__m", F.array_min(F.transform(F.transform(es, with_fraction), at)))
     return j.select(*points.columns, "shape_len_ft", F.col("__m.off").alias("offset_ft"), F.col("__m.perp").alias("perp_ft"))
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_S = 21_600
 
@@ -35,47 +36,52 @@ def _kept(ts: np.ndarray, free: int, gap: int) -> list[int]:
     return kept
 
 
-def _text(value: str, n: int) -> pd.Series:
-    return pd.Series([value] * n, dtype=object)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _chunk_exits(ts: pd.Series, chunk: pd.Series, gap: pd.Series) -> pd.Series:
+    """Exit states of each chunk, for the points a series can enter it at (fewer than ``gap`` seconds blocked)."""
+    out = []
+    for t, c, g in zip(ts, chunk, gap):
+        t = np.asarray(t)
+        m = int(np.searchsorted(t, c * CHUNK_S + g)) + 1
+        out.append(_exits(t, (c + 1) * CHUNK_S, g)[:m])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _chain(chunks: pd.Series, ts: pd.Series, exits: pd.Series) -> pd.Series:
+    """First free second of every chunk of a series, in chunk order."""
+    out = []
+    for cs, tss, exs in zip(chunks, ts, exits):
+        free, row = None, []
+        for c, t, e in zip(cs, tss, exs):
+            start = int(c) * CHUNK_S
+            free = start if free is None else max(free, start)
+            row.append(free)
+            i = int(np.searchsorted(t, free, side="left"))
+            if i < len(e):
+                free = start + CHUNK_S + int(e[i])
+        out.append(row)
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _keep(ts: pd.Series, free: pd.Series, gap: pd.Series) -> pd.Series:
+    return pd.Series([_kept(np.asarray(t), int(f), int(g)) for t, f, g in zip(ts, free, gap)], dtype=object)
 
 
 def thin(series: DataFrame, key: str, ts: str, gap: int = 60) -> DataFrame:
     """Rows kept by the rule, plus the last row of each series; ``gap`` must not exceed the chunk."""
     if not 0 < gap <= CHUNK_S:
         raise ValueError(f"gap must be between 1 and {CHUNK_S} seconds")
-    s = series.select(F.col(key).cast("string").alias("k"), F.floor(F.col(ts) / CHUNK_S).cast("long").alias("c"), F.col(ts).cast("long").alias("t")).distinct()
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, c = np.sort(pdf["t"].to_numpy()), int(pdf["c"].iloc[0])
-        exits = _exits(t, (c + 1) * CHUNK_S, gap)
-        # a chunk can only be entered with less than ``gap`` seconds blocked
-        m = int(np.searchsorted(t, c * CHUNK_S + gap)) + 1
-        return pd.DataFrame({"k": _text(pdf["k"].iloc[0], 1), "c": [c], "ts": [t[:m].tolist()], "exits": [exits[:m].tolist()]})
-
-    # at most one point per second of the chunk
-    tables = s.groupBy("k", "c").applyInPandas(summarise, "k string, c long, ts array<long>, exits array<long>")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        free, kept, keys = None, [], pdf["k"].iloc[0]
-        for c, ts, exits in zip(pdf["c"], pdf["ts"], pdf["exits"]):
-            ts, start = np.asarray(ts), int(c) * CHUNK_S
-            free = start if free is None else max(free, start)
-            kept.append(free)
-            i = int(np.searchsorted(ts, free, side="left"))
-            free = (int(c) + 1) * CHUNK_S + int(exits[i]) if i < len(ts) else free
-        return pd.DataFrame({"k": _text(keys, len(kept)), "c": pdf["c"].to_numpy(), "free": kept})
-
-    # per chunk of the series at most ``gap`` + 1 possible entry points
-    entries = tables.groupBy("k").applyInPandas(chain, "k string, c long, free long")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = _kept(np.sort(pdf["t"].to_numpy()), int(pdf["free"].iloc[0]), gap)
-        return pd.DataFrame({"k": _text(pdf["k"].iloc[0], len(kept)), "t": np.array(kept, dtype="int64")})
-
-    kept = s.join(entries, ["k", "c"]).groupBy("k", "c").applyInPandas(keep, "k string, t long")
-    last = s.groupBy("k").agg(F.max("t").alias("t"))
-    marks = kept.unionByName(last).distinct()
-    return series.join(marks, (F.col(key).cast("string") == F.col("k")) & (F.col(ts) == F.col("t")), "left_semi")
-
-
+    s = series.select(F.col(key).alias("k"), F.floor(F.col(ts) / CHUNK_S).cast("long").alias("c"), F.col(ts).cast("long").alias("t"))
+    # at most one entry per second of the chunk
+    chunks = s.groupBy("k", "c").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    g = F.lit(gap).cast("long")
+    tables = chunks.withColumn("exits", _chunk_exits("ts", "c", g)).select("k", "c", F.slice("ts", F.lit(1), F.size("exits")).alias("ts"), "exits")
+    # per chunk of the series at most ``gap`` + 1 entry points
+    line = tables.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "ts", "exits"))).alias("l"))
+    free = line.select("k", F.col("l.c").alias("cs"), _chain("l.c", "l.ts", "l.exits").alias("free"))
+    entries = free.select("k", F.explode(F.arrays_zip("cs", "free")).alias("z")).select("k", F.col("z.cs").alias("c"), "z.free")
+    kept = chunks.join(entries, ["k", "c"]).select("k", F.explode(_keep("ts", "free", g)).alias("t"))
+    marks = kept.unionByName(s.groupBy("k").agg(F.max("t").alias("t"))).distinct()
+    return series.join(marks, (F.col(key) == F.col("k")) & (F.col(ts) == F.col("t")), "left_semi")

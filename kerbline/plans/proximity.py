@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest side that is ever broadcast, in rows (checked by a bounded count).
-BROADCAST_ROWS = 10_000
+# Longest list that is ever carried next to each row (checked by a bounded count).
+LIST_ROWS = 256
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def small_enough(df: DataFrame, rows: int = LIST_ROWS) -> bool:
     """True when the table has at most ``rows`` rows; reads no more than rows + 1."""
     return df.limit(rows + 1).count() <= rows
 
