@@ -145,7 +145,7 @@ query("geo06_side_of_segment", """SELECT street_id, side, CASE WHEN (side = 'a')
 
 
 def coverage(s, d):
-    return S.coverage_class(I.streets(s, d), sidewalks(s, d), "street_id")
+    return S.coverage_class(I.streets(s, d), sidewalks(s, d), "street_id", "poly_id")
 
 
 # ------------------------------------------------------------------ measures

@@ -163,6 +163,11 @@ def k_nearest_within(queries: DataFrame, items: DataFrame, r: float, k: int, key
 
 
 # ------------------------------------------------------------------ overlap
+def _spread(pairs: DataFrame, *cols: str) -> DataFrame:
+    """Spread candidate pairs over all tasks before the costly geometry, so a dense cell's pairs are shared out."""
+    return pairs.repartition(F.xxhash64(*cols))
+
+
 def overlap_with_discs(points: DataFrame, polys: DataFrame, r: float, key: str, poly: str, segments: int = 32) -> DataFrame:
     """Shared area of each point's disc with each polygon whose box meets it.
 
@@ -171,6 +176,7 @@ def overlap_with_discs(points: DataFrame, polys: DataFrame, r: float, key: str,
     b = polys.withColumn("__b", P.bbox(F.flatten("rings")))
     x, y, rr = F.col("sx"), F.col("sy"), F.lit(float(r))
     j = box_join(points, b, (x - rr, y - rr, x + rr, y + rr), tuple(F.col(f"__b.{c}") for c in ("x0", "y0", "x1", "y1")), max(2 * r, 500.0))
+    j = _spread(j, key, poly)
     reach = F.array_max(F.transform(F.get("rings", 0), lambda p: F.hypot(p.x - F.col("sx"), p.y - F.col("sy"))))
     inside = reach <= r * math.cos(math.pi / segments)
     area = P.polygon_area(F.col("rings"))
@@ -193,6 +199,7 @@ def block_provision(blocks: DataFrame, polys: DataFrame, key: str, poly: str) ->
     bb, pb = blocks.withColumn("__b", P.bbox(F.get("rings", 0))), polys.select(poly, F.col("rings").alias("prings"), P.bbox(F.get("rings", 0)).alias("__p"))
     box = lambda n: tuple(F.col(f"{n}.{c}") for c in ("x0", "y0", "x1", "y1"))
     j = box_join(bb.select(key, F.get("rings", 0).alias("outline"), "__b"), pb, box("__b"), box("__p"), 1000.0)
+    j = _spread(j.select(key, poly, "outline", "prings"), key, poly)
     a = j.select(key, overlap_area("prings", "outline").alias("a")).groupBy(key).agg(F.sum("a").alias("sidewalk_area_sqft"))
     out = blocks.join(a, key, "left").withColumns({
         "sidewalk_area_sqft": F.coalesce("sidewalk_area_sqft", F.lit(0.0)), "block_area_sqft": P.polygon_area(F.col("rings")), "perimeter_ft": P.polygon_perimeter(F.col("rings"))})
@@ -220,14 +227,15 @@ def side_of_segment(rings: Column, x0: Column, y0: Column, x1: Column, y1: Colum
     return F.when(crosses, 0).otherwise(F.signum(best.getField("s")).cast("int"))
 
 
-def coverage_class(segs: DataFrame, polys: DataFrame, key: str, reach: float = 25.0, default_width: float = 30.0) -> DataFrame:
+def coverage_class(segs: DataFrame, polys: DataFrame, key: str, poly: str, reach: float = 25.0, default_width: float = 30.0) -> DataFrame:
     """Layer area within reach of each street and the sides it lies on."""
     w = F.coalesce(F.nullif(F.col("width_text").try_cast("double"), F.lit(0.0)), F.lit(default_width))
     s = segs.withColumn("__r", w / 2 + reach)
-    p = polys.select("rings", P.bbox(F.get("rings", 0)).alias("__p"))
+    p = polys.select(poly, "rings", P.bbox(F.get("rings", 0)).alias("__p"))
     lb = (F.least("x0", "x1") - F.col("__r"), F.least("y0", "y1") - F.col("__r"), F.greatest("x0", "x1") + F.col("__r"), F.greatest("y0", "y1") + F.col("__r"))
     j = box_join(s, p, lb, tuple(F.col(f"__p.{c}") for c in ("x0", "y0", "x1", "y1")), 500.0)
     xy = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    j = _spread(j.select(key, poly, "x0", "y0", "x1", "y1", "__r", "rings"), key, poly)
     j = j.withColumn("a", overlap_area("rings", stadium(*xy, F.col("__r")))).where(F.col("a") > 1e-9)
     j = j.withColumn("side", side_of_segment(F.col("rings"), *xy))
     g = j.groupBy(key).agg(F.sum("a").alias("sidewalk_area_sqft"), F.max(F.when(F.col("side") > 0, 1).otherwise(0)).alias("has_left"), F.max(F.when(F.col("side") < 0, 1).otherwise(0)).alias("has_right"))
