@@ -84,4 +84,5 @@ def thin(series: DataFrame, key: str, ts: str, gap: int = 60) -> DataFrame:
     entries = free.select("k", F.explode(F.arrays_zip("cs", "free")).alias("z")).select("k", F.col("z.cs").alias("c"), "z.free")
     kept = chunks.join(entries, ["k", "c"]).select("k", F.explode(_keep("ts", "free", g)).alias("t"))
     marks = kept.unionByName(s.groupBy("k").agg(F.max("t").alias("t"))).distinct()
-    return series.join(marks, (F.col(key) == F.col("k")) & (F.col(ts) == F.col("t")), "left_semi")
+    marks = marks.withColumnsRenamed({"k": "__k", "t": "__t"})
+    return series.join(marks, (F.col(key) == F.col("__k")) & (F.col(ts) == F.col("__t")), "left_semi")
