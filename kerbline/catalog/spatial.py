@@ -131,8 +131,8 @@ STRIP_BOX = f"""SELECT street_id, CASE WHEN street_id % 2 = 0 THEN x0 ELSE x0 +
 FROM (SELECT s.*, CASE side WHEN 'a' THEN 18.0 ELSE -18.0 - w END AS lo, CASE side WHEN 'a' THEN 18.0 + w ELSE -18.0 END AS hi FROM ({STRIPS}) t JOIN streets s ON s.street_id = t.street_id)"""
 PROV = f"""SELECT block_id, borough, pop, income_raw, round(coalesce(a, 0), 3) AS sidewalk_area_sqft, 25200.0::DOUBLE AS block_area_sqft, 640.0::DOUBLE AS perimeter_ft, coalesce(a, 0) / 640 AS ratio, coalesce(a, 0) / nullif(pop, 0) AS per_head, coalesce(a, 0) AS a
 FROM blocks LEFT JOIN (SELECT block_id AS bid, sum((least(bx1, px1) - greatest(bx0, px0)) * (least(by1, py1) - greatest(by0, py0))) AS a FROM blocks JOIN ({STRIP_BOX}) ON px0 < bx1 AND px1 > bx0 AND py0 < by1 AND py1 > by0 GROUP BY 1) ON bid = block_id"""
-query("agg36_block_provision", f"SELECT block_id, sidewalk_area_sqft, block_area_sqft, perimeter_ft, round(ratio, 6) AS coverage_ratio_ft, round(per_head, 6) AS sqft_per_capita FROM ({PROV})", "blocks streets")(
-    lambda s, d: provision(s, d).select("block_id", r("sidewalk_area_sqft", 3).alias("sidewalk_area_sqft"), r("block_area_sqft", 3).alias("block_area_sqft"), r("perimeter_ft", 3).alias("perimeter_ft"), r("coverage_ratio_ft", 6).alias("coverage_ratio_ft"), r("sqft_per_capita", 6).alias("sqft_per_capita")))
+query("agg36_block_provision", f"SELECT block_id, sidewalk_area_sqft, block_area_sqft, perimeter_ft, round(ratio, 7) AS coverage_ratio_ft, round(per_head, 6) AS sqft_per_capita FROM ({PROV})", "blocks streets")(
+    lambda s, d: provision(s, d).select("block_id", r("sidewalk_area_sqft", 3).alias("sidewalk_area_sqft"), r("block_area_sqft", 3).alias("block_area_sqft"), r("perimeter_ft", 3).alias("perimeter_ft"), r("coverage_ratio_ft", 7).alias("coverage_ratio_ft"), r("sqft_per_capita", 6).alias("sqft_per_capita")))
 
 
 def provision(s, d):

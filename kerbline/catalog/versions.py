@@ -30,7 +30,7 @@ def period_trips(v):
 
 def trunk(v):
     st, pt = _t("stop_times", v), period_trips(v)
-    return f"""SELECT route_id, service_period, tod_window, direction_id, round(median(gap) / 60, 2) AS headway_min FROM (
+    return f"""SELECT route_id, service_period, tod_window, direction_id, floor((median(gap) * 10 + 3) / 6) / 100 AS headway_min FROM (
   SELECT *, sched_sec - lag(sched_sec) OVER (PARTITION BY route_id, service_period, tod_window, direction_id ORDER BY sched_sec) AS gap FROM (
     SELECT p.route_id, service_period, direction_id, sched_sec, CASE WHEN m >= 21600 AND m < 36000 THEN 'am_peak' WHEN m >= 36000 AND m < 57600 THEN 'midday'
       WHEN m >= 57600 AND m < 72000 THEN 'pm_peak' WHEN m >= 72000 THEN 'evening' END AS tod_window

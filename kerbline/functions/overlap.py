@@ -77,7 +77,7 @@ def shared_areas(xy: np.ndarray, sizes: np.ndarray, ring_rows: np.ndarray, outer
     areas = fan_areas(xy[at], xy[at + 1], ring_rows[ring[at]], regions)
     per_ring = np.abs(np.bincount(ring[at], weights=areas, minlength=len(sizes)))
     out = np.bincount(ring_rows, weights=np.where(outer, per_ring, -per_ring), minlength=len(regions))
-    return np.where(out > TOUCH_SQFT, out, 0.0)
+    return np.where(out > TOUCH_SQFT, np.round(out, 6), 0.0)
 
 
 @F.pandas_udf(T.DoubleType())

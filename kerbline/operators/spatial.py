@@ -344,12 +344,13 @@ def ramps_at_intersections(nodes: DataFrame, ramps: DataFrame, r: float = 50.0,
 
 
 def ramp_coverage(inter: DataFrame, area: str) -> DataFrame:
-    """Ramp coverage per area with a citywide row."""
-    g = inter.where(F.col(area).isNotNull()).rollup(area).agg(
-        F.count(F.lit(1)).alias("n_intersections"), F.sum("has_ramp").alias("n_with_ramp"), F.sum("n_ramps").alias("total_ramps"), F.sum("n_ramps_steep").alias("steep_ramps"))
-    return g.select(F.coalesce(area, F.lit("Citywide")).alias(area), "n_intersections", "n_with_ramp", "total_ramps", "steep_ramps",
-                    F.round(100 * F.col("n_with_ramp") / F.col("n_intersections"), 1).alias("ramp_coverage_pct"),
-                    F.round(100 * F.col("steep_ramps") / F.nullif(F.col("total_ramps"), F.lit(0)), 1).alias("steep_ramp_pct"))
+    """Ramp coverage per area with a citywide row, which is there even when nothing is."""
+    sums = {"n_with_ramp": "has_ramp", "total_ramps": "n_ramps", "steep_ramps": "n_ramps_steep"}
+    per = inter.where(F.col(area).isNotNull()).groupBy(area).agg(F.count(F.lit(1)).alias("n_intersections"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    city = per.agg(F.coalesce(F.sum("n_intersections"), F.lit(0)).alias("n_intersections"), *[F.sum(n).alias(n) for n in sums]).withColumn(area, F.lit("Citywide"))
+    return per.unionByName(city).withColumns({
+        "ramp_coverage_pct": F.round(100 * F.col("n_with_ramp") / F.nullif(F.col("n_intersections"), F.lit(0)), 1),
+        "steep_ramp_pct": F.round(100 * F.col("steep_ramps") / F.nullif(F.col("total_ramps"), F.lit(0)), 1)})
 
 
 def edge_miles(segs: DataFrame, areas: DataFrame) -> DataFrame:
