@@ -116,11 +116,11 @@ query("agg70_alert_tally", f"SELECT count(*) FILTER (severity = 'high') AS high,
     lambda s, d: Q.alert_tally(Q.current_alerts(I.alerts(s, d), 7200)))
 LINES = ["1", "2", "3", "a", "C", "E", "B", "x9", "G", "J"]
 query("agg69_line_status", f"""
-WITH t AS (SELECT upper({I.sql_pick('CAST(vehicle_id AS BIGINT)', LINES)}) AS line, count(*) AS n FROM pings WHERE direction_id = 0 GROUP BY 1),
+WITH t AS (SELECT upper({I.sql_pick('CAST(vehicle_id AS BIGINT)', LINES)}) AS line, count(*) AS n FROM pings GROUP BY 1),
 a AS (SELECT DISTINCT upper({I.sql_pick('CAST(alert_id AS BIGINT)', [*LINES, 'Q', 'zz'])}) AS line FROM alerts WHERE is_subway),
 j AS (SELECT coalesce(t.line, a.line) AS line, n, a.line IS NOT NULL AS al FROM t FULL OUTER JOIN a ON a.line = t.line)
 SELECT line, coalesce(n, 0) AS count, al AS alerted, CAST(nullif(coalesce(pos, 0), 0) AS INT) AS display_order FROM (SELECT *, list_position({codes.LINE_ORDER}, line) AS pos FROM j) WHERE n IS NOT NULL OR coalesce(pos, 0) > 0""", "pings alerts")(
-    lambda s, d: Q.line_status(P(s, d).where("direction_id = 0").select(I.pick(F.col("vehicle_id").cast("long"), LINES).alias("route_id")),
+    lambda s, d: Q.line_status(P(s, d).select(I.pick(F.col("vehicle_id").cast("long"), LINES).alias("route_id")),
                                I.alerts(s, d).where("is_subway").select(I.pick(F.col("alert_id").cast("long"), [*LINES, "Q", "zz"]).alias("route_id"))))
 
 

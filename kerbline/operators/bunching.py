@@ -26,9 +26,8 @@ def candidate_pairs(positions: DataFrame, headway: DataFrame) -> DataFrame:
     hw = headway.select("route_id", "direction_id", "sched_median_headway_s")
     v = null_safe_join(positions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), hw, ["route_id", "direction_id"])
     v = v.withColumn("headway", F.coalesce("sched_median_headway_s", F.lit(DEFAULT_HEADWAY_S)))
-    # longitude cells sized at 60 degrees would be too narrow nearer the equator; one degree of
-    # longitude is never longer than one of latitude, so latitude-sized cells keep neighbours adjacent
-    # up to 60 degrees when doubled
+    # a degree of longitude is at least half a degree of latitude up to 60 degrees north or south,
+    # so doubled cells keep every pair within the cap in adjacent cells there
     size_lat, size_lon = CAP_M / DEG_M, 2 * CAP_M / DEG_M
     v = v.withColumns({"cy": F.floor(F.col("lat") / size_lat), "cx": F.floor(F.col("lon") / size_lon)})
     keep = ["vehicle_id", "lat", "lon"]
@@ -36,8 +35,9 @@ def candidate_pairs(positions: DataFrame, headway: DataFrame) -> DataFrame:
     around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     b = v.select("route_id", "direction_id", *[F.col(c).alias(f"{c}_b") for c in keep], "cx", "cy", F.explode(around).alias("o"))
     b = b.withColumns({"cx": F.col("cx") + F.col("o.dx"), "cy": F.col("cy") + F.col("o.dy")}).drop("o")
-    same = a["route_id"].eqNullSafe(b["route_id"]) & a["direction_id"].eqNullSafe(b["direction_id"]) & (a["cx"] == b["cx"]) & (a["cy"] == b["cy"])
-    j = a.join(b.drop(), same & (F.col("vehicle_id_a") < F.col("vehicle_id_b"))).drop(b["route_id"]).drop(b["direction_id"]).drop(b["cx"]).drop(b["cy"])
+    b = b.withColumnsRenamed({"route_id": "r_b", "direction_id": "d_b", "cx": "cx_b", "cy": "cy_b"})
+    same = F.col("route_id").eqNullSafe(F.col("r_b")) & F.col("direction_id").eqNullSafe(F.col("d_b")) & (F.col("cx") == F.col("cx_b")) & (F.col("cy") == F.col("cy_b"))
+    j = a.join(b, same & (F.col("vehicle_id_a") < F.col("vehicle_id_b"))).drop("r_b", "d_b", "cx_b", "cy_b")
     gap = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     expected = F.col("headway") * NOMINAL_MPS
     j = j.withColumns({"gap_m": gap, "expected_m": expected})

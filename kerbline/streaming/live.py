@@ -52,8 +52,7 @@ def stream_dedupe(pings: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def stream_vehicles(pings: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Reports and vehicles per 5-minute window: distinct by de-duplication first, so the count is exact."""
-    p = with_event_time(pings, "ts", late).select("event_time", "vehicle_id", F.window("event_time", "5 minutes").alias("w"))
-    one = p.withColumn("bin", F.unix_timestamp("w.start")).dropDuplicates(["bin", "vehicle_id", "event_time"])
+    one = with_event_time(pings, "ts", late).select("event_time", "vehicle_id").dropDuplicates(["vehicle_id", "event_time"])
     g = one.groupBy(F.window("event_time", "5 minutes").alias("w"), "vehicle_id").agg(F.count(F.lit(1)).alias("n"))
     g = g.groupBy(F.window(F.window_time("w"), "5 minutes").alias("win")).agg(F.count(F.lit(1)).alias("vehicles"), F.sum("n").alias("reports"))
     return g.select((F.unix_timestamp("win.start") - clock.LOCAL_OFFSET_S).alias("bin_local"), "vehicles", "reports")
