@@ -96,6 +96,11 @@ def _overlap(coords: pd.Series, sizes: pd.Series, region: pd.Series) -> pd.Serie
     return pd.Series(out).where(~np.isnan(out), None).astype(float)
 
 
+# Keeps the optimizer from repeating the costly call in a pushed-down filter, below
+# the shuffle that spreads the pairs.
+_overlap = _overlap.asNondeterministic()
+
+
 def _flat(points: Column) -> Column:
     return F.flatten(F.transform(points, lambda p: F.array(p.x, p.y)))
 

@@ -224,7 +224,9 @@ def side_of_segment(rings: Column, x0: Column, y0: Column, x1: Column, y1: Colum
         return F.transform(es, one)
 
     best = F.array_min(F.concat(vertex, from_end(x0, y0), from_end(x1, y1)))
-    return F.when(crosses, 0).otherwise(F.signum(best.getField("s")).cast("int"))
+    # a polygon wholly on one side has its nearest point there; only the others need distances
+    cross = F.transform(F.get(rings, 0), lambda p: P.cross_sign(p.x, p.y, x0, y0, x1, y1))
+    return F.when(F.array_min(cross) > 0, 1).when(F.array_max(cross) < 0, -1).when(crosses, 0).otherwise(F.signum(best.getField("s")).cast("int"))
 
 
 def coverage_class(segs: DataFrame, polys: DataFrame, key: str, poly: str, reach: float = 25.0, default_width: float = 30.0) -> DataFrame:
@@ -236,9 +238,13 @@ def coverage_class(segs: DataFrame, polys: DataFrame, key: str, poly: str, reach
     j = box_join(s, p, lb, tuple(F.col(f"__p.{c}") for c in ("x0", "y0", "x1", "y1")), 500.0)
     xy = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     j = _spread(j.select(key, poly, "x0", "y0", "x1", "y1", "__r", "rings"), key, poly)
-    j = j.withColumn("a", overlap_area("rings", stadium(*xy, F.col("__r")))).where(F.col("a") > 1e-9)
+    # wholly within reach: no clipping needed (half circles are drawn with 16 segments)
+    far = F.array_max(F.transform(F.get("rings", 0), lambda p: P.segment_distance(p.x, p.y, *xy)))
+    j = j.withColumn("__inside", far <= F.col("__r") * math.cos(math.pi / 32))
+    cut = overlap_area(F.when(~F.col("__inside"), F.col("rings")), stadium(*xy, F.col("__r")))
+    j = j.withColumn("a", F.coalesce(F.when(F.col("__inside"), P.polygon_area(F.col("rings"))), cut)).where(F.col("a") > 1e-9)
     j = j.withColumn("side", side_of_segment(F.col("rings"), *xy))
-    g = j.groupBy(key).agg(F.sum("a").alias("sidewalk_area_sqft"), F.max(F.when(F.col("side") > 0, 1).otherwise(0)).alias("has_left"), F.max(F.when(F.col("side") < 0, 1).otherwise(0)).alias("has_right"))
+    g = j.groupBy(key).agg(F.sum("a").alias("sidewalk_area_sqft"), (F.max("side") > 0).cast("int").alias("has_left"), (F.min("side") < 0).cast("int").alias("has_right"))
     out = segs.join(g, key, "left").fillna({"sidewalk_area_sqft": 0.0, "has_left": 0, "has_right": 0})
     return out.withColumns({"seg_len_ft": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), "coverage_class": class_of_sides(F.col("has_left"), F.col("has_right"))})
 
