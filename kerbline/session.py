@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,28 +32,32 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("kerbline.scratch.dir", None)
+    """The shared folder of the cluster, from ``spark.checkpoint.dir``.
+
+    Only a session whose tasks run in the driver's own process may go without: it gets a temporary folder, removed
+    when the process ends.  Anywhere else executors would write to disks that others can't read.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kerbline.scratch.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master: {master})")
         root = tempfile.mkdtemp(prefix="kerbline-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("kerbline.scratch.dir", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/kerbline/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder, in the application's own part of it."""
+    return f"{shared_dir(spark)}/kerbline/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results read from them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kerbline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
