@@ -255,6 +255,35 @@ FROM (SELECT *, (l_orderkey % 23 + 5) * 3600 + (l_orderkey % 12) * 300 + seq AS
       FROM (SELECT l_orderkey, l_linenumber * 600 + l_partkey % 600 AS seq, min(l_suppkey) AS stop FROM lineitem GROUP BY 1, 2))""")
 
 
+def two_feeds(df, late=0):
+    """The rows under two feeds, x and y, with the same ids; clocks of feed y run ``late`` hours later."""
+    y = df.withColumn("feed", F.lit("y"))
+    for c in ("arrival_time", "departure_time"):
+        if late and c in df.columns:
+            hour = F.substring_index(c, ":", 1).cast("int") + late
+            y = y.withColumn(c, F.concat(F.lpad(hour.cast("string"), 2, "0"), F.substring(c, 3, 6)))
+    return df.withColumn("feed", F.lit("x")).unionByName(y)
+
+
+def two_feed_schedule(spark, sf):
+    """trips, routes, stop_times of two feeds that number their trips, stops and routes alike; odd trips run in x only."""
+    t = two_feeds(trips(spark, sf)).where("feed = 'x' or cast(trip_id as bigint) % 2 = 0")
+    r = two_feeds(routes(spark, sf)).withColumn("route_short_name", F.concat(F.upper("feed"), "route_short_name"))
+    return t, r, two_feeds(stop_times(spark, sf), 2)
+
+
+CTE["stop_times2"] = (("stop_times",), """
+SELECT f.feed, s.* REPLACE (sched_sec + CASE f.feed WHEN 'y' THEN 7200 ELSE 0 END AS sched_sec) FROM stop_times s, (VALUES ('x'), ('y')) f(feed)""")
+CTE["trips2"] = (("trips",), """
+SELECT t.* REPLACE (f.feed AS feed) FROM trips t, (VALUES ('x'), ('y')) f(feed) WHERE f.feed = 'x' OR CAST(trip_id AS BIGINT) % 2 = 0""")
+CTE["wk_trips2"] = (("trips2", "routes", "stop_times2"), """
+SELECT t.feed, t.trip_id, t.route_id, upper(t.feed) || r.route_short_name AS route, t.direction_id, s.start_sec, CAST((s.start_sec // 3600) % 24 AS INT) AS start_hour,
+  upper(regexp_replace(replace(upper(t.feed) || r.route_short_name, '-SBS', ''), '[^A-Za-z0-9]', '', 'g')) AS route_norm
+FROM trips2 t JOIN routes r ON t.route_id = r.route_id
+JOIN (SELECT feed, trip_id, min(sched_sec) AS start_sec FROM stop_times2 GROUP BY 1, 2) s ON s.trip_id = t.trip_id AND s.feed = t.feed
+WHERE t.service_id ILIKE '%weekday%' AND t.service_id NOT ILIKE '%SDon%'""")
+
+
 def stops(spark, sf):
     s = table(spark, sf, "supplier")
     k = F.col("s_suppkey")

@@ -21,22 +21,39 @@ SEQ_CHUNK = 600
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
 
+def by_feed(keys: list[str], *tables: DataFrame) -> list[str]:
+    """``keys``, with ``feed`` before them where all tables tell feeds apart: ids repeat between feeds."""
+    return ["feed", *keys] if all("feed" in t.columns for t in tables) else list(keys)
+
+
+def of_trips(st: DataFrame, trips: DataFrame, *cols: str) -> DataFrame:
+    """Stop times with ``cols`` of their trip."""
+    keys = by_feed(["trip_id"], st, trips)
+    return st.join(trips.select(*keys, *[c for c in cols if c not in keys]), keys)
+
+
 def typed_stop_times(st: DataFrame) -> DataFrame:
     return st.select(
-        "trip_id", "stop_id", F.col("stop_sequence").try_cast("long").alias("stop_seq"),
+        *by_feed(["trip_id", "stop_id"], st), F.col("stop_sequence").try_cast("long").alias("stop_seq"),
         clock.gtfs_seconds(F.col("arrival_time")).alias("sched_arr_sec"),
         clock.gtfs_seconds(F.col("departure_time")).alias("sched_dep_sec"),
     )
 
 
+def least_row(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the least by its other columns, so repeats leave the same row on every run."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*[c if c in keys else F.col(f"__r.{c}") for c in df.columns])
+
+
 def gtfs_index(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Typed projections of the text tables that later stages share."""
     out = {
-        "trip_meta": raw["trips"].select(
+        "trip_meta": least_row(raw["trips"].select(
             "feed", "trip_id", "route_id", F.col("direction_id").try_cast("int").alias("direction_id"), "service_id", "shape_id"
-        ).dropDuplicates(["feed", "trip_id"]),
+        ), ["feed", "trip_id"]),
         "stop_times": typed_stop_times(raw["stop_times"]),
-        "routes": raw["routes"].dropDuplicates(["feed", "route_id"]),
+        "routes": least_row(raw["routes"], ["feed", "route_id"]),
         "calendar": raw["calendar"],
         "calendar_dates": raw["calendar_dates"],
     }
@@ -100,10 +117,10 @@ def weekday_trips(trips: DataFrame, routes: DataFrame, stop_times: DataFrame) ->
     """Weekday trips with route name, first departure second and its start hour (floored)."""
     first = (
         stop_times.where(F.col("departure_time").isNotNull() & (F.col("departure_time") != ""))
-        .groupBy("trip_id").agg(F.min(clock.gtfs_seconds(F.col("departure_time"))).alias("start_sec"))
+        .groupBy(*by_feed(["trip_id"], stop_times)).agg(F.min(clock.gtfs_seconds(F.col("departure_time"))).alias("start_sec"))
     )
     r = routes.select("feed", "route_id", F.col("route_short_name").alias("route"))
-    t = trips.join(weekday_services(trips), ["feed", "service_id"]).join(r, ["feed", "route_id"]).join(first, "trip_id")
+    t = trips.join(weekday_services(trips), ["feed", "service_id"]).join(r, ["feed", "route_id"]).join(first, by_feed(["trip_id"], first))
     return t.select(
         "feed", "trip_id", "route_id", "route", route_norm(F.col("route")).alias("route_norm"), "direction_id", "start_sec",
         F.pmod(F.floor(F.col("start_sec") / 3600), F.lit(24)).cast("int").alias("start_hour"),
@@ -129,9 +146,12 @@ def scheduled_headway(wk: DataFrame) -> DataFrame:
 
 
 def stop_service(stop_times: DataFrame, wk: DataFrame, stops: DataFrame) -> DataFrame:
-    per = stop_times.join(wk.select("trip_id", "route"), "trip_id").groupBy("stop_id", "route").agg(F.count(F.lit(1)).alias("n"))
-    g = per.groupBy("stop_id").agg(F.sum("n").alias("weekday_arrivals"), F.count(F.lit(1)).alias("n_routes"))
-    return g.join(stops.select("stop_id", "stop_name"), "stop_id", "left")
+    """Weekday arrivals and routes per stop (per feed and stop where the stop times tell feeds apart)."""
+    keys = by_feed(["stop_id"], stop_times)
+    per = of_trips(stop_times, wk, "route").groupBy(*keys, "route").agg(F.count(F.lit(1)).alias("n"))
+    g = per.groupBy(*keys).agg(F.sum("n").alias("weekday_arrivals"), F.count(F.lit(1)).alias("n_routes"))
+    named = by_feed(["stop_id"], stop_times, stops)
+    return g.join(stops.select(*named, "stop_name"), named, "left")
 
 
 def demand_vs_supply(wk: DataFrame, demand: DataFrame, min_trips: int = 20) -> DataFrame:
@@ -154,13 +174,14 @@ def stop_windows(stop_times: DataFrame, trips: DataFrame, chosen: DataFrame) ->
     A trip is first folded to one row per stop with its window flags, so the
     distinct count becomes a plain sum.
     """
-    t = trips.join(chosen.select("feed", "route_id", "service_id"), ["feed", "route_id", "service_id"]).select("trip_id")
+    t = trips.join(chosen.select("feed", "route_id", "service_id"), ["feed", "route_id", "service_id"])
     hr = F.pmod(F.floor(clock.gtfs_seconds(F.col("departure_time")) / 3600), F.lit(24))
     spans = {"trips_am": (7, 9), "trips_midday": (10, 15), "trips_eve": (19, 21), "trips_daytime": (5, 21)}
-    ev = stop_times.join(t, "trip_id").groupBy("stop_id", "trip_id").agg(
+    keys = by_feed(["stop_id"], stop_times)
+    ev = of_trips(stop_times, t).groupBy(*keys, "trip_id").agg(
         *[F.max(F.when(hr.between(a, b), 1).otherwise(0)).alias(c) for c, (a, b) in spans.items()]
     )
-    g = ev.groupBy("stop_id").agg(*[F.sum(c).alias(c) for c in spans])
+    g = ev.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in spans])
     per_hour = {"tph_am": ("trips_am", 3), "tph_midday": ("trips_midday", 6), "tph_eve": ("trips_eve", 3)}
     return g.withColumns({k: F.round(F.col(c) / n, 2) for k, (c, n) in per_hour.items()})
 
@@ -176,7 +197,7 @@ def frequent_stops(stop_times: DataFrame, min_trips: int = 8, lo: str = "07:00:0
     name = F.lower("trip_id")
     weekend = name.contains("saturday") | name.contains("sunday") | name.contains("weekend")
     w = stop_times.where((F.col("departure_time") >= lo) & (F.col("departure_time") < hi) & ~weekend)
-    return w.groupBy("stop_id").agg(F.count(F.lit(1)).alias("am_trips")).where(F.col("am_trips") >= min_trips)
+    return w.groupBy(*by_feed(["stop_id"], w)).agg(F.count(F.lit(1)).alias("am_trips")).where(F.col("am_trips") >= min_trips)
 
 
 # ------------------------------------------------------------------ schedule gaps
@@ -196,9 +217,9 @@ def scheduled_headway_cells(st: DataFrame, trips: DataFrame, services: DataFrame
     sets = services.groupBy("day").agg(F.array_sort(F.collect_set("service_id")).alias("members"))
     sets = sets.withColumn("set_id", F.sha1(F.to_json("members")))
     members = sets.groupBy("set_id").agg(F.first("members").alias("members")).select("set_id", F.explode("members").alias("service_id"))
-    t = trips.select("trip_id", "route_id", "direction_id", "service_id").join(members, "service_id")
+    t = trips.join(members, "service_id")
     keys = ["set_id", "route_id", "direction_id", "stop_id"]
-    s = st.join(t, "trip_id").where(F.col("sched_arr_sec").isNotNull())
+    s = of_trips(st, t, "set_id", "route_id", "direction_id").where(F.col("sched_arr_sec").isNotNull())
     g = _gaps(s, keys, "sched_arr_sec").where((F.col("gap") > 0) & (F.col("gap") <= MAX_HEADWAY_S))
     hour = F.pmod(F.floor(F.col("sched_arr_sec") / 3600), F.lit(24)).cast("int")
     cells = g.groupBy(*keys, hour.alias("local_hour")).agg(
@@ -215,7 +236,7 @@ def trip_periods(trips: DataFrame, calendar: DataFrame, dates: DataFrame) -> Dat
 
 def trunk_stop(st: DataFrame, trips: DataFrame) -> DataFrame:
     """The stop most visited by a route's trips; ties by stop id."""
-    v = st.join(trips.select("trip_id", "route_id"), "trip_id").groupBy("route_id", "stop_id").agg(F.count(F.lit(1)).alias("visits"))
+    v = of_trips(st, trips, "route_id").groupBy("route_id", "stop_id").agg(F.count(F.lit(1)).alias("visits"))
     return argmax(v, ["route_id"], [-F.col("visits"), F.col("stop_id")], ["stop_id", "visits"])
 
 
@@ -227,9 +248,8 @@ def argmax(df: DataFrame, keys: list[str], order: list[Column], take: list[str])
 
 def trunk_headways(st: DataFrame, trips: DataFrame, min_arrivals: int = 3) -> DataFrame:
     """Median gap in minutes at the trunk stop per route x period x window x direction."""
-    t = trips.select("trip_id", "route_id", "service_period", "direction_id")
     trunk = trunk_stop(st, trips).select("route_id", "stop_id")
-    a = st.join(t, "trip_id").join(trunk, ["route_id", "stop_id"])
+    a = of_trips(st, trips, "route_id", "service_period", "direction_id").join(trunk, ["route_id", "stop_id"])
     a = a.withColumn("tod_window", clock.tod_window(F.col("sched_sec"))).where(F.col("tod_window").isNotNull())
     keys = ["route_id", "service_period", "tod_window", "direction_id"]
     g = _gaps(a, keys, "sched_sec").groupBy(*keys).agg(
@@ -240,7 +260,7 @@ def trunk_headways(st: DataFrame, trips: DataFrame, min_arrivals: int = 3) -> Da
 
 
 def service_spans(st: DataFrame, trips: DataFrame) -> DataFrame:
-    return st.join(trips.select("trip_id", "route_id", "service_period"), "trip_id").groupBy("route_id", "service_period").agg(
+    return of_trips(st, trips, "route_id", "service_period").groupBy("route_id", "service_period").agg(
         F.min("sched_sec").alias("first_sec"), F.max("sched_sec").alias("last_sec")
     )
 
@@ -284,9 +304,10 @@ def station_catalog(stops: DataFrame, trips: DataFrame, st: DataFrame) -> DataFr
 
 def canonical_predecessor(st: DataFrame, trips: DataFrame) -> DataFrame:
     """Most common previous stop per (route, stop); a terminal takes its next stop."""
-    s = st.join(trips.select("trip_id", "route_id"), "trip_id").select("trip_id", "route_id", "stop_id", "stop_seq")
+    keys = by_feed(["trip_id"], st, trips)
+    s = of_trips(st, trips, "route_id").select(*keys, "route_id", "stop_id", "stop_seq")
     chunk = F.floor(F.col("stop_seq") / SEQ_CHUNK)
-    s = with_neighbour(s, ["trip_id"], ["stop_seq"], chunk, {"prev_stop": "stop_id"}, {"next_stop": "stop_id"})
+    s = with_neighbour(s, keys, ["stop_seq"], chunk, {"prev_stop": "stop_id"}, {"next_stop": "stop_id"})
     inner = F.col("prev_stop").isNotNull()
     votes = s.where(inner | F.col("next_stop").isNotNull()).groupBy(
         "route_id", "stop_id", inner.alias("inner"), F.coalesce("prev_stop", "next_stop").alias("pred")
@@ -296,7 +317,7 @@ def canonical_predecessor(st: DataFrame, trips: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ trips in time
 def trip_spans(st: DataFrame) -> DataFrame:
-    return st.groupBy("trip_id").agg(F.min("sched_arr_sec").alias("first_sec"), F.max("sched_arr_sec").alias("last_sec"))
+    return st.groupBy(*by_feed(["trip_id"], st)).agg(F.min("sched_arr_sec").alias("first_sec"), F.max("sched_arr_sec").alias("last_sec"))
 
 
 def active_in_bin(spans: DataFrame, step: int = clock.BIN_S, keys: tuple[str, ...] = ()) -> DataFrame:
