@@ -105,7 +105,7 @@ query("src15_archive_sink", "SELECT event_id, strftime(make_timestamp(poll_ts *
 
 def stored(s, d):
     a, b = scratch_path(s, "t_rides"), scratch_path(s, "t_stops")
-    I.rides(s, d).withColumn("year", F.year("transit_timestamp")).repartition("year").write.partitionBy("year").parquet(a)
+    I.rides(s, d).withColumn("year", F.year("transit_timestamp")).hint("rebalance", "year").write.partitionBy("year").parquet(a)
     I.stops(s, d).write.parquet(b)
     return {"kb_rides": ("giant", a), "kb_stops": ("table", b)}
 
@@ -150,7 +150,7 @@ def doctor(s, d):
     cov = H.join_coverage(I.table(s, d, "orders"), I.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select(F.lit("orders->customer").alias("name"), "rows", "matched")
     from kerbline.operators.spatial import valid_share
 
-    val = valid_share(SP.block_rings(s, d), 0.5).select(F.lit("blocks").alias("name"), "sampled", "invalid")
+    val = valid_share(SP.block_rings(s, d), 0.5, "block_id").select(F.lit("blocks").alias("name"), "sampled", "invalid")
     return L.doctor(materialize(counts, "counts"), crs, cov, val)
 
 

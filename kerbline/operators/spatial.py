@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import planar as P
 from kerbline.functions.overlap import disc, overlap_area, stadium
 from kerbline.operators.observatory import shape_length
-from kerbline.plans.proximity import box_join, cells_of_box, point_pairs_within, small_enough
+from kerbline.plans.proximity import box_join, cells_of_box, point_pairs_within
 from kerbline.plans.ranks import exact_percentiles
 from kerbline.session import materialize
 
@@ -122,28 +122,27 @@ def near_segment_count(segs: DataFrame, pts: DataFrame, d: float, key: str, size
 def nearest(points: DataFrame, sites: DataFrame, key: str, x: str, y: str, start: float = 1000.0) -> DataFrame:
     """Nearest site of each point; equal distances go to the smaller site id.
 
-    A small site list (checked) is kept as one array next to each point.  Otherwise
-    the search ring doubles: sites found within the ring are final, the rest go on.
+    The search ring doubles: points whose nearest site lies within the ring are final, the rest go on, whatever the
+    number of sites.  Sites without finite coordinates are nobody's nearest; points without, and all points
+    if there is no site, come back with a null site and distance.
     """
-    if small_enough(sites):
-        lst = sites.agg(F.collect_list(F.struct("site_id", "sx", "sy")).alias("__s"))
-        near = F.array_min(F.transform("__s", lambda s: F.struct(F.hypot(F.col(x) - s.sx, F.col(y) - s.sy).alias("dist_ft"), s.site_id.alias("site_id"))))
-        return points.crossJoin(F.broadcast(lst)).select(*points.columns, near.alias("__n")).select(*points.columns, "__n.site_id", "__n.dist_ft")
-    return nearest_by_rings(points, sites, key, x, y, start)
-
-
-def nearest_by_rings(points: DataFrame, sites: DataFrame, key: str, x: str, y: str, start: float) -> DataFrame:
-    left, done, r = points, None, start
-    site_cols = sites.select("site_id", "sx", "sy").dropDuplicates(["sx", "sy", "site_id"])
-    one = site_cols.groupBy("sx", "sy").agg(F.min("site_id").alias("site_id"))
+    def finite(c):
+        v = F.col(c).cast("double")
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+    one = sites.where(finite("sx") & finite("sy")).groupBy("sx", "sy").agg(F.min("site_id").alias("site_id"))
+    kind = dict(sites.dtypes)["site_id"]
+    none = {"site_id": F.lit(None).cast(kind), "dist_ft": F.lit(None).cast("double")}
+    placed = F.coalesce(finite(x) & finite(y), F.lit(False))
     if one.isEmpty():
-        return points.withColumns({"site_id": F.lit(None).cast("string"), "dist_ft": F.lit(None).cast("double")})
+        return points.withColumns(none)
+    left, done, r = points.where(placed), points.where(~placed).withColumns(none), start
     while True:
-        pairs = point_pairs_within(left, one, x, y, "sx", "sy", r, dist="dist_ft")
-        found = pairs.groupBy(key).agg(F.min(F.struct("dist_ft", "site_id")).alias("b")).select(key, "b.site_id", "b.dist_ft")
-        found = materialize(left.join(found, key), "nearest")
-        done = found if done is None else done.unionByName(found)
-        left = materialize(left.join(found.select(key), key, "left_anti"), "nearest")
+        pairs = point_pairs_within(left.select(key, x, y).distinct(), one, x, y, "sx", "sy", r, dist="dist_ft")
+        best = pairs.groupBy(key, x, y).agg(F.min(F.struct("dist_ft", "site_id")).alias("b")).select(key, x, y, "b.site_id", "b.dist_ft")
+        tried = materialize(left.join(best, [key, x, y], "left").select(*points.columns, "site_id", "dist_ft"), "nearest")
+        done = done.unionByName(tried.where("dist_ft is not null"))
+        left = tried.where("dist_ft is null").select(*points.columns)
         if left.isEmpty():
             return done
         r *= 2
@@ -279,10 +278,14 @@ def width_summary(segs: DataFrame, area: str, value: str) -> DataFrame:
     return per.unionByName(exact_percentiles(segs, [], value, probs).withColumn(area, F.lit("Citywide")))
 
 
-def valid_share(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Share of sampled polygons whose rings are closed, have four points and an area."""
+def valid_share(df: DataFrame, fraction: float, key: str, seed: int = 42) -> DataFrame:
+    """Share of sampled polygons whose rings are closed, have four points and an area.
+
+    The sample is by a hash of the key, so it is the same however the rows are laid out.
+    """
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     ok = F.forall("rings", lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)) & (F.abs(P.ring_signed_area(r)) > 0))
-    return df.sample(fraction, seed).agg(F.count(F.lit(1)).alias("sampled"), F.count_if(~ok).alias("invalid"))
+    return df.where(draw < int(fraction * 2**32)).agg(F.count(F.lit(1)).alias("sampled"), F.count_if(~ok).alias("invalid"))
 
 
 def shape_lines(points: DataFrame) -> DataFrame:

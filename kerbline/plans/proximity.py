@@ -7,15 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Longest list that is ever carried next to each row (checked by a bounded count).
-LIST_ROWS = 256
-
-
-def small_enough(df: DataFrame, rows: int = LIST_ROWS) -> bool:
-    """True when the table has at most ``rows`` rows; reads no more than rows + 1."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def cell(x: Column, y: Column, size: float) -> Column:
     """Grid cell of a point as a struct of two integers."""
     return F.struct(
