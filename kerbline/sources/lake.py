@@ -32,16 +32,6 @@ ALERT_SCHEMA = T.StructType([
 
 
 # ------------------------------------------------------------------ names and provenance
-def normalize_names(df: DataFrame) -> DataFrame:
-    """Column names in lower snake case."""
-    import re
-
-    def snake(c: str) -> str:
-        return re.sub(r"_+", "_", re.sub(r"[^0-9a-z]+", "_", c.strip().lower())).strip("_")
-
-    return df.toDF(*[snake(c) for c in df.columns])
-
-
 def with_provenance(df: DataFrame, meta: Mapping[str, str]) -> DataFrame:
     """Source id, retrieval time and vintage on every row; the id ends before ' / '."""
     source = meta.get("data_id") or meta.get("dataset_id") or meta.get("dataset_id_or_url") or ""
@@ -66,10 +56,11 @@ def ingest_csv(spark: SparkSession, path: str, schema, extra: Mapping[str, Colum
 
 
 def ingest_partitioned(spark: SparkSession, sources: Sequence[tuple[str, Mapping[str, str]]], schema, year: Column, out: str, only_year: int | None = None) -> DataFrame:
-    """Append several CSV sources into one table partitioned by year; a source's own ``year`` column is replaced.
+    """Write several CSV sources into one table partitioned by year; a source's own ``year`` column is replaced.
 
-    Rows are grouped by year before writing, with several tasks per year, so a year
-    becomes a few large files however its rows are spread over the sources.
+    Rows are rebalanced by year before writing: a year becomes files of the advisory size, however its rows are spread
+    over the sources, and a large year is split over as many tasks as it needs.  The years written replace what the
+    table had of them, so a rerun changes nothing; other years stay.
     """
     parts = []
     for path, meta in sources:
@@ -77,8 +68,8 @@ def ingest_partitioned(spark: SparkSession, sources: Sequence[tuple[str, Mapping
         df = df.withColumn("__y", year.cast("int")).drop("year").withColumnRenamed("__y", "year")
         parts.append(with_provenance(df if only_year is None else df.where(F.col("year") == only_year), meta))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    spread = F.pmod(F.xxhash64(*[c for c in both.columns if c != "year"]), F.lit(8))
-    both.repartition("year", spread).write.mode("append").partitionBy("year").option("compression", "zstd").parquet(out)
+    written = both.hint("rebalance", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    written.partitionBy("year").option("compression", "zstd").parquet(out)
     return spark.read.parquet(out)
 
 
