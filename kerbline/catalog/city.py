@@ -247,9 +247,11 @@ def contacts(s, d):
         F.when(k % 2 == 0, "Main St").alias("streetname"), F.lit("10001").alias("zip"))
 
 
-PICK = f"""SELECT registrationid, owner_name, owner_name || '|' || addr AS owner_key FROM (SELECT *, row_number() OVER (PARTITION BY registrationid ORDER BY owner_name IS NULL, owner_name, addr) AS rn FROM (
-  SELECT registrationid, nullif(upper(trim(coalesce(nullif(trim(corp), ''), trim(coalesce(fn, '') || ' ' || coalesce(ln, ''))))), '') AS owner_name, upper(trim(hn || ' ' || coalesce(sn, '') || ' ' || '10001')) AS addr FROM ({CONT})
-  WHERE type IN ('HeadOfficer', 'IndividualOwner', 'CorporateOwner'))) WHERE rn = 1 AND owner_name IS NOT NULL"""
+PICK = f"""
+WITH asked AS (SELECT * FROM ({CONT}) WHERE list_contains(['HeadOfficer', 'IndividualOwner', 'CorporateOwner'], type)),
+named AS (SELECT registrationid, trim(coalesce(corp, '')) AS company, trim(concat_ws(' ', coalesce(fn, ''), coalesce(ln, ''))) AS person, concat(hn, ' ', coalesce(sn, ''), ' 10001') AS place FROM asked),
+tidy AS (SELECT registrationid, upper(CASE WHEN company <> '' THEN company ELSE person END) AS owner_name, upper(place) AS place FROM named)
+SELECT registrationid, min(owner_name) AS owner_name, min(owner_name) || '|' || arg_min(place, (owner_name, place)) AS owner_key FROM tidy WHERE owner_name <> '' GROUP BY registrationid"""
 query("win05_pick_contact", PICK)(lambda s, d: B.pick_contact(contacts(s, d)))
 
 

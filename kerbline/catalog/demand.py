@@ -11,16 +11,11 @@ from kerbline.operators import demand as D
 from kerbline.operators import speed as S
 
 # DuckDB text of the route -> area rule.
-BOROUGH = """CASE WHEN starts_with(upper({c}), 'SIM') THEN 'Staten Island' WHEN starts_with(upper({c}), 'BXM') THEN 'Bronx'
- WHEN starts_with(upper({c}), 'QM') THEN 'Queens' WHEN starts_with(upper({c}), 'BM') THEN 'Brooklyn'
- WHEN starts_with(upper({c}), 'BX') THEN 'Bronx'
- WHEN regexp_matches(upper({c}), '^[MX][0-9]') THEN 'Manhattan' WHEN regexp_matches(upper({c}), '^B[0-9]') THEN 'Brooklyn'
- WHEN regexp_matches(upper({c}), '^Q[0-9]') THEN 'Queens' WHEN regexp_matches(upper({c}), '^S[0-9]') THEN 'Staten Island'
- ELSE 'Other/MTA Bus Co.' END"""
+BOROUGH = " ".join(["CASE", *[f"WHEN regexp_matches(upper({{c}}), '{p}') THEN '{area}'" for p, area in codes.AREA_BY_PREFIX], f"ELSE '{codes.AREA_OTHER}' END"])
 
 
 def bor(c):
-    return BOROUGH.format(c=c)
+    return BOROUGH.replace("{c}", c)
 
 
 TOTALS = f"""SELECT bus_route AS route, {bor('bus_route')} AS borough, round(sum(ridership), 2) AS total_boardings,

@@ -33,13 +33,14 @@ def stats(s, d):
 
 
 query("agg62_route_stats", STATS, "hcells")(stats)
-SERIES = """SELECT route_id, local_date, local_hour, median(median_headway_s) AS median_headway_s, median(sched_median_headway_s) AS sched_median_headway_s, round(avg(bunching_index), 4) AS bunching_index,
+ALL_DAYS = """SELECT route_id, local_date, local_hour, median(median_headway_s) AS median_headway_s, median(sched_median_headway_s) AS sched_median_headway_s, round(avg(bunching_index), 4) AS bunching_index,
   CAST(sum(n_headways) AS BIGINT) AS n_headways, count(DISTINCT stop_id) AS n_stops, median(median_headway_s) - median(sched_median_headway_s) AS headway_deviation_s
-FROM hcells WHERE local_date BETWEEN '2024-01-01' AND '2024-01-03' GROUP BY 1, 2, 3"""
+FROM hcells {days} GROUP BY 1, 2, 3"""
+SERIES = ALL_DAYS.format(days="WHERE local_date BETWEEN '2024-01-01' AND '2024-01-03'")
 
 
-def series(s, d):
-    return O.headway_series(cells(s, d), "2024-01-01", "2024-01-03").withColumn("bunching_index", r("bunching_index"))
+def series(s, d, first="2024-01-01", last="2024-01-03"):
+    return O.headway_series(cells(s, d), first, last).withColumn("bunching_index", r("bunching_index"))
 
 
 query("agg63_headway_series", SERIES, "hcells")(series)
@@ -67,8 +68,8 @@ query("agg66_most_improved", f"""WITH ds AS (SELECT local_date, row_number() OVE
 m AS (SELECT route_id, avg(abs(headway_deviation_s)) FILTER (i <= nd // 2) AS e, avg(abs(headway_deviation_s)) FILTER (i > nd // 2) AS l FROM hcells JOIN ds USING (local_date) WHERE nd >= 4 GROUP BY 1)
 SELECT route_id, round(e, 4) AS early_abs_dev_s, round(l, 4) AS late_abs_dev_s, round(e - l, 4) AS improvement_s FROM m WHERE e - l IS NOT NULL AND route_id IN (SELECT route_id FROM ({GATED}) WHERE q)
 ORDER BY e - l DESC, route_id LIMIT 15""", "hcells")(lambda s, d: O.most_improved(cells(s, d)).withColumns({c: r(c) for c in ("early_abs_dev_s", "late_abs_dev_s", "improvement_s")}))
-query("agg77_hour_profile", f"SELECT route_id, local_hour, round(avg(median_headway_s) / 60, 4) AS observed_min, round(avg(sched_median_headway_s) / 60, 4) AS scheduled_min FROM ({SERIES}) GROUP BY 1, 2", "hcells")(
-    lambda s, d: O.hour_profile(series(s, d)).withColumns({"observed_min": r("observed_min"), "scheduled_min": r("scheduled_min")}))
+query("agg77_hour_profile", f"SELECT route_id, local_hour, round(avg(median_headway_s) / 60, 4) AS observed_min, round(avg(sched_median_headway_s) / 60, 4) AS scheduled_min FROM ({ALL_DAYS.format(days='')}) GROUP BY 1, 2", "hcells")(
+    lambda s, d: O.hour_profile(series(s, d, "0001-01-01", "9999-12-31")).withColumns({"observed_min": r("observed_min"), "scheduled_min": r("scheduled_min")}))
 # route speeds of the segment table stand in for a metric with many routes
 RS = f"SELECT route_id, sum(speed * trips) / sum(trips) AS v FROM segment_speeds WHERE {DQ.PW} GROUP BY 1"
 query("agg78_metric_distribution", f"""WITH v AS (SELECT round(v, 6) AS v FROM ({RS})), s AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n_routes FROM v)

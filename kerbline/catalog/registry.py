@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.catalog.inputs import with_ctes
+from kerbline.functions import clock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,24 @@ def r(col, digits: int = 4):
     """Rounded double."""
     c = F.col(col) if isinstance(col, str) else col
     return F.round(c.cast("double"), digits)
+
+
+# ---------------------------------------------------------------- SQL texts of the service clock's tables
+def by_hour_sql(hour: str, values: dict[int, object]) -> str:
+    """The value of an hour, from a table of the 24 hours; absent hours give NULL."""
+    table = ", ".join(f"'{values[h]}'" if isinstance(values.get(h), str) else str(values.get(h, "NULL")) for h in range(24))
+    return f"list_extract([{table}], CAST({hour} AS INT) + 1)"
+
+
+def period_sql(hour: str) -> str:
+    names = {h: name for name, lo, hi, _ in clock.PERIODS for h in range(lo, hi + 1)}
+    return by_hour_sql(hour, {h: names.get(h, clock.NIGHT[0]) for h in range(24)})
+
+
+def period_minutes_sql(hour: str) -> str:
+    spans = {h: m for _, lo, hi, m in clock.PERIODS for h in range(lo, hi + 1)}
+    return by_hour_sql(hour, {h: spans.get(h, clock.NIGHT[1]) for h in range(24)})
+
+
+def window_sql(hour: str) -> str:
+    return by_hour_sql(hour, {h: name for name, lo, hi in clock.TOD_WINDOWS for h in range(lo // 3600, hi // 3600)})
