@@ -102,7 +102,7 @@ def main(argv):
     pattern = re.compile(argv[2]) if len(argv) > 2 else None
     import __spark_entry__ as entry
 
-    spark, con = make_spark(), duck(sf)
+    spark, con = make_spark(*argv[3:4]), duck(sf)
     spark.sparkContext.setLogLevel("ERROR")
     qs, sqls = entry.queries(), entry.oracle_sql()
     bad = []
