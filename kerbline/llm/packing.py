@@ -178,13 +178,13 @@ def _best_fit(left: dict[int, int], size: int, runs: list[tuple[tuple[int, ...],
 
 
 class _Ids(dict):
-    """Token ids by white-space separated word; a batch's new words are encoded in one call.
+    """Token ids by white-space separated word; a chunk's new words are encoded in one call.
 
-    The vocabulary's pieces never cross white space, so a text's ids are those of its words in a row.
-    Emptied when it holds ``MOST`` words, to bound its memory.
+    The vocabulary's pieces never cross white space, so a text's ids are those of its words in a row.  Of words, and of the
+    letters in them, ``MOST`` each are kept for good, which bounds the memory; the rest are kept for a chunk.
     """
 
-    MOST = 400_000
+    MOST = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -196,40 +196,50 @@ class _Ids(dict):
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
         self.core: dict[str, tuple[int, ...]] = {}
+        self.rare: dict[bytes, tuple[int, ...]] = {}
 
-    def one(self, word: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        return self.rare[word]
+
+    def encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    @staticmethod
+    def split(text: str) -> tuple[str, str] | None:
+        """Letters in lower case and the one full stop or comma after them: pieces of their own, and letters that are often
+        known.  Only for letters below U+0250, whose lower case and normal form are the same everywhere; else None."""
+        core, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+        if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+            return core.lower(), mark
+        return None
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > self.MOST:
-            self.clear()
-        if len(self.core) > self.MOST:
-            self.core.clear()
-        new, parts = {}, {}
-        for word in words - self.keys():
+        """Makes the ids of all ``words`` known until the next call."""
+        parts, fresh, self.rare = {}, {}, {}
+        found = self if len(self) < self.MOST else self.rare
+        for word in words.difference(self):
             text = word.decode("utf-8", "replace")
-            # letters with one full stop or comma after them are two pieces; the letters are often known
-            core, mark = (text[:-1], text[-1]) if len(text) > 1 and text[-1] in ".," and text[-2].isascii() and text[-2].isalnum() else (text, "")
-            if core.isascii() and core.isalpha():
-                core = core.lower()
-                parts[word] = (core, mark)
-                if core not in self.core:
-                    new[core] = None
-                if mark and mark not in self.core:
-                    self.core[mark] = self.one(mark)
+            if halves := self.split(text):
+                parts[word] = halves
+                if halves[0] not in self.core:
+                    fresh[halves[0]] = ()
             else:
-                self[word] = self.one(text)
-        names = list(new)
-        for at in range(0, len(names), 2048):
-            some = names[at : at + 2048]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(self.last[ids]) + 1
+                found[word] = tuple(self.encoded(text))
+        names = list(fresh)
+        for at in range(0, len(names), 4096):
+            some = names[at : at + 4096]
+            ids = self.encoded(" ".join(some))
+            ends = (np.flatnonzero(self.last[np.array(ids)]) + 1).tolist()
             if len(ends) == len(some):
-                self.core.update(zip(some, (tuple(x.tolist()) for x in np.split(ids, ends[:-1])), strict=True))
+                fresh.update((name, tuple(ids[i:j])) for name, i, j in zip(some, [0, *ends], ends, strict=False))
             else:
-                self.core.update((x, self.one(x)) for x in some)
+                fresh.update((name, tuple(self.encoded(name))) for name in some)
+        if len(self.core) < self.MOST:
+            self.core.update(fresh)
+        marks = {"": (), **{m: tuple(self.encoded(m)) for m in ".,"}}
         for word, (core, mark) in parts.items():
-            self[word] = self.core[core] + self.core[mark] if mark else self.core[core]
+            ids = fresh.get(core) or self.core[core]
+            found[word] = ids + marks[mark] if mark else ids
 
 
 _CACHE: dict[str, _Ids] = {}
@@ -259,7 +269,7 @@ def _pieces(path: str, size: int):
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, 1 << 22):
                 out = []
                 for doc_id, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), token_ids(texts[lo:hi], path), strict=True):
                     raw = np.frombuffer(ids, np.uint32).astype("<u4")
