@@ -22,7 +22,7 @@ MISSES = 6
 #: Half width of the first windows, in standard deviations of the projections, and the factor of each widening.
 WIDTH, WIDER = 1.5, 1.1
 #: Windows widen until so many times the wanted neighbours, and this share of the block, are verified.
-TIMES, SHARE = 2, 0.05
+TIMES, SHARE = 2, 0.08
 BLOCK, QUERIES = 8192, 1024
 SEED = 11
 FOUND = "query_id long, vec_id long, score double"
