@@ -6,9 +6,10 @@
 3. First links: in a bucket every member is compared with one centre, the member that shares most
    buckets with others.  Verified links are joined by union-find.
 4. Second links: buckets that still hold several components are finished.  Small ones list their pairs across
-   components.  In large ones, pieces of bounded size meet in tasks that compare signatures as arrays and
-   give out only pairs that can still reach the threshold: by estimate (six standard deviations of
-   slack), by set sizes, and by the shingles that nobody else in any open large bucket has.
+   components.  In large ones, pieces of bounded size meet in tasks that compare arrays and give out only
+   pairs that can still reach the threshold: by set sizes, by the shingles that nobody else in any open large bucket
+   has, by the signatures' estimate (six standard deviations of slack), and by bitmaps of the sets, which bound
+   what two sets can share.
 5. Every pair given out is verified on the full shingle sets.
 
 A pair at the threshold shares no bucket with probability (1 - t^rows)^bands: 4e-8 for 0.8, 3e-11 for 0.85.
@@ -35,7 +36,9 @@ SLOTS = BANDS * ROWS
 SMALL, PIECE = 16, 2048
 #: Sizes of the filters: of documents that share a bucket, of shingles that several documents of large buckets have.
 ID_BITS, ITEM_BITS = 1 << 25, 1 << 26
-SIGNED = "id long, n long, lo long, hi long, bands array<long>, sign binary"
+#: Bits of a set's bitmap.
+SET_BITS = 2048
+SIGNED = "id long, n long, lo long, hi long, buckets array<long>"
 
 
 def super_minhash(element: np.ndarray, row: np.ndarray, rows: int, slots: int = SLOTS) -> np.ndarray:
@@ -111,17 +114,16 @@ def _signatures(k: int):
                 key = np.zeros((hi - lo, BANDS), np.uint64)
                 for r in range(ROWS):
                     key = mix(key ^ mix(sign[:, r::ROWS] + U(r + 1)))
-                key += np.arange(BANDS, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
-                short = (mix(sign) >> U(48)).astype(np.uint16)
+                # the low bits of a bucket tell its band
+                key = (key & U(2**64 - BANDS)) | np.arange(BANDS, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
                         pa.array(n, pa.int64()),
                         *map(pa.array, digest),
                         pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32), pa.array(key.view(np.int64).ravel())),
-                        pa.array([x.tobytes() for x in short], pa.binary()),
                     ],
-                    names=["id", "n", "lo", "hi", "bands", "sign"],
+                    names=["id", "n", "lo", "hi", "buckets"],
                 )
 
     return run
@@ -150,15 +152,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _own(shared):
-    """How many items of each row are surely in no other row."""
+def _digests(shared):
+    """Of each set: how many of its items are surely in no other, its signature in short, and its bitmap."""
 
     def run(batches):
         for batch in batches:
-            n = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
-            lone = ~has(shared.value, longs(batch))
-            own = np.bincount(np.repeat(np.arange(len(n)), n)[lone], minlength=len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.int64())], names=["id", "own"])
+            lists = batch.column(0)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            item, row = longs(batch), np.repeat(np.arange(len(n)), n)
+            own = np.bincount(row[~has(shared.value, item)], minlength=len(n))
+            sign = (mix(super_minhash(item, row, len(n))) >> U(48)).astype(np.uint16)
+            bitmap = np.zeros((len(n), SET_BITS // 8), np.uint8)
+            bit = (mix(item + U(9)) % U(SET_BITS)).astype(np.int64)
+            np.bitwise_or.at(bitmap, (row, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+            packed = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (sign, bitmap)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(own, pa.int64()), *packed], names=["id", "n", "own", "sign", "bitmap"])
 
     return run
 
@@ -166,18 +174,20 @@ def _own(shared):
 def _compare(percent: int):
     """Pieces x and y of a large bucket: pairs of different components that may reach the threshold.
 
-    ``own`` is how many shingles of a member nobody else has; they can't be shared.  A pair whose
-    earlier bands already agree is left to the first of them.
+    ``own`` is how many shingles of a member nobody else has; they can't be shared.  Every bit that one bitmap has and
+    the other lacks is an item that isn't shared.  A pair whose earlier bands already agree is left to the first
+    of them.
     """
     t = percent / 100
     least = t - 6 * math.sqrt(t * (1 - t) / SLOTS)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        band = key[1].as_py()
+        band = key[0].as_py() % BANDS
         x, y = (table.filter(pa.array(table["side"].to_numpy() == s)) for s in (0, 1))
-        same = key[2].as_py() == key[3].as_py()
+        same = key[1].as_py() == key[2].as_py()
         get = lambda side, c: side[c].to_numpy()
         signs = [np.frombuffer(b"".join(side["sign"].to_pylist()), np.uint16).reshape(-1, SLOTS) for side in (x, y)]
+        maps = [np.frombuffer(b"".join(side["bitmap"].to_pylist()), np.uint64).reshape(-1, SET_BITS // 64) for side in (x, y)]
         idx, idy, cx, cy, nx, ny = get(x, "id"), get(y, "id"), get(x, "c"), get(y, "c"), get(x, "n"), get(y, "n")
         sx, sy = nx - get(x, "own"), ny - get(y, "own")
         found = [[], []]
@@ -192,6 +202,10 @@ def _compare(percent: int):
                 at, equal = at[equal.mean(1) >= least], equal[equal.mean(1) >= least]
                 first = equal.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
                 at = at[first == band]
+                both = np.bitwise_count(maps[1][at] & maps[0][i]).sum(1, dtype=np.int64)
+                alone = [np.bitwise_count(m).sum(-1, dtype=np.int64) - both for m in (maps[0][i], maps[1][at])]
+                most = np.minimum(nx[i] - alone[0], ny[at] - alone[1])
+                at = at[100 * most >= percent * (nx[i] + ny[at] - most)]
                 found[0].append(np.full(len(at), idx[i]))
                 found[1].append(idy[at])
         a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in found)
@@ -219,18 +233,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     alike = real.groupBy("n", "lo", "hi").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     alike = materialize(alike, "alike")
     same = real.join(alike.where("copies > 1"), ["n", "lo", "hi"]).where("id <> rep").select("id", "rep")
-    one = real.select("id", "n", "lo", "hi", "bands", "sign").join(alike.select("n", "lo", "hi", "rep"), ["n", "lo", "hi"])
-    one = one.where("id = rep").dropDuplicates(["id", "lo", "hi"])
+    one = real.join(alike.select("n", "lo", "hi", F.col("rep").alias("id")), ["n", "lo", "hi", "id"])
+    one = materialize(one.groupBy("id", "n", "lo", "hi").agg(F.first("buckets").alias("buckets")), "one")
 
     # Buckets of two or more.
-    rows = one.select("id", F.posexplode("bands").alias("band", "bucket"))
-    sizes = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(rows.join(sizes, ["band", "bucket"]), "members")
+    rows = one.select("id", F.explode("buckets").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(rows.join(sizes, "bucket"), "members")
     reach = members.groupBy("id").agg(F.sum("size").alias("reach"))
     ranked = members.join(reach, "id")
-    centre = ranked.groupBy("band", "bucket").agg(F.max(F.struct("reach", (-F.col("id")).alias("minus"))).alias("top"))
-    centre = centre.select("band", "bucket", (-F.col("top.minus")).alias("centre"))
-    near = members.join(centre, ["band", "bucket"]).where("id <> centre")
+    centre = ranked.groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("id")).alias("minus"))).alias("top"))
+    centre = centre.select("bucket", (-F.col("top.minus")).alias("centre"))
+    near = members.join(centre, "bucket").where("id <> centre")
     first = materialize(near.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "first")
 
     wanted = spark.sparkContext.broadcast(bitmap_of(members.select("id"), longs, ID_BITS))
@@ -240,15 +254,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Buckets that still hold several components.
     groups = connected(links).select(F.col("node").alias("id"), F.col("component").alias("c"))
     marked = members.join(groups, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = marked.groupBy("band", "bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-    open_ = materialize(marked.join(mixed.select("band", "bucket"), ["band", "bucket"]), "open")
+    mixed = marked.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    open_ = materialize(marked.join(mixed.select("bucket"), "bucket"), "open")
     sized = one.select("id", "n")
     small = open_.where(f"size <= {SMALL}").join(sized, "id")
-    x, y = (small.select("band", "bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n")]) for s in "xy")
-    pairs = x.join(y, ["band", "bucket"]).where("id_x < id_y and c_x <> c_y")
+    x, y = (small.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n")]) for s in "xy")
+    pairs = x.join(y, "bucket").where("id_x < id_y and c_x <> c_y")
     pairs = pairs.where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
-    pairs = pairs.union(_large(open_.where(f"size > {SMALL}"), one, sets, percent))
+    pairs = pairs.union(_large(open_.where(f"size > {SMALL}"), sets, percent))
     more = pairs.distinct().join(first, ["a", "b"], "left_anti")
     links = links.union(_linked(more, sets, percent)).union(same.select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
@@ -262,20 +276,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _large(large: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _large(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs to verify in open buckets that are too large to list."""
-    ids = large.select("id").distinct()
-    items = materialize(sets.join(ids, "id").select("items", "id"), "large")
+    items = materialize(sets.join(large.select("id").distinct(), "id").select("items", "id"), "large")
     shared = items.sparkSession.sparkContext.broadcast(bitmap_of(items, longs, ITEM_BITS, twice=True))
-    own = items.mapInArrow(_own(shared), "id long, own long").groupBy("id").agg(F.min("own").alias("own"))
-    info = ids.join(one.select("id", "n", "sign"), "id").join(own, "id")
+    info = items.mapInArrow(_digests(shared), "id long, n long, own long, sign binary, bitmap binary")
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     member = large.join(info, "id").withColumn("pieces", pieces).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     # piece i meets every piece j >= i: as the left side of (i, j) and the right side of (j', i)
     spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    left = spread.where("mine <= other").select("bucket", "band", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "id", "c", "n", "own", "sign")
-    right = spread.where("other <= mine").select("bucket", "band", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "id", "c", "n", "own", "sign")
-    return left.union(right).groupBy("bucket", "band", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    rest = ("id", "c", "n", "own", "sign", "bitmap")
+    left = spread.where("mine <= other").select("bucket", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *rest)
+    right = spread.where("other <= mine").select("bucket", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), *rest)
+    return left.union(right).groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
