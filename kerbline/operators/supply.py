@@ -215,12 +215,20 @@ def scheduled_headway_cells(st: DataFrame, trips: DataFrame, services: DataFrame
     are fanned out by service set, not by day; only the cells are copied to days.
     """
     sets = services.groupBy("day").agg(F.array_sort(F.collect_set("service_id")).alias("members"))
-    sets = sets.withColumn("set_id", F.sha1(F.to_json("members")))
+    sets = sets.select("day", "members", F.xxhash64("members").alias("set_id"))
     members = sets.groupBy("set_id").agg(F.first("members").alias("members")).select("set_id", F.explode("members").alias("service_id"))
-    t = trips.join(members, "service_id")
-    keys = ["set_id", "route_id", "direction_id", "stop_id"]
-    s = of_trips(st, t, "set_id", "route_id", "direction_id").where(F.col("sched_arr_sec").isNotNull())
-    g = _gaps(s, keys, "sched_arr_sec").where((F.col("gap") > 0) & (F.col("gap") <= MAX_HEADWAY_S))
+    in_set = members.groupBy("service_id").agg(F.collect_set("set_id").alias("in_sets"))
+    # dealt by stop once, one row per arrival second with the sets it belongs to; the fan-out to sets, the gaps and the
+    # cells all stay there
+    place = ["route_id", "direction_id", "stop_id"]
+    t = trips.join(in_set, "service_id")
+    once = of_trips(st, t, "route_id", "direction_id", "in_sets").where(F.col("sched_arr_sec").isNotNull())
+    dealt = once.select(*place, "sched_arr_sec", "in_sets").repartition(*place)
+    per_second = dealt.groupBy(*place, "sched_arr_sec").agg(F.array_distinct(F.flatten(F.collect_set("in_sets"))).alias("in_sets"))
+    keys = ["set_id", *place]
+    s = per_second.select(*place, "sched_arr_sec", F.explode("in_sets").alias("set_id"))
+    before = F.lag("sched_arr_sec").over(W.partitionBy(*keys).orderBy("sched_arr_sec"))
+    g = s.withColumn("gap", F.col("sched_arr_sec") - before).where((F.col("gap") > 0) & (F.col("gap") <= MAX_HEADWAY_S))
     hour = F.pmod(F.floor(F.col("sched_arr_sec") / 3600), F.lit(24)).cast("int")
     cells = g.groupBy(*keys, hour.alias("local_hour")).agg(
         F.median("gap").alias("sched_median_headway_s"), F.count(F.lit(1)).alias("sched_n")
