@@ -78,7 +78,10 @@ def with_rank_columns(df: DataFrame, value: str, columns: dict[str, Column], key
     pos = value_positions(df, keys, value, weight).select(*keys, value, *[c.alias(k) for k, c in columns.items()])
     from kerbline.plans.series import null_safe_join
 
-    return null_safe_join(df, pos, [*keys, value])
+    # rows without a value match nothing; a draw per row spreads them over all tasks
+    spread = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))).otherwise(F.lit(0))
+    joined = null_safe_join(df.withColumn("__spread", spread), pos.withColumn("__spread", F.lit(0)), ["__spread", *keys, value])
+    return joined.drop("__spread")
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
+PART = "__part"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -81,10 +82,12 @@ def with_running(
 ) -> DataFrame:
     """Running ``sum``/``max``/``last`` (last non-null) of ``value`` along each key."""
     keys = list(keys)
-    df = df.withColumn(CHUNK, chunk)
-    w = W.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    # one struct per (key, chunk): never NULL itself, equal where its fields are equal or NULL alike, so the window, the
+    # totals and the join back all use one shuffle of the rows
+    part = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias(CHUNK))
+    w = W.partitionBy(PART).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     rows = w.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    over_chunks = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    over_chunks = W.partitionBy(*[F.col(f"{PART}.k{i}") for i in range(len(keys))]).orderBy(F.col(f"{PART}.{CHUNK}")).rowsBetween(W.unboundedPreceding, -1)
     if how == "sum":
         local, total, carry = F.sum(value).over(rows), F.sum(value), F.sum("__t").over(over_chunks)
     elif how == "max":
@@ -95,8 +98,9 @@ def with_running(
         carry = F.last("__t", ignorenulls=True).over(over_chunks)
     else:
         raise ValueError(how)
-    edge = df.groupBy(*keys, CHUNK).agg(total.alias("__t")).select(*keys, CHUNK, carry.alias("__carry"))
-    joined = null_safe_join(df.withColumn("__in", local), edge, [*keys, CHUNK])
+    inside = df.withColumn(PART, part).withColumn("__in", local)
+    edge = inside.groupBy(PART).agg(total.alias("__t")).select(F.col(PART).alias("__of"), carry.alias("__carry"))
+    joined = inside.join(edge, F.col(PART) == F.col("__of"))
     if how == "sum":
         got = F.when(
             F.col("__in").isNotNull() | F.col("__carry").isNotNull(),
@@ -106,4 +110,4 @@ def with_running(
         got = F.greatest("__in", "__carry")
     else:
         got = F.coalesce("__in", "__carry")
-    return joined.withColumn(out, got).drop("__in", "__carry", CHUNK)
+    return joined.withColumn(out, got).drop("__in", "__carry", "__of", PART)
