@@ -156,10 +156,15 @@ def doctor(s, d):
 
 # ------------------------------------------------------------------ streams
 def landed(s, d, df, label):
-    """Snapshot files in arrival order for a file stream."""
-    path = scratch_path(s, label)
-    df.repartitionByRange(4, df.columns[0]).write.parquet(path)
-    return ST.read_stream(s, path, s.read.parquet(path).schema)
+    """Snapshot files landed one after the other in the order of the first column, read as a stream of one file a batch."""
+    path, at = scratch_path(s, label), df.columns[0]
+    df = materialize(df, label)
+    cuts = df.agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0]
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = df if lo is None else df.where(F.col(at) > lo)
+        part = part if hi is None else part.where(F.col(at) <= hi)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return ST.read_stream(s, path, df.schema, files=1)
 
 
 def stream_of(s, d):

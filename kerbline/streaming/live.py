@@ -19,9 +19,9 @@ from kerbline.functions import clock
 from kerbline.session import scratch_path
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Landed snapshot files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 100) -> DataFrame:
+    """Landed snapshot files as a stream, at most ``files`` of them a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run_to_table(stream: DataFrame, label: str, partition_by: tuple[str, ...] = (), mode: str = "append") -> DataFrame:
@@ -95,22 +95,35 @@ def run_complete(stream: DataFrame, label: str) -> DataFrame:
 PASSAGE_SCHEMA = "vehicle_id string, route_id string, direction_id int, stop_id string, ts long, event_id long"
 
 
-def _passages(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows where the vehicle's stop changes; the state is its last stop and the time it was seen."""
-    last = state.get[0] if state.exists else None
-    seen = state.get[1] if state.exists else 0
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-    stops = pdf["stop_id"].tolist()
-    before = [last, *stops[:-1]]
-    changed = [a != b for a, b in zip(stops, before)]
-    state.update((stops[-1], int(max(seen, pdf["ts"].iloc[-1]))))
-    out = pdf[changed]
-    yield pd.DataFrame({
-        "vehicle_id": pd.Series([key[0]] * len(out), dtype=object), "route_id": out["route_id"].astype(object).to_numpy(), "direction_id": out["direction_id"].to_numpy(),
-        "stop_id": out["stop_id"].astype(object).to_numpy(), "ts": out["ts"].to_numpy(), "event_id": out["event_id"].to_numpy()})
-
-
-def stream_passages(pings: DataFrame) -> DataFrame:
-    """Stop passages as reports arrive: one small state row per vehicle."""
-    p = pings.select("vehicle_id", "route_id", "direction_id", "stop_id", "ts", "event_id")
-    return p.groupBy("vehicle_id").applyInPandasWithState(_passages, PASSAGE_SCHEMA, "stop string, seen long", "append", GroupStateTimeout.NoTimeout)
+def _passages(ttl: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Rows where the vehicle's stop changes; the state is its last stop and the report that named it."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, seen, event = state.get if state.exists else (None, -(2**62), -(2**62))
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
+        # a report before the last one known comes too late to tell a passage
+        pdf = pdf[(pdf["ts"] > seen) | ((pdf["ts"] == seen) & (pdf["event_id"] > event))]
+        if pdf.empty:
+            return
+        stops = pdf["stop_id"].tolist()
+        out = pdf[[a != b for a, b in zip(stops, [last, *stops[:-1]])]]
+        newest = int(pdf["ts"].iloc[-1])
+        state.update((stops[-1], newest, int(pdf["event_id"].iloc[-1])))
+        state.setTimeoutTimestamp(max(newest + ttl, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
+        yield pd.DataFrame({
+            "vehicle_id": pd.Series([key[0]] * len(out), dtype=object), "route_id": out["route_id"].astype(object).to_numpy(), "direction_id": out["direction_id"].to_numpy(),
+            "stop_id": out["stop_id"].astype(object).to_numpy(), "ts": out["ts"].to_numpy(), "event_id": out["event_id"].to_numpy()})
+
+    return run
+
+
+def stream_passages(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * clock.DAY_S) -> DataFrame:
+    """Stop passages as reports arrive: one small state row per vehicle, dropped when it is silent for ``ttl`` seconds.
+
+    Reports that come after a later one of their vehicle are left out, so no passage is told twice or taken back.
+    """
+    p = with_event_time(pings, "ts", late).select("vehicle_id", "route_id", "direction_id", "stop_id", "ts", "event_id", "event_time")
+    return p.groupBy("vehicle_id").applyInPandasWithState(
+        _passages(ttl), PASSAGE_SCHEMA, "stop string, seen long, event long", "append", GroupStateTimeout.EventTimeTimeout)
