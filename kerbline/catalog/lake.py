@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +10,7 @@ from kerbline.catalog import inputs as I
 from kerbline.catalog import service as SV
 from kerbline.catalog import spatial as SP
 from kerbline.catalog.registry import query, r
+from kerbline.functions import planar
 from kerbline.operators import headways as H
 from kerbline.session import materialize, scratch_path
 from kerbline.sources import lake as L
@@ -27,6 +29,11 @@ def ride_csv(s, d):
     return paths
 
 
+PART_TEXTS = [
+    "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 10, 0 0)), ((20 0, 30 0, 30 10, 20 10, 20 0)))",
+    "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))",
+    "MULTIPOLYGON(((0 0,10 0,10 10,0 10,0 0),(1 1,3 1,3 3,1 3,1 1)),((20 0,30 0,30 10,20 10,20 0)))",
+]
 META = {"dataset_id_or_url": "abcd-1234 / https://example.org/data", "retrieved_at": "2026-01-02", "time_coverage": "1995-2001"}
 PROV = "'abcd-1234' AS source_dataset_id, '2026-01-02' AS retrieved_at, '1995-2001' AS vintage"
 query("src01_ingest_partitioned", f"SELECT ride_id, bus_route, CAST(year(transit_timestamp) AS INT) AS year, ridership, {PROV} FROM rides", "rides")(
@@ -36,13 +43,35 @@ query("src02_ingest_csv", f"SELECT ride_id, upper(bus_route) AS route, hour(tran
     lambda s, d: L.ingest_csv(s, ride_csv(s, d)[0], RIDE_SCHEMA, {"route": F.upper("bus_route"), "hod": F.hour("transit_timestamp")}, META).select("ride_id", "route", "hod", "ridership", "source_dataset_id", "retrieved_at", "vintage"))
 query("src03_provenance", "SELECT n_name, 'xyz-1' AS source_dataset_id, '' AS retrieved_at, '2020' AS vintage FROM nation")(
     lambda s, d: L.with_provenance(I.table(s, d, "nation").select("n_name"), {"data_id": "xyz-1", "dataset_id": "shell", "vintage": "2020"}))
-query("src05_ingest_geojson")(lambda s, d: geojson(s, d))
+query("src05_ingest_geojson", """
+SELECT area, CASE g WHEN 0 THEN 'Polygon' WHEN 1 THEN 'MultiPolygon' WHEN 2 THEN 'Point' WHEN 3 THEN 'MultiLineString' END AS geometry_type, 'EPSG:2263' AS geometry_crs,
+  CAST(CASE g WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS INT) AS n_parts, round(CASE g WHEN 0 THEN w * h WHEN 1 THEN w * h + 50.0 * 50 - 100 END, 2) AS area_sqft, g IN (0, 2) AS one_part
+FROM (SELECT area, row_number() OVER (ORDER BY area) % 4 AS g, ax1 - ax0 AS w, ay1 - ay0 AS h FROM areas)""", "areas")(lambda s, d: geojson(s, d))
+query("src05_ingest_degrees", "SELECT area, borough, 'EPSG:4326' AS geometry_crs, round((ax1 - ax0) * (ay1 - ay0) / 1000) AS area_ksqft FROM areas", "areas")(lambda s, d: geojson_degrees(s, d))
 
 
 def geojson(s, d):
-    """Areas written as GeoJSON feature collections in degrees and read back."""
-    from kerbline.functions import planar
+    """Areas in feet as features of several types: a polygon, one with a second polygon that has a hole, a point, two lines."""
+    p = lambda x, y: F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("ax0", "ay0", "ax1", "ay1"))
+    joined = lambda *xs: F.concat(F.lit("["), F.concat_ws(",", *xs), F.lit("]"))
+    ring = lambda a, b, c, e: joined(p(a, b), p(c, b), p(c, e), p(a, e), p(a, b))
+    box = joined(ring(x0, y0, x1, y1))
+    second = joined(ring(x0 - 100, y0 - 100, x0 - 50, y0 - 50), ring(x0 - 90, y0 - 90, x0 - 80, y0 - 80))
+    lines = joined(joined(p(x0, y0), p(x1, y1)), joined(p(x0, y1), p(x1, y0)))
+    shapes = [("Polygon", box), ("MultiPolygon", joined(box, second)), ("Point", p(x0, y0)), ("MultiLineString", lines)]
+    a = I.areas(s, d).withColumn("g", F.row_number().over(W.orderBy("area")) % 4)  # a row per nation
+    kind, text = (F.coalesce(*[F.when(F.col("g") == i, F.lit(x[k]) if k == 0 else x[k]) for i, x in enumerate(shapes)]) for k in (0, 1))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"area":"'), "area", F.lit('"},"geometry":{"type":"'), kind, F.lit('","coordinates":'), text, F.lit("}}"))
+    path = scratch_path(s, "geojson")
+    a.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), feature, F.lit("]}")).alias("value")).write.text(path)
+    g = L.ingest_geojson(s, path, T.StructType([T.StructField("area", T.StringType())]), "EPSG:2263")
+    area = F.when(F.col("geometry_type").endswith("Polygon"), F.round(planar.parts_area(F.col("parts")), 2))
+    return g.select("area", "geometry_type", "geometry_crs", F.size("parts").alias("n_parts"), area.alias("area_sqft"), F.col("rings").isNotNull().alias("one_part"))
 
+
+def geojson_degrees(s, d):
+    """Areas written as GeoJSON feature collections in degrees and read back."""
     a = I.areas(s, d).withColumn("rings", F.transform("rings", lambda q: F.transform(q, lambda p: planar.point(planar.to_lonlat(p.x, p.y).lon, planar.to_lonlat(p.x, p.y).lat))))
     path = scratch_path(s, "geojson")
     L.export_layer(a, ["area", "borough"], 9).select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "feature", F.lit("]}")).alias("value")).write.text(path)
@@ -50,7 +79,9 @@ def geojson(s, d):
     return g.select("area", "borough", "geometry_crs", F.round(planar.polygon_area(F.col("rings")) / 1000).alias("area_ksqft"))
 
 
-WKT = "CASE WHEN s_suppkey % 9 = 0 THEN 'POLYGON EMPTY' WHEN s_suppkey % 10 = 3 THEN NULL ELSE 'LINESTRING (' || CAST(-74 - s_suppkey % 7 AS VARCHAR) || ' 40.5, -73.5 ' || CAST(40 + s_suppkey % 3 AS VARCHAR) || '.25, -73.25 40.75)' END"
+query("src06_multipart_area", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 200.0::DOUBLE WHEN s_suppkey % 3 = 1 THEN 96.0 ELSE 196.0 END AS area FROM supplier")(lambda s, d: L.ingest_wkt(
+    I.table(s, d, "supplier").select("s_suppkey", F.element_at(F.array(*[F.lit(x) for x in PART_TEXTS]), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("wkt")), "wkt", "EPSG:2263").select(
+        "s_suppkey", planar.parts_area(F.col("parts")).alias("area")))
 query("src06_ingest_wkt", "SELECT s_suppkey, 3 AS n_points, (-74 - s_suppkey % 7)::DOUBLE AS first_lon, 40.25::DOUBLE + s_suppkey % 3 AS second_lat, 'EPSG:4326' AS geometry_crs FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 10 <> 3")(
     lambda s, d: L.ingest_wkt(I.table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, "POLYGON EMPTY").when(F.col("s_suppkey") % 10 == 3, F.lit(None)).otherwise(
         F.concat(F.lit("LINESTRING ("), (-74 - F.col("s_suppkey") % 7).cast("string"), F.lit(" 40.5, -73.5 "), (40 + F.col("s_suppkey") % 3).cast("string"), F.lit(".25, -73.25 40.75)"))).alias("the_geom")), "the_geom").select(
@@ -112,7 +143,8 @@ def stored(s, d):
 
 query("src11_register_catalog", "SELECT 'kb_rides' AS name, 'giant' AS kind, count(*) AS \"rows\" FROM rides UNION ALL SELECT 'kb_stops', 'table', count(*) FROM stops", "rides stops")(
     lambda s, d: L.register_catalog(s, stored(s, d)).drop("source"))
-query("agg72_lake_inventory")(lambda s, d: L.lake_inventory(s, {n: p for n, (_, p) in stored(s, d).items()}).select("name", "rows", "files", (F.col("bytes") > 0).alias("has_bytes")))
+query("agg72_lake_inventory", "SELECT 'kb_rides' AS name, count(*) AS \"rows\", TRUE AS has_files, TRUE AS has_bytes FROM rides UNION ALL SELECT 'kb_stops', count(*), TRUE, TRUE FROM stops", "rides stops")(
+    lambda s, d: L.lake_inventory(s, {n: p for n, (_, p) in stored(s, d).items()}).select("name", "rows", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes")))
 query("src17_changed_days", """WITH f AS (SELECT ts // 86400 AS day, ts // 3600 AS file, max(ts) AS mtime FROM pings GROUP BY 1, 2)
 SELECT day, count(*) AS n_files, max(mtime) AS max_mtime FROM f GROUP BY 1 HAVING day % 3 <> 0""", "pings")(
     lambda s, d: (lambda f: L.changed_days(f, f.groupBy("day").agg(F.count(F.lit(1)).alias("n_files"), (F.max("mtime") + F.when(F.col("day") % 3 == 0, 0).otherwise(-5)).alias("max_mtime"))))(
@@ -129,7 +161,12 @@ def versions(s, d):
 
 query("src18_dedupe_snapshots", "SELECT 'bus' AS feed, ts::INT AS ts, n AS \"rows\" FROM (SELECT count(*) AS n FROM stops), (VALUES (1), (3)) v(ts)", "stops")(
     lambda s, d: L.dedupe_snapshots(L.content_hash(versions(s, d), ["feed", "ts"], ["stop_id", "stop_name", "lat"])).select("feed", "ts", "rows"))
-query("src18_content_hash")(lambda s, d: L.content_hash(versions(s, d), ["feed", "ts"], ["stop_id", "stop_name", "lat"]))
+query("src18_content_hash", """
+WITH v AS (SELECT CAST(ts AS INT) AS ts, '=' || stop_id || chr(31) || '=' || stop_name || chr(31) || '=' || CAST(CASE WHEN ts > 2 THEN round(lat + CASE WHEN CAST(stop_id AS BIGINT) % 5 = 0 THEN 0.001 ELSE 0.0 END, 6) ELSE lat END AS VARCHAR) AS line
+  FROM stops, (VALUES (1), (2), (3), (4)) n(ts)),
+p AS (SELECT ts, list_transform([1, 13, 25, 37], lambda i: CAST('0x' || substr(sha256(line), i, 12) AS BIGINT)) AS q FROM v),
+t AS (SELECT ts, count(*) AS n, sum(q[1]) AS a, sum(q[2]) AS b, sum(q[3]) AS c, sum(q[4]) AS d FROM p GROUP BY ts)
+SELECT 'bus' AS feed, ts, n AS "rows", sha256(concat_ws('-', n, a, b, c, d)) AS content_hash FROM t""", "stops")(lambda s, d: L.content_hash(versions(s, d), ["feed", "ts"], ["stop_id", "stop_name", "lat"]))
 query("src20_export_layer")(lambda s, d: L.export_layer(SP.block_rings(s, d), ["block_id", "borough", "pop"], 1))
 query("agg61_doctor", """WITH c(name, exact, expected, actual) AS (SELECT 'orders', TRUE, (SELECT count(DISTINCT o_orderkey) FROM orders), (SELECT count(*) FROM orders) UNION ALL SELECT 'parts', FALSE, (SELECT count(*) + 5 FROM part), (SELECT count(*) FROM part)
   UNION ALL SELECT 'stops', FALSE, (SELECT count(*) + 50 FROM supplier), (SELECT count(*) FROM supplier) UNION ALL SELECT 'events', TRUE, NULL, (SELECT count(*) FROM events))

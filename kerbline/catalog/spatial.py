@@ -34,10 +34,6 @@ def sidewalks(s, d):
 # own strips per street, with the strip's size
 STRIPS = """SELECT street_id, borough, w, side FROM (SELECT street_id, borough, street_id % 10 + 4.0::DOUBLE AS w FROM streets), (VALUES ('a'), ('b')) v(side) WHERE (side = 'a' AND street_id % 3 <> 0) OR (side = 'b' AND street_id % 4 <> 0)"""
 
-query("prj12_projection_round_trip")(lambda s, d: I.stops(s, d).withColumn("f", P.to_feet(F.col("lon"), F.col("lat"))).withColumn("b", P.to_lonlat(F.col("f.x"), F.col("f.y"))).select(
-    "stop_id", F.round("f.x", 4).alias("x_ft"), F.round("f.y", 4).alias("y_ft"), (F.abs(F.col("b.lon") - F.col("lon")) < 1e-10).alias("lon_back"), (F.abs(F.col("b.lat") - F.col("lat")) < 1e-10).alias("lat_back")))
-
-
 def _lcc_sql():
     n, f, rho0 = P.lcc_constants()
     e = P._e()
@@ -46,6 +42,8 @@ def _lcc_sql():
     return f"SELECT stop_id, round((300000.0 + {rho} * sin({th})) / 0.3048006096, 4) AS x_ft, round(({rho0!r} - {rho} * cos({th})) / 0.3048006096, 4) AS y_ft FROM stops"
 
 
+query("prj12_projection_round_trip", f"SELECT *, TRUE AS lon_back, TRUE AS lat_back FROM ({_lcc_sql()})", "stops")(lambda s, d: I.stops(s, d).withColumn("f", P.to_feet(F.col("lon"), F.col("lat"))).withColumn("b", P.to_lonlat(F.col("f.x"), F.col("f.y"))).select(
+    "stop_id", F.round("f.x", 4).alias("x_ft"), F.round("f.y", 4).alias("y_ft"), (F.abs(F.col("b.lon") - F.col("lon")) < 1e-10).alias("lon_back"), (F.abs(F.col("b.lat") - F.col("lat")) < 1e-10).alias("lat_back")))
 query("prj12_projection", _lcc_sql(), "stops")(lambda s, d: I.stops(s, d).withColumn("f", P.to_feet(F.col("lon"), F.col("lat"))).select("stop_id", F.round("f.x", 4).alias("x_ft"), F.round("f.y", 4).alias("y_ft")))
 
 # ------------------------------------------------------------------ cells

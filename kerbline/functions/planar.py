@@ -186,3 +186,15 @@ def parse_wkt_rings(col: Column) -> Column:
         )
 
     return F.transform(rings, pts)
+
+
+def parse_wkt_parts(col: Column) -> Column:
+    """Parts of a geometry text, each an array of rings: polygons keep their holes, other lines and points are a part each."""
+    kind = F.upper(F.regexp_extract(col, r"([A-Za-z]+)\s*[ZM]*\s*\(", 1))
+    polygons = F.regexp_extract_all(col, F.lit(r"\(\s*(\([^()]+\)(?:\s*,\s*\([^()]+\))*)\s*\)"), F.lit(1))
+    return F.when(kind.endswith("POLYGON"), F.transform(polygons, parse_wkt_rings)).otherwise(F.transform(parse_wkt_rings(col), lambda r: F.array(r)))
+
+
+def parts_area(parts: Column) -> Column:
+    """Area of all polygons of a geometry, holes taken out of their own polygon."""
+    return F.aggregate(F.transform(parts, polygon_area), F.lit(0.0), lambda acc, a: acc + a)

@@ -84,33 +84,67 @@ def gtfs_union(feeds: Mapping[str, DataFrame | None]) -> DataFrame:
     return ingest_parts(present, "feed")
 
 
-def ingest_geojson(spark: SparkSession, path: str, props: T.StructType, crs: str = "EPSG:4326") -> DataFrame:
-    """GeoJSON polygon features (one collection per file or line): properties, source rings and projected rings."""
-    coords = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
-    schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
-        T.StructField("properties", props), T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", coords)]))])))])
-    f = spark.read.schema(schema).json(path).select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.coordinates").alias("__c"))
-    f = f.where(F.col("__c").isNotNull() & (F.size("__c") > 0))
-    rings = F.transform("__c", lambda r: F.transform(r, lambda p: P.point(p[0], p[1])))
-    return f.withColumn("rings_source", rings).drop("__c").withColumns({"rings": F.transform("rings_source", project_ring), "geometry_crs": F.lit(crs)})
+#: Coordinate systems that are planar feet already; all others are taken as degrees and projected.
+FEET = ("EPSG:2263",)
 
 
 def project_ring(ring: Column) -> Column:
     return F.transform(ring, lambda p: P.to_feet(p.x, p.y))
 
 
+def with_geometry(df: DataFrame, parts: Column, crs: str) -> DataFrame:
+    """Source and planar geometry of each row.
+
+    ``parts_source`` and ``parts`` hold every part of a geometry as its own array of rings (a polygon's outline and holes, one
+    line, or one point); ``rings_source`` and ``rings`` are those of geometries of one part, NULL for several.
+    """
+    rings = lambda c: F.when(F.size(c) == 1, F.get(F.col(c), 0))
+    df = df.withColumn("parts_source", parts)
+    plane = F.col("parts_source") if crs in FEET else F.transform("parts_source", lambda part: F.transform(part, project_ring))
+    df = df.withColumns({"parts": plane, "geometry_crs": F.lit(crs)})
+    return df.withColumns({"rings_source": rings("parts_source"), "rings": rings("parts")})
+
+
+def ingest_geojson(spark: SparkSession, path: str, props: T.StructType, crs: str = "EPSG:4326", multiline: bool = False) -> DataFrame:
+    """GeoJSON features of any geometry type but collections: properties, geometry_type and the columns of :func:`with_geometry`.
+
+    A file holds a collection per line, or one printed over several lines (``multiline``).  Features without geometry are dropped.
+    """
+    schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
+        T.StructField("properties", props), T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]))])))])
+    f = spark.read.schema(schema).option("multiLine", multiline).json(path).select(F.explode("features").alias("f"))
+    f = f.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("__c"))
+
+    def read(depth: int) -> Column:
+        return F.from_json("__c", T.ArrayType(T.DoubleType()) if depth == 1 else "array<" * depth + "double" + ">" * depth)
+
+    point = lambda p: P.point(F.get(p, 0), F.get(p, 1))
+    line = lambda r: F.transform(r, point)
+    shapes = {
+        "Point": F.array(F.array(F.array(point(read(1))))),
+        "MultiPoint": F.transform(read(2), lambda p: F.array(F.array(point(p)))),
+        "LineString": F.array(F.array(line(read(2)))),
+        "MultiLineString": F.transform(read(3), lambda r: F.array(line(r))),
+        "Polygon": F.array(F.transform(read(3), line)),
+        "MultiPolygon": F.transform(read(4), lambda part: F.transform(part, line)),
+    }
+    parts = F.coalesce(*[F.when(F.col("geometry_type") == kind, shape) for kind, shape in shapes.items()])
+    f = f.where(F.col("__c").isNotNull() & ~F.regexp_replace("__c", r"\s", "").isin("[]", "null"))
+    return with_geometry(f, parts, crs).drop("__c")
+
+
 def ingest_wkt(df: DataFrame, col: str, crs: str = "EPSG:4326") -> DataFrame:
-    """Geometry text to rings; rows without geometry are dropped."""
+    """Geometry text to the columns of :func:`with_geometry`; rows without geometry are dropped."""
     text = F.trim(col)
     ok = F.col(col).isNotNull() & (text != "") & ~F.upper(text).contains("EMPTY")
-    return df.where(ok).withColumns({"rings_source": P.parse_wkt_rings(text), "geometry_crs": F.lit(crs)}).withColumn("rings", F.transform("rings_source", project_ring)).drop(col)
+    return with_geometry(df.where(ok), P.parse_wkt_parts(F.trim(col)), crs).drop(col)
 
 
 def ingest_points(df: DataFrame, lat: str, lon: str, crs: str = "EPSG:4326") -> DataFrame:
-    """Projected point of each row; missing or unreadable coordinates give none."""
+    """Planar point of each row; missing or unreadable coordinates give none.  In a system of feet ``lon`` is x and ``lat`` is y."""
     la, lo = F.col(lat).try_cast("double"), F.col(lon).try_cast("double")
     both = la.isNotNull() & lo.isNotNull()
-    return df.withColumns({"point": F.when(both, P.to_feet(lo, la)), "geometry_crs": F.when(both, crs)})
+    return df.withColumns({"point": F.when(both, P.point(lo, la) if crs in FEET else P.to_feet(lo, la)), "geometry_crs": F.when(both, crs)})
 
 
 def ingest_gbfs(df: DataFrame, array: str) -> DataFrame:
@@ -179,7 +213,8 @@ def content_hash(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Dat
 
     Sums merge in any order, so no snapshot is sorted or gathered.
     """
-    row = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    fields = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in cols]
+    row = F.sha2(F.concat_ws("\u001f", *fields), 256)
     part = [F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(4)]
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(p).alias(f"p{i}") for i, p in enumerate(part)])
     return g.select(*keys, "rows", F.sha2(F.concat_ws("-", "rows", "p0", "p1", "p2", "p3"), 256).alias("content_hash"))
