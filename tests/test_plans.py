@@ -217,3 +217,51 @@ def test_sql_functions(spark):
     assert "gtfs_seconds" in register_functions(spark)
     r = spark.sql("SELECT gtfs_seconds('24:10:00') a, route_norm('bx12-SBS') b, bbl('1','23','4') c, wrap_half_day(50000) d, round(haversine_m(0, 0, 0, 1)) e").first()
     assert (r.a, r.b, r.c, r.d, r.e) == (87000, "BX12", "1000230004", -36400, 111195.0)
+
+
+def test_nearest_sets_missing_coordinates_aside(spark):
+    nan = float("nan")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, nan, 1.0), (4, 5000.0, 5000.0), (5, 1.0, None)], "point_id long, x double, y double")
+    sites = spark.createDataFrame([("a", 3.0, 4.0), ("b", -3.0, -4.0), ("z", None, 0.0), ("y", nan, nan), ("c", 90000.0, 5000.0)], "site_id string, sx double, sy double")
+    got = {r.point_id: (r.site_id, r.dist_ft) for r in spatial.nearest(points, sites, "point_id", "x", "y", 1.0).collect()}
+    assert got[1] == ("a", 5.0) and got[4][0] == "a"
+    assert got[2] == got[3] == got[5] == (None, None)
+    assert {r.site_id for r in spatial.nearest(points, sites.where("site_id = 'z'"), "point_id", "x", "y").collect()} == {None}
+
+
+def test_running_values_shuffle_the_rows_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).select((F.col("id") % 7).alias("k"), F.col("id").alias("t"), (F.col("id") * 31 % 97).alias("v"))
+        out = with_running(df, ["k"], ["t"], F.floor(F.col("t") / 100), "v", "run")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # the rows (in both branches, run once), the chunk totals by key, and the totals for the join
+        assert plan.count("Exchange hashpartitioning") <= 4
+        rows = sorted((r.k, r.t, r.v, r.run) for r in out.collect())
+        total = {}
+        for k, _, v, run in rows:
+            total[k] = total.get(k, 0) + v
+            assert run == total[k]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from kerbline.session import shared_dir
+
+    class Conf:
+        def __init__(self, **kw):
+            self.kw = {k.replace("_", "."): v for k, v in kw.items()}
+
+        def get(self, key, default=None):
+            return self.kw.get(key, default)
+
+    class Session:
+        def __init__(self, **kw):
+            self.conf = Conf(**kw)
+
+    assert shared_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        shared_dir(Session(spark_master="yarn"))
+    with pytest.raises(ValueError):
+        shared_dir(Session(spark_master="local-cluster[2,1,1024]"))
