@@ -21,6 +21,7 @@ from kerbline.session import materialize
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bits of a filter: 16 MB a task each; with far more lines than this suits, more lines are counted exactly.
 BITS = 1 << 27
+SALTS = 16
 
 
 def line_key(line: bytes) -> bytes:
@@ -99,7 +100,10 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     suspects = materialize(suspects, "lines")
     # one row per key and document first: a line that is everywhere spreads over all tasks
     held = suspects.select("key", "id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-    gone = suspects.join(held.where(f"n >= {int(min_docs)}"), "key").where("id <> keeper")
+    # the lines of one key meet its keeper in SALTS tasks, so a line that is everywhere doesn't land in one
+    held = held.where(f"n >= {int(min_docs)}").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(held, ["key", "salt"]).where("id <> keeper")
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
     all_docs = docs.withColumns({"__id": ident, "__row": F.xxhash64("text"), "__text": body})
     joined = all_docs.join(gone, ["__id", "__row"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__text", "__gone")
