@@ -143,7 +143,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     first = rows.withColumn("nth", F.row_number().over(alike)).where(f"nth <= {int(k) + 1}")
     data = first.select("dim", draw("blocks", 1).alias("block"), all_of("groups").alias("group"), F.lit(False).alias("query"), "vec_id", "vector", "longest")
     query = rows.where(is_query).select("dim", all_of("blocks").alias("block"), draw("groups", 2).alias("group"), F.lit(True).alias("query"), "vec_id", "vector", "longest")
-    found = data.union(query).groupBy("dim", "block", "group").applyInArrow(_search(k), FOUND)
+    # few bytes but much work: an explicit number of partitions keeps small blocks from being put into one task
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = data.union(query).repartition(parts, "dim", "block", "group")
+    found = pairs.groupBy("dim", "block", "group").applyInArrow(_search(k), FOUND)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {int(k)}").select("query_id", "rank", "vec_id", "score")
