@@ -1,17 +1,19 @@
 """URL filter by association rules, in DataFrame and SQL functions only.
 
-Listed rules decide first.  For all other pages, Spark's FP-growth mines combinations of URL tokens that go with
-a bad label; rules pruned by support, confidence and by shorter rules that say as much form an inverted index from
-their first token, and a page is blocked where all tokens of a rule are found.
+Listed rules decide first.  For all other pages, combinations of URL tokens that go with a bad label are mined from whole
+pages, one token longer at each level; rules pruned by support, confidence and by shorter rules that say as much form an
+inverted index from their tokens, and a page is blocked where all tokens of a rule are found.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BAD = "label=bad"
+from kerbline.session import materialize
+
 # The listed rules, (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -33,11 +35,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens_of(url: Column, host: Column, path: Column, most: int) -> Column:
+def tokens_of(url: Column, host: Column, path: Column, most: int = 0) -> Column:
     """Distinct tokens of a URL: host labels, their parts, path segments that aren't numbers, query keys.
 
-    A page takes part in mining with its first ``most`` of them, which bounds the combinations of one page; rules are held
-    against all.
+    All of them take part in mining and in matching; ``most`` is not read.
     """
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     parts = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "-"))), lambda x: x != "")
@@ -48,19 +49,56 @@ def tokens_of(url: Column, host: Column, path: Column, most: int) -> Column:
     return F.array_distinct(F.concat(tag("host:", labels), tag("part:", parts), tag("path:", steps), tag("key:", keys)))
 
 
-def mined(pages: DataFrame, min_support: float, min_confidence: float, most: int) -> DataFrame:
-    """Rules (rule_id, tokens, confidence) of token combinations with a bad label, from rows (tokens, bad)."""
-    items = F.slice("tokens", 1, most)
-    baskets = pages.select(F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence")
-    # a longer rule goes if a part of it is a rule that is as sure: subsets of its tokens, looked up by equality
-    drop = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.filter("tokens", lambda x, j: i != j))
-    less = rules.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode(drop).alias("part"))
-    short = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
-    worse = less.join(short, "part").where("sure >= confidence").select("tokens").distinct()
-    return rules.join(worse, "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens"))
+def mined(pages: DataFrame, min_support: float, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, items, confidence) of token combinations with a bad label, from rows (tokens, bad), and the tokens (token, item) of items.
+
+    Tokens found on exactly the same rows are one item, whichever of them a page has.  What is mined is whole: support counts bad rows,
+    and a combination is left out only if a shorter one with as much support is as sure.  That is so where a token takes no good
+    row away from the others; then it takes none from any longer combination either, so neither is built.
+    """
+    seen = materialize(pages.groupBy(F.array_sort("tokens").alias("set")).agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad")), "url-sets")
+    least = max(1, math.ceil(min_support * (seen.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0)))
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+
+    at = [F.bit_xor(F.xxhash64("set", F.lit(i))).alias(f"at{i}") for i in (1, 2)]
+    often = seen.select("set", "good", "bad", F.explode("set").alias("token")).groupBy("token").agg(*sums, *at).where(F.col("bad") >= least)
+    often = materialize(often, "url-tokens")
+    same = ["good", "bad", "at1", "at2"]
+    items = often.join(often.groupBy(*same).agg(F.min("token").alias("item")), same).select("token", "item")
+    level = often.groupBy(*same).agg(F.array(F.min("token")).alias("items")).select("items", "good", "bad")
+
+    rows = seen.where("bad > 0 or good > 0").select("set", "good", "bad", F.explode("set").alias("token")).join(items, "token")
+    rows = rows.groupBy("set", "good", "bad").agg(F.array_sort(F.collect_set("item")).alias("rest"))
+    grown = rows.select(F.array().cast("array<string>").alias("items"), "rest", "good", "bad")
+
+    def longer(grown: DataFrame) -> DataFrame:
+        """Each combination with each later item of its rows; equal rests are counted together."""
+        more = grown.select("items", "rest", "good", "bad", F.posexplode("rest").alias("i", "item"))
+        more = more.select(F.array_append("items", F.col("item")).alias("items"), F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"), "good", "bad")
+        return more.groupBy("items", "rest").agg(*sums)
+
+    drop = F.transform(F.sequence(F.lit(0), F.size("items") - 1), lambda i: F.filter("items", lambda x, j: i != j))
+    grown, levels = longer(grown), [level]
+    while True:
+        # only combinations kept grow, and only where some item is left
+        grown = materialize(longer(grown.join(level.select("items"), "items", "left_semi").where("size(rest) > 0")), "url-grown")
+        found = grown.groupBy("items").agg(*sums).where(F.col("bad") >= least)
+        parts = found.select("items", "good", F.explode(drop).alias("part")).join(level.select(F.col("items").alias("part"), F.col("good").alias("others")), "part")
+        whole = parts.where("others > good").groupBy("items").agg(F.count(F.lit(1)).alias("n")).where("n = size(items)").select("items")
+        level = materialize(found.join(whole, "items", "left_semi"), "url-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+
+    rules = levels[0]
+    for more in levels[1:]:
+        rules = rules.unionByName(more)
+    rules = rules.withColumn("confidence", F.col("bad") / (F.col("good") + F.col("bad"))).where(F.col("confidence") >= min_confidence).select("items", "confidence")
+    # a longer rule goes if a part of it is a rule that is as sure: subsets of its items, looked up by equality
+    less = rules.where(F.size("items") > 1).select("items", "confidence", F.explode(drop).alias("part"))
+    short = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"))
+    worse = less.join(short, "part").where("sure >= confidence").select("items").distinct()
+    return rules.join(worse, "items", "left_anti").withColumn("rule_id", F.xxhash64("items")), items
 
 
 def judge(
@@ -69,7 +107,6 @@ def judge(
     rules: tuple[tuple[str, str, str], ...] = RULES,
     min_support: float = 0.002,
     min_confidence: float = 0.6,
-    most: int = 12,
 ) -> DataFrame:
     """Per row of ``pages`` (page_id, url): host, path, rule, verdict, mined.
 
@@ -87,16 +124,16 @@ def judge(
     ]
     empty = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
     rows = rows.withColumn("fit", F.greatest(*fits, empty) if fits else empty)
-    rows = rows.withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path"), most))
+    rows = rows.withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
 
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(bad).alias("bad"))
-    model = mined(rows.select("page_id", "tokens").join(known, "page_id"), min_support, min_confidence, most)
+    model, items = mined(rows.select("page_id", "tokens").join(known, "page_id"), min_support, min_confidence)
 
-    index = model.select("rule_id", F.col("confidence").alias("sure"), F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    index = model.select("rule_id", F.col("confidence").alias("sure"), F.size("items").alias("size"), F.explode("items").alias("item")).join(items, "item")
     # hosts repeat: distinct token sets are looked up once, whatever the number of their pages
     sets = rows.where("fit is null and size(tokens) > 0").select(F.array_sort("tokens").alias("set")).distinct()
-    hits = sets.select("set", F.explode("set").alias("token")).join(index, "token").groupBy("set", "rule_id", "size", "sure").agg(F.count(F.lit(1)).alias("found"))
+    hits = sets.select("set", F.explode("set").alias("token")).join(index, "token").groupBy("set", "rule_id", "size", "sure").agg(F.count_distinct("item").alias("found"))
     hits = hits.where("found = size").groupBy("set").agg(F.max("sure").alias("mined"))
     out = rows.withColumn("set", F.array_sort("tokens")).join(hits, "set", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))

@@ -1,5 +1,6 @@
 """Near copies, components, mixing, nearest vectors, URLs, chats and the pipeline against plain Python, with odd rows."""
 
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -326,6 +327,32 @@ def test_mined_rules_against_counting(spark):
     assert verdict == want and Counter(want.values())["block"] > 30
 
 
+def test_mined_rules_hold_tokens_far_behind(spark):
+    """Rules on the last of more than 30 tokens: held against counts of all combinations of those that vary."""
+    gen = np.random.default_rng(11)
+    stem = "http://a-b.c.example.co.uk/" + "".join(f"fixed{i}/" for i in range(25))
+    rows, labels, varied = [], [], {}
+    for i in range(400):
+        steps = [s for s in ("red", "green", "blue", "grey") if gen.random() < 0.5]
+        keys = [k for k in ("k1", "k2", "k3", "k4") if gen.random() < 0.5]
+        rows.append((i, stem + "/".join(steps) + "?" + "&".join(f"{k}={i}" for k in keys)))
+        varied[i] = {*steps, *keys}
+        if i % 4:
+            labels.append((i, 1, int({"blue", "k3"} <= varied[i] or gen.random() < 0.1)))
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=(), min_support=0.03)
+    counts, bads = Counter(), Counter()
+    for d, _, toxic in labels:
+        for m in range(9):
+            for part in map(frozenset, itertools.combinations(sorted(varied[d]), m)):
+                counts[part] += 1
+                bads[part] += toxic
+    sure = {p: bads[p] / counts[p] for p in bads if bads[p] >= math.ceil(0.03 * len(labels)) and bads[p] >= 0.6 * counts[p]}
+    assert frozenset(("blue", "k3")) in sure and frozenset() not in sure
+    want = {d: max((c for p, c in sure.items() if p <= t), default=None) for d, t in varied.items()}
+    assert {r.page_id: (r.verdict, r.mined) for r in got.collect()} == {d: ("block" if c else "allow", c) for d, c in want.items()}
+    assert 50 < sum(c is not None for c in want.values()) < 350
+
+
 # ---------------------------------------------------------------- chats
 
 
