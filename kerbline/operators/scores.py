@@ -201,7 +201,10 @@ def assemble_cells(cells: DataFrame, base: DataFrame, quality: DataFrame, flood:
 
 
 def profiles(points: DataFrame, grid: DataFrame, key: str, size: float, rings: int = 4) -> DataFrame:
-    """Grid row of each location: its own cell, else the nearest filled cell of the closest ring."""
+    """Grid row of each location: its own cell, else the nearest filled cell of the closest ring.
+
+    A location without coordinates, or without a filled cell within ``rings``, stays with null cell, ring and values.
+    """
     offs = [(i, j, max(abs(i), abs(j))) for i in range(-rings, rings + 1) for j in range(-rings, rings + 1)]
     around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(k).alias("ring")) for i, j, k in sorted(offs, key=lambda o: o[2])])
     p = points.withColumns({"c0": F.floor(F.col("x") / size).cast("long"), "c1": F.floor(F.col("y") / size).cast("long")})
@@ -209,9 +212,9 @@ def profiles(points: DataFrame, grid: DataFrame, key: str, size: float, rings: i
     vals = [c for c in grid.columns if c not in ("cx", "cy")]
     exact = own.select(key, "cx", "cy", F.lit(0).alias("ring"), *vals)
     rest = p.join(exact.select(key), key, "left_anti").select(key, "x", "y", "c0", "c1", F.explode(around).alias("o")).where(F.col("o.ring") > 0)
-    rest = rest.select(key, "x", "y", (F.col("c0") + F.col("o.dx")).alias("cx"), (F.col("c1") + F.col("o.dy")).alias("cy"), "o.ring").join(grid, ["cx", "cy"])
+    rest = rest.select(key, "x", "y", (F.col("c0") + F.col("o.dx")).alias("cx"), (F.col("c1") + F.col("o.dy")).alias("cy"), "o.ring").join(grid.withColumn("__filled", F.lit(True)), ["cx", "cy"], "left")
     d2 = F.hypot((F.col("cx") + 0.5) * size - F.col("x"), (F.col("cy") + 0.5) * size - F.col("y"))
-    best = rest.groupBy(key).agg(F.min_by(F.struct("cx", "cy", "ring", *vals), F.struct("ring", d2.alias("d"), "cx", "cy")).alias("b")).select(key, "b.*")
+    best = rest.groupBy(key).agg(F.min_by(F.struct("cx", "cy", "ring", *vals), F.when(F.col("__filled"), F.struct("ring", d2.alias("d"), "cx", "cy"))).alias("b")).select(key, "b.*")
     return exact.unionByName(best)
 
 

@@ -229,6 +229,18 @@ def test_nearest_sets_missing_coordinates_aside(spark):
     assert {r.site_id for r in spatial.nearest(points, sites.where("site_id = 'z'"), "point_id", "x", "y").collect()} == {None}
 
 
+def test_profiles_keep_locations_far_from_filled_cells(spark):
+    points = spark.createDataFrame([("own", 5.0, 5.0), ("near", 25.0, 5.0), ("far", 500.0, 500.0), ("nowhere", None, 1.0)], "site string, x double, y double")
+    grid = spark.createDataFrame([(0, 0, 7, True), (0, 1, 9, False)], "cx long, cy long, n long, flood boolean")
+    found = scores.profiles(points, grid, "site", 10.0)
+    assert found.columns == ["site", "cx", "cy", "ring", "n", "flood"]
+    empty = (None,) * 5
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == {"own": (0, 0, 0, 7, True), "near": (0, 0, 2, 7, True), "far": empty, "nowhere": empty}
+    pairs = spark.createDataFrame([("own", "far"), ("far", "near"), ("near", "own")], "a_id string, b_id string")
+    got = {(r.a_id, r.b_id): (r.a_n, r.b_n, r.diff_n) for r in scores.compare(found, pairs, "site", ["n"]).collect()}
+    assert got == {("own", "far"): (7, None, None), ("far", "near"): (None, 7, None), ("near", "own"): (7, 7, 0)}
+
+
 def test_running_values_shuffle_the_rows_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
