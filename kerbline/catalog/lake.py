@@ -40,7 +40,7 @@ query("src01_ingest_partitioned", f"SELECT ride_id, bus_route, CAST(year(transit
     lambda s, d: L.ingest_partitioned(s, [(p, META) for p in ride_csv(s, d)], RIDE_SCHEMA, F.year("transit_timestamp"), scratch_path(s, "rides")).select(
         "ride_id", "bus_route", "year", "ridership", "source_dataset_id", "retrieved_at", "vintage"))
 query("src02_ingest_csv", f"SELECT ride_id, upper(bus_route) AS route, hour(transit_timestamp)::INT AS hod, ridership, {PROV} FROM rides WHERE year(transit_timestamp) < 1998", "rides")(
-    lambda s, d: L.ingest_csv(s, ride_csv(s, d)[0], RIDE_SCHEMA, {"route": F.upper("bus_route"), "hod": F.hour("transit_timestamp")}, META).select("ride_id", "route", "hod", "ridership", "source_dataset_id", "retrieved_at", "vintage"))
+    lambda s, d: L.ingest_csv(s, ride_csv(s, d), RIDE_SCHEMA, {"route": F.upper("bus_route"), "hod": F.hour("transit_timestamp")}, META).select("ride_id", "route", "hod", "ridership", "source_dataset_id", "retrieved_at", "vintage"))
 query("src03_provenance", "SELECT n_name, 'xyz-1' AS source_dataset_id, '' AS retrieved_at, '2020' AS vintage FROM nation")(
     lambda s, d: L.with_provenance(I.table(s, d, "nation").select("n_name"), {"data_id": "xyz-1", "dataset_id": "shell", "vintage": "2020"}))
 query("src05_ingest_geojson", """

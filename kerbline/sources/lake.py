@@ -46,12 +46,12 @@ def with_geoid(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ingestion
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header and a fixed schema; nothing is inferred."""
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """CSV with a header and a fixed schema, from one source or several; nothing is inferred."""
     return spark.read.schema(schema).option("header", "true").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
 
 
-def ingest_csv(spark: SparkSession, path: str, schema, extra: Mapping[str, Column], meta: Mapping[str, str]) -> DataFrame:
+def ingest_csv(spark: SparkSession, path: str | list[str], schema, extra: Mapping[str, Column], meta: Mapping[str, str]) -> DataFrame:
     return with_provenance(read_csv(spark, path, schema).withColumns(dict(extra)), meta)
 
 
