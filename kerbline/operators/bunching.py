@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,22 @@ DEFAULT_HEADWAY_S = 600.0
 DEG_M = 111_194.9  # metres per degree of latitude on the sphere used here
 
 
+SIZE_LAT = CAP_M / DEG_M
+
+
+def _columns(band: Column) -> Column:
+    """Columns around the globe in a band of latitude: each as wide as the cap is at the latitude farthest from the equator
+    in this band and the two beside it."""
+    far = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * SIZE_LAT, F.lit(90.0))
+    half = F.asin(F.least(F.lit(1.0), math.sin(math.radians(SIZE_LAT) / 2) / F.cos(F.radians(far))))
+    return F.floor(math.pi / half * (1 - 1e-9))
+
+
+def _column(lon: Column, band: Column) -> Column:
+    n = _columns(band)
+    return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) * n / 360), n)
+
+
 def candidate_pairs(positions: DataFrame, headway: DataFrame) -> DataFrame:
     """Pairs closer than min(25 % of the expected spacing, 500 m), from neighbouring grid cells only.
 
@@ -26,15 +44,14 @@ def candidate_pairs(positions: DataFrame, headway: DataFrame) -> DataFrame:
     hw = headway.select("route_id", "direction_id", "sched_median_headway_s")
     v = null_safe_join(positions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), hw, ["route_id", "direction_id"])
     v = v.withColumn("headway", F.coalesce("sched_median_headway_s", F.lit(DEFAULT_HEADWAY_S)))
-    # a degree of longitude is at least half a degree of latitude up to 60 degrees north or south,
-    # so doubled cells keep every pair within the cap in adjacent cells there
-    size_lat, size_lon = CAP_M / DEG_M, 2 * CAP_M / DEG_M
-    v = v.withColumns({"cy": F.floor(F.col("lat") / size_lat), "cx": F.floor(F.col("lon") / size_lon)})
+    v = v.withColumn("cy", F.floor(F.col("lat") / SIZE_LAT))
+    v = v.withColumn("cx", _column(F.col("lon"), F.col("cy")))
     keep = ["vehicle_id", "lat", "lon"]
     a = v.select("route_id", "direction_id", "headway", "cx", "cy", *[F.col(c).alias(f"{c}_a") for c in keep])
-    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = v.select("route_id", "direction_id", *[F.col(c).alias(f"{c}_b") for c in keep], "cx", "cy", F.explode(around).alias("o"))
-    b = b.withColumns({"cx": F.col("cx") + F.col("o.dx"), "cy": F.col("cy") + F.col("o.dy")}).drop("o")
+    # columns are as wide as the band needs that is met, and close up around the globe
+    b = v.select("route_id", "direction_id", *[F.col(c).alias(f"{c}_b") for c in keep], F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])).alias("cy"))
+    beside = F.array_distinct(F.array(*[F.pmod(_column(F.col("lon_b"), F.col("cy")) + i, _columns(F.col("cy"))) for i in (-1, 0, 1)]))
+    b = b.withColumn("cx", F.explode(beside))
     b = b.withColumnsRenamed({"route_id": "r_b", "direction_id": "d_b", "cx": "cx_b", "cy": "cy_b"})
     same = F.col("route_id").eqNullSafe(F.col("r_b")) & F.col("direction_id").eqNullSafe(F.col("d_b")) & (F.col("cx") == F.col("cx_b")) & (F.col("cy") == F.col("cy_b"))
     j = a.join(b, same & (F.col("vehicle_id_a") < F.col("vehicle_id_b"))).drop("r_b", "d_b", "cx_b", "cy_b")

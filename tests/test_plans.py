@@ -130,6 +130,28 @@ def test_greedy_pairs_equal_loop(spark):
     assert got == want
 
 
+def test_candidate_pairs_at_any_latitude(spark):
+    rng = random.Random(5)
+    rows = []
+    for lat in (0.0, 40.7, 61.0, 75.0, -85.0, 89.999, -89.995):
+        for lon in (-73.9, 179.9999, 0.0):
+            reach = min(180.0, 0.012 / math.cos(math.radians(lat)))
+            spot = [(lat + rng.uniform(-0.006, 0.006), lon + rng.uniform(-reach, reach)) for _ in range(12)]
+            rows += [(f"v{len(rows) + i:03d}", "1", 0, max(-90.0, min(90.0, y)), (x + 180) % 360 - 180) for i, (y, x) in enumerate(spot)]
+
+    def metres(a, b):
+        y0, x0, y1, x1 = map(math.radians, (a[3], a[4], b[3], b[4]))
+        return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(math.sin((y1 - y0) / 2) ** 2 + math.cos(y0) * math.cos(y1) * math.sin((x1 - x0) / 2) ** 2)))
+
+    df = spark.createDataFrame(rows, "vehicle_id string, route_id string, direction_id int, lat double, lon double")
+    headway = spark.createDataFrame([("1", 0, 3600.0)], "route_id string, direction_id int, sched_median_headway_s double")
+    got = [(r.vehicle_id_a, r.vehicle_id_b) for r in bunching.candidate_pairs(df, headway).collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and metres(a, b) < bunching.CAP_M}
+    assert len(got) == len(set(got)) and set(got) == want
+    wide = [(a, b) for a in rows for b in rows if (a[0], b[0]) in want and 2 * bunching.CAP_M / bunching.DEG_M * 2 < abs(a[4] - b[4])]
+    assert len(wide) > 10
+
+
 def test_overlap_closed_forms(spark):
     box = lambda x0, y0, x1, y1: F.array(planar.rectangle(*[F.lit(float(v)) for v in (x0, y0, x1, y1)]))
     d = lambda r: disc(F.lit(0.0), F.lit(0.0), F.lit(float(r)))
