@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import ann, chat, fingerprint, lines, mixing, neardup, packing, secrets, toxicity, urls
+from kerbline.llm import ann, chat, divergence, exact, fingerprint, lines, mixing, neardup, packing, resample, secrets, toxicity, urls
 
 #: The tokenizer of the packing query; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 _ALL = (
     op1_nearest_vectors,
     op2_document_fingerprints,
@@ -72,6 +84,9 @@ _ALL = (
     op8_toxicity,
     op9_chat_rotation,
     op10_near_dedup,
+    op11_exact_dedup,
+    op12_importance_resampling,
+    op13_source_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -173,4 +188,31 @@ ORACLES = {
         r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
         SELECT d.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+    "op11_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+        FROM d WINDOW same AS (PARTITION BY body)""",
+    "op13_source_divergence": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        w AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+        l AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+        v AS (SELECT lang, count(*)::HUGEINT AS terms, sum(n)::HUGEINT AS total FROM l GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT w.lang, source, term, count(*)::HUGEINT AS n FROM w JOIN l USING (lang, term) GROUP BY ALL),
+        s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+        p AS (
+            SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (s.total + 5 * v.terms) AS p,
+                   1 + (1000000000 * (l.n + 5)) // (v.total + 5 * v.terms) AS q
+            FROM g JOIN l ON l.lang = g.lang JOIN v ON v.lang = g.lang JOIN s ON s.lang = g.lang AND s.source = g.source
+            LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM r)
+        SELECT lang, source, part, item, value::BIGINT AS value, place::INTEGER AS rank FROM o WHERE part = 'pair' OR place <= 50""",
 }

@@ -116,3 +116,17 @@ class Words:
             total[: n - j] += part
         inside = np.arange(n) - np.repeat(self.first[:-1], words) < np.repeat(count, words)
         return mix(total[inside]), offsets
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, delimiter: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of every word in the rows of one chunk, and ``first`` as in :class:`Words`; places are those in ``data``."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    inside = np.zeros(hi - lo + 2, bool)
+    inside[1:-1] = ~delimiter[data[lo:hi]]
+    inside = inside.view(np.int8)
+    starts, ends = (np.flatnonzero(np.diff(inside) == x) for x in (1, -1))
+    # a word that runs over a row's end is one word in each of the rows
+    cut = offsets[1:-1] - lo
+    cut = np.unique(cut[(inside[cut] & inside[cut + 1]).astype(bool)])
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return starts + lo, ends - starts, np.searchsorted(starts, offsets - lo)
