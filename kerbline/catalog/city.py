@@ -190,7 +190,7 @@ def grid(s, d):
 
 query("jon20_assemble_cells", GRID, "points sites")(grid)
 PROF = f"""WITH g AS ({GRID}), p AS (SELECT site_id, sx, sy, CAST(floor(sx / {SIZE}) AS BIGINT) AS c0, CAST(floor(sy / {SIZE}) AS BIGINT) AS c1 FROM sites),
-pr AS (SELECT p.site_id, g.cx, g.cy, CAST(greatest(abs(g.cx - c0), abs(g.cy - c1)) AS INT) AS ring, n, flood FROM p JOIN g ON abs(g.cx - c0) <= 4 AND abs(g.cy - c1) <= 4
+pr AS (SELECT p.site_id, g.cx, g.cy, CAST(greatest(abs(g.cx - c0), abs(g.cy - c1)) AS INT) AS ring, n, flood FROM p LEFT JOIN g ON abs(g.cx - c0) <= 4 AND abs(g.cy - c1) <= 4
   QUALIFY row_number() OVER (PARTITION BY p.site_id ORDER BY greatest(abs(g.cx - c0), abs(g.cy - c1)), sqrt(pow((g.cx + 0.5) * {SIZE} - sx, 2) + pow((g.cy + 0.5) * {SIZE} - sy, 2)), g.cx, g.cy) = 1)"""
 
 

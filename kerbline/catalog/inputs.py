@@ -174,7 +174,7 @@ def programs(spark, sf):
 
 CTE["programs"] = ((), f"""
 SELECT 'R' || CAST(s_suppkey AS VARCHAR) AS route, {sql_pick('s_suppkey', ['ABLE', 'ACE'])} AS program,
-  DATE '1996-01-01' + CAST(s_suppkey * 60 AS INT) AS start_date FROM supplier WHERE s_suppkey < 25""")
+  DATE '1996-01-01' + CAST(s_suppkey * 60 AS INT) AS start_date FROM supplier""")
 
 
 def enforcement(spark, sf):

@@ -39,7 +39,7 @@ PROV = "'abcd-1234' AS source_dataset_id, '2026-01-02' AS retrieved_at, '1995-20
 query("src01_ingest_partitioned", f"SELECT ride_id, bus_route, CAST(year(transit_timestamp) AS INT) AS year, ridership, {PROV} FROM rides", "rides")(
     lambda s, d: L.ingest_partitioned(s, [(p, META) for p in ride_csv(s, d)], RIDE_SCHEMA, F.year("transit_timestamp"), scratch_path(s, "rides")).select(
         "ride_id", "bus_route", "year", "ridership", "source_dataset_id", "retrieved_at", "vintage"))
-query("src02_ingest_csv", f"SELECT ride_id, upper(bus_route) AS route, hour(transit_timestamp)::INT AS hod, ridership, {PROV} FROM rides WHERE year(transit_timestamp) < 1998", "rides")(
+query("src02_ingest_csv", f"SELECT ride_id, upper(bus_route) AS route, hour(transit_timestamp)::INT AS hod, ridership, {PROV} FROM rides", "rides")(
     lambda s, d: L.ingest_csv(s, ride_csv(s, d), RIDE_SCHEMA, {"route": F.upper("bus_route"), "hod": F.hour("transit_timestamp")}, META).select("ride_id", "route", "hod", "ridership", "source_dataset_id", "retrieved_at", "vintage"))
 query("src03_provenance", "SELECT n_name, 'xyz-1' AS source_dataset_id, '' AS retrieved_at, '2020' AS vintage FROM nation")(
     lambda s, d: L.with_provenance(I.table(s, d, "nation").select("n_name"), {"data_id": "xyz-1", "dataset_id": "shell", "vintage": "2020"}))
@@ -193,15 +193,21 @@ def doctor(s, d):
 
 # ------------------------------------------------------------------ streams
 def landed(s, d, df, label):
-    """Snapshot files landed one after the other in the order of the first column, read as a stream of one file a batch."""
+    """Snapshot files landed one after the other in the order of the first column, read as a stream of a quarter of the rows a batch.
+
+    A quarter is as many files as the shuffle has partitions, fewer for small ones; rows without time land first.
+    """
     path, at = scratch_path(s, label), df.columns[0]
     df = materialize(df, label)
-    cuts = df.agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0]
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = df if lo is None else df.where(F.col(at) > lo)
-        part = part if hi is None else part.where(F.col(at) <= hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return ST.read_stream(s, path, df.schema, files=1)
+    cuts = df.agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0] or []
+    quarter = sum((F.coalesce(F.col(at) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    sizes = {r["q"]: r["n"] for r in df.groupBy(quarter.alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = max(1, min(int(s.conf.get("spark.sql.shuffle.partitions")), min(sizes.values(), default=0) // 1000))
+    for q in sorted(sizes):
+        df.where(quarter == q).repartition(files).write.mode("append").parquet(path)
+    if not sizes:
+        df.write.parquet(path)
+    return ST.read_stream(s, path, df.schema, files=files)
 
 
 def stream_of(s, d):
@@ -212,11 +218,26 @@ query("str01_stream_archive", "SELECT event_id, strftime(make_timestamp(poll_ts
     lambda s, d: ST.run_to_table(ST.stream_archive(stream_of(s, d)), "archive", ("date", "hour")).select("event_id", "date", "hour"))
 query("str02_stream_dedupe", "SELECT DISTINCT trip_id, ts FROM pings", "pings")(
     lambda s, d: ST.run_to_table(ST.stream_dedupe(landed(s, d, (lambda p: p.unionByName(p))(P(s, d).select("ts", "trip_id", "event_id")), "twice"), "1 hour"), "dedupe").select("trip_id", "ts"))
-query("str03_stream_latest", "SELECT vehicle_id, ts, event_id, stop_id FROM pings QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, event_id DESC) = 1", "pings")(
-    lambda s, d: ST.run_complete(ST.stream_latest(stream_of(s, d)), "latest").select("vehicle_id", "ts", "event_id", "stop_id"))
+query("str03_stream_latest", """WITH w AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, event_id DESC) AS rn FROM pings)
+SELECT l.vehicle_id, l.ts, l.event_id, l.stop_id, round(l.lat, 6) AS lat, p.ts AS prev_ts, p.event_id AS prev_event_id, round(p.lat, 6) AS prev_lat FROM w l LEFT JOIN w p ON p.vehicle_id = l.vehicle_id AND p.rn = 2 WHERE l.rn = 1""", "pings")(
+    lambda s, d: ST.run_changes(ST.stream_latest(stream_of(s, d)), "latest", "vehicle_id", "ts").select("vehicle_id", "ts", "event_id", "stop_id", r("lat", 6).alias("lat"), "prev_ts", "prev_event_id", r("prev_lat", 6).alias("prev_lat")))
 CLOSED = "(SELECT max({c}) FROM {t}) - 600"
 query("str04_stream_vehicles", f"SELECT ts // 300 * 300 - 14400 AS bin_local, count(DISTINCT vehicle_id) AS vehicles, count(DISTINCT (vehicle_id, ts)) AS reports FROM pings GROUP BY 1 HAVING max(ts) // 300 * 300 + 300 <= {CLOSED.format(c='ts', t='pings')}", "pings")(
     lambda s, d: ST.run_to_table(ST.stream_vehicles(stream_of(s, d)), "vehicles"))
+query("str04_stream_bunching", f"""
+WITH n AS (SELECT vehicle_id, ts // 300 * 300 AS bin, arg_max(route_id, (ts, event_id)) AS route_id, arg_max(direction_id, (ts, event_id)) AS direction_id, arg_max(lat, (ts, event_id)) AS lat,
+  -74.0::DOUBLE + CAST(vehicle_id AS BIGINT) % 7 * 0.001::DOUBLE AS lon FROM pings GROUP BY 1, 2),
+h AS (SELECT route_id, direction_id, count(*) % 7 * 100.0::DOUBLE + 200.0 AS hw FROM pings GROUP BY 1, 2),
+c AS (SELECT a.bin, a.route_id, a.direction_id, a.vehicle_id AS vehicle_id_a, b.vehicle_id AS vehicle_id_b, hw * 4.5::DOUBLE AS expected_m,
+  2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS gap_m
+  FROM n a JOIN n b ON a.bin = b.bin AND a.route_id = b.route_id AND a.direction_id = b.direction_id AND a.vehicle_id < b.vehicle_id JOIN h ON h.route_id = a.route_id AND h.direction_id = a.direction_id)
+SELECT bin - 14400 AS bin_local, route_id, direction_id, vehicle_id_a, vehicle_id_b, round(gap_m, 4) AS gap_m FROM c
+WHERE gap_m < least(0.25 * expected_m, 500) AND bin + 300 <= {CLOSED.format(c='ts', t='pings')}""", "pings")(
+    lambda s, d: ST.run_to_table(ST.stream_bunching(landed(s, d, P(s, d).select("ts", "event_id", "vehicle_id", "route_id", "direction_id", "lat", (F.lit(-74.0) + F.col("vehicle_id").cast("long") % 7 * 0.001).alias("lon")), "near"),
+                                                    materialize(SV.route_headway(s, d), "headway")), "bunching").select("bin_local", "route_id", "direction_id", "vehicle_id_a", "vehicle_id_b", r("gap_m").alias("gap_m")))
+query("str04_stream_short_headways", f"""WITH e AS (SELECT arr_local + 14400 AS t, headway_s < 0.25 * sm AS short FROM ({SV.OBS}))
+SELECT t // 300 * 300 - 14400 AS bin_local, count(*) FILTER (short) AS active_bunching_pairs, count(*) AS arrivals FROM e GROUP BY 1 HAVING max(t) // 300 * 300 + 300 <= {CLOSED.format(c='t', t='e')}""", "arr rt_sched")(
+    lambda s, d: ST.run_to_table(ST.stream_short_headways(landed(s, d, SV.observed(s, d).select((F.col("arr_local") + 14400).alias("arr_ts"), "headway_s", "sched_median_headway_s"), "arrivals")), "short"))
 query("str11_stream_alerts", f"SELECT poll_ts // 300 * 300 - 14400 AS bin_local, count(DISTINCT alert_id) AS alerts_total FROM alerts GROUP BY 1 HAVING max(poll_ts) // 300 * 300 + 300 <= {CLOSED.format(c='poll_ts', t='alerts')}", "alerts")(
     lambda s, d: ST.run_to_table(ST.stream_alerts(landed(s, d, I.alerts(s, d).select("poll_ts", "alert_id", "effect"), "alerts")), "alerts"))
 query("str05_stream_trailing", f"""WITH e AS (SELECT arr_local + 14400 AS t, abs(headway_s - sm) AS dev FROM ({SV.OBS}) WHERE sm IS NOT NULL)
@@ -225,3 +246,21 @@ SELECT b - 14400 AS bin_local, round(avg(dev), 4) AS mean_dev, count(*) AS n FRO
         (F.col("arr_local") + 14400).alias("arr_ts"), F.abs(F.col("headway_s") - F.col("sched_median_headway_s")).alias("dev")), "arrivals")), "trailing").withColumn("mean_dev", r("mean_dev")))
 query("str06_stream_passages", "SELECT event_id, vehicle_id, stop_id, ts FROM (SELECT *, lag(stop_id) OVER (PARTITION BY vehicle_id ORDER BY ts, event_id) AS ps FROM pings) WHERE ps IS NULL OR ps <> stop_id", "pings")(
     lambda s, d: ST.run_to_table(ST.stream_passages(stream_of(s, d)), "passages").select("event_id", "vehicle_id", "stop_id", "ts"))
+query("str06_stream_headways", f"""WITH h AS (SELECT *, ts - lag(ts) OVER (PARTITION BY route_id, direction_id, stop_id ORDER BY ts, event_id) AS headway_s FROM (
+  SELECT *, lag(stop_id) OVER (PARTITION BY vehicle_id ORDER BY ts, event_id) AS ps FROM pings) WHERE ps IS NULL OR ps <> stop_id)
+SELECT event_id, vehicle_id, route_id, direction_id, stop_id, headway_s FROM h WHERE ts < {CLOSED.format(c='ts', t='pings').replace('600', '3600')}""", "pings")(
+    lambda s, d: ST.run_to_table(ST.stream_headways(stream_of(s, d)), "headways", chained=True).select("event_id", "vehicle_id", "route_id", "direction_id", "stop_id", "headway_s"))
+
+
+def polls(s, d):
+    """A feed's polls; its header moves every half hour only."""
+    return P(s, d).groupBy("poll_ts", "feed").agg(F.max(F.floor(F.col("ts") / 1800) * 1800).alias("header_ts"))
+
+
+STALE = """WITH p AS (SELECT feed, poll_ts, max(ts // 1800 * 1800) AS header_ts FROM pings GROUP BY 1, 2),
+m AS (SELECT feed, header_ts, poll_ts AS since FROM p WINDOW w AS (PARTITION BY feed ORDER BY poll_ts) QUALIFY lag(header_ts) OVER w IS NULL OR lag(header_ts) OVER w <> header_ts),
+n AS (SELECT m.*, lead(since) OVER w AS until, lag(since) OVER w AS before, (SELECT max(poll_ts) FROM p x WHERE x.feed = m.feed) AS last, (SELECT max(poll_ts) - 600 FROM p) AS known FROM m WINDOW w AS (PARTITION BY feed ORDER BY since))
+SELECT feed, header_ts, since, since + 300 AS "at", TRUE AS stale FROM n WHERE coalesce(until, greatest(last, known)) - since > 300
+UNION ALL SELECT feed, header_ts, since, since, FALSE FROM n WHERE since - before > 300"""
+query("str07_stream_stale", STALE, "pings")(lambda s, d: ST.run_to_table(ST.stream_stale(landed(s, d, polls(s, d), "polls")), "stale"))
+query("str07_stale_changes", STALE, "pings")(lambda s, d: SV.Q.stale_changes(polls(s, d)))

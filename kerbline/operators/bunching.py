@@ -35,30 +35,58 @@ def _column(lon: Column, band: Column) -> Column:
     return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) * n / 360), n)
 
 
+def _located(positions: DataFrame, headway: DataFrame) -> DataFrame:
+    """Positions with the expected headway and the grid cell (cx, cy)."""
+    hw = headway.select("route_id", "direction_id", "sched_median_headway_s")
+    v = null_safe_join(positions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), hw, ["route_id", "direction_id"])
+    v = v.withColumn("headway", F.coalesce("sched_median_headway_s", F.lit(DEFAULT_HEADWAY_S)))
+    v = v.withColumn("cy", F.floor(F.col("lat") / SIZE_LAT))
+    return v.withColumn("cx", _column(F.col("lon"), F.col("cy")))
+
+
+def _around(v: DataFrame, lon: str) -> DataFrame:
+    """Each row in its own cell and in those beside it: columns are as wide as the band needs that is met, and close up around the globe."""
+    v = v.withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])))
+    beside = F.array_distinct(F.array(*[F.pmod(_column(F.col(lon), F.col("cy")) + i, _columns(F.col("cy"))) for i in (-1, 0, 1)]))
+    return v.withColumn("cx", F.explode(beside))
+
+
+def _close(pairs: DataFrame) -> DataFrame:
+    """Pairs (lat_a, lon_a, lat_b, lon_b, headway) with their gap, as far as it is below the limit."""
+    gap = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    pairs = pairs.withColumns({"gap_m": gap, "expected_m": F.col("headway") * NOMINAL_MPS})
+    return pairs.where(F.col("gap_m") < F.least(PAIR_FRAC * F.col("expected_m"), F.lit(CAP_M)))
+
+
 def candidate_pairs(positions: DataFrame, headway: DataFrame) -> DataFrame:
     """Pairs closer than min(25 % of the expected spacing, 500 m), from neighbouring grid cells only.
 
     The cap bounds the search radius, so a pair's vehicles lie in adjacent 500 m cells;
     a route's vehicles are never all paired with each other.
     """
-    hw = headway.select("route_id", "direction_id", "sched_median_headway_s")
-    v = null_safe_join(positions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), hw, ["route_id", "direction_id"])
-    v = v.withColumn("headway", F.coalesce("sched_median_headway_s", F.lit(DEFAULT_HEADWAY_S)))
-    v = v.withColumn("cy", F.floor(F.col("lat") / SIZE_LAT))
-    v = v.withColumn("cx", _column(F.col("lon"), F.col("cy")))
+    v = _located(positions, headway)
     keep = ["vehicle_id", "lat", "lon"]
     a = v.select("route_id", "direction_id", "headway", "cx", "cy", *[F.col(c).alias(f"{c}_a") for c in keep])
-    # columns are as wide as the band needs that is met, and close up around the globe
-    b = v.select("route_id", "direction_id", *[F.col(c).alias(f"{c}_b") for c in keep], F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])).alias("cy"))
-    beside = F.array_distinct(F.array(*[F.pmod(_column(F.col("lon_b"), F.col("cy")) + i, _columns(F.col("cy"))) for i in (-1, 0, 1)]))
-    b = b.withColumn("cx", F.explode(beside))
+    b = _around(v.select("route_id", "direction_id", "cy", *[F.col(c).alias(f"{c}_b") for c in keep]), "lon_b")
     b = b.withColumnsRenamed({"route_id": "r_b", "direction_id": "d_b", "cx": "cx_b", "cy": "cy_b"})
     same = F.col("route_id").eqNullSafe(F.col("r_b")) & F.col("direction_id").eqNullSafe(F.col("d_b")) & (F.col("cx") == F.col("cx_b")) & (F.col("cy") == F.col("cy_b"))
     j = a.join(b, same & (F.col("vehicle_id_a") < F.col("vehicle_id_b"))).drop("r_b", "d_b", "cx_b", "cy_b")
-    gap = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    expected = F.col("headway") * NOMINAL_MPS
-    j = j.withColumns({"gap_m": gap, "expected_m": expected})
-    return j.where(F.col("gap_m") < F.least(PAIR_FRAC * F.col("expected_m"), F.lit(CAP_M))).drop("cx", "cy")
+    return _close(j).drop("cx", "cy")
+
+
+def pairs_by_window(positions: DataFrame, headway: DataFrame, window: Column) -> DataFrame:
+    """:func:`candidate_pairs` of every window by itself, as one aggregation, which a stream can run where it can't join itself.
+
+    What meets is what one cell of a route's direction and the cells beside it hold in one window.
+    """
+    v = _located(positions, headway).withColumnsRenamed({"cx": "home_x", "cy": "home_y"}).withColumn("cy", F.col("home_y"))
+    v = _around(v, "lon").withColumn("home", (F.col("cx") == F.col("home_x")) & (F.col("cy") == F.col("home_y")))
+    met = v.groupBy(window.alias("window"), "route_id", "direction_id", "cx", "cy").agg(F.collect_list(F.struct("vehicle_id", "lat", "lon", "headway", "home")).alias("m"))
+    later = lambda a: F.filter("m", lambda b: b.vehicle_id > a.vehicle_id)
+    pairs = F.flatten(F.transform(F.filter("m", lambda a: a.home), lambda a: F.transform(later(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    sides = [F.col(f"p.{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("vehicle_id", "lat", "lon")]
+    met = met.select("window", "route_id", "direction_id", F.explode(pairs).alias("p"))
+    return _close(met.select("window", "route_id", "direction_id", F.col("p.a.headway").alias("headway"), *sides))
 
 
 def _rank() -> Column:

@@ -128,6 +128,25 @@ def stale_runs(polls: DataFrame, max_age: int = 300) -> DataFrame:
     return p.withColumn("stale", F.col("poll_ts") - F.col("since") > max_age).select("feed", "poll_ts", "header_ts", "since", "stale")
 
 
+def stale_changes(polls: DataFrame, max_age: int = 300, late: int = 600) -> DataFrame:
+    """(feed, header_ts, since, at, stale): a row when a feed's header has stood still for ``max_age`` seconds and one when it moves again.
+
+    A header stands until the next one; the last one of a feed until its last poll, or ``late`` seconds before the last poll of all
+    feeds.  Input one row per (feed, poll): poll_ts, header_ts.
+    """
+    polls = polls.where("header_ts is not null and poll_ts is not null")
+    hour = F.floor(F.col("poll_ts") / 3600)
+    p = with_neighbour(polls, ["feed"], ["poll_ts"], hour, prev={"prev_header": "header_ts"})
+    moved = p.where(F.col("prev_header").isNull() | (F.col("header_ts") != F.col("prev_header"))).select("feed", "header_ts", F.col("poll_ts").alias("since"))
+    moved = with_neighbour(moved, ["feed"], ["since"], F.floor(F.col("since") / 3600), prev={"before": "since"}, next={"until": "since"})
+    last = polls.groupBy("feed").agg(F.max("poll_ts").alias("last"))
+    runs = moved.join(last, "feed").crossJoin(F.broadcast(polls.agg((F.max("poll_ts") - late).alias("known"))))  # one row
+    stood = F.coalesce("until", F.greatest("last", "known")) - F.col("since") > max_age
+    still = runs.where(stood).select("feed", "header_ts", "since", (F.col("since") + max_age).alias("at"), F.lit(True).alias("stale"))
+    again = runs.where(F.col("since") - F.col("before") > max_age).select("feed", "header_ts", "since", F.col("since").alias("at"), F.lit(False).alias("stale"))
+    return still.unionByName(again)
+
+
 def stamp_depth(df: DataFrame, days: DataFrame) -> DataFrame:
     """Archive depth in days and the PRELIMINARY mark below 14 days."""
     depth = days.agg(F.countDistinct("day").alias("archive_depth_days"))

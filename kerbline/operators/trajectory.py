@@ -7,12 +7,14 @@ All series steps run inside (key, hour) chunks; see ``plans.series``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbline.functions.planar import MPS_TO_MPH, haversine_m
 from kerbline.plans.ranks import exact_percentiles
 from kerbline.plans.proximity import interval_bins
 from kerbline.plans.series import null_safe_join, with_neighbour, with_running
+from kerbline.session import materialize
 
 # Thresholds of the derivation.
 RESAMPLE_S = 30
@@ -139,18 +141,18 @@ def segment_speed_from_pings(pings: DataFrame) -> DataFrame:
 def latest_two(pings: DataFrame, within_s: int = 120) -> DataFrame:
     """Latest and previous report of each vehicle among those seen in the last N seconds of the feed.
 
-    Two mergeable aggregates instead of a per-vehicle sort.
+    One scan: every task keeps the two newest reports of each vehicle (a limit inside the window's groups), so two rows per vehicle
+    and task are shuffled; the horizon comes from those.
     """
-    horizon = pings.agg(F.max("ts").alias("__now"))
-    order = F.struct("ts", "event_id")
-    payload = F.struct("trip_id", "route_id", "direction_id", "stop_id", "ts", "event_id", "lat", "lon", "x_ft", "y_ft", "offset_ft")
-    last = pings.groupBy("vehicle_id").agg(F.max_by(payload, order).alias("l"))
-    last = last.crossJoin(F.broadcast(horizon)).where(F.col("l.ts") >= F.col("__now") - within_s).drop("__now")
-    older = pings.join(last, "vehicle_id").where(order < F.struct(F.col("l.ts"), F.col("l.event_id")))
-    prev = older.groupBy("vehicle_id").agg(F.max_by(payload, order).alias("p"))
-    return last.join(prev, "vehicle_id", "left").select("vehicle_id", "l.*", F.col("p.ts").alias("prev_ts"), F.col("p.lat").alias("prev_lat"),
-                                                       F.col("p.lon").alias("prev_lon"), F.col("p.x_ft").alias("prev_x"), F.col("p.y_ft").alias("prev_y"),
-                                                       F.col("p.offset_ft").alias("prev_offset_ft"))
+    payload = ["trip_id", "route_id", "direction_id", "stop_id", "ts", "event_id", "lat", "lon", "x_ft", "y_ft", "offset_ft"]
+    newest = W.partitionBy("vehicle_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    two = pings.where("ts is not null").select("vehicle_id", *payload).withColumn("__n", F.row_number().over(newest)).where("__n <= 2")
+    nth = lambda n: F.max_by(F.struct(*payload), F.when(F.col("__n") == n, 1))
+    both = materialize(two.groupBy("vehicle_id").agg(nth(1).alias("l"), nth(2).alias("p")), "newest")
+    horizon = both.agg(F.max("l.ts").alias("__now"))
+    near = both.crossJoin(F.broadcast(horizon)).where(F.col("l.ts") >= F.col("__now") - within_s)  # one row
+    before = {"prev_ts": "ts", "prev_lat": "lat", "prev_lon": "lon", "prev_x": "x_ft", "prev_y": "y_ft", "prev_offset_ft": "offset_ft"}
+    return near.select("vehicle_id", "l.*", *[F.col(f"p.{c}").alias(name) for name, c in before.items()])
 
 
 def motion_guards(rows: DataFrame, perp: str = "perp_ft") -> DataFrame:

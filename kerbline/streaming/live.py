@@ -8,30 +8,48 @@ the watermark has closed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerbline.functions import clock
+from kerbline.operators.bunching import PAIR_FRAC, pairs_by_window
 from kerbline.session import scratch_path
 
+#: Chained keyed state needs column families, which only this state store has.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 100) -> DataFrame:
     """Landed snapshot files as a stream, at most ``files`` of them a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_to_table(stream: DataFrame, label: str, partition_by: tuple[str, ...] = (), mode: str = "append") -> DataFrame:
-    """Process everything that has landed, write it exactly once, read the table back."""
+def run_to_table(stream: DataFrame, label: str, partition_by: tuple[str, ...] = (), mode: str = "append", chained: bool = False) -> DataFrame:
+    """Process everything that has landed, write it exactly once, read the table back.
+
+    ``chained``: the stream has several keyed states one after the other.
+    """
     spark = stream.sparkSession
     out, check = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
     w = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", check)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.trigger(availableNow=True).start().awaitTermination()
+    w = w.trigger(availableNow=True)
+    if chained:
+        before = spark.conf.get(STORE[0])
+        spark.conf.set(*STORE)
+    try:
+        q = w.start()  # a query keeps the settings it was started with
+    finally:
+        if chained:
+            spark.conf.set(STORE[0], before)
+    q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -73,23 +91,171 @@ def stream_trailing(arrivals: DataFrame, late: str = "10 minutes") -> DataFrame:
     return g.select((F.unix_timestamp("w.end") - clock.LOCAL_OFFSET_S).alias("bin_local"), "mean_dev", "n")
 
 
-def stream_latest(pings: DataFrame) -> DataFrame:
-    """Newest report per vehicle; complete mode keeps one mergeable row of state per vehicle."""
-    best = F.max_by(F.struct("ts", "event_id", "stop_id", "lat", "lon"), F.struct("ts", "event_id"))
-    return pings.groupBy("vehicle_id").agg(best.alias("b")).select("vehicle_id", "b.*")
+def stream_bunching(pings: DataFrame, headway: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Pairs of vehicles too close to each other, per 5-minute window: the newest position of each vehicle in the window, and of
+    those the pairs that :func:`~kerbline.operators.bunching.candidate_pairs` finds.
+
+    State is one position per (window, vehicle) until the window closes; then the vehicles in and around a cell meet as one group of
+    (window, cell), which is given out in the same micro-batch.  ``headway`` is a static table.
+    """
+    p = with_event_time(pings.where("lat is not null and lon is not null"), "ts", late)
+    newest = F.max_by(F.struct("route_id", "direction_id", "lat", "lon"), F.struct("ts", "event_id")).alias("b")
+    closed = p.groupBy(F.window("event_time", "5 minutes").alias("w"), "vehicle_id").agg(newest).select(F.window_time("w").alias("closes"), "vehicle_id", "b.*")
+    pairs = pairs_by_window(closed, headway, F.window("closes", "5 minutes"))
+    start = (F.unix_timestamp("window.start") - clock.LOCAL_OFFSET_S).alias("bin_local")
+    return pairs.select(start, "route_id", "direction_id", "vehicle_id_a", "vehicle_id_b", "gap_m", "expected_m")
+
+
+def stream_short_headways(arrivals: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Arrivals per 5-minute window that come less than a quarter of the scheduled headway after the one before."""
+    a = with_event_time(arrivals, "arr_ts", late)
+    short = F.coalesce(F.col("headway_s") < PAIR_FRAC * F.col("sched_median_headway_s"), F.lit(False))
+    g = a.groupBy(F.window("event_time", "5 minutes").alias("w")).agg(F.count_if(short).alias("active_bunching_pairs"), F.count(F.lit(1)).alias("arrivals"))
+    return g.select((F.unix_timestamp("w.start") - clock.LOCAL_OFFSET_S).alias("bin_local"), "active_bunching_pairs", "arrivals")
+
+
+REPORT = "ts long, event_id long, stop_id string, lat double, lon double"
+NEWEST_SCHEMA = f"vehicle_id string, {REPORT}, " + REPORT.replace(", ", ", prev_").replace("ts ", "prev_ts ", 1)
+NEWEST_COLUMNS = [c.split()[0] for c in NEWEST_SCHEMA.split(", ")]
+
+
+def _two_newest(ttl: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The vehicle's two newest reports, told again only when they change; after ``ttl`` seconds of silence a row of nulls."""
+        if state.hasTimedOut:
+            state.remove()
+            yield _typed([(key[0], *[None] * 10)])
+            return
+        known = list(state.get) if state.exists else [None] * 10
+        newest = {r[:2]: r for r in (tuple(known[:5]), tuple(known[5:])) if r[0] is not None}
+        before = dict(newest)
+        for pdf in batches:
+            for r in pdf.sort_values(["ts", "event_id"]).tail(2).itertuples(index=False):
+                newest.setdefault((int(r.ts), int(r.event_id)), (int(r.ts), int(r.event_id), r.stop_id, _number(r.lat), _number(r.lon)))
+            newest = {k: newest[k] for k in sorted(newest)[-2:]}
+        both = [newest[k] for k in sorted(newest, reverse=True)]
+        row = [*both[0], *(both[1] if len(both) > 1 else [None] * 5)]
+        state.update(tuple(row))
+        state.setTimeoutTimestamp(max(row[0] + ttl, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
+        if newest != before:
+            yield _typed([(key[0], *row)])
+
+    return run
+
+
+def _number(x) -> float | None:
+    return None if pd.isna(x) else float(x)
+
+
+def _typed(rows: list[tuple]) -> pd.DataFrame:
+    kinds = {"long": "Int64", "double": "Float64", "string": "object"}
+    columns = zip(*rows, strict=True)
+    return pd.DataFrame({c.split()[0]: pd.Series(list(v), dtype=kinds[c.split()[1]]) for c, v in zip(NEWEST_SCHEMA.split(", "), columns, strict=True)})
+
 
+def stream_latest(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * clock.DAY_S) -> DataFrame:
+    """The newest and the previous report of each vehicle, in update mode: only vehicles whose reports changed come out.
 
-def run_complete(stream: DataFrame, label: str) -> DataFrame:
-    """Run a complete-mode aggregate over everything landed; each batch replaces the table (idempotent)."""
+    State is one row per vehicle, dropped (and told as a row of nulls) after ``ttl`` seconds of silence.  A report told twice counts once.
+    """
+    p = with_event_time(pings.where("ts is not null"), "ts", late).select("vehicle_id", "ts", "event_id", "stop_id", "lat", "lon", "event_time")
+    state = ", ".join(f"{kind}{c.split()[0]} {c.split()[1]}" for kind in ("n_", "p_") for c in REPORT.split(", "))
+    return p.groupBy("vehicle_id").applyInPandasWithState(_two_newest(ttl), NEWEST_SCHEMA, state, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def newest_of(changes: DataFrame, key: str, gone: str) -> DataFrame:
+    """The table that a log of changes stands for: each key's row of the highest version, without those whose ``gone`` is null."""
+    rows = F.struct(*[c for c in changes.columns if c not in (key, "version")])
+    return changes.groupBy(key).agg(F.max_by(rows, "version").alias("r")).select(key, "r.*").where(F.col(gone).isNotNull())
+
+
+def run_changes(stream: DataFrame, label: str, key: str, gone: str, fold: int = 50) -> DataFrame:
+    """Run an update-mode stream into a log of changed rows, and read the table that it stands for.
+
+    A micro-batch writes its changes under its own number, so a batch that is run again replaces itself.  Every ``fold`` batches the log is
+    written anew as one row per key; older parts stay for readers that are at work and hold nothing that counts any more.
+    """
     spark = stream.sparkSession
     out, check = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    schema = T.StructType([*stream.schema.fields, T.StructField("version", T.LongType())])
+
+    def log(upto: int) -> DataFrame:
+        """The last whole table before batch ``upto`` and the changes after it."""
+        base = upto // fold * fold
+        parts = [spark.read.schema(schema).parquet(f"{out}/table-{base}")] if base else []
+        parts += [spark.read.schema(schema).parquet(f"{out}/changes-{i}") for i in range(base, upto)]
+        table = parts[0]
+        for part in parts[1:]:
+            table = table.unionByName(part)
+        return table
+
+    done = [0]
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/changes-{number}")
+        done[0] = number + 1
+        if done[0] % fold == 0:
+            base = done[0] - fold
+            whole = [f"{out}/table-{base}"] if base else []
+            rows = spark.read.schema(schema).parquet(*whole, *[f"{out}/changes-{i}" for i in range(base, done[0])])
+            newest_of(rows, key, gone).withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/table-{done[0]}")
+
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(append).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return newest_of(log(done[0]), key, gone) if done[0] else spark.createDataFrame([], stream.schema)
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", check).foreachBatch(replace).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+STALE_SCHEMA = "feed string, header_ts long, since long, at long, stale boolean"
+
+
+def _stale(max_age: int, event_time: bool):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A row when a feed's header has stood still for ``max_age`` seconds, and one when it moves again."""
+        header, since, seen, stale = state.get if state.exists else (None, None, None, False)
+        out = []
+        if state.hasTimedOut:
+            if since is not None and not stale:
+                out.append((key[0], header, since, since + max_age, True))
+                stale = True
+            state.update((header, since, seen, stale))
+        else:
+            polls = pd.concat(list(batches), ignore_index=True)[["poll_ts", "header_ts"]].sort_values(["poll_ts", "header_ts"], na_position="first")
+            for at, head in polls.itertuples(index=False):
+                # a poll that was not after the last one known changes nothing, nor does one without header
+                if pd.isna(head) or seen is not None and at <= seen:
+                    continue
+                at, head, seen = int(at), int(head), int(at)
+                if since is not None and not stale and at - since > max_age:
+                    out.append((key[0], header, since, since + max_age, True))
+                    stale = True
+                if head != header:
+                    if stale:
+                        out.append((key[0], head, at, at, False))
+                    header, since, stale = head, at, False
+            state.update((header, since, seen, stale))
+            if since is not None and not stale:
+                if event_time:
+                    state.setTimeoutTimestamp(max((since + max_age) * 1000, state.getCurrentWatermarkMs() + 1))
+                else:
+                    state.setTimeoutDuration(max(1, (since + max_age) * 1000 - state.getCurrentProcessingTimeMs()))
+        if out:
+            yield pd.DataFrame(out, columns=["feed", "header_ts", "since", "at", "stale"])
+
+    return run
+
+
+def stream_stale(polls: DataFrame, max_age: int = 300, late: str = "10 minutes", live: bool = False) -> DataFrame:
+    """Feeds whose header stands still: (feed, header_ts, since, at, stale), one row when it has not moved for ``max_age`` seconds
+    and one when it moves again.  Input one row per (feed, poll): poll_ts, header_ts.
+
+    Polls of a feed tell by themselves; a timer tells of feeds that are not polled any more.  ``live``: the timer is the clock of the cluster, for a
+    running service; else it is the watermark of all feeds' polls, and a replay gives the same rows as
+    :func:`~kerbline.operators.quality.stale_changes`.
+    """
+    clock_ = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.EventTimeTimeout
+    p = polls.where("poll_ts is not null").select("feed", "poll_ts", "header_ts")
+    p = p if live else with_event_time(p, "poll_ts", late)
+    return p.groupBy("feed").applyInPandasWithState(_stale(max_age, not live), STALE_SCHEMA, "header long, since long, seen long, stale boolean", "append", clock_)
 
 
 PASSAGE_SCHEMA = "vehicle_id string, route_id string, direction_id int, stop_id string, ts long, event_id long"
@@ -127,3 +293,118 @@ def stream_passages(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * cloc
     p = with_event_time(pings, "ts", late).select("vehicle_id", "route_id", "direction_id", "stop_id", "ts", "event_id", "event_time")
     return p.groupBy("vehicle_id").applyInPandasWithState(
         _passages(ttl), PASSAGE_SCHEMA, "stop string, seen long, event long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class _InOrder(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed them, then hands them on in the order of (ts, event_id), with what was
+    remembered of the key.  What is remembered goes after ``ttl`` seconds of silence."""
+
+    ROW = MEMORY = ""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.ROW)
+        self.memory = handle.getValueState("memory", self.MEMORY)
+        self.columns = [c.split()[0] for c in self.ROW.split(", ")]
+        self.kinds = [c.split()[1] for c in self.ROW.split(", ")]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList([tuple(map(_plain, r, self.kinds)) for r in pdf[self.columns].itertuples(index=False)])
+                least = int(pdf["ts"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(first * 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        due = [r for r in rows if r[0] * 1000 < passed]
+        rest = rows[len(due) :]
+        if due or not rest:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        memory = tuple(self.memory.get()) if self.memory.exists() else None
+        if due:
+            out, memory = self.step(key, due, memory)
+            self.memory.update(memory)
+            if out:
+                yield self.frame(out)
+        if rest:
+            self.handle.registerTimer(rest[0][0] * 1000)
+        elif memory is not None:
+            until = (memory[0] + self.ttl) * 1000
+            if until < passed:
+                self.memory.clear()
+            else:
+                self.handle.registerTimer(until)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(x, kind: str):
+    """A value of a pandas row as plain Python: whole numbers that pandas holds as floats become whole again, missing ones None."""
+    return None if pd.isna(x) else int(x) if kind in ("int", "long") else x
+
+
+class _Passages(_InOrder):
+    """Vehicle to passage: its rows where the stop changes.  Remembered: the last report's time and stop."""
+
+    ROW = "ts long, event_id long, stop_id string, route_id string, direction_id int"
+    MEMORY = "ts long, stop_id string"
+    OUT = "vehicle_id string, route_id string, direction_id int, stop_id string, ts long, event_id long, event_time timestamp"
+
+    def step(self, key, due, memory):
+        (last, stop), out = memory or (None, None), []
+        for ts, event, at, route, direction in due:
+            if at != stop or ts - last > self.ttl:
+                out.append((key[0], route, direction, at, ts, event, datetime.fromtimestamp(ts, timezone.utc)))
+            last, stop = ts, at
+        return out, (last, stop)
+
+    def frame(self, out):
+        pdf = pd.DataFrame(out, columns=["vehicle_id", "route_id", "direction_id", "stop_id", "ts", "event_id", "event_time"])
+        return pdf.astype({"direction_id": "Int32"})
+
+
+class _Headways(_InOrder):
+    """Stop to the passage before: seconds since then.  Remembered: the time of the last passage."""
+
+    ROW = "ts long, event_id long, vehicle_id string, route_id string, direction_id int, stop_id string"
+    MEMORY = "ts long"
+    OUT = "route_id string, direction_id int, stop_id string, vehicle_id string, ts long, event_id long, headway_s long"
+
+    def step(self, key, due, memory):
+        last, out = memory[0] if memory else None, []
+        for ts, event, vehicle, route, direction, stop in due:
+            gap = None if last is None or ts - last > self.ttl else ts - last
+            out.append((route, direction, stop, vehicle, ts, event, gap))
+            last = ts
+        return out, (last,)
+
+    def frame(self, out):
+        pdf = pd.DataFrame(out, columns=["route_id", "direction_id", "stop_id", "vehicle_id", "ts", "event_id", "headway_s"])
+        return pdf.astype({"direction_id": "Int32", "headway_s": "Int64"})
+
+
+def stream_headways(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * clock.DAY_S) -> DataFrame:
+    """Headways as reports arrive: vehicles tell passages, and passages of a stop (route, direction, stop) tell the seconds since the one before.
+
+    Two chained keyed states.  Rows wait until the watermark has passed them, so reports may come in any order within ``late`` and the
+    result equals the batch job; later ones are left out.  A vehicle or a stop that is silent for ``ttl`` seconds is forgotten: its next
+    passage has no headway.  Needs :data:`STORE` (``run_to_table(..., chained=True)``).
+    """
+    p = pings.where("stop_id is not null and stop_id <> '' and route_id is not null and ts is not null")
+    p = with_event_time(p, "ts", late).select("vehicle_id", "route_id", "direction_id", "stop_id", "ts", "event_id", "event_time")
+    told = p.groupBy("vehicle_id").transformWithStateInPandas(_Passages(ttl), _Passages.OUT, "append", "eventtime", eventTimeColumnName="event_time")
+    # one text as the key: pandas holds a whole number that may be missing as a float, which is no key of the state
+    told = told.withColumn("stop_key", F.to_json(F.struct("route_id", "direction_id", "stop_id")))
+    return told.groupBy("stop_key").transformWithStateInPandas(_Headways(ttl), _Headways.OUT, "append", "eventtime")
