@@ -13,22 +13,22 @@ pieces of their length; ranks come from counts per length and salt, so the commo
 
 from __future__ import annotations
 
-import array
 import bisect
 import itertools
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import chunks
+from kerbline.llm.tokens import token_ids
+from kerbline.llm.words import as_bytes, chunks
 from kerbline.session import materialize
 
 GRID, SALTS = 128, 64
+#: Bytes of text that are encoded at a time, one text at least.
+CHUNK = 1 << 22
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -177,105 +177,16 @@ def _best_fit(left: dict[int, int], size: int, runs: list[tuple[tuple[int, ...],
     return [run for room in sorted(by_room) for run in by_room[room]]
 
 
-class _Ids(dict):
-    """Token ids by white-space separated word; a chunk's new words are encoded in one call.
-
-    The vocabulary's pieces never cross white space, so a text's ids are those of its words in a row.  Of words, and of the
-    letters in them, ``MOST`` each are kept for good, which bounds the memory; the rest are kept for a chunk.
-    """
-
-    MOST = 600_000
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.last[i] = token.endswith("</w>")
-        self.core: dict[str, tuple[int, ...]] = {}
-        self.rare: dict[bytes, tuple[int, ...]] = {}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        return self.rare[word]
-
-    def encoded(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    @staticmethod
-    def split(text: str) -> tuple[str, str] | None:
-        """Letters in lower case and the one full stop or comma after them: pieces of their own, and letters that are often
-        known.  Only for letters below U+0250, whose lower case and normal form are the same everywhere; else None."""
-        core, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
-        if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
-            return core.lower(), mark
-        return None
-
-    def learn(self, words: set[bytes]) -> None:
-        """Makes the ids of all ``words`` known until the next call."""
-        parts, fresh, self.rare = {}, {}, {}
-        found = self if len(self) < self.MOST else self.rare
-        for word in words.difference(self):
-            text = word.decode("utf-8", "replace")
-            if halves := self.split(text):
-                parts[word] = halves
-                if halves[0] not in self.core:
-                    fresh[halves[0]] = ()
-            else:
-                found[word] = tuple(self.encoded(text))
-        names = list(fresh)
-        for at in range(0, len(names), 4096):
-            some = names[at : at + 4096]
-            ids = self.encoded(" ".join(some))
-            ends = (np.flatnonzero(self.last[np.array(ids)]) + 1).tolist()
-            if len(ends) == len(some):
-                fresh.update((name, tuple(ids[i:j])) for name, i, j in zip(some, [0, *ends], ends, strict=False))
-            else:
-                fresh.update((name, tuple(self.encoded(name))) for name in some)
-        if len(self.core) < self.MOST:
-            self.core.update(fresh)
-        marks = {"": (), **{m: tuple(self.encoded(m)) for m in ".,"}}
-        for word, (core, mark) in parts.items():
-            ids = fresh.get(core) or self.core[core]
-            found[word] = ids + marks[mark] if mark else ids
-
-
-_CACHE: dict[str, _Ids] = {}
-
-
-def _ids(path: str) -> _Ids:
-    """One per worker process and file; workers outlive tasks."""
-    if path not in _CACHE:
-        _CACHE.clear()
-        _CACHE[path] = _Ids(path)
-    return _CACHE[path]
-
-
-def token_ids(texts: list[bytes], path: str, end: int = 0) -> Iterator[array.array]:
-    """Ids of every text, then ``end``."""
-    known = _ids(path)
-    words = [text.split() for text in texts]
-    known.learn(set(itertools.chain.from_iterable(words)))
-    for each in words:
-        ids = array.array("I", itertools.chain.from_iterable(map(known.__getitem__, each)))
-        ids.append(end)
-        yield ids
-
-
 def _pieces(path: str, size: int):
     def run(batches):
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            for lo, hi in chunks(offsets, 1 << 22):
+            data, offsets = as_bytes(batch.column(1))
+            for lo, hi in chunks(offsets, CHUNK):
                 out = []
-                for doc_id, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), token_ids(texts[lo:hi], path), strict=True):
-                    raw = np.frombuffer(ids, np.uint32).astype("<u4")
-                    for piece, start in enumerate(range(0, len(raw), size)):
-                        part = raw[start : start + size]
-                        out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+                for doc_id, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), token_ids(data, offsets[lo : hi + 1], path), strict=True):
+                    for piece, start in enumerate(range(0, len(ids), size)):
+                        part = ids[start : start + size]
+                        out.append((doc_id, piece, start, len(part), zlib.crc32(part)))
                 columns = zip(*out, strict=True)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,9 +10,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from kerbline.llm import divergence, exact, resample
-from kerbline.llm.words import NOT_ALNUM, as_bytes, spans
+from kerbline.llm import divergence, exact, lines, mixing, resample, tokens, toxicity
+from kerbline.llm.catalog import tokenizer_path
+from kerbline.llm.words import NOT_ALNUM, as_bytes, chunks, spans
 
 SMALL = "/root/testdata/sf0.001"
 TEXT = "doc_id long, text string, sha string, key long, `a b` struct<`x y`: int>"
@@ -261,3 +264,31 @@ def test_shares_of_large_counts(spark):
     df = spark.createDataFrame([(3 * 10**14, 4 * 10**14, 10**13), (0, 7, 1), (7, 7, 1), (0, 0, 3)], "n long, total long, v long")
     got = df.select("n", "total", "v", divergence.share("n", "total", "v").alias("p")).collect()
     assert [r.p for r in got] == [1 + 10**9 * (r.n + 5) // (r.total + 5 * r.v) for r in got]
+
+
+# ---------------------------------------------------------------- ids by piece
+
+
+def test_ids_by_piece_are_the_tokenizers(monkeypatch):
+    """Random strings of letters, marks, endings, white space of all kinds and special tokens; also where few pieces are kept."""
+    gen = random.Random(4)
+    signs = list("aZbé ÀÿßÖ×÷ªµ 's're'll'VE'd'm'T'' \n\t.,!?12½<|>") + [*tokens.BETWEEN.split("x"), "<|startoftext|>", "<|ENDOFTEXT|>", "don't", "İ", "́", "中", "“", " ", "\u0085", "ﬁ", "\x00", "\x1c", "😀"]
+    texts = ["".join(gen.choices(signs, k=gen.randrange(60))) for _ in range(1500)] + ["", "x" * 30_000, "ab " * 20_000]
+    data, offsets = as_bytes(pa.array(texts))
+    for most in (1 << 20, 2500):
+        monkeypatch.setattr(tokens.Encoder, "MOST", most)
+        known = tokens.Encoder(tokenizer_path())
+        assert known.by_piece
+        monkeypatch.setitem(tokens._CACHE, tokenizer_path(), known)
+        got = [ids.tolist() for lo, hi in chunks(offsets, 4000) for ids in tokens.token_ids(data, offsets[lo : hi + 1], tokenizer_path())]
+        want = [known.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert got == want
+    known.by_piece = False
+    assert [x.tolist() for x in tokens.token_ids(data, offsets[:50], tokenizer_path())] == want[:49]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    odd = spark.createDataFrame([(1, "some text " * 20, (2,), 3), (2, None, (2,), 3)], "doc_id long, text string, `a b` struct<`x y`: int>, `t``ick.dot` int").withColumn("source", F.lit("s"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for out in (lines.without_repeated_lines(odd), toxicity.without_toxic(odd, labels, 2.0), mixing.mixed(odd), exact.without_copies(odd)):
+        assert out.columns == odd.columns and out.schema["a b"].dataType == odd.schema["a b"].dataType and out.count() >= 1
