@@ -56,8 +56,9 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     order = np.argsort(at, axis=0, kind="stable").T
     places = np.take_along_axis(at.T, order, 1)
     # where every vector stands on every sorted line
-    rank = np.empty((m, n), np.uint16)
-    np.put_along_axis(rank, order, np.arange(n, dtype=np.uint16)[None, :], 1)
+    whole = np.uint16 if n < 1 << 16 else np.uint32
+    rank = np.empty((m, n), whole)
+    np.put_along_axis(rank, order, np.arange(n, dtype=whole)[None, :], 1)
     half = WIDTH * (float(at.std()) or 1.0)
     want = min(n, int(TIMES * k + SHARE * n))
     windows: list[tuple[np.ndarray, np.ndarray]] = []
@@ -67,11 +68,11 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         while level >= len(windows):
             wide = half * WIDER ** len(windows)
             lo, hi = (np.array([np.searchsorted(places[j], centre[:, j] + x, side) for j in range(m)]).T for x, side in ((-wide, "left"), (wide, "right")))
-            windows.append((lo.astype(np.uint16), (hi - lo).astype(np.uint16)))
+            windows.append((lo.astype(whole), (hi - lo).astype(whole)))
         return windows[level]
 
     def verified(q: int, level: int) -> np.ndarray:
-        """The vectors that all lines but a few have in their windows.  A full window of 2^16 can't be: blocks are smaller."""
+        """The vectors that all lines but a few have in their windows."""
         lo, length = window(level)
         inside = (rank - lo[q][:, None]) < length[q][:, None]
         return np.flatnonzero(inside.sum(0, dtype=np.uint8) >= max(1, m - MISSES))
@@ -136,7 +137,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     blocks = lambda c, size: F.greatest(F.ceil(F.col(c) / size), F.lit(1)).cast("int")
     info = info.where("q > 0").select(F.col("dim").alias("of"), "longest", blocks("n", BLOCK).alias("blocks"), blocks("q", QUERIES).alias("groups"))
     rows = rows.join(info, F.col("dim") == F.col("of")).drop("of")
-    draw = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
+    # by vector too: a vec_id may stand for any number of vectors
+    draw = lambda n, salt: F.pmod(F.xxhash64("vec_id", "vector", F.lit(salt)), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # of equal vectors only the k + 1 least vec_ids can be in a result
     alike = Window.partitionBy("dim", "vector").orderBy("vec_id")

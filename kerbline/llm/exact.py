@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.llm.lines import named
 from kerbline.llm.words import U, mix
 from kerbline.session import materialize
 
@@ -373,8 +374,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     index = build(docs)
     several = index.keys.where("copies > 1").select(F.col("sha").alias("__sha"), F.col("least").alias("__least"), F.lit(True).alias("__many"))
-    named = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     marked = docs.withColumn("__sha", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))).join(several, "__sha", "left")
-    single = marked.where("__many is null").select(*named)
+    single = marked.where("__many is null").select(*map(named, docs.columns))
     first = marked.where(F.col("__many") & F.col("doc_id").cast("long").eqNullSafe(F.col("__least"))).dropDuplicates(["__sha"])
-    return single.unionAll(first.select(*named))
+    return single.unionAll(first.select(*map(named, docs.columns)))

@@ -12,8 +12,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from kerbline.llm.bloom import bitmap_of, has
 from kerbline.session import materialize
@@ -82,6 +83,20 @@ def _rewritten(batches):
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "__left", "__lines", "__dropped", "__sha"])
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def by_place(df: DataFrame) -> list[Column]:
+    """All columns, named by their places: ``mapInArrow`` takes no names with dots or back-ticks."""
+    return [named(c).alias(f"c{i}") for i, c in enumerate(df.columns)]
+
+
+def placed_fields(df: DataFrame) -> list[StructField]:
+    return [StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
+
+
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with four more columns: __left (the text that stays), __lines, __dropped, __sha (sha256 of __left).
 
@@ -106,16 +121,16 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     gone = salted.join(held, ["key", "salt"]).where("id <> keeper")
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
     all_docs = docs.withColumns({"__id": ident, "__row": F.xxhash64("text"), "__text": body})
-    joined = all_docs.join(gone, ["__id", "__row"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__text", "__gone")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.mapInArrow(_rewritten, f"{fields}, __left binary, __lines long, __dropped long, __sha string")
+    joined = all_docs.join(gone, ["__id", "__row"], "left").select(*by_place(docs), "__text", "__gone")
+    more = [StructField("__left", BinaryType()), StructField("__lines", LongType()), StructField("__dropped", LongType()), StructField("__sha", StringType())]
+    out = joined.mapInArrow(_rewritten, StructType([*placed_fields(docs), *more])).toDF(*docs.columns, *[f.name for f in more])
     return out.withColumn("__left", F.col("__left").cast("string"))
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with the text that :func:`drop_lines` leaves; all columns, a null text as the empty text."""
     out = drop_lines(docs, min_chars, min_docs)
-    return out.select(*[F.col("__left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col("__left").alias("text") if c == "text" else named(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

@@ -123,7 +123,8 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: a document for every whole time it is taken, and its first words
     for the rest.  Documents of which nothing is taken go; so do texts without words, unless their source has none at all.
 
-    Rows of equal doc_id, source and text count as rows of their own.
+    Rows of equal doc_id, source and text count as rows of their own; which of them is cut where they differ in other columns is open.
+    Other columns may have any names that don't begin with two underscores.
     """
     same = ["__doc", "__source", "__row", "__copy"]
     ident = Window.partitionBy("__doc", "__source", "__row").orderBy(F.lit(0))
@@ -132,7 +133,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     full = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__row": F.xxhash64("text")})
     full = full.withColumn("__copy", F.row_number().over(ident))
     keys = [full[c].eqNullSafe(taken[c]) for c in same]
-    joined = full.join(taken, keys[0] & keys[1] & keys[2] & keys[3]).select(*[full[f"`{c}`"] for c in docs.columns], "__size", "__taken")
+    joined = full.join(taken, keys[0] & keys[1] & keys[2] & keys[3]).select(*[full["`" + c.replace("`", "``") + "`"] for c in docs.columns], "__size", "__taken")
     whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
     part = (F.col("__taken") % F.col("__size")).cast("int")
     times = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
@@ -142,4 +143,4 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     words = F.split(F.regexp_replace("text", f"^{white}+", ""), f"(?<={white})(?!{white})")
     start = F.regexp_replace(F.array_join(F.slice(words, 1, F.col("__part")), ""), f"{white}+$", "")
     text = F.when(F.col("__part") == 0, F.col("text")).otherwise(start)
-    return joined.withColumn("text", text).select(*docs.columns)
+    return joined.withColumn("text", text).select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])

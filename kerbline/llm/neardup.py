@@ -94,6 +94,14 @@ def distinct_sets(data, offsets, k: int) -> tuple[np.ndarray, np.ndarray]:
     return element, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(first) - 1))])
 
 
+def bucket_keys(sign: np.ndarray) -> np.ndarray:
+    """The bucket of every row in each band; the low bits tell the band."""
+    key = np.zeros((len(sign), BANDS), np.uint64)
+    for r in range(ROWS):
+        key = mix(key ^ mix(sign[:, r::ROWS] + U(r + 1)))
+    return (key & U(2**64 - BANDS)) | np.arange(BANDS, dtype=np.uint64)
+
+
 def _signatures(k: int):
     def run(batches):
         for batch in batches:
@@ -111,11 +119,7 @@ def _signatures(k: int):
                         full = n > 0
                         total[full] = np.add.reduceat(mix(element + U(salt)), first[:-1][full])
                     digest.append(total.view(np.int64))
-                key = np.zeros((hi - lo, BANDS), np.uint64)
-                for r in range(ROWS):
-                    key = mix(key ^ mix(sign[:, r::ROWS] + U(r + 1)))
-                # the low bits of a bucket tell its band
-                key = (key & U(2**64 - BANDS)) | np.arange(BANDS, dtype=np.uint64)
+                key = bucket_keys(sign)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
@@ -161,12 +165,13 @@ def _digests(shared):
             n = lists.value_lengths().to_numpy(zero_copy_only=False)
             item, row = longs(batch), np.repeat(np.arange(len(n)), n)
             own = np.bincount(row[~has(shared.value, item)], minlength=len(n))
-            sign = (mix(super_minhash(item, row, len(n))) >> U(48)).astype(np.uint16)
+            full = super_minhash(item, row, len(n))
+            sign = (mix(full) >> U(48)).astype(np.uint16)
             bitmap = np.zeros((len(n), SET_BITS // 8), np.uint8)
             bit = (mix(item + U(9)) % U(SET_BITS)).astype(np.int64)
             np.bitwise_or.at(bitmap, (row, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
-            packed = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (sign, bitmap)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(own, pa.int64()), *packed], names=["id", "n", "own", "sign", "bitmap"])
+            packed = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (sign, bitmap, bucket_keys(full))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(own, pa.int64()), *packed], names=["id", "n", "own", "sign", "bitmap", "keys"])
 
     return run
 
@@ -175,8 +180,8 @@ def _compare(percent: int):
     """Pieces x and y of a large bucket: pairs of different components that may reach the threshold.
 
     ``own`` is how many shingles of a member nobody else has; they can't be shared.  Every bit that one bitmap has and
-    the other lacks is an item that isn't shared.  A pair whose earlier bands already agree is left to the first
-    of them.
+    the other lacks is an item that isn't shared.  A pair that shares the buckets of earlier bands is left to the first
+    of them; that is told by the buckets themselves, so it does meet there.
     """
     t = percent / 100
     least = t - 6 * math.sqrt(t * (1 - t) / SLOTS)
@@ -187,6 +192,7 @@ def _compare(percent: int):
         same = key[1].as_py() == key[2].as_py()
         get = lambda side, c: side[c].to_numpy()
         signs = [np.frombuffer(b"".join(side["sign"].to_pylist()), np.uint16).reshape(-1, SLOTS) for side in (x, y)]
+        keys = [np.frombuffer(b"".join(side["keys"].to_pylist()), np.uint64).reshape(-1, BANDS) for side in (x, y)]
         maps = [np.frombuffer(b"".join(side["bitmap"].to_pylist()), np.uint64).reshape(-1, SET_BITS // 64) for side in (x, y)]
         idx, idy, cx, cy, nx, ny = get(x, "id"), get(y, "id"), get(x, "c"), get(y, "c"), get(x, "n"), get(y, "n")
         sx, sy = nx - get(x, "own"), ny - get(y, "own")
@@ -199,9 +205,8 @@ def _compare(percent: int):
             at = np.flatnonzero(ok)
             if len(at):
                 equal = signs[1][at] == signs[0][i]
-                at, equal = at[equal.mean(1) >= least], equal[equal.mean(1) >= least]
-                first = equal.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
-                at = at[first == band]
+                at = at[equal.mean(1) >= least]
+                at = at[(keys[1][at] == keys[0][i]).argmax(1) == band]
                 both = np.bitwise_count(maps[1][at] & maps[0][i]).sum(1, dtype=np.int64)
                 alone = [np.bitwise_count(m).sum(-1, dtype=np.int64) - both for m in (maps[0][i], maps[1][at])]
                 most = np.minimum(nx[i] - alone[0], ny[at] - alone[1])
@@ -280,12 +285,12 @@ def _large(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs to verify in open buckets that are too large to list."""
     items = materialize(sets.join(large.select("id").distinct(), "id").select("items", "id"), "large")
     shared = items.sparkSession.sparkContext.broadcast(bitmap_of(items, longs, ITEM_BITS, twice=True))
-    info = items.mapInArrow(_digests(shared), "id long, n long, own long, sign binary, bitmap binary")
+    info = items.mapInArrow(_digests(shared), "id long, n long, own long, sign binary, bitmap binary, keys binary")
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     member = large.join(info, "id").withColumn("pieces", pieces).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     # piece i meets every piece j >= i: as the left side of (i, j) and the right side of (j', i)
     spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    rest = ("id", "c", "n", "own", "sign", "bitmap")
+    rest = ("id", "c", "n", "own", "sign", "bitmap", "keys")
     left = spread.where("mine <= other").select("bucket", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *rest)
     right = spread.where("other <= mine").select("bucket", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), *rest)
     return left.union(right).groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from kerbline.llm.lines import by_place, named, placed_fields
 from kerbline.llm.words import NOT_ALNUM, as_bytes, chunks, spans
 from kerbline.session import materialize
 
@@ -276,11 +277,11 @@ def drawn(docs: DataFrame, target: DataFrame, percent: int = 25, min_words: int
     """The rows of ``docs`` that :func:`resample` draws, all columns as they are.
 
     Rows that equal the last one drawn in doc_id and score are drawn with it.  Other columns may have any names but
-    __words and __score.
+    __id, __words and __score.
     """
     gain = _model(docs, target, longest, buckets)
-    named = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-    schema = StructType([*docs.schema.fields, StructField("__id", LongType()), StructField("__words", LongType()), StructField("__score", LongType())])
+    more = ("__id", "__words", "__score")
+    schema = StructType([*placed_fields(docs), *[StructField(c, LongType()) for c in more]])
 
     def run(batches):
         for batch in batches:
@@ -288,7 +289,8 @@ def drawn(docs: DataFrame, target: DataFrame, percent: int = 25, min_words: int
             _, words, _, score = _scores(ids.to_pylist(), text, gain.value, longest, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], ids, pa.array(words), pa.array(score)], names=schema.names)
 
-    marked = docs.select(*named, F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
+    marked = docs.select(*by_place(docs), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("__text"))
+    marked = marked.mapInArrow(run, schema).toDF(*docs.columns, *more)
     able = marked.select(F.col("__id").alias("doc_id"), F.col("__words").alias("n_words"), F.col("__score").alias("score")).where(F.col("n_words") >= min_words)
     able = materialize(able, "weights")
     most = percent * able.count() // 100
@@ -297,4 +299,4 @@ def drawn(docs: DataFrame, target: DataFrame, percent: int = 25, min_words: int
         return docs.limit(0)
     before = F.col("__score") > last["score"]
     tied = (F.col("__score") == last["score"]) & (F.col("__id").isNotNull() & (F.col("__id") <= last["doc_id"]) if last["doc_id"] is not None else F.lit(True))
-    return marked.where((F.col("__words") >= min_words) & (before | tied)).select(*named)
+    return marked.where((F.col("__words") >= min_words) & (before | tied)).select(*map(named, docs.columns))

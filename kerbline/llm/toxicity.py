@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from kerbline.llm.lines import by_place, named, placed_fields
 from kerbline.llm.words import NOT_ALNUM, U, Words, as_bytes, chunks
 
 BUCKET_BITS, TERMS, FACTORS, STEM = 18, 8192, 8, 4
@@ -172,8 +174,9 @@ def with_score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with column __score, 0 to 1; null and empty texts get the score of no terms.  Column names that begin
     with two underscores are taken."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(_scored(known), f"{fields}, __score double")
+    schema = StructType([*placed_fields(docs), StructField("__score", DoubleType())])
+    rows = docs.select(*by_place(docs), F.col("text").cast("binary").alias("__text"))
+    return rows.mapInArrow(_scored(known), schema).toDF(*docs.columns, "__score")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -195,4 +198,4 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; all columns as they are."""
     model = learn(docs, labels)
-    return with_score(docs, model).where(F.col("__score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_score(docs, model).where(F.col("__score") < threshold).select(*map(named, docs.columns))
