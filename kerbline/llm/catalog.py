@@ -46,7 +46,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), z=5.0)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

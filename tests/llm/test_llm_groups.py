@@ -312,7 +312,7 @@ def test_mined_rules_against_counting(spark):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = urls.judge(pages, known, rules=(), min_support=0.02, min_confidence=0.6)
     verdict = {r.page_id: r.verdict for r in got.collect()}
-    tokens = {r.page_id: r.t for r in pages.select("page_id", F.array_sort(urls.tokens_of(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url")), 12)).alias("t")).collect()}
+    tokens = {r.page_id: r.t for r in pages.select("page_id", F.array_sort(urls.tokens_of(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url")))).alias("t")).collect()}
     bad = {d: bool(t) or q == 0 for d, q, t in labels}
     counts, bads = Counter(), Counter()
     for d in bad:
@@ -353,6 +353,33 @@ def test_mined_rules_hold_tokens_far_behind(spark):
     assert 50 < sum(c is not None for c in want.values()) < 350
 
 
+def test_labels_that_say_nothing_give_no_rules(spark):
+    gen = np.random.default_rng(3)
+    rows = [(i, f"http://{gen.choice(list('abcdefgh'))}.test/{gen.choice(list('stuvw'))}/{gen.choice(list('xyz'))}?k{gen.integers(4)}=1") for i in range(3000)]
+    noise = [(i, 1, int(gen.random() < 0.5)) for i, _ in rows]
+    planted = [(i, 1, int(u.startswith("http://a.") and "/t/" in u or gen.random() < 0.4)) for i, u in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+
+    def blocked(labels, z):
+        got = urls.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=(), z=z)
+        return {r.page_id for r in got.where("verdict = 'block'").collect()}
+
+    assert blocked(noise, 0.0) and not blocked(noise, 5.0)
+    assert blocked(planted, 5.0) == {i for i, u in rows if u.startswith("http://a.") and "/t/" in u}
+
+
+def test_baskets_of_one_host_unfold_in_lots(spark):
+    """More equal bad pages than a lot holds: counted whole."""
+    n = 2 * urls.LOT + 5
+    pages = spark.range(n + 3000).selectExpr("id AS page_id", f"IF(id < {n}, 'http://bad.test/x', concat('http://ok', id % 7, '.test/x')) AS url")
+    labels = pages.selectExpr("page_id AS doc_id", "1 AS quality", f"int(page_id < {n} AND page_id % 10 <> 0) AS toxic")
+    tokens = urls.tokens_of(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url")))
+    rules, items = urls.mined(pages.select(tokens.alias("tokens"), F.expr(f"page_id < {n} AND page_id % 10 <> 0").alias("bad")), 0.002, 0.8, 5.0)
+    assert {r.token for r in items.collect()} == {"host:bad", "part:bad", "host:test", "part:test", "path:x"}
+    assert [(r.items, r.confidence) for r in rules.collect()] == [(["host:bad"], (n - len(range(0, n, 10))) / n)]
+    assert urls.judge(pages, labels, rules=(), z=5.0, min_confidence=0.8).where("verdict = 'block'").count() == n
+
+
 # ---------------------------------------------------------------- chats
 
 
