@@ -295,24 +295,47 @@ def shape_lines(points: DataFrame) -> DataFrame:
     return c.groupBy("shape_id").agg(line.alias("line"), F.max("cum_ft").alias("shape_len_ft"), F.count(F.lit(1)).alias("n_points"))
 
 
-def line_locate(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """Offset along and distance from the point's own shape.
+def segment_index(cells: DataFrame, lines: DataFrame, size: float) -> DataFrame:
+    """Per (shape_id, cx, cy) the segments of the shape that can be nearest to some point of that cell.
 
-    The shape travels with the row as an array, so a position stays one row: no
-    fan-out over vertices and nothing to regroup.
+    Distances to a segment differ by at most half a diagonal between the centre of a cell and any of its points, so a segment
+    more than a whole diagonal farther from the centre than the nearest one is nobody's nearest there.  No point
+    is too far away for this: every cell gets at least one segment.
     """
     n = F.size("line")
-    es = F.zip_with(F.slice("line", F.lit(1), n - 1), F.slice("line", F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with(F.slice("line", F.lit(1), n - 1), F.slice("line", F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    mx, my = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
+
+    def from_centre(e):
+        return F.struct(*[e[v][c].alias(f"{v}_{c}") for v in "ab" for c in ("x", "y", "cum_ft")], P.segment_distance(mx, my, e.a.x, e.a.y, e.b.x, e.b.y).alias("d"))
+
+    at = cells.join(lines.where("n_points >= 2"), "shape_id").withColumn("segs", F.transform(pairs, from_centre)).drop("line")
+    at = at.withColumn("far", F.array_min(F.transform("segs", lambda e: e.d)) + size * math.sqrt(2) * (1 + 1e-9) + 1e-6)
+    near = F.transform(F.filter("segs", lambda e: e.d <= F.col("far")), lambda e: e.dropFields("d"))
+    return at.select("shape_id", "cx", "cy", "shape_len_ft", near.alias("segs"))
+
+
+def line_locate(points: DataFrame, lines: DataFrame, size: float = 300.0) -> DataFrame:
+    """Offset along and distance from the point's own shape; of equally near places the first along the shape.
+
+    Only the cells in which points lie meet whole shapes; a point meets the few segments kept for its cell
+    (``segment_index``).  The join is by shape and cell, so the points of a busy shape are spread over its cells.  Points of shapes
+    with fewer than two vertices are left out, points without coordinates have neither offset nor distance.
+    """
     x, y = F.col("x_ft"), F.col("y_ft")
+    placed = points.withColumns({"__cx": F.floor(x / size), "__cy": F.floor(y / size)})
+    cells = placed.select("shape_id", F.col("__cx").alias("cx"), F.col("__cy").alias("cy")).distinct()
+    index = segment_index(cells, lines, size).withColumnsRenamed({"shape_id": "__shape", "cx": "__ix", "cy": "__iy", "segs": "__segs"})
 
     def with_fraction(e):
-        return F.struct(e.a.alias("a"), e.b.alias("b"), P.segment_position(x, y, e.a.x, e.a.y, e.b.x, e.b.y).alias("u"))
+        return F.struct(e.alias("e"), P.segment_position(x, y, e.a_x, e.a_y, e.b_x, e.b_y).alias("u"))
 
-    def at(e):
-        px, py = e.a.x + e.u * (e.b.x - e.a.x), e.a.y + e.u * (e.b.y - e.a.y)
-        return F.struct(F.hypot(x - px, y - py).alias("perp"), (e.a.cum_ft + e.u * (e.b.cum_ft - e.a.cum_ft)).alias("off"))
+    def place(f):
+        px, py = f.e.a_x + f.u * (f.e.b_x - f.e.a_x), f.e.a_y + f.u * (f.e.b_y - f.e.a_y)
+        return F.struct(F.hypot(x - px, y - py).alias("perp"), (f.e.a_cum_ft + f.u * (f.e.b_cum_ft - f.e.a_cum_ft)).alias("off"))
 
-    j = points.join(lines.where("n_points >= 2"), "shape_id").withColumn("__m", F.array_min(F.transform(F.transform(es, with_fraction), at)))
+    own = (F.col("shape_id") == F.col("__shape")) & F.col("__cx").eqNullSafe(F.col("__ix")) & F.col("__cy").eqNullSafe(F.col("__iy"))
+    j = placed.join(index, own).withColumn("__m", F.array_min(F.transform(F.transform("__segs", with_fraction), place)))
     return j.select(*points.columns, "shape_len_ft", F.col("__m.off").alias("offset_ft"), F.col("__m.perp").alias("perp_ft"))
 
 

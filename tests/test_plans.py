@@ -299,3 +299,41 @@ def test_shared_folder_is_asked_for_on_a_cluster():
         shared_dir(Session(spark_master="yarn"))
     with pytest.raises(ValueError):
         shared_dir(Session(spark_master="local-cluster[2,1,1024]"))
+
+
+def test_line_location_against_all_segments(spark):
+    """A winding shape that crosses itself, one of two vertices and one of a single one; points on it, far off, without coordinates."""
+    rnd = random.Random(4)
+    path, x, y = [], 0.0, 0.0
+    for i in range(400):
+        path.append(("w", i, x, y))
+        x, y = x + 60 + 80 * math.cos(i / 9) + rnd.uniform(-30, 30), y + 80 * math.sin(i / 7)
+    shapes = path + [("v", 0, 0.0, 0.0), ("v", 1, 5000.0, 0.0), ("single", 0, 1.0, 1.0), ("same", 0, 2.0, 2.0), ("same", 1, 2.0, 2.0)]
+    pts = [(i, "w", p[2] + rnd.gauss(0, 60), p[3] + rnd.gauss(0, 60)) for i, p in enumerate(path)]
+    pts += [(1000 + i, ("w", "v", "same")[i % 3], rnd.uniform(-9e4, 9e4), rnd.uniform(-9e4, 9e4)) for i in range(180)]
+    pts += [(5000, "w", None, 1.0), (5001, "single", 0.0, 0.0), (5002, "none", 0.0, 0.0), (5003, None, 0.0, 0.0), (5004, "v", 300.0, 600.0), (5005, "v", 0.0, -300.0)]
+    lines = spatial.shape_lines(spark.createDataFrame(shapes, "shape_id string, seq long, x_ft double, y_ft double"))
+    got = spatial.line_locate(spark.createDataFrame(pts, "id long, shape_id string, x_ft double, y_ft double"), lines)
+    by_shape = {}
+    for s, _, x, y in shapes:
+        by_shape.setdefault(s, []).append((x, y))
+
+    def by_hand(s, x, y):
+        best, run = None, 0.0
+        for (ax, ay), (bx, by) in zip(by_shape[s], by_shape[s][1:]):
+            n = math.hypot(bx - ax, by - ay)
+            u = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n**2)) if n else 0.0
+            best = min(filter(None, (best, (math.hypot(x - ax - u * (bx - ax), y - ay - u * (by - ay)), run + u * n))))
+            run += n
+        return best
+
+    rows = {r.id: r for r in got.collect()}
+    assert set(rows) == {i for i, s, _, _ in pts if s in ("w", "v", "same")}
+    assert rows[5000].offset_ft is None and rows[5000].perp_ft is None
+    for i, s, x, y in pts:
+        if i in rows and x is not None:
+            perp, off = by_hand(s, x, y)
+            assert abs(rows[i].perp_ft - perp) < 1e-6 and abs(rows[i].offset_ft - off) < 1e-5, (i, s)
+    segs = spatial.segment_index(got.select("shape_id", (F.floor(F.col("x_ft") / 300)).alias("cx"), F.floor(F.col("y_ft") / 300).alias("cy")).where("cx is not null").distinct(), lines, 300.0)
+    near = segs.where("shape_id = 'w' and cx between 0 and 80 and abs(cy) < 5").agg(F.avg(F.size("segs"))).first()[0]
+    assert 1 <= near < 40  # of 399
