@@ -32,7 +32,11 @@ SELECT c_custkey, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE {DIST.format(n='up
             F.concat(F.lit("CB "), (F.col("c_custkey") % 18 + 1).cast("string"))).alias("street_district")))(I.table(s, d, "customer")))
 query("prj07_null_sentinel", "SELECT block_id, CASE WHEN income_raw > -666666666 THEN income_raw END AS income FROM blocks", "blocks")(
     lambda s, d: I.blocks(s, d).select("block_id", codes.null_sentinel(F.col("income_raw"), F.col("income_raw") <= -666666666).alias("income")))
-query("prj19_clean_text")(lambda s, d: I.table(s, d, "pages").select("page_id", codes.clean_text(F.col("html")).alias("clean")))
+ENTITIES = "html"
+for _name, _char in (("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("#39;", "''"), ("copy;", "©"), ("middot;", "·"), ("amp;", "&")):
+    ENTITIES = f"replace({ENTITIES}, '&{_name}', '{_char}')"
+# an ampersand's semicolon may be cut off at the end of a page
+query("prj19_clean_text", f"SELECT page_id, CASE WHEN html LIKE '%&amp' THEN left(t, length(t) - 3) ELSE t END AS clean FROM (SELECT page_id, html, coalesce({ENTITIES}, '') AS t FROM pages)")(lambda s, d: I.table(s, d, "pages").select("page_id", codes.clean_text(F.col("html")).alias("clean")))
 
 
 def blocks(s, d):

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Route prefix -> area, the longer prefixes first.
 AREA_BY_PREFIX = [
@@ -117,14 +115,48 @@ def bbl(boro: Column, block: Column, lot: Column) -> Column:
     return F.concat(boro, F.lpad(block, 5, "0"), F.lpad(lot, 4, "0"))
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def _character(code: Column) -> Column:
+    """The character of a numeric reference, by the rules of HTML: Windows-1252 for 128 to 159, nothing for control codes and
+    non-characters, U+FFFD for what no character can be."""
+    western = {c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
+    control = code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code % 65536 >= 0xFFFE)
+    text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when(code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+        .when(code.between(0x80, 0x9F), F.element_at(F.array(*[F.lit(v) for v in western.values()]), F.greatest(F.lit(1), F.least(F.lit(32), code - 127)).cast("int")))
+        .when(control, "")
+        .otherwise(text)
+    )
 
 
 def clean_text(col: Column) -> Column:
-    """Decode HTML entities left in feed text; NULL becomes ''."""
-    return _unescape(F.coalesce(col, F.lit("")))
+    """Decode the HTML entities left in feed text, once; NULL becomes ''.
+
+    Column expressions only: the text is cut at its ampersands and each piece begins with a reference or not.  Names are those of
+    HTML 5; the old ones among them count without a semicolon too, the longest that fits.
+    """
+    strict = F.create_map(*[F.lit(x) for k, v in html5.items() if k.endswith(";") for x in (k, v)])
+    old = {k: v for k, v in html5.items() if not k.endswith(";")}
+    loose = F.create_map(*[F.lit(x) for kv in old.items() for x in kv])
+    lengths = sorted({len(k) for k in old}, reverse=True)
+
+    def decoded(piece):
+        digits, hexes = F.regexp_extract(piece, "^#0*([0-9]+)", 1), F.regexp_extract(piece, "^#[xX]0*([0-9a-fA-F]+)", 1)
+        # longer numbers than these are beyond all characters
+        number = F.when(F.length(digits).between(1, 9), digits.try_cast("long")).when(F.length(hexes).between(1, 7), F.conv(hexes, 16, 10).try_cast("long"))
+        name = F.regexp_extract(piece, "^[^\\t\\n\\f <&#;]{1,31};", 0)
+        begins = F.coalesce(*[F.when(F.try_element_at(loose, F.substring(piece, 1, n)).isNotNull() & (F.length(piece) >= n), F.substring(piece, 1, n)) for n in lengths])
+        known = F.try_element_at(strict, name)
+        return (
+            F.when(piece.rlike("^#([0-9]|[xX][0-9a-fA-F])"), F.concat(_character(number), F.regexp_replace(piece, "^#([xX][0-9a-fA-F]+|[0-9]+);?", "")))
+            .when(known.isNotNull(), F.concat(known, F.substr(piece, F.length(name) + 1)))
+            .when(begins.isNotNull(), F.concat(F.try_element_at(loose, begins), F.substr(piece, F.length(begins) + 1)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    pieces = F.split(F.coalesce(col, F.lit("")), "&")
+    rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.concat(pieces[0], F.array_join(F.transform(rest, decoded), ""))
 
 
 def null_sentinel(col: Column, bad: Column) -> Column:

@@ -1,6 +1,7 @@
 """The split window, rank and matching steps against plain sequential definitions."""
 
 import html
+import html.entities
 import math
 import random
 
@@ -337,3 +338,14 @@ def test_line_location_against_all_segments(spark):
     segs = spatial.segment_index(got.select("shape_id", (F.floor(F.col("x_ft") / 300)).alias("cx"), F.floor(F.col("y_ft") / 300).alias("cy")).where("cx is not null").distinct(), lines, 300.0)
     near = segs.where("shape_id = 'w' and cx between 0 and 80 and abs(cy) < 5").agg(F.avg(F.size("segs"))).first()[0]
     assert 1 <= near < 40  # of 399
+
+
+def test_entities_against_the_standard_library(spark):
+    rnd = random.Random(8)
+    words = ["&", "&amp", ";", "amp;", "#", "&#", "&#x", "&#0", "&#X", "41", "e9", "128", "159", "129", "1114112", "99999999999", "xD800", "&not", "it;", "in;", "&notin", "&NotEqualTilde;", "&lt", "&LT;", "&eacute", "&bne;", " ", "<", "x", "é", "\n",
+             "&#13", "&#11", "&#xfffe;", "&#x1F600;", "&#65533;", "&Aacute", "&CounterClockwiseContourIntegral;", "&nosuch;", "&#xFDD0;", "&#00000000000065;", "&#127"]
+    raw = ["".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))) for _ in range(3000)] + ["&" + k for k in html.entities.html5] + [f"&#{i};" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(raw)), "i long, t string")
+    got = {r.i: r.c for r in df.select("i", codes.clean_text(F.col("t")).alias("c")).collect()}
+    wrong = [(t, got[i], html.unescape(t)) for i, t in enumerate(raw) if got[i] != html.unescape(t)]
+    assert not wrong, wrong[:5]
