@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,12 +199,23 @@ def lake_inventory(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def day_files(spark: SparkSession, path: str, day: str = "date") -> DataFrame:
+    """Day and time of change of each data file of an archive partitioned by ``day``; files are listed, not opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.col(day).alias("day"), F.col("modificationTime").alias("mtime"))
+
+
+def day_signatures(files: DataFrame) -> DataFrame:
+    """File count and newest change of each day: what a run records of the days it has seen."""
+    return files.groupBy("day").agg(F.count(F.lit(1)).alias("n_files"), F.max("mtime").alias("max_mtime"))
+
+
 def changed_days(files: DataFrame, state: DataFrame) -> DataFrame:
     """Days whose signature (file count, newest change) differs from the recorded one.
 
     ``files``: day, mtime.  ``state``: day, n_files, max_mtime.
     """
-    sig = files.groupBy("day").agg(F.count(F.lit(1)).alias("n_files"), F.max("mtime").alias("max_mtime"))
+    sig = day_signatures(files)
     return sig.join(state, ["day", "n_files", "max_mtime"], "left_anti")
 
 
@@ -229,6 +240,25 @@ def dedupe_snapshots(hashes: DataFrame, feed: str = "feed", ts: str = "ts") -> D
 
 
 # ------------------------------------------------------------------ health report and export
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write a table and return its row count, observed while it was written: no second pass."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return seen.get.get("rows", 0)
+
+
+def row_counts(spark: SparkSession, tables: Mapping[str, str], recorded: Mapping[str, tuple[bool, int]]) -> DataFrame:
+    """Rows that tables (name -> path) hold now beside those recorded at writing (name -> exact, rows); NULL where nothing was."""
+    notes = spark.createDataFrame([(n, *recorded.get(n, (False, None))) for n in tables], "name string, exact boolean, expected long")
+    held = [spark.read.parquet(path).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("actual")) for n, path in tables.items()]
+    return notes.join(reduce(lambda a, b: a.unionByName(b), held), "name")
+
+
+def crs_counts(layers: Mapping[str, DataFrame], crs: str = "geometry_crs") -> DataFrame:
+    """Number of coordinate systems found in each geometry table."""
+    return reduce(lambda a, b: a.unionByName(b), [df.agg(F.lit(n).alias("name"), F.count_distinct(crs).alias("n_crs")) for n, df in layers.items()])
+
+
 def doctor(counts: DataFrame, crs: DataFrame, coverage: DataFrame, validity: DataFrame) -> DataFrame:
     """One row per check with PASS, FAIL or INFO.
 

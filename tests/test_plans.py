@@ -14,6 +14,7 @@ from kerbline.functions import clock, codes, planar, register_functions
 from kerbline.functions.overlap import disc, fan_areas, overlap_area
 from kerbline.operators import bunching, places, quality, scores, spatial, trajectory
 from kerbline.operators.thinning import thin
+from kerbline.sources import lake
 from kerbline.plans.ranks import exact_percentiles, with_rank_columns
 from kerbline.plans.series import with_neighbour, with_running
 
@@ -349,3 +350,29 @@ def test_entities_against_the_standard_library(spark):
     got = {r.i: r.c for r in df.select("i", codes.clean_text(F.col("t")).alias("c")).collect()}
     wrong = [(t, got[i], html.unescape(t)) for i, t in enumerate(raw) if got[i] != html.unescape(t)]
     assert not wrong, wrong[:5]
+
+
+def test_days_change_with_their_files(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    rows = spark.range(60).selectExpr("id", "concat('2024-01-0', id % 5 + 1) AS date")
+    rows.where("id % 5 < 4").repartition(3).write.partitionBy("date").parquet(path)
+    state = spark.createDataFrame(lake.day_signatures(lake.day_files(spark, path)).toPandas())
+    assert lake.changed_days(lake.day_files(spark, path), state).collect() == []
+    rows.where("id % 5 = 1").coalesce(1).write.mode("append").partitionBy("date").parquet(path)
+    rows.where("id % 5 = 2").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    rows.where("id % 5 = 4").write.mode("append").partitionBy("date").parquet(path)
+    assert {str(r.day) for r in lake.changed_days(lake.day_files(spark, path), state).collect()} == {"2024-01-02", "2024-01-03", "2024-01-05"}
+
+
+def test_rows_are_counted_while_written(spark, tmp_path):
+    full, none = str(tmp_path / "full"), str(tmp_path / "none")
+    made = {"full": (True, lake.write_counted(spark.range(1000).repartition(7), full)), "none": (True, lake.write_counted(spark.range(0), none))}
+    assert made == {"full": (True, 1000), "none": (True, 0)}
+    spark.range(3).write.mode("append").parquet(full)
+    counts = lake.row_counts(spark, {"full": full, "none": none, "unknown": full}, made)
+    assert {tuple(r) for r in counts.collect()} == {("full", True, 1000, 1003), ("none", True, 0, 0), ("unknown", False, None, 1003)}
+    crs = lake.crs_counts({"a": spark.createDataFrame([("x",), ("x",)], "geometry_crs string"), "b": spark.createDataFrame([("x",), ("y",)], "geometry_crs string")})
+    empty = spark.createDataFrame([], "name string, rows long, matched long"), spark.createDataFrame([], "name string, sampled long, invalid long")
+    got = {(r.check, r.name): r.status for r in lake.doctor(counts, crs, *empty).collect()}
+    assert got == {("ROWCOUNTS", "full"): "FAIL", ("ROWCOUNTS", "none"): "PASS", ("ROWCOUNTS", "unknown"): "INFO", ("VIEWS", "full"): "PASS", ("VIEWS", "none"): "FAIL",
+                   ("VIEWS", "unknown"): "PASS", ("CRS", "a"): "PASS", ("CRS", "b"): "FAIL"}
