@@ -1,7 +1,8 @@
-"""Bloom filters of a fixed size, built by tasks and merged chunk by chunk.
+"""Bloom filters, built by tasks and merged chunk by chunk, or dealt over tasks by ranges of hashes.
 
-A filter never denies a key that it was given.  Its size is a parameter and doesn't follow the data: with more
-keys than it suits it lets more through, which costs work later and no result.
+A filter never denies a key that it was given.  One that goes to all tasks is sized by :func:`bits_for` up to ``MOST_BITS``; with more
+keys than that suits it lets more through, which costs work later and no result.  The once-seen and twice-seen filters
+of :func:`repeated` cover one range of hashes each: their number grows with the keys, their size doesn't.
 """
 
 from __future__ import annotations
@@ -11,10 +12,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kerbline.llm.words import U, mix
+from kerbline.session import materialize
 
 CHUNK_BITS = 1 << 20
+#: Bits a key, and the most of a filter that goes to all tasks: 128 MB.
+PER_KEY, MOST_BITS = 16, 1 << 30
+#: Keys of a range, and keys that a task holds before it hands them on.
+RANGE, HELD = 1 << 20, 1 << 20
+PACKED = "hashes binary, again binary, n long"
 PART = "filter int, chunk int, bits binary"
 ONCE, TWICE = 1, 2
 _BIT = (1 << np.arange(8)).astype(np.uint8)
@@ -108,6 +116,90 @@ def bitmap_of(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits:
     return bitmap
 
 
+def bits_for(n: int, most: int = MOST_BITS) -> int:
+    """A power of two that gives ``n`` keys ``PER_KEY`` bits each, within 2^20 and ``most``."""
+    return min(most, max(CHUNK_BITS, 1 << (max(1, PER_KEY * n) - 1).bit_length()))
+
+
+def _words(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
+
+
+def _gathered(keys: Callable[[pa.RecordBatch], np.ndarray], held: int):
+    """The distinct keys of about ``held`` at a time, and those among them that came more than once."""
+
+    def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key, count = np.unique(np.concatenate(parts), return_counts=True)
+        data = [[key.astype("<u8").tobytes()], [key[count > 1].astype("<u8").tobytes()]]
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in data), pa.array([len(key)], pa.int64())], names=["hashes", "again", "n"])
+
+    def run(batches):
+        parts, n = [], 0
+        for batch in batches:
+            found = keys(batch)
+            for at in range(0, len(found), held):
+                parts.append(found[at : at + held])
+                n += len(parts[-1])
+                if n >= held:
+                    yield pack(parts)
+                    parts, n = [], 0
+        if n:
+            yield pack(parts)
+
+    return run
+
+
+def _dealt(ranges: int):
+    """Packed keys by range; those seen more than once come a second time."""
+
+    def run(batches):
+        for batch in batches:
+            for hashes, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                key = np.concatenate([_words(hashes), _words(again)])
+                part = ((key >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                parts, first = np.unique(part[order], return_index=True)
+                out = [x.tobytes() for x in np.split(key[order], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], names=["part", "hashes"])
+
+    return run
+
+
+def _seen_twice(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        rows = [_words(x) for x in table["hashes"].to_pylist()]
+        for row in rows:
+            key, count = np.unique(row, return_counts=True)
+            set_bits(twice, places(key[(count > 1) | has(once, key)], bits))
+            set_bits(once, places(key, bits))
+        hit = [np.unique(row[has(twice, row)]) for row in rows]
+        found = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.uint64)
+        return pa.table({"hashes": pa.array([found.astype("<u8").tobytes()], pa.binary()), "n": pa.array([len(found)], pa.int64())})
+
+    return run
+
+
+def repeated(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], label: str) -> np.ndarray:
+    """A filter of the keys that ``keys`` finds twice or more in the batches of ``df`` (and a few others), on the driver.
+
+    ``df`` is read once: its keys, 8 bytes each, are written and counted.  Ranges of about ``RANGE`` keys then have a once-seen
+    and a twice-seen filter each, in the task that gets the range.  A key that is everywhere comes once from every ``HELD`` keys of a task.
+    Only the keys that the twice-seen filters know make the filter that is returned.
+    """
+    packed = materialize(df.mapInArrow(_gathered(keys, HELD), PACKED), label)
+    n = packed.agg(F.sum(F.col("n") + F.length("again") / 8)).first()[0] or 0
+    ranges = max(1, -(-int(n) // RANGE))
+    dealt = packed.select("hashes", "again").mapInArrow(_dealt(ranges), "part int, hashes binary")
+    found = materialize(dealt.groupBy("part").applyInArrow(_seen_twice(bits_for(RANGE)), "hashes binary, n long"), label)
+    many = found.agg(F.sum("n")).first()[0] or 0
+    return bitmap_of(found.select("hashes"), packed_keys, bits_for(int(many)))
+
+
+def packed_keys(batch: pa.RecordBatch) -> np.ndarray:
+    return _words(b"".join(batch.column(0).to_pylist()))
+
+
 def longs(batch: pa.RecordBatch) -> np.ndarray:
     """Keys of a first column of whole numbers, or of arrays of them."""
     column = batch.column(0)

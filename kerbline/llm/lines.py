@@ -1,6 +1,7 @@
 """Line de-duplication with two Bloom filters.
 
-The first pass puts the hash of every long line into a once-seen filter, or into a twice-seen one if it was there.
+The first pass puts the hash of every long line into a once-seen filter, or into a twice-seen one if it was there; both are dealt
+over tasks by ranges of hashes, as many as a count of the lines asks for.
 The second pass lets only lines that the twice-seen filter knows leave their task; the exact count of
 documents per line and the choice of the document that keeps it run on those.
 """
@@ -16,12 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from kerbline.llm.bloom import bitmap_of, has
+from kerbline.llm.bloom import has, repeated
 from kerbline.session import materialize
 
 WHITE = b" \t\n\x0b\x0c\r"
-#: Bits of a filter: 16 MB a task each; with far more lines than this suits, more lines are counted exactly.
-BITS = 1 << 27
 SALTS = 16
 
 
@@ -110,7 +109,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     body = F.col("text").cast("binary")
     plain = docs.select(body.alias("text"), ident.alias("id"), F.xxhash64("text").alias("row"))
-    known = spark.sparkContext.broadcast(bitmap_of(plain.select("text"), _hashed(min_chars), BITS, twice=True))
+    known = spark.sparkContext.broadcast(repeated(plain.select("text"), _hashed(min_chars), "line-hashes"))
     suspects = plain.mapInArrow(_suspects(min_chars, known), "id long, row long, line int, key binary")
     suspects = materialize(suspects, "lines")
     # one row per key and document first: a line that is everywhere spreads over all tasks

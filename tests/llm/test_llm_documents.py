@@ -11,9 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.llm import fingerprint, lines, packing, secrets, toxicity
+from kerbline.llm import bloom, fingerprint, lines, packing, secrets, toxicity
 from kerbline.llm.catalog import tokenizer_path
-from kerbline.llm.words import Words, as_bytes, chunks
+from kerbline.llm.words import Words, as_bytes, chunks, mix
 
 SMALL = "/root/testdata/sf0.001"
 WHITE = " \t\n\x0b\x0c\r"
@@ -150,10 +150,43 @@ def test_lines_of_odd_rows(spark):
 
 def test_a_tiny_filter_changes_nothing(spark, docs, monkeypatch):
     want = Counter(tuple(r) for r in lines.line_report(docs).collect())
-    monkeypatch.setattr(lines, "BITS", 1 << 20)
+    monkeypatch.setattr(bloom, "PER_KEY", 0)
     assert Counter(tuple(r) for r in lines.line_report(docs).collect()) == want
 
 
+def test_many_ranges_change_nothing(spark, docs, monkeypatch):
+    want = Counter(tuple(r) for r in lines.line_report(docs).collect())
+    monkeypatch.setattr(bloom, "RANGE", 64)
+    monkeypatch.setattr(bloom, "HELD", 32)
+    assert Counter(tuple(r) for r in lines.line_report(docs).collect()) == want
+
+
+@pytest.mark.parametrize("span", [1 << 20, 1 << 12])
+def test_repeated_keys_and_few_others(spark, monkeypatch, span):
+    monkeypatch.setattr(bloom, "RANGE", span)
+    monkeypatch.setattr(bloom, "HELD", 5000)
+    once = spark.range(60_000).select(F.xxhash64("id").alias("k"))
+    many = spark.range(3_000).select(F.xxhash64(F.col("id") + 10**6).alias("k"))
+    one = spark.range(40_000).select(F.lit(7).cast("long").alias("k"))
+    df = once.unionByName(many).unionByName(many).unionByName(one).repartition(6)
+    known = bloom.repeated(df, bloom.longs, "test")
+    keys = lambda rows: np.array([r.k for r in rows.collect()], np.int64).view(np.uint64)
+    assert bloom.has(known, keys(many)).all() and bloom.has(known, np.array([7], np.uint64)).all()
+    assert bloom.has(known, keys(once)).mean() < 0.05
+
+
+def test_a_full_range_lets_few_through():
+    """The share is that of one range, however many ranges a corpus has."""
+    key = mix(np.arange(bloom.RANGE, dtype=np.uint64))
+    rows = [x.tobytes() for x in np.array_split(key, 50)]
+    out = bloom._seen_twice(bloom.bits_for(bloom.RANGE))(pa.table({"hashes": pa.array(rows, pa.binary())}))
+    assert out["n"][0].as_py() < 0.02 * bloom.RANGE
+
+
+def test_sizes_of_filters():
+    assert [bloom.bits_for(n) for n in (0, 1 << 16, (1 << 16) + 1, 1 << 40)] == [1 << 20, 1 << 20, 1 << 21, bloom.MOST_BITS]
+
+
 # ---------------------------------------------------------------- secrets
 
 
