@@ -23,8 +23,7 @@ PER_KEY, MOST_BITS = 16, 1 << 30
 #: Keys of a range, and keys that a task holds before it hands them on.
 RANGE, HELD = 1 << 20, 1 << 20
 PACKED = "hashes binary, again binary, n long"
-PART = "filter int, chunk int, bits binary"
-ONCE, TWICE = 1, 2
+PART = "chunk int, bits binary"
 _BIT = (1 << np.arange(8)).astype(np.uint8)
 
 
@@ -45,7 +44,7 @@ def has(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return hit[: len(key)] & hit[len(key) :]
 
 
-def _packed(bitmap: np.ndarray, which: int) -> Iterator[tuple]:
+def _packed(bitmap: np.ndarray) -> Iterator[tuple]:
     """The chunks of a bitmap that have bits: as places where they are few, else as they are."""
     size = CHUNK_BITS // 8
     for chunk in range(0, len(bitmap), size):
@@ -54,7 +53,7 @@ def _packed(bitmap: np.ndarray, which: int) -> Iterator[tuple]:
         if n:
             few = 4 * n < len(part)
             data = np.flatnonzero(np.unpackbits(part, bitorder="little")).astype("<u4").tobytes() if few else part.tobytes()
-            yield which, chunk // size, (b"p" if few else b"b") + data
+            yield chunk // size, (b"p" if few else b"b") + data
 
 
 def _unpacked(data: bytes, size: int) -> np.ndarray:
@@ -65,53 +64,39 @@ def _unpacked(data: bytes, size: int) -> np.ndarray:
     return out
 
 
-def _batch(parts: list[tuple]) -> pa.RecordBatch:
-    which, chunk, data = zip(*parts, strict=True) if parts else ((), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(which, pa.int32()), pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], names=["filter", "chunk", "bits"]
-    )
+def _batch(chunk: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "bits"])
 
 
-def _build(keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, twice: bool):
+def _build(keys: Callable[[pa.RecordBatch], np.ndarray], bits: int):
     def run(batches):
-        once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8 if twice else 0, np.uint8)
+        bitmap = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            key, count = np.unique(keys(batch), return_counts=True)
-            if twice:
-                set_bits(again, places(key[(count > 1) | has(once, key)], bits))
-            set_bits(once, places(key, bits))
-        for which, bitmap in ((ONCE, once), (TWICE, again)):
-            for part in _packed(bitmap, which):
-                yield _batch([part])
+            set_bits(bitmap, places(np.unique(keys(batch)), bits))
+        for part in _packed(bitmap):
+            yield _batch(*part)
 
     return run
 
 
-def _merge(size: int, twice: bool):
-    """Bits of once-seen keys join; a key of two tasks has its bits in both, so their common bits are seen twice."""
-
+def _merge(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again, chunk = np.zeros(size, np.uint8), np.zeros(size, np.uint8), 0
+        bitmap, chunk = np.zeros(size, np.uint8), 0
         for batch in batches:
-            for which, chunk, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):  # noqa: B007
-                part = _unpacked(data, size)
-                if which == TWICE:
-                    again |= part
-                else:
-                    again |= once & part
-                    once |= part
-        yield _batch([(TWICE, chunk, b"b" + again.tobytes()) if twice else (ONCE, chunk, b"b" + once.tobytes())])
+            for chunk, data in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):  # noqa: B007
+                bitmap |= _unpacked(data, size)
+        yield _batch(chunk, b"b" + bitmap.tobytes())
 
     return run
 
 
-def bitmap_of(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, twice: bool = False) -> np.ndarray:
-    """The filter of all keys that ``keys`` finds in the batches of ``df`` (of those found twice or more, if
-    ``twice``), on the driver: ``bits`` / 8 bytes whatever the table.  ``bits`` is a power of two, 2^20 or more."""
+def bitmap_of(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """The filter of all keys that ``keys`` finds in the batches of ``df``, on the driver: ``bits`` / 8 bytes whatever
+    the table.  ``bits`` is a power of two, 2^20 or more."""
     size = CHUNK_BITS // 8
-    parts = df.mapInArrow(_build(keys, bits, twice), PART).groupBy("chunk").applyInArrow(_merge(size, twice), PART)
+    parts = df.mapInArrow(_build(keys, bits), PART).groupBy("chunk").applyInArrow(_merge(size), PART)
     bitmap = np.zeros(bits // 8, np.uint8)
-    for row in parts.select("chunk", "bits").collect():
+    for row in parts.collect():
         bitmap[row["chunk"] * size : (row["chunk"] + 1) * size] = _unpacked(bytes(row["bits"]), size)
     return bitmap
 

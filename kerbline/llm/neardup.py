@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm.bloom import bitmap_of, has, longs
+from kerbline.llm.bloom import bitmap_of, bits_for, has, longs, repeated
 from kerbline.llm.components import connected
 from kerbline.llm.words import U, Words, as_bytes, chunks, mix
 from kerbline.session import materialize
@@ -34,8 +34,6 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Buckets up to this size list their open pairs; larger ones are compared in pieces of so many members.
 SMALL, PIECE = 16, 2048
-#: Sizes of the filters: of documents that share a bucket, of shingles that several documents of large buckets have.
-ID_BITS, ITEM_BITS = 1 << 25, 1 << 26
 #: Bits of a set's bitmap.
 SET_BITS = 2048
 SIGNED = "id long, n long, lo long, hi long, buckets array<long>"
@@ -252,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     near = members.join(centre, "bucket").where("id <> centre")
     first = materialize(near.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "first")
 
-    wanted = spark.sparkContext.broadcast(bitmap_of(members.select("id"), longs, ID_BITS))
+    wanted = spark.sparkContext.broadcast(bitmap_of(members.select("id"), longs, bits_for(one.count())))
     sets = materialize(all_docs.mapInArrow(_sets(words, wanted), "id long, items array<long>"), "sets")
     links = materialize(_linked(first, sets, percent).distinct(), "links")
 
@@ -284,7 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def _large(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs to verify in open buckets that are too large to list."""
     items = materialize(sets.join(large.select("id").distinct(), "id").select("items", "id"), "large")
-    shared = items.sparkSession.sparkContext.broadcast(bitmap_of(items, longs, ITEM_BITS, twice=True))
+    shared = items.sparkSession.sparkContext.broadcast(repeated(items, longs, "large-items"))
     info = items.mapInArrow(_digests(shared), "id long, n long, own long, sign binary, bitmap binary, keys binary")
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     member = large.join(info, "id").withColumn("pieces", pieces).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))

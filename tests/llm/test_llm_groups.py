@@ -106,7 +106,7 @@ def test_signature_is_that_of_the_sequential_form():
         for x in element:
             order = list(range(m))
             for j in range(m):
-                z = int(neardup.mix(np.array([x + np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 % 2**64)], np.uint64))[0])
+                z = int(neardup.mix(np.array([(int(x) + (2 * j + 1) * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0])
                 k = j + ((z >> 32) * (m - j) >> 32)
                 order[j], order[k] = order[k], order[j]
                 want[order[j]] = min(want[order[j]], (j << 32) | (z & 0xFFFFFFFF))
