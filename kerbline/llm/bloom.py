@@ -20,8 +20,8 @@ from kerbline.session import materialize
 CHUNK_BITS = 1 << 20
 #: Bits a key, and the most of a filter that goes to all tasks: 128 MB.
 PER_KEY, MOST_BITS = 16, 1 << 30
-#: Keys of a range, and keys that a task holds before it hands them on.
-RANGE, HELD = 1 << 20, 1 << 20
+#: Keys of a range, and keys that a task holds before it hands them on: rows and groups of a few MB at most.
+RANGE, HELD = 1 << 18, 1 << 16
 PACKED = "hashes binary, again binary, n long"
 PART = "chunk int, bits binary"
 _BIT = (1 << np.arange(8)).astype(np.uint8)
