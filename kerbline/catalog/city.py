@@ -11,6 +11,7 @@ from kerbline.functions import codes
 from kerbline.operators import buildings as B
 from kerbline.operators import scores as S
 from kerbline.operators import spatial as SPO
+from kerbline.operators import supply
 from kerbline.session import materialize
 from kerbline.sources import lake
 
@@ -92,8 +93,7 @@ query("agg47_index_summary", f"{INDEX} SELECT area, count(*) AS n_rows, round(av
 query("agg76_amenity_share", f"WITH st AS ({STOPS}) SELECT premium, round(100.0::DOUBLE * avg(CASE WHEN n_mach > 0 THEN 1 ELSE 0 END), 4) AS share_pct, count(*) AS n FROM st GROUP BY 1", "sites points")(
     lambda s, d: S.amenity_share(stop_inputs(s, d), "premium", "n_mach").withColumn("share_pct", r("share_pct")))
 query("agg44_stop_base", "SELECT stop_id, count(DISTINCT route_id) AS n_routes, string_agg(DISTINCT route_id, ', ' ORDER BY route_id) AS routes, bool_or(direction_id = 1) AS any_inbound FROM stop_times JOIN trips USING (trip_id) GROUP BY 1", "stop_times trips")(
-    lambda s, d: I.stop_times(s, d).join(I.trips(s, d).select("trip_id", "route_id", "direction_id"), "trip_id").groupBy("stop_id").agg(
-        F.countDistinct("route_id").alias("n_routes"), F.array_join(F.array_sort(F.collect_set("route_id")), ", ").alias("routes"), F.bool_or(F.col("direction_id") == 1).alias("any_inbound")))
+    lambda s, d: supply.stop_base(I.stop_times(s, d), I.trips(s, d), F.col("direction_id") == 1).withColumnRenamed("any_flag", "any_inbound"))
 query("agg40_correlation", """
 WITH rk AS (SELECT pop, income_raw AS inc, rank() OVER (ORDER BY pop) + (count(*) OVER (PARTITION BY pop) - 1) / 2 AS ra, rank() OVER (ORDER BY income_raw) + (count(*) OVER (PARTITION BY income_raw) - 1) / 2 AS rb FROM blocks WHERE income_raw > 0)
 SELECT round(corr(pop, inc), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM rk""", "blocks")(

@@ -8,6 +8,7 @@ from kerbline.catalog import inputs as I
 from kerbline.catalog.registry import query, r
 from kerbline.functions import planar as P
 from kerbline.operators import observatory as O
+from kerbline.operators import scores
 from kerbline.operators import spatial as S
 from kerbline.session import materialize
 
@@ -172,7 +173,32 @@ def some_open_rings(s, d):
 
 query("geo10_validity_sample", "SELECT count(*) AS sampled, count(*) FILTER (block_id % 17 = 0) AS invalid FROM blocks WHERE CAST('0x' || substr(md5('42:' || block_id), 1, 8) AS BIGINT) < 2147483648", "blocks")(
     lambda s, d: S.valid_share(some_open_rings(s, d), 0.5, "block_id"))
-query("jon19_match_nearest_line")(lambda s, d: S.match_nearest_line(I.points(s, d), I.streets(s, d).withColumn("published", F.col("width_text").try_cast("double")), 25.0, "point_id").select("point_id", r("dist_ft").alias("dist_ft"), "street_id", "published"))
+
+
+def published(s, d):
+    return I.streets(s, d).withColumn("published", F.col("width_text").try_cast("double"))
+
+
+# streets run along an axis, so the nearest point of one is the clamped point
+def _nearest_published(points, key):
+    return f"""SELECT * FROM (SELECT p.*, street_id, published, sqrt(pow(x - greatest(x0, least(x1, x)), 2) + pow(y - greatest(y0, least(y1, y)), 2)) AS dist
+FROM {points} p JOIN (SELECT *, TRY_CAST(width_text AS DOUBLE) AS published FROM streets) l ON published IS NOT NULL AND x BETWEEN x0 - 25 AND x1 + 25 AND y BETWEEN y0 - 25 AND y1 + 25)
+WHERE dist <= 25 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(dist, 6), street_id) = 1"""
+
+
+MIDDLES = """SELECT street_id || side AS poly_id, 2 * (400 * w) / (800 + 2 * w) AS width_ft, CASE WHEN hor THEN x0 + 200 ELSE x0 + off END AS x, CASE WHEN hor THEN y0 + off ELSE y0 + 200 END AS y
+FROM (SELECT *, street_id % 2 = 0 AS hor, street_id % 10 + 4.0::DOUBLE AS w, CASE WHEN side = 'a' THEN 1 ELSE -1 END * (18 + (street_id % 10 + 4.0::DOUBLE) / 2) AS off
+  FROM streets, (VALUES ('a'), ('b')) v(side) WHERE (side = 'a' AND street_id % 3 <> 0) OR (side = 'b' AND street_id % 4 <> 0))"""
+
+query("jon19_match_nearest_line", f"SELECT point_id, round(dist, 4) AS dist_ft, street_id, published FROM ({_nearest_published('points', 'point_id')})", "points streets")(
+    lambda s, d: S.match_nearest_line(I.points(s, d), published(s, d), 25.0, "point_id").select("point_id", r("dist_ft").alias("dist_ft"), "street_id", "published"))
+query("jon19_width_agreement", f"""WITH m AS ({_nearest_published(f'({MIDDLES})', 'poly_id')}),
+rk AS (SELECT *, rank() OVER (ORDER BY round(width_ft, 6)) + (count(*) OVER (PARTITION BY round(width_ft, 6)) - 1) / 2 AS ra, rank() OVER (ORDER BY published) + (count(*) OVER (PARTITION BY published) - 1) / 2 AS rb FROM m)
+SELECT count(*) AS n_matched, CASE WHEN count(*) >= 30 THEN round(corr(width_ft, published), 6) END AS pearson, CASE WHEN count(*) >= 30 THEN round(corr(ra, rb), 6) END AS spearman,
+  round(median(dist), 4) AS median_dist_ft, round(median(width_ft), 4) AS median_measured_ft, round(median(published), 4) AS median_published_ft FROM rk""", "streets")(
+    lambda s, d: scores.width_agreement(
+        S.match_nearest_line(S.measured_widths(sidewalks(s, d), "poly_id").withColumn("width_ft", r("width_ft", 6)), published(s, d), 25.0, "poly_id"), "width_ft", "published", "dist_ft",
+    ).withColumns({"pearson": r("pearson", 6), "spearman": r("spearman", 6), **{c: r(c) for c in ("median_dist_ft", "median_measured_ft", "median_published_ft")}}))
 
 # ------------------------------------------------------------------ lines
 LINES = """SELECT *, lead(x_ft) OVER w AS x1, lead(y_ft) OVER w AS y1 FROM (SELECT *, sum(coalesce(step, 0)) OVER (PARTITION BY shape_id ORDER BY seq) AS cum FROM (

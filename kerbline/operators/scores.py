@@ -83,11 +83,29 @@ def amenity_share(df: DataFrame, flag: str, column: str) -> DataFrame:
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson and Spearman coefficients over rows where both are known."""
+    """Pearson and Spearman coefficients over rows where both are known; null where a side is constant."""
+    def corr(x, y):
+        return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     avg_rank = F.col("below") + (F.col("n") + 1) / 2
     ra = with_rank_columns(with_rank_columns(d, "a", {"ra": avg_rank}), "b", {"rb": avg_rank})
-    return ra.agg(F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return ra.agg(corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
+def width_agreement(matched: DataFrame, measured: str, published: str, dist: str, least: int = 30) -> DataFrame:
+    """How well measured values agree with those published for the line matched: pairs, coefficients and medians, in one row.
+
+    With fewer than ``least`` pairs the coefficients are null.
+    """
+    both = matched.where(F.col(measured).isNotNull() & F.col(published).isNotNull()).select(measured, published, dist)
+    both = materialize(both, "agreement")
+    out = correlation(both, measured, published).select(
+        F.col("n").alias("n_matched"), *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman")])
+    for name, c in (("median_dist_ft", dist), ("median_measured_ft", measured), ("median_published_ft", published)):
+        # one row meets one row
+        out = out.crossJoin(exact_percentiles(both, [], c, {name: 0.5}).select(name))
+    return out
 
 
 def condition_index(areas: DataFrame, counts: Sequence[str], length: str, extra: Sequence[str] = ()) -> DataFrame:

@@ -265,6 +265,13 @@ def strip_width(rings: Column) -> Column:
     return 2 * P.polygon_area(rings) / F.nullif(P.polygon_perimeter(rings), F.lit(0.0))
 
 
+def measured_widths(polys: DataFrame, key: str, lo: float = 2.0, hi: float = 120.0) -> DataFrame:
+    """Middle and width of each strip polygon whose width is plausible, to be held against published widths."""
+    c = P.ring_centroid(F.get("rings", 0))
+    w = polys.select(key, c.alias("c"), strip_width(F.col("rings")).alias("width_ft")).where(F.col("width_ft").between(lo, hi))
+    return w.select(key, F.col("c.x").alias("x"), F.col("c.y").alias("y"), "width_ft")
+
+
 def segment_width(pairs: DataFrame, key: str, lo: float = 2.0, hi: float = 120.0) -> DataFrame:
     """Median, smallest and 90th-percentile width of the polygons matched to each segment (a handful each)."""
     w = pairs.withColumn("w", strip_width(F.col("rings"))).where(F.col("w").between(lo, hi))
@@ -348,14 +355,21 @@ def route_adherence(projected: DataFrame) -> DataFrame:
 
 
 def match_nearest_line(points: DataFrame, lines: DataFrame, d: float, key: str, size: float = 200.0) -> DataFrame:
-    """Nearest line within ``d`` of each point, for pairing measured with published values."""
-    box = cells_of_box(F.least("x0", "x1") - d, F.least("y0", "y1") - d, F.greatest("x0", "x1") + d, F.greatest("y0", "y1") + d, size)
-    e = lines.select("*", F.explode(box).alias("c")).select(*lines.columns, "c.cx", "c.cy")
-    p = points.withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
+    """Nearest line with a published value within ``d`` of each point; equal distances go to the smaller street_id.
+
+    Lines without a value are no candidates.  Points meet the lines once per position, however many stand on it; points without
+    coordinates, or with no line that near, are left out.
+    """
+    s = float(size)
+    box = cells_of_box(F.least("x0", "x1") - d, F.least("y0", "y1") - d, F.greatest("x0", "x1") + d, F.greatest("y0", "y1") + d, s)
+    e = lines.where("published is not null").select("street_id", "published", "x0", "y0", "x1", "y1", F.explode(box).alias("c"))
+    e = e.select("street_id", "published", "x0", "y0", "x1", "y1", "c.cx", "c.cy")
+    at = points.where("x is not null and y is not null").select("x", "y").distinct()
+    at = at.withColumns({"cx": F.floor(F.col("x") / s).cast("long"), "cy": F.floor(F.col("y") / s).cast("long")})
     dist = P.segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    j = p.join(e, ["cx", "cy"]).withColumn("dist_ft", dist).where(F.col("dist_ft") <= d)
-    best = j.groupBy(key).agg(F.min(F.struct("dist_ft", "street_id", "published")).alias("b"))
-    return points.join(best, key).select(*points.columns, "b.dist_ft", "b.street_id", "b.published")
+    j = at.join(e, ["cx", "cy"]).withColumn("dist_ft", dist).where(F.col("dist_ft") <= d)
+    best = j.groupBy("x", "y").agg(F.min(F.struct("dist_ft", "street_id", "published")).alias("b"))
+    return points.join(best, ["x", "y"]).select(*points.columns, "b.dist_ft", "b.street_id", "b.published")
 
 
 # ------------------------------------------------------------------ street network

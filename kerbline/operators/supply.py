@@ -154,6 +154,18 @@ def stop_service(stop_times: DataFrame, wk: DataFrame, stops: DataFrame) -> Data
     return g.join(stops.select(*named, "stop_name"), named, "left")
 
 
+def stop_base(stop_times: DataFrame, trips: DataFrame, flag: Column) -> DataFrame:
+    """Per stop (and feed): its distinct routes, their sorted names joined, and whether ``flag`` holds for any trip that calls there.
+
+    Visits are reduced to (stop, route) first; a stop's list is as long as the routes that call there.
+    """
+    keys = by_feed(["stop_id"], stop_times, trips)
+    calls = stop_times.select(*keys, "trip_id").join(trips.select(*by_feed(["trip_id"], stop_times, trips), "route_id", flag.alias("__flag")), by_feed(["trip_id"], stop_times, trips))
+    per = calls.groupBy(*keys, "route_id").agg(F.bool_or("__flag").alias("__flag"))
+    return per.groupBy(*keys).agg(
+        F.count("route_id").alias("n_routes"), F.array_join(F.sort_array(F.collect_list("route_id")), ", ").alias("routes"), F.bool_or("__flag").alias("any_flag"))
+
+
 def demand_vs_supply(wk: DataFrame, demand: DataFrame, min_trips: int = 20) -> DataFrame:
     s = wk.groupBy("route_norm", borough_from_route(F.col("route")).alias("borough")).agg(
         F.min("route").alias("gtfs_route"), F.count(F.lit(1)).alias("weekday_trips")

@@ -4,6 +4,7 @@ import html
 import html.entities
 import math
 import random
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import clock, codes, planar, register_functions
 from kerbline.functions.overlap import disc, fan_areas, overlap_area
-from kerbline.operators import bunching, places, quality, scores, spatial, trajectory
+from kerbline.operators import bunching, places, quality, scores, spatial, supply, trajectory
 from kerbline.operators.thinning import thin
 from kerbline.sources import lake
 from kerbline.plans.ranks import exact_percentiles, with_rank_columns
@@ -253,6 +254,31 @@ def test_nearest_sets_missing_coordinates_aside(spark):
     assert {r.site_id for r in spatial.nearest(points, sites.where("site_id = 'z'"), "point_id", "x", "y").collect()} == {None}
 
 
+def test_nearest_published_line_and_agreement(spark):
+    lines = [(1, 0.0, 0.0, 100.0, 0.0, None), (2, 0.0, 4.0, 100.0, 4.0, 10.0), (3, 0.0, -4.0, 100.0, -4.0, 12.0), (4, 500.0, 0.0, 500.0, 900.0, 30.0)]
+    lines = spark.createDataFrame(lines, "street_id long, x0 double, y0 double, x1 double, y1 double, published double")
+    points = [("tie", 50.0, 0.0, 5.0)] + [(f"spot{i}", 490.0, 450.0, float(i)) for i in range(40)] + [("far", 300.0, 300.0, 1.0), ("end", 103.0, 8.0, 9.0), ("none", None, 1.0, 2.0)]
+    points = spark.createDataFrame(points, "id string, x double, y double, w double")
+    found = spatial.match_nearest_line(points, lines, 25.0, "id")
+    got = {r.id: (r.street_id, r.dist_ft, r.published) for r in found.collect()}
+    assert len(got) == 42 and got["tie"] == (2, 4.0, 10.0) and got["end"] == (2, 5.0, 10.0) and got["spot7"] == (4, 10.0, 30.0)
+    (row,) = scores.width_agreement(found, "w", "published", "dist_ft").collect()
+    w, p = zip(*[(r.w, r.published) for r in found.collect()])
+    assert row.n_matched == 42 and row.median_dist_ft == 10.0 and row.median_published_ft == 30.0 and abs(row.pearson - statistics.correlation(w, p)) < 1e-9
+    assert abs(row.spearman - statistics.correlation(w, p, method="ranked")) < 1e-9
+    few = scores.width_agreement(found.where("published < 20"), "w", "published", "dist_ft").first()
+    assert (few.n_matched, few.pearson, few.spearman, few.median_measured_ft) == (2, None, None, 7.0)
+    none = scores.width_agreement(found.where("false"), "w", "published", "dist_ft").first()
+    assert none.n_matched == 0 and none.median_dist_ft is None
+
+
+def test_stop_base_by_feed(spark):
+    times = spark.createDataFrame([("a", "t1", "s"), ("a", "t1", "s"), ("a", "t2", "s"), ("b", "t1", "s"), ("b", "t9", "s")], "feed string, trip_id string, stop_id string")
+    trips = spark.createDataFrame([("a", "t1", "R2", 0), ("a", "t2", "R1", 1), ("b", "t1", "R7", 0)], "feed string, trip_id string, route_id string, direction_id int")
+    got = {r.feed: (r.stop_id, r.n_routes, r.routes, r.any_flag) for r in supply.stop_base(times, trips, F.col("direction_id") == 1).collect()}
+    assert got == {"a": ("s", 2, "R1, R2", True), "b": ("s", 1, "R7", False)}
+
+
 def test_profiles_keep_locations_far_from_filled_cells(spark):
     points = spark.createDataFrame([("own", 5.0, 5.0), ("near", 25.0, 5.0), ("far", 500.0, 500.0), ("nowhere", None, 1.0)], "site string, x double, y double")
     grid = spark.createDataFrame([(0, 0, 7, True), (0, 1, 9, False)], "cx long, cy long, n long, flood boolean")
