@@ -158,7 +158,11 @@ def changed_archive(s, d):
     return L.changed_days(files(), state).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-query("src17_changed_days", "SELECT DISTINCT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS day FROM pings WHERE ts // 86400 % 3 = 0 OR ts // 86400 % 4 = 0", "pings")(changed_archive)
+query("src17_changed_days", """WITH f AS (SELECT ts // 86400 AS day, ts // 3600 AS file, max(ts) AS mtime FROM pings GROUP BY 1, 2)
+SELECT day, count(*) AS n_files, max(mtime) AS max_mtime FROM f GROUP BY 1 HAVING day % 3 <> 0""", "pings")(
+    lambda s, d: (lambda f: L.changed_days(f, f.groupBy("day").agg(F.count(F.lit(1)).alias("n_files"), (F.max("mtime") + F.when(F.col("day") % 3 == 0, 0).otherwise(-5)).alias("max_mtime"))))(
+        P(s, d).groupBy(F.floor(F.col("ts") / 86400).alias("day"), F.floor(F.col("ts") / 3600).alias("file")).agg(F.max("ts").alias("mtime"))))
+query("src17_changed_archive", "SELECT DISTINCT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS day FROM pings WHERE ts // 86400 % 3 = 0 OR ts // 86400 % 4 = 0", "pings")(changed_archive)
 
 
 def versions(s, d):
