@@ -110,7 +110,7 @@ NEAR = f"SELECT street_id, count(*) AS n FROM (SELECT *, {U} AS u FROM streets J
 query("jon12_near_segment_count", f"SELECT s.street_id, coalesce(n, 0) AS n_points FROM streets s LEFT JOIN ({NEAR}) c ON c.street_id = s.street_id", "streets points")(
     lambda s, d: S.near_segment_count(I.streets(s, d), I.points(s, d), 100.0, "street_id").select("street_id", "n_points"))
 query("geo11_distance_band", f"SELECT site_id, point_id, round({DIST}, 4) AS dist FROM sites JOIN points ON {DIST} <= 800", "sites points")(
-    lambda s, d: S.point_pairs_within(I.sites(s, d), I.points(s, d), "sx", "sy", "x", "y", 800.0).select("site_id", "point_id", r("dist").alias("dist")))
+    lambda s, d: S.point_pairs_within(I.sites(s, d), I.points(s, d), "sx", "sy", "x", "y", 800.0, split=2).select("site_id", "point_id", r("dist").alias("dist")))
 query("jon13_nearest_site", f"SELECT point_id, site_id, round(dist, 4) AS dist_ft FROM (SELECT point_id, site_id, {DIST} AS dist FROM points, sites) QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, site_id) = 1", "points sites")(
     lambda s, d: S.nearest(I.points(s, d), I.sites(s, d), "point_id", "x", "y").select("point_id", "site_id", r("dist_ft").alias("dist_ft")))
 query("jon13_nearest_by_rings", f"SELECT point_id, site_id, round(dist, 4) AS dist_ft FROM (SELECT point_id, site_id, {DIST} AS dist FROM points, sites) QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, site_id) = 1", "points sites")(

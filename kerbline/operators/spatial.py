@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import planar as P
 from kerbline.functions.overlap import disc, overlap_area, stadium
 from kerbline.operators.observatory import shape_length
-from kerbline.plans.proximity import box_join, cells_of_box, point_pairs_within
+from kerbline.plans.proximity import box_join, cells_of_box, open_radius, point_pairs_within
 from kerbline.plans.ranks import exact_percentiles
 from kerbline.session import materialize
 
@@ -22,6 +22,7 @@ RADIUS_400M_FT = 1312.336
 FT_PER_MILE = 5280.0
 SQFT_PER_SQMI = 27_878_400.0
 ONROUTE_FT, TERMINAL_FT = 100.0, 500.0
+LINE = BOX = ["x0", "y0", "x1", "y1"]
 
 
 # ------------------------------------------------------------------ cells

@@ -1,4 +1,8 @@
-"""Distance and range joins as equi joins on grid buckets."""
+"""Distance and range joins as equi joins on grid buckets.
+
+Both sides are dealt to tasks by cell.  The planner's sizes don't see how many cells a row is spread over, so the joins say
+that neither side is to be sent to all tasks.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +44,7 @@ def box_join(
     le = le.select("*", F.explode(cells_of_box(*[F.col(n) for n in ("__lx0", "__ly0", "__lx1", "__ly1")], size)).alias("__cell"))
     re = right.select("*", *rb)
     re = re.select("*", F.explode(cells_of_box(*[F.col(n) for n in ("__rx0", "__ry0", "__rx1", "__ry1")], size)).alias("__cell"))
-    out = le.join(re, ["__cell", *extra], how)
+    out = le.join(re.hint("merge"), ["__cell", *extra], how)
     s = F.lit(float(size))
     overlap = (
         (F.col("__lx0") <= F.col("__rx1")) & (F.col("__rx0") <= F.col("__lx1"))
@@ -56,11 +60,15 @@ def box_join(
 
 def point_pairs_within(
     left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, r: float,
-    extra: Sequence[str] = (), dist: str = "dist",
+    extra: Sequence[str] = (), dist: str = "dist", split: int = 1,
 ) -> DataFrame:
-    """Pairs of points at most ``r`` apart: right points sit in one cell, left ones look at 3 x 3."""
-    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    s = F.lit(float(r))
+    """Pairs of points at most ``r`` apart: right points sit in one cell of ``r / split``, left ones look at the cells around.
+
+    ``split``: 1 looks at 3 x 3 cells; 2 at 5 x 5 smaller ones, for few left points that each meet many.
+    """
+    steps = range(-split, split + 1)
+    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in steps for j in steps])
+    s = F.lit(float(r) / split)
     le = left.select("*", F.explode(around).alias("__o")).select(
         *left.columns,
         (F.floor(F.col(lx) / s) + F.col("__o.dx")).cast("long").alias("__cx"),
@@ -69,9 +77,26 @@ def point_pairs_within(
     re = right.select(
         "*", F.floor(F.col(rx) / s).cast("long").alias("__cx"), F.floor(F.col(ry) / s).cast("long").alias("__cy")
     )
-    out = le.join(re, ["__cx", "__cy", *extra]).drop("__cx", "__cy")
-    d = F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry))
-    return out.withColumn(dist, d).where(F.col(dist) <= s)
+    out = le.join(re.hint("merge"), ["__cx", "__cy", *extra]).drop("__cx", "__cy")
+    dx, dy = F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)
+    near = out.where(dx * dx + dy * dy <= float(r) ** 2 * (1 + 1e-9))  # hypot is exact and costly
+    return near.withColumn(dist, F.hypot(dx, dy)).where(F.col(dist) <= F.lit(float(r)))
+
+
+def open_radius(points: DataFrame, x: str, y: str, r: float, most: int = 16) -> float:
+    """A search radius up to ``r`` such that no cell of that size holds more than ``most`` of the points.
+
+    A search that starts there and doubles meets a bounded number of points at a time, however dense they lie.
+    """
+    least = r / 2**20
+    while r > least:
+        s = F.lit(float(r))
+        held = points.groupBy(F.floor(F.col(x) / s).alias("cx"), F.floor(F.col(y) / s).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+        n = held.agg(F.max("n")).first()[0] or 0
+        if n <= most:
+            break
+        r /= max(2.0, (n / most) ** 0.5)
+    return r
 
 
 def interval_bins(start: Column, end: Column, width: float) -> Column:

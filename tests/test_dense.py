@@ -38,6 +38,17 @@ def _points(n, seed, side=100.0):
     return [(i, rng.random() * side, rng.random() * side) for i in range(n)]
 
 
+def test_pairs_of_points_by_smaller_cells(spark):
+    a, b = _points(150, 5), _points(150, 6)
+    left, right = spark.createDataFrame(a, "i long, x0 double, y0 double"), spark.createDataFrame(b, "k long, x double, y double")
+    want = {(i, k) for i, x, y in a for k, u, v in b if math.hypot(x - u, y - v) <= 9.0}
+    for split in (1, 2, 3):
+        found = proximity.point_pairs_within(left, right, "x0", "y0", "x", "y", 9.0, split=split)
+        assert {(r.i, r.k) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan  # small by the planner's sizes, large once spread over cells
+
+
 def _squares(spark, rows):
     c = spark.createDataFrame(rows, "b string, x double, y double, w double, pop long")
     return c.select("b", "pop", F.array(planar.rectangle(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w"))).alias("rings"))
