@@ -123,21 +123,21 @@ def near_segment_count(segs: DataFrame, pts: DataFrame, d: float, key: str, size
 def nearest(points: DataFrame, sites: DataFrame, key: str, x: str, y: str, start: float = 1000.0) -> DataFrame:
     """Nearest site of each point; equal distances go to the smaller site id.
 
-    The search ring doubles: points whose nearest site lies within the ring are final, the rest go on, whatever the
-    number of sites.  Sites without finite coordinates are nobody's nearest; points without, and all points
+    The search ring doubles from ``start``, or from less where sites lie dense: points whose nearest site lies within the
+    ring are final, the rest go on, whatever the number of sites.  Sites without finite coordinates are nobody's nearest; points without, and all points
     if there is no site, come back with a null site and distance.
     """
     def finite(c):
         v = F.col(c).cast("double")
         return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
 
-    one = sites.where(finite("sx") & finite("sy")).groupBy("sx", "sy").agg(F.min("site_id").alias("site_id"))
+    one = materialize(sites.where(finite("sx") & finite("sy")).groupBy("sx", "sy").agg(F.min("site_id").alias("site_id")), "sites")
     kind = dict(sites.dtypes)["site_id"]
     none = {"site_id": F.lit(None).cast(kind), "dist_ft": F.lit(None).cast("double")}
     placed = F.coalesce(finite(x) & finite(y), F.lit(False))
     if one.isEmpty():
         return points.withColumns(none)
-    left, done, r = points.where(placed), points.where(~placed).withColumns(none), start
+    left, done, r = points.where(placed), points.where(~placed).withColumns(none), open_radius(one, "sx", "sy", start)
     while True:
         pairs = point_pairs_within(left.select(key, x, y).distinct(), one, x, y, "sx", "sy", r, dist="dist_ft")
         best = pairs.groupBy(key, x, y).agg(F.min(F.struct("dist_ft", "site_id")).alias("b")).select(key, x, y, "b.site_id", "b.dist_ft")

@@ -38,6 +38,15 @@ def _points(n, seed, side=100.0):
     return [(i, rng.random() * side, rng.random() * side) for i in range(n)]
 
 
+def test_nearest_among_dense_sites(spark, met):
+    sites, pts = _points(600, 1), [*_points(80, 2), (999, 4000.0, 50.0)]
+    seen = met(spatial, "point_pairs_within", result=True)
+    got = spatial.nearest(spark.createDataFrame(pts, "point_id long, x double, y double"), spark.createDataFrame(sites, "site_id long, sx double, sy double"), "point_id", "x", "y", 1000.0)
+    for r in got.collect():
+        assert (round(r.dist_ft, 9), r.site_id) == min((round(math.hypot(r.x - x, r.y - y), 9), i) for i, x, y in sites)
+    assert seen["point_pairs_within"] < 80 * 600 / 4
+
+
 def test_pairs_of_points_by_smaller_cells(spark):
     a, b = _points(150, 5), _points(150, 6)
     left, right = spark.createDataFrame(a, "i long, x0 double, y0 double"), spark.createDataFrame(b, "k long, x double, y double")
