@@ -153,13 +153,26 @@ def k_nearest_within(queries: DataFrame, items: DataFrame, r: float, k: int, key
     """The k nearest items of each query point within ``r``, with their rank.
 
     Of many items at one spot only the first k can be among anyone's k nearest, so
-    the rest of such a spot is left out before any pair is formed.
+    the rest of such a spot is left out before any pair is formed.  The search ring doubles up to ``r``, from less where items lie
+    dense: queries with k items within the ring are final, the rest go on.
     """
     spot = F.row_number().over(W.partitionBy("x", "y").orderBy(item))
-    items = items.withColumn("__spot", spot).where(F.col("__spot") <= k).drop("__spot")
-    pairs = point_pairs_within(queries, items, "qx", "qy", "x", "y", r, dist="dist_ft")
+    items = materialize(items.withColumn("__spot", spot).where(F.col("__spot") <= k).drop("__spot"), "items")
     rk = F.row_number().over(W.partitionBy(key).orderBy("dist_ft", item))
-    return pairs.withColumn("rk", rk).where(F.col("rk") <= k)
+    ring, left, done = open_radius(items, "x", "y", r, 4 * k), queries, None
+    while True:
+        pairs = point_pairs_within(left, items, "qx", "qy", "x", "y", min(ring, r), dist="dist_ft")
+        best = pairs.withColumn("rk", rk).where(F.col("rk") <= k)
+        if ring >= r:
+            return best if done is None else done.unionByName(best)
+        best = materialize(best, "k-nearest")
+        full = best.where(F.col("rk") == k).select(F.col(key).alias("__full"))
+        final = best.join(full, F.col(key).eqNullSafe(F.col("__full")), "left_semi")
+        done = final if done is None else done.unionByName(final)
+        left = materialize(left.join(full, F.col(key).eqNullSafe(F.col("__full")), "left_anti"), "left")
+        if left.isEmpty():
+            return done
+        ring *= 2
 
 
 # ------------------------------------------------------------------ overlap

@@ -47,6 +47,18 @@ def test_nearest_among_dense_sites(spark, met):
     assert seen["point_pairs_within"] < 80 * 600 / 4
 
 
+def test_k_nearest_among_dense_items(spark, met):
+    items, queries = [*_points(900, 3), *[(10_000 + i, 500.0, 500.0) for i in range(40)]], [*_points(60, 4), (998, 505.0, 500.0), (999, 9000.0, 0.0)]
+    seen = met(spatial, "point_pairs_within", result=True)
+    q = spark.createDataFrame([*queries, (None, 50.0, 50.0)], "q long, qx double, qy double")
+    got = spatial.k_nearest_within(q, spark.createDataFrame(items, "i long, x double, y double"), 150.0, 5, "q", "i").collect()
+    for k, qx, qy in [*queries, (None, 50.0, 50.0)]:
+        near = sorted((round(math.hypot(qx - x, qy - y), 9), i) for i, x, y in items)
+        want = [(d, i) for d, i in near if d <= 150.0][:5]
+        assert sorted((round(r.dist_ft, 9), r.i) for r in got if r.q == k) == want
+    assert seen["point_pairs_within"] < 60 * 900 / 4
+
+
 def test_pairs_of_points_by_smaller_cells(spark):
     a, b = _points(150, 5), _points(150, 6)
     left, right = spark.createDataFrame(a, "i long, x0 double, y0 double"), spark.createDataFrame(b, "k long, x double, y double")
