@@ -184,19 +184,34 @@ def _spread(pairs: DataFrame, *cols: str) -> DataFrame:
 def overlap_with_discs(points: DataFrame, polys: DataFrame, r: float, key: str, poly: str, segments: int = 32) -> DataFrame:
     """Shared area of each point's disc with each polygon whose box meets it.
 
-    A polygon wholly inside the disc needs no clipping; the batch function only sees the cut ones.
+    Polygons of one outline meet a disc once; pairs of ids are told only in the end.
     """
-    b = polys.withColumn("__b", P.bbox(F.flatten("rings")))
+    b = polys.select("rings").distinct().withColumn("__b", P.bbox(F.flatten("rings")))
     x, y, rr = F.col("sx"), F.col("sy"), F.lit(float(r))
-    j = box_join(points, b, (x - rr, y - rr, x + rr, y + rr), tuple(F.col(f"__b.{c}") for c in ("x0", "y0", "x1", "y1")), max(2 * r, 500.0))
-    j = _spread(j, key, poly)
+    j = box_join(points, b, (x - rr, y - rr, x + rr, y + rr), tuple(F.col(f"__b.{c}") for c in BOX), max(2 * r, 500.0))
+    j = _disc_shares(_spread(j.drop("__b"), key, "rings"), r, segments)
+    return _members(j, polys.withColumn("__outline", F.col("rings")), "rings", "__outline").drop("__outline")
+
+
+def _members(shapes: DataFrame, rows: DataFrame, shape: str, of: str) -> DataFrame:
+    """Rows beside what is known of their shape, found by its hash and itself: ``shape`` on the left, ``of`` on the right."""
+    s = shapes.withColumn("__hash", F.xxhash64(shape)).withColumnRenamed(shape, "__shape")
+    m = rows.withColumn("__of", F.xxhash64(of))
+    return s.join(m.hint("merge"), (F.col("__hash") == F.col("__of")) & (F.col("__shape") == F.col(of))).drop("__hash", "__of", "__shape")
+
+
+def _disc_shares(j: DataFrame, r: float, segments: int = 32) -> DataFrame:
+    """Pairs (sx, sy, rings) that share area, with ``poly_area`` and ``overlap_sqft``.
+
+    A polygon wholly inside the disc needs no clipping; the batch function only sees the cut ones.
+    """
     reach = F.array_max(F.transform(F.get("rings", 0), lambda p: F.hypot(p.x - F.col("sx"), p.y - F.col("sy"))))
     inside = reach <= r * math.cos(math.pi / segments)
     area = P.polygon_area(F.col("rings"))
     j = j.withColumns({"poly_area": area, "__inside": inside})
-    cut = overlap_area(F.when(~F.col("__inside"), F.col("rings")), disc(x, y, rr, segments))
+    cut = overlap_area(F.when(~F.col("__inside"), F.col("rings")), disc(F.col("sx"), F.col("sy"), F.lit(float(r)), segments))
     j = j.withColumn("overlap_sqft", F.coalesce(F.when(F.col("__inside"), F.col("poly_area")), cut)).where(F.col("overlap_sqft") > 1e-9)
-    return j.drop("__b", "__inside")
+    return j.drop("__inside")
 
 
 def walkshed(points: DataFrame, polys: DataFrame, r: float, key: str, poly: str, values: list[str]) -> DataFrame:
