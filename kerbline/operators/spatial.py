@@ -215,10 +215,46 @@ def _disc_shares(j: DataFrame, r: float, segments: int = 32) -> DataFrame:
 
 
 def walkshed(points: DataFrame, polys: DataFrame, r: float, key: str, poly: str, values: list[str]) -> DataFrame:
-    """Polygon values apportioned to discs by area share and summed per point."""
-    o = overlap_with_discs(points, polys, r, key, poly)
-    share = F.col("overlap_sqft") / F.nullif(F.col("poly_area"), F.lit(0.0))
-    s = o.groupBy(key).agg(*[F.sum(F.col(v) * share).alias(f"{v}_walkshed") for v in values], F.sum("overlap_sqft").alias("overlap_sqft"))
+    """Polygon values apportioned to discs by area share and summed per point.
+
+    Polygons are summed per outline and per small cell (r / 8), with the box that a cell's polygons fill.  A cell whose box lies
+    inside the disc adds its sums at once; only polygons of cells at the rim are looked at, and those wider than
+    two cells, each in a cell of its own size.
+    """
+    size, segments = r / 8, 32
+    sums = lambda by: [F.sum(F.col(v) * by).alias(v) for v in values]
+    p = polys.groupBy("rings").agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in values], F.count(F.lit(1)).alias("__n"))
+    p = p.withColumns({"__b": P.bbox(F.flatten("rings")), "poly_area": P.polygon_area(F.col("rings"))}).where("poly_area > 1e-9")
+    width = F.greatest(F.col("__b.x1") - F.col("__b.x0"), F.col("__b.y1") - F.col("__b.y0"))
+    middle = [F.floor((F.col(f"__b.{a}0") + F.col(f"__b.{a}1")) / (2 * size)).cast("long") for a in "xy"]
+    p = materialize(p.withColumns({"__wide": width > 2 * size, "cx": middle[0], "cy": middle[1]}), "outlines")
+
+    sites = points.select(key, "sx", "sy")
+    small = p.where("not __wide")
+    ends = [F.min("__b.x0").alias("x0"), F.min("__b.y0").alias("y0"), F.max("__b.x1").alias("x1"), F.max("__b.y1").alias("y1")]
+    cells = small.groupBy("cx", "cy").agg(*sums(F.lit(1.0)), F.sum(F.col("poly_area") * F.col("__n")).alias("overlap_sqft"), *ends)
+    # a polygon that meets the disc is at most two cells wide, so its middle lies within r and one cell on either axis
+    k = 10
+    c0, c1 = F.floor(F.col("sx") / size).cast("long"), F.floor(F.col("sy") / size).cast("long")
+    around = F.sequence(F.lit(-k), F.lit(k))
+    e = sites.withColumn("cx", F.explode(F.transform(around, lambda i: c0 + i))).withColumn("cy", F.explode(F.transform(around, lambda i: c1 + i)))
+    gap = [F.greatest(F.col(c) * size - F.col(s), F.col(s) - (F.col(c) + 1) * size, F.lit(0.0)) for c, s in (("cx", "sx"), ("cy", "sy"))]
+    e = e.where(F.hypot(*gap) <= r + 1.5 * size)
+    e = e.join(cells.hint("merge"), ["cx", "cy"])
+    far = F.hypot(*[F.greatest(F.abs(F.col(f"{a}0") - F.col(f"s{a}")), F.abs(F.col(f"{a}1") - F.col(f"s{a}"))) for a in "xy"])
+    close = F.hypot(*[F.greatest(F.col(f"{a}0") - F.col(f"s{a}"), F.col(f"s{a}") - F.col(f"{a}1"), F.lit(0.0)) for a in "xy"])
+    inside = F.coalesce(far <= r * math.cos(math.pi / segments), F.lit(False))
+    whole = e.where(inside).select(key, *values, "overlap_sqft")
+    rim = e.where(~inside & (close <= r)).select(key, "sx", "sy", "cx", "cy").join(small.hint("merge"), ["cx", "cy"]).drop("cx", "cy")
+
+    x, y = F.col("sx"), F.col("sy")
+    wide = box_join(sites, p.where("__wide").drop("cx", "cy"), (x - r, y - r, x + r, y + r), tuple(F.col(f"__b.{c}") for c in BOX), 2 * r)
+    cut = rim.unionByName(wide.select(*rim.columns)).drop("__wide", "poly_area")
+    meets = (F.col("__b.x0") <= x + r) & (F.col("__b.x1") >= x - r) & (F.col("__b.y0") <= y + r) & (F.col("__b.y1") >= y - r)
+    o = _disc_shares(_spread(cut.where(meets).drop("__b"), key, "rings"), r, segments)
+    share = F.col("overlap_sqft") / F.col("poly_area")
+    o = o.select(key, *[(F.col(v) * share).alias(v) for v in values], (F.col("overlap_sqft") * F.col("__n")).alias("overlap_sqft"))
+    s = whole.unionByName(o).groupBy(key).agg(*[F.sum(v).alias(f"{v}_walkshed") for v in values], F.sum("overlap_sqft").alias("overlap_sqft"))
     return points.select(key).join(s, key, "left").fillna(0.0)
 
 

@@ -75,6 +75,20 @@ def _squares(spark, rows):
     return c.select("b", "pop", F.array(planar.rectangle(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w"))).alias("rings"))
 
 
+def test_walkshed_equals_all_pairs(spark, met):
+    rng = random.Random(8)
+    rows = [(f"b{i}", rng.random() * 3000, rng.random() * 3000, rng.choice([40.0, 90.0, 300.0, 1500.0] if i % 20 == 0 else [40.0, 90.0]), rng.choice([None, 1, 7, 20])) for i in range(900)]
+    polys, r = _squares(spark, rows + rows[:50]), 1000.0
+    sites = spark.createDataFrame([("m", 1500.0, 1500.0), ("c", 0.0, 0.0), ("off", 9000.0, 0.0)], "site_id string, sx double, sy double")
+    area = F.array_max(F.transform("rings", planar.ring_signed_area))
+    pairs = sites.crossJoin(polys).withColumn("a", overlap_area(F.col("rings"), disc(F.col("sx"), F.col("sy"), F.lit(r))))
+    want = {x.site_id: x.v for x in pairs.groupBy("site_id").agg(F.sum(F.col("pop") * F.col("a") / F.abs(area)).alias("v")).collect()}
+    seen = met(spatial, "_disc_shares")
+    got = {x.site_id: x.pop_walkshed for x in spatial.walkshed(sites, polys, r, "site_id", "b", ["pop"]).collect()}
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-6, abs_tol=1e-6) for s in ("m", "c", "off")), (got, want)
+    assert seen["_disc_shares"] < 400  # some 450 squares lie in or at the discs; those well inside are summed by cell
+
+
 def test_changed_days_tell_their_signature(spark):
     got = entry.queries()["src17_changed_days"](spark, SMALL)
     assert got.columns == ["day", "n_files", "max_mtime"] and all(r.day % 3 and r.n_files > 0 for r in got.collect())
