@@ -259,12 +259,17 @@ def walkshed(points: DataFrame, polys: DataFrame, r: float, key: str, poly: str,
 
 
 def block_provision(blocks: DataFrame, polys: DataFrame, key: str, poly: str) -> DataFrame:
-    """Layer area inside each convex block, per foot of frontage and per head."""
-    bb, pb = blocks.withColumn("__b", P.bbox(F.get("rings", 0))), polys.select(poly, F.col("rings").alias("prings"), P.bbox(F.get("rings", 0)).alias("__p"))
-    box = lambda n: tuple(F.col(f"{n}.{c}") for c in ("x0", "y0", "x1", "y1"))
-    j = box_join(bb.select(key, F.get("rings", 0).alias("outline"), "__b"), pb, box("__b"), box("__p"), 1000.0)
-    j = _spread(j.select(key, poly, "outline", "prings"), key, poly)
-    a = j.select(key, overlap_area("prings", "outline").alias("a")).groupBy(key).agg(F.sum("a").alias("sidewalk_area_sqft"))
+    """Layer area inside each convex block, per foot of frontage and per head.
+
+    Blocks of one outline and polygons of one outline meet once.
+    """
+    outlines = blocks.select(F.get("rings", 0).alias("outline")).distinct().withColumn("__b", P.bbox(F.col("outline")))
+    layer = polys.groupBy(F.col("rings").alias("prings")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__p", P.bbox(F.get("prings", 0)))
+    box = lambda n: tuple(F.col(f"{n}.{c}") for c in BOX)
+    j = box_join(outlines, layer, box("__b"), box("__p"), 1000.0)
+    j = _spread(j.select("outline", "prings", "__n"), "outline", "prings")
+    a = j.select("outline", (overlap_area("prings", "outline") * F.col("__n")).alias("a")).groupBy("outline").agg(F.sum("a").alias("a"))
+    a = _members(a, blocks.select(key, F.get("rings", 0).alias("__own")), "outline", "__own").groupBy(key).agg(F.sum("a").alias("sidewalk_area_sqft"))
     out = blocks.join(a, key, "left").withColumns({
         "sidewalk_area_sqft": F.coalesce("sidewalk_area_sqft", F.lit(0.0)), "block_area_sqft": P.polygon_area(F.col("rings")), "perimeter_ft": P.polygon_perimeter(F.col("rings"))})
     return out.withColumns({
