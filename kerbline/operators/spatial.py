@@ -299,21 +299,27 @@ def side_of_segment(rings: Column, x0: Column, y0: Column, x1: Column, y1: Colum
 
 
 def coverage_class(segs: DataFrame, polys: DataFrame, key: str, poly: str, reach: float = 25.0, default_width: float = 30.0) -> DataFrame:
-    """Layer area within reach of each street and the sides it lies on."""
+    """Layer area within reach of each street and the sides it lies on.
+
+    Streets of one line and width and polygons of one outline meet once.
+    """
     w = F.coalesce(F.nullif(F.col("width_text").try_cast("double"), F.lit(0.0)), F.lit(default_width))
     s = segs.withColumn("__r", w / 2 + reach)
-    p = polys.select(poly, "rings", P.bbox(F.get("rings", 0)).alias("__p"))
+    p = polys.groupBy("rings").agg(F.count(F.lit(1)).alias("__n")).withColumn("__p", P.bbox(F.get("rings", 0)))
     lb = (F.least("x0", "x1") - F.col("__r"), F.least("y0", "y1") - F.col("__r"), F.greatest("x0", "x1") + F.col("__r"), F.greatest("y0", "y1") + F.col("__r"))
-    j = box_join(s, p, lb, tuple(F.col(f"__p.{c}") for c in ("x0", "y0", "x1", "y1")), 500.0)
-    xy = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    j = _spread(j.select(key, poly, "x0", "y0", "x1", "y1", "__r", "rings"), key, poly)
+    line = [*LINE, "__r"]
+    j = box_join(s.select(*line).distinct(), p, lb, tuple(F.col(f"__p.{c}") for c in BOX), 500.0)
+    xy = [F.col(c) for c in LINE]
+    j = _spread(j.select(*line, "rings", "__n"), *line, "rings")
     # wholly within reach: no clipping needed (half circles are drawn with 16 segments)
     far = F.array_max(F.transform(F.get("rings", 0), lambda p: P.segment_distance(p.x, p.y, *xy)))
     j = j.withColumn("__inside", far <= F.col("__r") * math.cos(math.pi / 32))
     cut = overlap_area(F.when(~F.col("__inside"), F.col("rings")), stadium(*xy, F.col("__r")))
     j = j.withColumn("a", F.coalesce(F.when(F.col("__inside"), P.polygon_area(F.col("rings"))), cut)).where(F.col("a") > 1e-9)
     j = j.withColumn("side", side_of_segment(F.col("rings"), *xy))
-    g = j.groupBy(key).agg(F.sum("a").alias("sidewalk_area_sqft"), (F.max("side") > 0).cast("int").alias("has_left"), (F.min("side") < 0).cast("int").alias("has_right"))
+    per = j.groupBy(*line).agg(F.sum(F.col("a") * F.col("__n")).alias("a"), F.max("side").alias("most"), F.min("side").alias("least"))
+    g = s.select(key, *line).join(per, line).groupBy(key).agg(
+        F.sum("a").alias("sidewalk_area_sqft"), (F.max("most") > 0).cast("int").alias("has_left"), (F.min("least") < 0).cast("int").alias("has_right"))
     out = segs.join(g, key, "left").fillna({"sidewalk_area_sqft": 0.0, "has_left": 0, "has_right": 0})
     return out.withColumns({"seg_len_ft": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), "coverage_class": class_of_sides(F.col("has_left"), F.col("has_right"))})
 

@@ -89,6 +89,22 @@ def test_walkshed_equals_all_pairs(spark, met):
     assert seen["_disc_shares"] < 400  # some 450 squares lie in or at the discs; those well inside are summed by cell
 
 
+def test_outlines_of_many_polygons_are_cut_once(spark, met):
+    """30 blocks, strips and streets in each of a few places: geometry sees each place once, sums count every row."""
+    blocks = _squares(spark, [(f"{k}-{i}", k * 100.0, 0.0, 80.0, 1) for k in range(4) for i in range(30)]).withColumnRenamed("b", "block_id")
+    strips = _squares(spark, [(f"{k}-{i}", k * 100.0 + 60.0, 10.0, 40.0, 1) for k in range(4) for i in range(30)]).withColumnRenamed("b", "poly_id")
+    seen = met(spatial, "_spread")
+    got = spatial.block_provision(blocks, strips, "block_id", "poly_id").collect()
+    assert len(got) == 120 and {r.sidewalk_area_sqft for r in got} == {30 * 20.0 * 40.0}
+    streets = spark.createDataFrame([(f"{k}-{i}", k * 100.0, 0.0, k * 100.0 + 80.0, 0.0, "20") for k in range(4) for i in range(30)], "street_id string, x0 double, y0 double, x1 double, y1 double, width_text string")
+    got = spatial.coverage_class(streets.unionByName(streets.where("street_id = '0-0'")), strips, "street_id", "poly_id").collect()
+    area = {r.street_id: r.sidewalk_area_sqft for r in got}
+    assert len(got) == 121 and area["0-0"] == 2 * area["0-1"] and {r.coverage_class for r in got} == {"one_side"}
+    found = spatial.overlap_with_discs(spark.createDataFrame([("s", 100.0, 20.0)], "site_id string, sx double, sy double"), blocks, 60.0, "site_id", "block_id").collect()
+    assert len(found) == 60 and {r.block_id.split("-")[0] for r in found} == {"0", "1"} and len({r.overlap_sqft for r in found}) == 2
+    assert seen["_spread"] < 60
+
+
 def test_changed_days_tell_their_signature(spark):
     got = entry.queries()["src17_changed_days"](spark, SMALL)
     assert got.columns == ["day", "n_files", "max_mtime"] and all(r.day % 3 and r.n_files > 0 for r in got.collect())
