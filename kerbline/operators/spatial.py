@@ -110,13 +110,17 @@ def radius_count(sites: DataFrame, pts: DataFrame, r: float, name: str = "n", ke
 
 
 def near_segment_count(segs: DataFrame, pts: DataFrame, d: float, key: str, size: float = 400.0) -> DataFrame:
-    """Points within ``d`` of each segment, zeros kept; points are counted per position first."""
+    """Points within ``d`` of each segment, zeros kept.
+
+    Points are counted per position, and a line that several segments share meets them once.
+    """
     at = pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")).withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
-    g = segs.select(key, "x0", "y0", "x1", "y1")
+    g = segs.select(*LINE).distinct()
     box = cells_of_box(F.least("x0", "x1") - d, F.least("y0", "y1") - d, F.greatest("x0", "x1") + d, F.greatest("y0", "y1") + d, size)
     e = g.select("*", F.explode(box).alias("c")).select(*g.columns, "c.cx", "c.cy")
     dist = P.segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    n = e.join(at, ["cx", "cy"]).where(dist <= d).groupBy(key).agg(F.sum("w").alias("n_points"))
+    w = e.hint("merge").join(at, ["cx", "cy"]).where(dist <= d).groupBy(*LINE).agg(F.sum("w").alias("w"))
+    n = segs.select(key, *LINE).join(w, LINE).groupBy(key).agg(F.sum("w").alias("n_points"))
     return segs.join(n, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
 
 

@@ -105,6 +105,14 @@ def test_outlines_of_many_polygons_are_cut_once(spark, met):
     assert seen["_spread"] < 60
 
 
+def test_segments_of_one_line_meet_points_once(spark):
+    segs = spark.createDataFrame([(i, 0.0, 0.0, 400.0, 0.0) for i in range(30)] + [(30, 5000.0, 0.0, 5400.0, 0.0), (31, None, 0.0, 1.0, 0.0)], "street_id long, x0 double, y0 double, x1 double, y1 double")
+    pts = spark.createDataFrame([(float(x), 50.0) for x in range(0, 400, 4)] + [(10.0, 150.0)], "x double, y double")
+    found = spatial.near_segment_count(segs, pts, 100.0, "street_id")
+    assert {(r.street_id, r.n_points) for r in found.collect()} == {*((i, 100) for i in range(30)), (30, 0), (31, 0)}
+    assert "Broadcast" not in spatial.near_segment_count(segs, pts, 100.0, "street_id").select("n_points")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_changed_days_tell_their_signature(spark):
     got = entry.queries()["src17_changed_days"](spark, SMALL)
     assert got.columns == ["day", "n_files", "max_mtime"] and all(r.day % 3 and r.n_files > 0 for r in got.collect())
