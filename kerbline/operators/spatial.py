@@ -437,19 +437,20 @@ def route_adherence(projected: DataFrame) -> DataFrame:
 def match_nearest_line(points: DataFrame, lines: DataFrame, d: float, key: str, size: float = 200.0) -> DataFrame:
     """Nearest line with a published value within ``d`` of each point; equal distances go to the smaller street_id.
 
-    Lines without a value are no candidates.  Points meet the lines once per position, however many stand on it; points without
+    Lines without a value are no candidates, nor are those that run where one of a smaller street_id runs.  Points meet the lines once per position, however many stand on it; points without
     coordinates, or with no line that near, are left out.
     """
     s = float(size)
     box = cells_of_box(F.least("x0", "x1") - d, F.least("y0", "y1") - d, F.greatest("x0", "x1") + d, F.greatest("y0", "y1") + d, s)
-    e = lines.where("published is not null").select("street_id", "published", "x0", "y0", "x1", "y1", F.explode(box).alias("c"))
+    one = lines.where("published is not null").groupBy(*LINE).agg(F.min(F.struct("street_id", "published")).alias("l")).select("l.*", *LINE)
+    e = one.select("street_id", "published", "x0", "y0", "x1", "y1", F.explode(box).alias("c"))
     e = e.select("street_id", "published", "x0", "y0", "x1", "y1", "c.cx", "c.cy")
     at = points.where("x is not null and y is not null").select("x", "y").distinct()
     at = at.withColumns({"cx": F.floor(F.col("x") / s).cast("long"), "cy": F.floor(F.col("y") / s).cast("long")})
     dist = P.segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    j = at.join(e, ["cx", "cy"]).withColumn("dist_ft", dist).where(F.col("dist_ft") <= d)
+    j = at.join(e.hint("merge"), ["cx", "cy"]).withColumn("dist_ft", dist).where(F.col("dist_ft") <= d)
     best = j.groupBy("x", "y").agg(F.min(F.struct("dist_ft", "street_id", "published")).alias("b"))
-    return points.join(best, ["x", "y"]).select(*points.columns, "b.dist_ft", "b.street_id", "b.published")
+    return points.join(best.hint("merge"), ["x", "y"]).select(*points.columns, "b.dist_ft", "b.street_id", "b.published")
 
 
 # ------------------------------------------------------------------ street network

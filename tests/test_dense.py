@@ -113,6 +113,14 @@ def test_segments_of_one_line_meet_points_once(spark):
     assert "Broadcast" not in spatial.near_segment_count(segs, pts, 100.0, "street_id").select("n_points")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_to_match_are_not_sent_to_all_tasks(spark):
+    lines = spark.createDataFrame([(i, 0.0, 0.0, 100.0, 0.0, float(i)) for i in range(1, 40)], "street_id long, x0 double, y0 double, x1 double, y1 double, published double")
+    points = spark.createDataFrame([(1, 50.0, 4.0), (2, 50.0, 4.0), (3, 900.0, 0.0)], "id long, x double, y double")
+    found = spatial.match_nearest_line(points, lines, 25.0, "id")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.street_id, r.published) for r in found.collect()} == {(1, 1, 1.0), (2, 1, 1.0)}
+
+
 def test_changed_days_tell_their_signature(spark):
     got = entry.queries()["src17_changed_days"](spark, SMALL)
     assert got.columns == ["day", "n_files", "max_mtime"] and all(r.day % 3 and r.n_files > 0 for r in got.collect())
