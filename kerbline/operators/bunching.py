@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbline.functions.planar import haversine_m
@@ -22,32 +23,32 @@ DEG_M = 111_194.9  # metres per degree of latitude on the sphere used here
 SIZE_LAT = CAP_M / DEG_M
 
 
-def _columns(band: Column) -> Column:
+def _columns(band: Column, size: float = SIZE_LAT) -> Column:
     """Columns around the globe in a band of latitude: each as wide as the cap is at the latitude farthest from the equator
     in this band and the two beside it."""
-    far = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * SIZE_LAT, F.lit(90.0))
-    half = F.asin(F.least(F.lit(1.0), math.sin(math.radians(SIZE_LAT) / 2) / F.cos(F.radians(far))))
-    return F.floor(math.pi / half * (1 - 1e-9))
+    far = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * size, F.lit(90.0))
+    half = F.asin(F.least(F.lit(1.0), math.sin(math.radians(size) / 2) / F.cos(F.radians(far))))
+    return F.floor(math.pi / half * (1 - 1e-6))
 
 
-def _column(lon: Column, band: Column) -> Column:
-    n = _columns(band)
+def _column(lon: Column, band: Column, size: float = SIZE_LAT) -> Column:
+    n = _columns(band, size)
     return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) * n / 360), n)
 
 
-def _located(positions: DataFrame, headway: DataFrame) -> DataFrame:
+def _located(positions: DataFrame, headway: DataFrame, size: float = SIZE_LAT) -> DataFrame:
     """Positions with the expected headway and the grid cell (cx, cy)."""
     hw = headway.select("route_id", "direction_id", "sched_median_headway_s")
     v = null_safe_join(positions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), hw, ["route_id", "direction_id"])
     v = v.withColumn("headway", F.coalesce("sched_median_headway_s", F.lit(DEFAULT_HEADWAY_S)))
-    v = v.withColumn("cy", F.floor(F.col("lat") / SIZE_LAT))
-    return v.withColumn("cx", _column(F.col("lon"), F.col("cy")))
+    v = v.withColumn("cy", F.floor(F.col("lat") / size))
+    return v.withColumn("cx", _column(F.col("lon"), F.col("cy"), size))
 
 
-def _around(v: DataFrame, lon: str) -> DataFrame:
+def _around(v: DataFrame, lon: str, size: float = SIZE_LAT) -> DataFrame:
     """Each row in its own cell and in those beside it: columns are as wide as the band needs that is met, and close up around the globe."""
     v = v.withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])))
-    beside = F.array_distinct(F.array(*[F.pmod(_column(F.col(lon), F.col("cy")) + i, _columns(F.col("cy"))) for i in (-1, 0, 1)]))
+    beside = F.array_distinct(F.array(*[F.pmod(_column(F.col(lon), F.col("cy"), size) + i, _columns(F.col("cy"), size)) for i in (-1, 0, 1)]))
     return v.withColumn("cx", F.explode(beside))
 
 
@@ -58,20 +59,21 @@ def _close(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("gap_m") < F.least(PAIR_FRAC * F.col("expected_m"), F.lit(CAP_M)))
 
 
-def candidate_pairs(positions: DataFrame, headway: DataFrame) -> DataFrame:
+def candidate_pairs(positions: DataFrame, headway: DataFrame, cap: float = CAP_M) -> DataFrame:
     """Pairs closer than min(25 % of the expected spacing, 500 m), from neighbouring grid cells only.
 
     The cap bounds the search radius, so a pair's vehicles lie in adjacent 500 m cells;
-    a route's vehicles are never all paired with each other.
+    a route's vehicles are never all paired with each other.  A smaller ``cap`` leaves the pairs below it.
     """
-    v = _located(positions, headway)
+    size = cap / DEG_M
+    v = _located(positions, headway, size)
     keep = ["vehicle_id", "lat", "lon"]
     a = v.select("route_id", "direction_id", "headway", "cx", "cy", *[F.col(c).alias(f"{c}_a") for c in keep])
-    b = _around(v.select("route_id", "direction_id", "cy", *[F.col(c).alias(f"{c}_b") for c in keep]), "lon_b")
+    b = _around(v.select("route_id", "direction_id", "cy", *[F.col(c).alias(f"{c}_b") for c in keep]), "lon_b", size)
     b = b.withColumnsRenamed({"route_id": "r_b", "direction_id": "d_b", "cx": "cx_b", "cy": "cy_b"})
     same = F.col("route_id").eqNullSafe(F.col("r_b")) & F.col("direction_id").eqNullSafe(F.col("d_b")) & (F.col("cx") == F.col("cx_b")) & (F.col("cy") == F.col("cy_b"))
     j = a.join(b, same & (F.col("vehicle_id_a") < F.col("vehicle_id_b"))).drop("r_b", "d_b", "cx_b", "cy_b")
-    return _close(j).drop("cx", "cy")
+    return _close(j).where(F.col("gap_m") < cap).drop("cx", "cy")
 
 
 def pairs_by_window(positions: DataFrame, headway: DataFrame, window: Column) -> DataFrame:
@@ -116,9 +118,53 @@ def greedy_pairs(candidates: DataFrame) -> DataFrame:
     return candidates.limit(0) if taken is None else taken
 
 
+def _at_one_spot(positions: DataFrame, headway: DataFrame) -> DataFrame:
+    """The pairs that the sequential rule takes among vehicles at one and the same spot: gaps are 0, so they pair up in order of id."""
+    w = W.partitionBy("route_id", "direction_id", "lat", "lon").orderBy("vehicle_id")
+    v = _located(positions.where(F.col("vehicle_id").isNotNull()), headway).withColumns({"vehicle_id_b": F.lead("vehicle_id").over(w), "i": F.row_number().over(w)})
+    v = v.where((F.col("i") % 2 == 1) & F.col("vehicle_id_b").isNotNull())
+    place = [F.col(c).alias(f"{c}_{s}") for s in "ab" for c in ("lat", "lon")]
+    return _close(v.select("route_id", "direction_id", "headway", F.col("vehicle_id").alias("vehicle_id_a"), "vehicle_id_b", *place))
+
+
+def tightest_pairs(positions: DataFrame, headway: DataFrame, most: int = 16, least_m: float = 0.25) -> DataFrame:
+    """:func:`greedy_pairs` of all :func:`candidate_pairs`, which need not all be listed where vehicles stand dense.
+
+    Pairs below a small cap come before all wider ones, so they are settled first: among those left no two are that close any more, and
+    the cap is widened.  The first cap is such that no cell holds more than ``most`` vehicles; vehicles at one spot are paired before.
+    """
+    v = materialize(positions.select("vehicle_id", "route_id", "direction_id", "lat", "lon").where("lat is not null and lon is not null"), "positions")
+    headway = materialize(headway, "headway")
+
+    def fullest(rows, cap):
+        n = _located(rows, headway, cap / DEG_M).groupBy("route_id", "direction_id", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+        return n.agg(F.max("n")).first()[0] or 0
+
+    crowded = fullest(v, CAP_M) > most
+    if not crowded or not v.where("vehicle_id is not null").groupBy("vehicle_id").count().where("count > 1").isEmpty():
+        return greedy_pairs(candidate_pairs(v, headway))
+
+    def without(rows, pairs):
+        used = pairs.select(F.explode(F.array("vehicle_id_a", "vehicle_id_b")).alias("u"))
+        return materialize(rows.join(used, F.col("vehicle_id") == F.col("u"), "left_anti"), "positions")
+
+    taken = materialize(_at_one_spot(v, headway), "pairs")
+    v, cap = without(v, taken), CAP_M
+    while cap > least_m and (n := fullest(v, cap)) > most:
+        cap = max(least_m, cap / max(2.0, (n / most) ** 0.5))
+    while True:
+        won = greedy_pairs(candidate_pairs(v, headway, min(cap, CAP_M)))
+        taken = taken.unionByName(won.select(*taken.columns))
+        if cap >= CAP_M:
+            return taken
+        v, cap = without(v, won), 4 * cap
+        if v.isEmpty():
+            return taken
+
+
 def bunching_pairs(positions: DataFrame, headway: DataFrame) -> DataFrame:
     """Pairs with mid-point, gap and severity."""
-    p = greedy_pairs(candidate_pairs(positions, headway))
+    p = tightest_pairs(positions, headway)
     ratio = F.col("gap_m") / F.col("expected_m")
     return p.select(
         "route_id", "direction_id", "vehicle_id_a", "vehicle_id_b", "gap_m",

@@ -121,6 +121,24 @@ def test_lines_to_match_are_not_sent_to_all_tasks(spark):
     assert {(r.id, r.street_id, r.published) for r in found.collect()} == {(1, 1, 1.0), (2, 1, 1.0)}
 
 
+def test_bunching_among_crowded_vehicles(spark, met):
+    rng = random.Random(11)
+    rows = [(f"{i:03d}", "r", i % 2, 40.6 + rng.randint(0, 300) * 1e-5, -74.0 + rng.randint(0, 3) * 1e-4) for i in range(260)]
+    rows += [("none", "r", 0, None, -74.0), (None, "r", 0, 40.6, -74.0)]
+    v = spark.createDataFrame(rows, "vehicle_id string, route_id string, direction_id int, lat double, lon double")
+    headway = spark.createDataFrame([("r", 0, 300.0), ("r", 1, None)], "route_id string, direction_id int, sched_median_headway_s double")
+    every = sorted((r.gap_m, r.vehicle_id_a, r.vehicle_id_b) for r in bunching.candidate_pairs(v, headway).collect())
+    used, want = set(), set()
+    for _, a, b in every:
+        if not {a, b} & used:
+            used |= {a, b}
+            want.add((a, b))
+    seen = met(bunching, "greedy_pairs")
+    got = [(r.vehicle_id_a, r.vehicle_id_b) for r in bunching.bunching_pairs(v, headway).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert seen["greedy_pairs"] < len(every) / 4
+
+
 def test_changed_days_tell_their_signature(spark):
     got = entry.queries()["src17_changed_days"](spark, SMALL)
     assert got.columns == ["day", "n_files", "max_mtime"] and all(r.day % 3 and r.n_files > 0 for r in got.collect())
