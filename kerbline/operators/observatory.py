@@ -199,14 +199,17 @@ def convergence(traj: DataFrame, step: int, gap: int = 150, band: float = 300.0)
 def delay_vs_schedule(points: DataFrame, sched: DataFrame, stops: DataFrame, band: float = 400.0, limit: int = 3600) -> DataFrame:
     """Minutes behind the nearest scheduled point in the offset band, and the nearest stop.
 
-    The time limit is part of the join key too, so only points that can count are paired.
+    The time limit is part of the join key too, so only points that can count are paired.  Points of one line, second and offset are
+    looked up once, among distinct scheduled seconds: what meets is bounded by the seconds of the time limit, not by the number of trips.
     """
     keys = ["route_id", "direction_id"]
     near3 = lambda c, w: F.array(*[(F.floor(c / w) + i) for i in (-1, 0, 1)])
-    p = points.withColumn("ob", F.explode(near3(F.col("offset_ft"), band))).withColumn("tb", F.explode(near3(F.col("ts"), limit)))
-    s = sched.select(*keys, F.col("ts").alias("st"), F.col("offset_ft").alias("so"), F.floor(F.col("offset_ft") / band).alias("ob"), F.floor(F.col("ts") / limit).alias("tb"))
+    at = [*keys, "ts", "offset_ft"]
+    p = points.select(*at).distinct().withColumn("ob", F.explode(near3(F.col("offset_ft"), band))).withColumn("tb", F.explode(near3(F.col("ts"), limit)))
+    s = sched.select(*at).distinct().select(*keys, F.col("ts").alias("st"), F.col("offset_ft").alias("so"), F.floor(F.col("offset_ft") / band).alias("ob"), F.floor(F.col("ts") / limit).alias("tb"))
     j = p.join(s, [*keys, "ob", "tb"]).where((F.abs(F.col("so") - F.col("offset_ft")) < band) & (F.abs(F.col("st") - F.col("ts")) < limit))
-    best = j.groupBy("trip_id", "ts").agg(F.min_by("st", F.struct(F.abs(F.col("st") - F.col("ts")), "st")).alias("sched_ts"))
+    near = j.groupBy(*at).agg(F.min(F.struct(F.abs(F.col("st") - F.col("ts")).alias("d"), "st")).alias("b"))
+    best = points.select("trip_id", *at).join(near, at).groupBy("trip_id", "ts").agg(F.min("b").alias("b")).select("trip_id", "ts", F.col("b.st").alias("sched_ts"))
     # a line's stops are a short list: one array per line, searched in place
     line = stops.groupBy(*keys).agg(F.collect_list(F.struct("stop_offset_ft", "stop_id")).alias("__stops"))
     out = points.join(best, ["trip_id", "ts"], "left").join(line, keys, "left")

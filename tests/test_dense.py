@@ -139,6 +139,18 @@ def test_bunching_among_crowded_vehicles(spark, met):
     assert seen["greedy_pairs"] < len(every) / 4
 
 
+def test_delay_looks_distinct_seconds_up(spark):
+    """Many trips at the same seconds: as many schedule points meet as there are seconds."""
+    keys = "route_id string, direction_id int"
+    points = spark.createDataFrame([("r", 0, f"t{i}", 10_000, 600.0) for i in range(50)] + [("r", 0, "two", 10_000, 600.0), ("r", 0, "two", 10_000, 2600.0)], f"{keys}, trip_id string, ts long, offset_ft double")
+    sched = spark.createDataFrame([("r", 0, t, o) for t, o in ((9_400, 500.0), (10_900, 500.0), (10_060, 2500.0)) for _ in range(50)], f"{keys}, ts long, offset_ft double")
+    stops = spark.createDataFrame([("r", 0, "a", 500.0), ("r", 0, "b", 2500.0)], f"{keys}, stop_id string, stop_offset_ft double")
+    got = observatory.delay_vs_schedule(points, sched, stops)
+    assert {(r.trip_id, r.offset_ft, r.nearest_stop, r.delay_min) for r in got.collect()} == {*((f"t{i}", 600.0, "a", 10) for i in range(50)), ("two", 600.0, "a", -1), ("two", 2600.0, "b", -1)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 5  # distinct points, distinct schedule, per place, per trip, stops
+
+
 def test_changed_days_tell_their_signature(spark):
     got = entry.queries()["src17_changed_days"](spark, SMALL)
     assert got.columns == ["day", "n_files", "max_mtime"] and all(r.day % 3 and r.n_files > 0 for r in got.collect())
