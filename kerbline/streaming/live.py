@@ -8,7 +8,7 @@ the watermark has closed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -319,7 +319,7 @@ class _InOrder(StatefulProcessor):
                 least = int(pdf["ts"].min())
                 first = least if first is None else min(first, least)
         if first is not None:
-            self.handle.registerTimer(first * 1000)
+            self.handle.registerTimer(_after(first))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -338,9 +338,9 @@ class _InOrder(StatefulProcessor):
             if out:
                 yield self.frame(out)
         if rest:
-            self.handle.registerTimer(rest[0][0] * 1000)
+            self.handle.registerTimer(_after(rest[0][0]))
         elif memory is not None:
-            until = (memory[0] + self.ttl) * 1000
+            until = _after(memory[0] + self.ttl)
             if until < passed:
                 self.memory.clear()
             else:
@@ -350,11 +350,22 @@ class _InOrder(StatefulProcessor):
         pass
 
 
+def _after(ts: int) -> int:
+    """The timer of a second.  Watermarks stand at whole seconds where the lateness allowed does, and Spark may never call a timer that the watermark
+    has stood on exactly."""
+    return ts * 1000 + 1
+
+
 def _plain(x, kind: str):
     """A value of a pandas row as plain Python: whole numbers that pandas holds as floats become whole again, missing ones None."""
     return None if pd.isna(x) else int(x) if kind in ("int", "long") else x
 
 
+#: A row waits until the watermark is later than its second, so one at the watermark itself is told a batch later, when Spark takes that very
+#: moment as late already; the next state's event time is a little after the second.
+PAST = timedelta(milliseconds=1)
+
+
 class _Passages(_InOrder):
     """Vehicle to passage: its rows where the stop changes.  Remembered: the last report's time and stop."""
 
@@ -366,7 +377,7 @@ class _Passages(_InOrder):
         (last, stop), out = memory or (None, None), []
         for ts, event, at, route, direction in due:
             if at != stop or ts - last > self.ttl:
-                out.append((key[0], route, direction, at, ts, event, datetime.fromtimestamp(ts, timezone.utc)))
+                out.append((key[0], route, direction, at, ts, event, datetime.fromtimestamp(ts, timezone.utc) + PAST))
             last, stop = ts, at
         return out, (last, stop)
 

@@ -70,6 +70,15 @@ def test_silent_vehicles_and_stops_are_forgotten(spark, tmp_path):
     assert got == {(1, None), (2, None), (3, None), (4, None), (5, None), (6, None), (9, 50)}
 
 
+def test_headways_of_reports_at_the_watermark(spark, tmp_path):
+    row = lambda v, s, at, e: (v, "r", 0, s, T0 + at, e, 40.0, -74.0)
+    # the watermark comes to stand at 940 and at 1940, each the second of a report that waits, of one that came with it and of one before it
+    batches = [[row("a", "x", 100, 1), row("a", "y", 940, 2), row("b", "y", 1000, 3)], [row("c", "y", 1940, 4), row("d", "y", 2000, 5)], [row("a", "x", 2300, 6), row("b", "z", 3000, 7)], [row("b", "z", 4000, 8)]]
+    stream = live.stream_headways(landed(spark, tmp_path / "in", PING, batches), late="1 minute")
+    got = {(r.event_id, r.headway_s) for r in live.run_to_table(stream, "headways", chained=True).collect()}
+    assert got == {(1, None), (2, None), (3, 60), (4, 940), (5, 60), (6, 2200), (7, None)}
+
+
 def test_two_newest_with_late_repeated_and_silent(spark, tmp_path):
     rows = reports()
     gen = random.Random(2)
