@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions import planar as P
+from kerbline.plans.spread import dealt
 from kerbline.session import configure
 
 T0 = 1_704_067_200  # 2024-01-01 00:00 UTC
@@ -232,16 +233,19 @@ FROM (SELECT DISTINCT c_custkey % 40 AS r FROM customer)""")
 
 
 def stop_times(spark, sf):
-    """One row per (trip, stop_sequence); times as text with hours above 24."""
-    li = table(spark, sf, "lineitem")
-    g = li.groupBy("l_orderkey", (F.col("l_linenumber") * 600 + F.col("l_partkey") % 600).alias("seq")).agg(
+    """One row per (trip, stop_sequence); times as text with hours above 24.
+
+    Lines are dealt by trip, so what is done by trip later needs no other shuffle of them.
+    """
+    li = dealt(table(spark, sf, "lineitem").withColumn("trip_id", F.col("l_orderkey").cast("string")), "trip_id")
+    g = li.groupBy("trip_id", "l_orderkey", (F.col("l_linenumber") * 600 + F.col("l_partkey") % 600).alias("seq")).agg(
         F.min("l_suppkey").alias("stop")
     )
     sec = (F.col("l_orderkey") % 23 + 5) * 3600 + (F.col("l_orderkey") % 12) * 300 + F.col("seq")
     two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
     text = F.concat(two(F.floor(sec / 3600)), F.lit(":"), two(F.floor(sec % 3600 / 60)), F.lit(":"), two(sec % 60))
     return g.select(
-        F.col("l_orderkey").cast("string").alias("trip_id"), F.col("stop").cast("string").alias("stop_id"),
+        "trip_id", F.col("stop").cast("string").alias("stop_id"),
         F.col("seq").cast("long").alias("stop_sequence"), text.alias("arrival_time"), text.alias("departure_time"),
     )
 
@@ -268,7 +272,7 @@ def two_feed_schedule(spark, sf):
     """trips, routes, stop_times of two feeds that number their trips, stops and routes alike; odd trips run in x only."""
     t = two_feeds(trips(spark, sf)).where("feed = 'x' or cast(trip_id as bigint) % 2 = 0")
     r = two_feeds(routes(spark, sf)).withColumn("route_short_name", F.concat(F.upper("feed"), "route_short_name"))
-    return t, r, two_feeds(stop_times(spark, sf), 2)
+    return t, r, dealt(two_feeds(stop_times(spark, sf), 2), "feed", "trip_id", rows=2 * table(spark, sf, "lineitem").count())
 
 
 CTE["stop_times2"] = (("stop_times",), """

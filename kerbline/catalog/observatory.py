@@ -15,6 +15,7 @@ from kerbline.operators import speed as SP
 from kerbline.operators import supply as S
 from kerbline.operators import trajectory as T
 from kerbline.operators.thinning import thin
+from kerbline.plans.spread import dealt
 from kerbline.session import materialize
 
 P = I.pings
@@ -167,8 +168,9 @@ SELECT stop_id, trip_id, route_id, arrival_time, greatest(0, arrival_time - {NOW
 def trains(s, d):
     """Trains under way: the last scheduled stop of each trip, reported shortly before now."""
     st = S.typed_stop_times(I.stop_times(s, d)).join(I.trips(s, d).select("trip_id", "route_id"), "trip_id")
-    return st.groupBy("trip_id", "route_id").agg(F.max_by("stop_id", "stop_seq").alias("stop_id"), F.max("sched_arr_sec").alias("sec")).select(
+    last = st.groupBy("trip_id", "route_id").agg(F.max_by("stop_id", "stop_seq").alias("stop_id"), F.max("sched_arr_sec").alias("sec")).select(
         F.col("trip_id").alias("vehicle_id"), "route_id", "stop_id", (F.lit(NOW) - F.col("sec") % 600).alias("ts"), (F.col("sec") % 4 == 0).alias("incoming"))
+    return dealt(last, "route_id", "stop_id", rows=I.trips(s, d).count())
 
 
 def hops(s, d):

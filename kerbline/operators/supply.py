@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from kerbline.functions import clock
 from kerbline.functions.codes import borough_from_route, route_norm
 from kerbline.plans.series import with_neighbour
+from kerbline.plans.spread import dealt
 
 MAX_HEADWAY_S = 7_200
 SEQ_CHUNK = 600
+TRIP_STOPS = 8  # stop times of a trip, roughly: for the number of tasks only
 
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
@@ -63,10 +65,15 @@ def gtfs_index(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 # ------------------------------------------------------------------ weekday service, three rules
+def named_weekday(include: str = "%weekday%", exclude: str = "%SDon%") -> Column:
+    """Rule 1, for one service: named as weekday, no school-day variant."""
+    s = F.col("service_id")
+    return s.ilike(include) & ~s.ilike(exclude)
+
+
 def weekday_services(trips: DataFrame, include: str = "%weekday%", exclude: str = "%SDon%") -> DataFrame:
     """Rule 1: every service named as weekday, without the school-day variants."""
-    s = F.col("service_id")
-    return trips.where(s.ilike(include) & ~s.ilike(exclude)).select("feed", "service_id").distinct()
+    return trips.where(named_weekday(include, exclude)).select("feed", "service_id").distinct()
 
 
 def representative_service(trips: DataFrame, include: str = "%Weekday%") -> DataFrame:
@@ -114,13 +121,16 @@ def classify_service(calendar: DataFrame, dates: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ weekday trips and what follows
 def weekday_trips(trips: DataFrame, routes: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Weekday trips with route name, first departure second and its start hour (floored)."""
+    """Weekday trips with route name, first departure second and its start hour (floored).
+
+    The name of its service tells whether a trip is a weekday's; a join with the few services would send all trips to a few tasks.
+    """
     first = (
         stop_times.where(F.col("departure_time").isNotNull() & (F.col("departure_time") != ""))
         .groupBy(*by_feed(["trip_id"], stop_times)).agg(F.min(clock.gtfs_seconds(F.col("departure_time"))).alias("start_sec"))
     )
     r = routes.select("feed", "route_id", F.col("route_short_name").alias("route"))
-    t = trips.join(weekday_services(trips), ["feed", "service_id"]).join(r, ["feed", "route_id"]).join(first, by_feed(["trip_id"], first))
+    t = trips.where(named_weekday()).join(r, ["feed", "route_id"]).join(first, by_feed(["trip_id"], first))
     return t.select(
         "feed", "trip_id", "route_id", "route", route_norm(F.col("route")).alias("route_norm"), "direction_id", "start_sec",
         F.pmod(F.floor(F.col("start_sec") / 3600), F.lit(24)).cast("int").alias("start_hour"),
@@ -213,9 +223,9 @@ def frequent_stops(stop_times: DataFrame, min_trips: int = 8, lo: str = "07:00:0
 
 
 # ------------------------------------------------------------------ schedule gaps
-def _gaps(seconds: DataFrame, keys: list[str], sec: str) -> DataFrame:
+def _gaps(seconds: DataFrame, keys: list[str], sec: str, arrivals: Column) -> DataFrame:
     """Positive gaps between consecutive arrivals: distinct seconds per key, at most two days of them."""
-    distinct = seconds.groupBy(*keys, sec).agg(F.count(F.lit(1)).alias("__n"))
+    distinct = seconds.groupBy(*keys, sec).agg(arrivals.alias("__n"))
     before = F.lag(sec).over(W.partitionBy(*keys).orderBy(sec))
     return distinct.withColumn("gap", F.col(sec) - before)
 
@@ -266,13 +276,25 @@ def argmax(df: DataFrame, keys: list[str], order: list[Column], take: list[str])
     return df.groupBy(*keys).agg(best.alias("__b")).select(*keys, *[F.col(f"__b.{c}").alias(c) for c in take])
 
 
+def visits(st: DataFrame, trips: DataFrame) -> DataFrame:
+    """Arrivals n per route x period x direction x stop x second: one pass over the stop times, from which trunks, headways and spans follow."""
+    keys = ["route_id", "service_period", "direction_id"]
+    return of_trips(st, trips, *keys).groupBy(*keys, "stop_id", "sched_sec").agg(F.count(F.lit(1)).alias("n"))
+
+
 def trunk_headways(st: DataFrame, trips: DataFrame, min_arrivals: int = 3) -> DataFrame:
     """Median gap in minutes at the trunk stop per route x period x window x direction."""
-    trunk = trunk_stop(st, trips).select("route_id", "stop_id")
-    a = of_trips(st, trips, "route_id", "service_period", "direction_id").join(trunk, ["route_id", "stop_id"])
+    return headways_of_visits(visits(st, trips), min_arrivals)
+
+
+def headways_of_visits(v: DataFrame, min_arrivals: int = 3) -> DataFrame:
+    """:func:`trunk_headways` of :func:`visits`."""
+    calls = v.groupBy("route_id", "stop_id").agg(F.sum("n").alias("visits"))
+    trunk = argmax(calls, ["route_id"], [-F.col("visits"), F.col("stop_id")], ["stop_id", "visits"]).select("route_id", "stop_id")
+    a = v.join(trunk, ["route_id", "stop_id"])
     a = a.withColumn("tod_window", clock.tod_window(F.col("sched_sec"))).where(F.col("tod_window").isNotNull())
     keys = ["route_id", "service_period", "tod_window", "direction_id"]
-    g = _gaps(a, keys, "sched_sec").groupBy(*keys).agg(
+    g = _gaps(a, keys, "sched_sec", F.sum("n")).groupBy(*keys).agg(
         F.sum("__n").alias("n_arrivals"), F.count("gap").alias("n_gaps"), F.median("gap").alias("m")
     )
     g = g.where((F.col("n_arrivals") >= min_arrivals) & (F.col("n_gaps") >= min_arrivals - 1))
@@ -280,9 +302,11 @@ def trunk_headways(st: DataFrame, trips: DataFrame, min_arrivals: int = 3) -> Da
 
 
 def service_spans(st: DataFrame, trips: DataFrame) -> DataFrame:
-    return of_trips(st, trips, "route_id", "service_period").groupBy("route_id", "service_period").agg(
-        F.min("sched_sec").alias("first_sec"), F.max("sched_sec").alias("last_sec")
-    )
+    return spans_of_visits(of_trips(st, trips, "route_id", "service_period"))
+
+
+def spans_of_visits(v: DataFrame) -> DataFrame:
+    return v.groupBy("route_id", "service_period").agg(F.min("sched_sec").alias("first_sec"), F.max("sched_sec").alias("last_sec"))
 
 
 # ------------------------------------------------------------------ route lists and stops
@@ -329,9 +353,9 @@ def canonical_predecessor(st: DataFrame, trips: DataFrame) -> DataFrame:
     chunk = F.floor(F.col("stop_seq") / SEQ_CHUNK)
     s = with_neighbour(s, keys, ["stop_seq"], chunk, {"prev_stop": "stop_id"}, {"next_stop": "stop_id"})
     inner = F.col("prev_stop").isNotNull()
-    votes = s.where(inner | F.col("next_stop").isNotNull()).groupBy(
-        "route_id", "stop_id", inner.alias("inner"), F.coalesce("prev_stop", "next_stop").alias("pred")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    calls = s.where(inner | F.col("next_stop").isNotNull()).select("route_id", "stop_id", inner.alias("inner"), F.coalesce("prev_stop", "next_stop").alias("pred"))
+    # votes and the best of them both stay where their stop is dealt to
+    votes = dealt(calls, "route_id", "stop_id", rows=TRIP_STOPS * trips.count()).groupBy("route_id", "stop_id", "inner", "pred").agg(F.count(F.lit(1)).alias("n"))
     return argmax(votes, ["route_id", "stop_id"], [~F.col("inner"), -F.col("n"), F.col("pred")], ["pred", "inner", "n"])
 
 

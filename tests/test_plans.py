@@ -402,3 +402,43 @@ def test_rows_are_counted_while_written(spark, tmp_path):
     got = {(r.check, r.name): r.status for r in lake.doctor(counts, crs, *empty).collect()}
     assert got == {("ROWCOUNTS", "full"): "FAIL", ("ROWCOUNTS", "none"): "PASS", ("ROWCOUNTS", "unknown"): "INFO", ("VIEWS", "full"): "PASS", ("VIEWS", "none"): "FAIL",
                    ("VIEWS", "unknown"): "PASS", ("CRS", "a"): "PASS", ("CRS", "b"): "FAIL"}
+
+
+def test_dealt_bounds_a_task_whatever_the_size(spark, monkeypatch):
+    from kerbline.plans import spread
+
+    monkeypatch.setattr(spread, "TASK_ROWS", 100)
+    df = spark.range(4000).selectExpr("cast(id % 1000 as string) AS k", "id")
+    got = spread.dealt(df, "k")
+    assert got.rdd.getNumPartitions() == 40
+    sizes = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("k")).collect()
+    assert max(r.n for r in sizes) < 300 and sum(r.k for r in sizes) == 1000
+    assert spread.dealt(df.limit(50), "k").count() == 50 and spread.dealt(df.limit(0), "k").count() == 0
+
+
+def test_predecessors_are_dealt_by_rows_not_by_session(spark, monkeypatch):
+    """The tasks of the votes grow in number with the trips; the result is that of a plain loop."""
+    from kerbline.operators import supply as S
+    from kerbline.plans import spread
+
+    gen, rows, by_trip = random.Random(4), [], {}
+    for t in range(300):
+        by_trip[f"t{t}"] = [f"s{gen.randrange(6)}" for _ in range(gen.randrange(1, 6))]
+        rows += [(f"t{t}", s, 600 * i) for i, s in enumerate(by_trip[f"t{t}"])]
+    st = spark.createDataFrame(rows, "trip_id string, stop_id string, stop_seq long")
+    trips = spark.createDataFrame([(t, f"r{int(t[1:]) % 3}") for t in by_trip], "trip_id string, route_id string")
+    votes = {}
+    for t, stops in by_trip.items():
+        for i, s in enumerate(stops):
+            pred = stops[i - 1] if i else stops[1] if len(stops) > 1 else None
+            if pred is not None:
+                tally = votes.setdefault((f"r{int(t[1:]) % 3}", s), {})
+                tally[(i > 0, pred)] = tally.get((i > 0, pred), 0) + 1
+    want = set()
+    for key, tally in votes.items():
+        (inner, pred), n = min(tally.items(), key=lambda x: (not x[0][0], -x[1], x[0][1]))
+        want.add((*key, pred, inner, n))
+    monkeypatch.setattr(spread, "TASK_ROWS", 50)
+    got = S.canonical_predecessor(st, trips)
+    assert {(r.route_id, r.stop_id, r.pred, r.inner, r.n) for r in got.collect()} == want
+    assert "hashpartitioning(route_id" in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() == 48
