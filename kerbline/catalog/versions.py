@@ -127,7 +127,7 @@ def deltas(s, d):
 
 
 def two_pairs(s, d):
-    a, b = ab(s, d)
+    a, b = map(G.prepared, ab(s, d))
     both = G.gtfs_diff(a, b, FEED, TS1, TS2).unionByName(G.gtfs_diff(b, a, FEED, TS2, TS3))
     return materialize(both, "deltas")
 

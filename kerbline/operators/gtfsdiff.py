@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kerbline.functions.clock import hhmm
 from kerbline.functions.planar import haversine_m
 from kerbline.operators import supply as S
+from kerbline.session import materialize
 
 # Thresholds of a reportable change.
 HEADWAY_FLAG_PCT = 10.0
@@ -62,9 +63,18 @@ def _with_period(v):
     return S.trip_periods(v["trips"], v["calendar"], v["calendar_dates"])
 
 
+def _visits(v):
+    return v["visits"] if "visits" in v else S.visits(v["stop_times"], _with_period(v))
+
+
+def prepared(v: dict) -> dict:
+    """The version with its visits written, so that its stop times are joined with its trips once, however many comparisons follow."""
+    return v if "visits" in v else {**v, "visits": materialize(_visits(v), "visits")}
+
+
 def diff_headways(a: dict, b: dict, flag_pct: float = HEADWAY_FLAG_PCT) -> DataFrame:
-    ha = S.trunk_headways(a["stop_times"], _with_period(a)).withColumnRenamed("headway_min", "from_headway_min")
-    hb = S.trunk_headways(b["stop_times"], _with_period(b)).withColumnRenamed("headway_min", "to_headway_min")
+    ha = S.headways_of_visits(_visits(a)).withColumnRenamed("headway_min", "from_headway_min")
+    hb = S.headways_of_visits(_visits(b)).withColumnRenamed("headway_min", "to_headway_min")
     raw = (F.col("to_headway_min") - F.col("from_headway_min")) / F.col("from_headway_min") * 100
     j = ha.join(hb, ["route_id", "service_period", "tod_window", "direction_id"]).where((F.col("from_headway_min") > 0) & (F.abs(raw) > flag_pct))
     return j.join(_route_list(b), "route_id", "left").withColumns(
@@ -72,8 +82,8 @@ def diff_headways(a: dict, b: dict, flag_pct: float = HEADWAY_FLAG_PCT) -> DataF
 
 
 def diff_spans(a: dict, b: dict, flag_min: float = SPAN_FLAG_MIN) -> DataFrame:
-    sa = S.service_spans(a["stop_times"], _with_period(a)).withColumnsRenamed({"first_sec": "a0", "last_sec": "a1"})
-    sb = S.service_spans(b["stop_times"], _with_period(b)).withColumnsRenamed({"first_sec": "b0", "last_sec": "b1"})
+    sa = S.spans_of_visits(_visits(a)).withColumnsRenamed({"first_sec": "a0", "last_sec": "a1"})
+    sb = S.spans_of_visits(_visits(b)).withColumnsRenamed({"first_sec": "b0", "last_sec": "b1"})
     d0, d1 = (F.col("b0") - F.col("a0")) / 60.0, (F.col("b1") - F.col("a1")) / 60.0
     j = sa.join(sb, ["route_id", "service_period"]).where((F.abs(d0) > flag_min) | (F.abs(d1) > flag_min))
     return j.join(_route_list(b), "route_id", "left").select(
@@ -124,6 +134,7 @@ def _record(df: DataFrame, change_type, detail: dict[str, str]) -> DataFrame:
 
 def gtfs_diff(a: dict, b: dict, feed: str, from_ts: str, to_ts: str) -> DataFrame:
     """All change records between two versions of a feed."""
+    a, b = prepared(a), prepared(b)
     headway = diff_headways(a, b).withColumn("direction", F.col("direction_id"))
     parts = [
         _record(diff_routes(a, b), F.concat(F.lit("route_"), F.col("side")), {"route_name": "s"}),

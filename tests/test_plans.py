@@ -442,3 +442,22 @@ def test_predecessors_are_dealt_by_rows_not_by_session(spark, monkeypatch):
     got = S.canonical_predecessor(st, trips)
     assert {(r.route_id, r.stop_id, r.pred, r.inner, r.n) for r in got.collect()} == want
     assert "hashpartitioning(route_id" in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() == 48
+
+
+def test_versions_join_stop_times_and_trips_once(spark, monkeypatch):
+    from kerbline.operators import gtfsdiff
+
+    t = spark.createDataFrame([(f"t{i}", "r", i % 2, "wk", "s") for i in range(40)], "trip_id string, route_id string, direction_id int, service_id string, shape_id string")
+    days = ", ".join(f"{d} string" for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"))
+    same = {"trips": t, "routes": spark.createDataFrame([("r", "M1")], "route_id string, route_short_name string"),
+            "stops": spark.createDataFrame([("x", "X", 40.0, -74.0)], "stop_id string, stop_name string, lat double, lon double"),
+            "calendar": spark.createDataFrame([("wk", *"1111100")], f"service_id string, {days}"),
+            "calendar_dates": spark.createDataFrame([], "service_id string, date string, exception_type string")}
+    st = lambda gap: spark.createDataFrame([(f"t{i}", "x", 1, 30_000 + gap * i) for i in range(40)], "trip_id string, stop_id string, stop_sequence long, sched_sec int")
+    joined, of_trips = [], supply.of_trips
+    monkeypatch.setattr(supply, "of_trips", lambda *a: joined.append(1) or of_trips(*a))
+    a, b = gtfsdiff.prepared({**same, "stop_times": st(60)}), gtfsdiff.prepared({**same, "stop_times": st(120)})
+    both = gtfsdiff.gtfs_diff(a, b, "f", "1", "2").unionByName(gtfsdiff.gtfs_diff(b, a, "f", "2", "3"))
+    got = {(r.from_ts, r.change_type, r.magnitude) for r in both.collect()}
+    assert {(f, c, m) for f, c, m in got if c == "headway_delta"} == {("1", "headway_delta", 100.0), ("2", "headway_delta", -50.0)}
+    assert ("1", "service_span_change", 39.0) in got and len(joined) == 2
