@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,48 +120,70 @@ NEWEST_SCHEMA = f"vehicle_id string, {REPORT}, " + REPORT.replace(", ", ", prev_
 NEWEST_COLUMNS = [c.split()[0] for c in NEWEST_SCHEMA.split(", ")]
 
 
+REPORT_COLUMNS = [c.split()[0] for c in REPORT.split(", ")]
+KNOWN = ["vehicle_id", *REPORT_COLUMNS]
+
+
 def _two_newest(ttl: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """The vehicle's two newest reports, told again only when they change; after ``ttl`` seconds of silence a row of nulls."""
-        if state.hasTimedOut:
+        """The two newest reports of a bucket's vehicles, told again only when they change; after ``ttl`` seconds of silence a row of nulls."""
+        passed = state.getCurrentWatermarkMs()
+        known = _reports(dict(zip(KNOWN, state.get, strict=True)) if state.exists else {c: [] for c in KNOWN})
+        heard = [] if state.hasTimedOut else [pdf.sort_values(["ts", "event_id"]).groupby("vehicle_id", sort=False, dropna=False).tail(2)[KNOWN] for pdf in batches]
+        rows = pd.concat([known, *map(_reports, heard)], ignore_index=True)
+        rows["fresh"] = np.arange(len(rows)) >= len(known)
+        rows["v"] = pd.factorize(rows["vehicle_id"], use_na_sentinel=False)[0]
+        spoke = np.bincount(rows["v"], weights=rows["fresh"]) > 0
+        # a report known before stands before its repetitions
+        rows = rows.drop_duplicates(["v", "ts", "event_id"]).sort_values(["v", "ts", "event_id"])
+        v = rows["v"].to_numpy()
+        last = np.append(v[1:] != v[:-1], True)
+        second = ~last & np.append(last[1:], False)
+        silent = ~spoke[v[last]] & ((rows["ts"].to_numpy()[last] + ttl) * 1000 < passed)
+        changed = np.bincount(v, weights=rows["fresh"] & (last | second), minlength=len(spoke))[v[last]] > 0
+        both = rows[last].reset_index(drop=True)
+        before = rows[second].set_index("v").reindex(v[last]).reset_index(drop=True)
+        told = pd.concat([both[KNOWN], before[REPORT_COLUMNS].add_prefix("prev_")], axis=1)
+        gone = told[silent].reset_index(drop=True)
+        gone[NEWEST_COLUMNS[1:]] = None
+        kept = rows[(last | second) & ~np.isin(v, v[last][silent])]
+        if kept.empty:
             state.remove()
-            yield _typed([(key[0], *[None] * 10)])
-            return
-        known = list(state.get) if state.exists else [None] * 10
-        newest = {r[:2]: r for r in (tuple(known[:5]), tuple(known[5:])) if r[0] is not None}
-        before = dict(newest)
-        for pdf in batches:
-            for r in pdf.sort_values(["ts", "event_id"]).tail(2).itertuples(index=False):
-                newest.setdefault((int(r.ts), int(r.event_id)), (int(r.ts), int(r.event_id), r.stop_id, _number(r.lat), _number(r.lon)))
-            newest = {k: newest[k] for k in sorted(newest)[-2:]}
-        both = [newest[k] for k in sorted(newest, reverse=True)]
-        row = [*both[0], *(both[1] if len(both) > 1 else [None] * 5)]
-        state.update(tuple(row))
-        state.setTimeoutTimestamp(max(row[0] + ttl, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
-        if newest != before:
-            yield _typed([(key[0], *row)])
+        else:
+            state.update(tuple([None if pd.isna(x) else x for x in kept[c].tolist()] for c in KNOWN))
+            state.setTimeoutTimestamp(max(int(both["ts"][~silent].min()) + ttl, passed // 1000 + 1) * 1000)
+        for out in (told[changed], gone):
+            if len(out):
+                yield _typed(out)
 
     return run
 
 
-def _number(x) -> float | None:
-    return None if pd.isna(x) else float(x)
+KINDS = {"long": "Int64", "double": "Float64", "string": "object"}
+
+
+def _reports(columns) -> pd.DataFrame:
+    """Reports as a frame of these types, whatever of them is there; missing values are null."""
+    kinds = {"vehicle_id": "object", **{c.split()[0]: KINDS[c.split()[1]] for c in REPORT.split(", ")}}
+    return pd.DataFrame({c: pd.Series(columns[c], dtype=None if len(columns[c]) else k).astype(k) for c, k in kinds.items()}).reset_index(drop=True)
 
 
-def _typed(rows: list[tuple]) -> pd.DataFrame:
-    kinds = {"long": "Int64", "double": "Float64", "string": "object"}
-    columns = zip(*rows, strict=True)
-    return pd.DataFrame({c.split()[0]: pd.Series(list(v), dtype=kinds[c.split()[1]]) for c, v in zip(NEWEST_SCHEMA.split(", "), columns, strict=True)})
+def _typed(rows: pd.DataFrame) -> pd.DataFrame:
+    kinds = {c.split()[0]: KINDS[c.split()[1]] for c in NEWEST_SCHEMA.split(", ")}
+    return rows.reset_index(drop=True).astype(kinds)
 
 
-def stream_latest(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * clock.DAY_S) -> DataFrame:
+def stream_latest(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * clock.DAY_S, buckets: int = 1024) -> DataFrame:
     """The newest and the previous report of each vehicle, in update mode: only vehicles whose reports changed come out.
 
-    State is one row per vehicle, dropped (and told as a row of nulls) after ``ttl`` seconds of silence.  A report told twice counts once.
+    State is two reports per vehicle, dropped (and told as a row of nulls) after ``ttl`` seconds of silence.  A report told twice counts once.
+    Vehicles are dealt to ``buckets``, each one state row, as a call of Python per bucket costs far less than one per vehicle; some
+    hundreds of vehicles a bucket are about right, thousands do no harm.
     """
     p = with_event_time(pings.where("ts is not null"), "ts", late).select("vehicle_id", "ts", "event_id", "stop_id", "lat", "lon", "event_time")
-    state = ", ".join(f"{kind}{c.split()[0]} {c.split()[1]}" for kind in ("n_", "p_") for c in REPORT.split(", "))
-    return p.groupBy("vehicle_id").applyInPandasWithState(_two_newest(ttl), NEWEST_SCHEMA, state, "update", GroupStateTimeout.EventTimeTimeout)
+    state = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in ["vehicle_id string", *REPORT.split(", ")])
+    p = p.withColumn("bucket", F.pmod(F.xxhash64("vehicle_id"), F.lit(buckets)))
+    return p.groupBy("bucket").applyInPandasWithState(_two_newest(ttl), NEWEST_SCHEMA, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_of(changes: DataFrame, key: str, gone: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from kerbline.operators import bunching
@@ -97,6 +98,32 @@ def test_two_newest_with_late_repeated_and_silent(spark, tmp_path):
     assert [(r.vehicle_id, r.event_id, r.prev_event_id, r.lon) for r in out] == [("b", 4, 3, None)]
 
 
+def test_two_newest_of_vehicles_that_share_a_bucket(spark, tmp_path):
+    """One state row for all vehicles: each still has its own reports and its own silence, also the one without a name."""
+    row = lambda v, at, e: (v, "r", 0, "s", T0 + at, e, None if e == 2 else 40.0, -74.0)
+    batches = [[row("a", 0, 1), row("b", 10, 2), row(None, 20, 3)], [row("b", 30_000, 4), row("b", 30_000, 4), row(None, 29_990, 5), row("c", 30_010, 6)], [row("c", 30_020, 7), row("b", 30_005, 8)]]
+    stream = live.stream_latest(landed(spark, tmp_path / "in", PING, batches), late="1 minute", ttl=3600, buckets=1)
+    log = live.run_changes(stream, "shared", "vehicle_id", "ts")
+    assert {tuple(r)[:1] + (r.event_id, r.prev_event_id, r.prev_lat) for r in log.collect()} == {("b", 8, 4, 40.0), (None, 5, 3, 40.0), ("c", 7, 6, 40.0)}
+    calls = []
+
+    class State:
+        exists, hasTimedOut, get = False, False, ()
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            calls.append(value)
+
+        def setTimeoutTimestamp(self, at):
+            calls.append(at)
+
+    many = pd.DataFrame([(f"v{i % 500}", T0 + i, i, "s", 40.0, -74.0) for i in range(5000)], columns=live.KNOWN)
+    told = pd.concat(live._two_newest(60)((0,), iter([many]), State()))
+    assert len(told) == 500 and set(told["event_id"] - told["prev_event_id"]) == {500} and len(calls[0][0]) == 1000 and calls[1] == (T0 + 4500 + 60) * 1000
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_stale_feeds_against_the_batch_form(spark, tmp_path, seed):
     gen = random.Random(seed)
