@@ -76,19 +76,25 @@ def candidate_pairs(positions: DataFrame, headway: DataFrame, cap: float = CAP_M
     return _close(j).where(F.col("gap_m") < cap).drop("cx", "cy")
 
 
-def pairs_by_window(positions: DataFrame, headway: DataFrame, window: Column) -> DataFrame:
-    """:func:`candidate_pairs` of every window by itself, as one aggregation, which a stream can run where it can't join itself.
-
-    What meets is what one cell of a route's direction and the cells beside it hold in one window.
-    """
+def met_by_window(positions: DataFrame, headway: DataFrame, window: Column) -> DataFrame:
+    """What one cell of a route's direction and the cells beside it hold in one window, a row each: as one aggregation, which a stream can
+    run where it can't join itself.  A position stands in nine rows at most, however many others are near it."""
     v = _located(positions, headway).withColumnsRenamed({"cx": "home_x", "cy": "home_y"}).withColumn("cy", F.col("home_y"))
     v = _around(v, "lon").withColumn("home", (F.col("cx") == F.col("home_x")) & (F.col("cy") == F.col("home_y")))
     met = v.groupBy(window.alias("window"), "route_id", "direction_id", "cx", "cy").agg(F.collect_list(F.struct("vehicle_id", "lat", "lon", "headway", "home")).alias("m"))
-    later = lambda a: F.filter("m", lambda b: b.vehicle_id > a.vehicle_id)
-    pairs = F.flatten(F.transform(F.filter("m", lambda a: a.home), lambda a: F.transform(later(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    sides = [F.col(f"p.{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("vehicle_id", "lat", "lon")]
-    met = met.select("window", "route_id", "direction_id", F.explode(pairs).alias("p"))
-    return _close(met.select("window", "route_id", "direction_id", F.col("p.a.headway").alias("headway"), *sides))
+    return met.where(F.exists("m", lambda a: a.home) & (F.size("m") > 1)).select("window", "route_id", "direction_id", "m")
+
+
+def pairs_of_met(met: DataFrame) -> DataFrame:
+    """:func:`candidate_pairs` of the rows of :func:`met_by_window`, one after the other: no row holds more than its vehicles."""
+    keys = ["window", "route_id", "direction_id"]
+    a = met.select(*keys, "m", F.explode("m").alias("a")).where("a.home")
+    side = lambda s: [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("vehicle_id", "lat", "lon")]
+    both = a.select(*keys, F.col("a.headway").alias("headway"), *side("a"), F.explode("m").alias("b"))
+    both = both.select(*keys, "headway", "vehicle_id_a", "lat_a", "lon_a", *side("b"))
+    # a cap on the way north or south is told without the sphere
+    north = F.abs(F.col("lat_b") - F.col("lat_a")) * DEG_M <= F.lit(CAP_M * (1 + 1e-6))
+    return _close(both.where((F.col("vehicle_id_a") < F.col("vehicle_id_b")) & north))
 
 
 def _rank() -> Column:

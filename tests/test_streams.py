@@ -178,3 +178,12 @@ def test_pairs_per_window_equal_pairs_of_each_window(spark, tmp_path):
         one = spark.createDataFrame([r for (b, _), r in newest.items() if b == at], PING)
         want |= {(at - 14_400, r.vehicle_id_a, r.vehicle_id_b, round(r.gap_m, 6)) for r in bunching.candidate_pairs(one, headway).collect()}
     assert got == want and len(want) > 100
+
+
+def test_table_of_bunching_grows_with_reports_not_with_pairs(spark, tmp_path):
+    rows = [(f"v{i:03}", "r", 0, "s", T0 + i % 250, i, 40.001 + i * 1e-7, -74.0) for i in range(200)] + [("end", "r", 0, "s", T0 + 10_000, 999, 40.0, -74.0)]
+    headway = spark.createDataFrame([("r", 0, 900.0)], "route_id string, direction_id int, sched_median_headway_s double")
+    table = live.run_to_table(live.stream_bunching(landed(spark, tmp_path / "in", PING, [rows]), headway, listed=False), "met")
+    told = live.listed_pairs(table).collect()
+    assert len({(r.vehicle_id_a, r.vehicle_id_b) for r in told}) == len(told) == 200 * 199 // 2
+    assert sum(len(r.m) for r in table.collect()) <= 9 * 200
