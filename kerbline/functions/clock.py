@@ -20,10 +20,12 @@ PEAK_HOURS = (7, 8, 9, 16, 17, 18, 19)
 
 
 def gtfs_seconds(col: Column) -> Column:
-    """'HH:MM:SS' with hours above 24 allowed -> seconds; anything else -> NULL."""
-    text = F.trim(col)
-    part = [F.split_part(text, F.lit(":"), F.lit(i)).try_cast("int") for i in (1, 2, 3)]
-    return F.when(text.rlike(r"^\d+:\d+:\d+$"), part[0] * 3600 + part[1] * 60 + part[2])
+    """'HH:MM:SS' with hours above 24 allowed -> seconds; anything else -> NULL.
+
+    The text stands in it once: where a filter is pushed to the scan it brings the whole making of the text with it for every time it is named.
+    """
+    seconds = lambda text: F.aggregate(F.split(text, ":"), F.lit(0), lambda s, part: s * 60 + part.try_cast("int"))
+    return F.get(F.transform(F.array(F.trim(col)), lambda text: F.when(text.rlike(r"^\d+:\d+:\d+$"), seconds(text))), F.lit(0))
 
 
 def local_seconds(ts: Column, offset: int = LOCAL_OFFSET_S) -> Column:

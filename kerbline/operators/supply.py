@@ -382,7 +382,7 @@ def scheduled_series(trips: DataFrame, st: DataFrame, offsets: DataFrame, servic
     """Scheduled trips of the day's services placed on stop offsets inside [lo, hi] seconds, two points at least."""
     t = trips.join(services.select("service_id").distinct(), "service_id", "left_semi").select("trip_id", "route_id", "direction_id", "shape_id")
     pts = st.where(F.col("sched_arr_sec").between(lo, hi)).join(t, "trip_id").join(offsets, ["shape_id", "stop_id"])
-    keep = pts.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("trip_id")
-    return pts.join(keep, "trip_id", "left_semi").select("trip_id", "route_id", "direction_id", "sched_arr_sec", "stop_offset_ft")
+    n = F.count(F.lit(1)).over(W.partitionBy("trip_id"))
+    return pts.withColumn("n", n).where("n >= 2").select("trip_id", "route_id", "direction_id", "sched_arr_sec", "stop_offset_ft")
 
 

@@ -238,6 +238,23 @@ def test_clock_and_text(spark):
     assert places.parse_bbox("1,2,3") is None and places.parse_bbox("1,2,3,x") is None and places.parse_bbox("1,2,3,4") == (1, 2, 3, 4)
 
 
+def test_schedule_clock_names_its_text_once(spark):
+    """A filter on the seconds is pushed to where the text is made, and makes it anew for every time it is named."""
+    texts = ["25:00:01", " 7:05:09 ", "7:05", "1:2:3:4", "a:00:00", "99999999999:00:00", "00:00:00", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "raw string").select(clock.gtfs_seconds(F.concat("raw", F.lit(""))).alias("s"))
+    assert [r.s for r in df.collect()] == [90001, 25509, None, None, None, None, 0, None, None]
+    assert dict(df.dtypes) == {"s": "int"}
+    assert df._jdf.queryExecution().analyzed().toString().count("concat(raw") == 1
+
+
+def test_scheduled_series_keeps_trips_with_two_points(spark):
+    st = spark.createDataFrame([("a", "x", 100), ("a", "y", 200), ("b", "x", 100), ("b", "y", 900), ("c", "x", 100), ("c", "z", 200)], "trip_id string, stop_id string, sched_arr_sec int")
+    trips = spark.createDataFrame([(t, "r", 0, "s", "p") for t in "abc"], "trip_id string, route_id string, direction_id int, service_id string, shape_id string")
+    offsets = spark.createDataFrame([("p", "x", 1.0), ("p", "y", 2.0)], "shape_id string, stop_id string, stop_offset_ft double")
+    got = supply.scheduled_series(trips, st, offsets, spark.createDataFrame([("s",)], "service_id string"), 50, 300).collect()
+    assert sorted(tuple(r) for r in got) == [("a", "r", 0, 100, 1.0), ("a", "r", 0, 200, 2.0)]
+
+
 def test_sql_functions(spark):
     assert "gtfs_seconds" in register_functions(spark)
     r = spark.sql("SELECT gtfs_seconds('24:10:00') a, route_norm('bx12-SBS') b, bbl('1','23','4') c, wrap_half_day(50000) d, round(haversine_m(0, 0, 0, 1)) e").first()
