@@ -18,6 +18,7 @@ from kerbline.plans.spread import dealt
 
 MAX_HEADWAY_S = 7_200
 SEQ_CHUNK = 600
+WORD = 62  # service sets told by the bits of one number
 TRIP_STOPS = 8  # stop times of a trip, roughly: for the number of tasks only
 
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
@@ -233,29 +234,37 @@ def _gaps(seconds: DataFrame, keys: list[str], sec: str, arrivals: Column) -> Da
 def scheduled_headway_cells(st: DataFrame, trips: DataFrame, services: DataFrame) -> DataFrame:
     """Median scheduled gap per day x route x direction x stop x hour for that day's services.
 
-    Days that run the same set of services have the same schedule, so stop times
-    are fanned out by service set, not by day; only the cells are copied to days.
+    Days that run the same set of services have the same schedule, so cells are made per service set and copied to days.  An arrival
+    carries the sets it belongs to as bits of a number, a row per ``WORD`` sets.  A stop's seconds are dealt, sorted and put together
+    once; each set takes its own from there, and no row per set and arrival is sorted.
     """
     sets = services.groupBy("day").agg(F.array_sort(F.collect_set("service_id")).alias("members"))
-    sets = sets.select("day", "members", F.xxhash64("members").alias("set_id"))
-    members = sets.groupBy("set_id").agg(F.first("members").alias("members")).select("set_id", F.explode("members").alias("service_id"))
-    in_set = members.groupBy("service_id").agg(F.collect_set("set_id").alias("in_sets"))
-    # dealt by stop once, one row per arrival second with the sets it belongs to; the fan-out to sets, the gaps and the
-    # cells all stay there
+    nr = F.row_number().over(W.orderBy("members")) - 1  # a row per set: at most one per day of the calendar
+    numbered = sets.select("members").distinct().withColumn("nr", nr).select(
+        "members", F.floor(F.col("nr") / WORD).alias("block"), F.expr(f"shiftleft(1L, nr % {WORD})").alias("bit"))
+    masks = numbered.select(F.explode("members").alias("service_id"), "block", "bit").groupBy("service_id", "block").agg(F.bit_or("bit").alias("mask"))
     place = ["route_id", "direction_id", "stop_id"]
-    t = trips.join(in_set, "service_id")
-    once = of_trips(st, t, "route_id", "direction_id", "in_sets").where(F.col("sched_arr_sec").isNotNull())
-    dealt = once.select(*place, "sched_arr_sec", "in_sets").repartition(*place)
-    per_second = dealt.groupBy(*place, "sched_arr_sec").agg(F.array_distinct(F.flatten(F.collect_set("in_sets"))).alias("in_sets"))
-    keys = ["set_id", *place]
-    s = per_second.select(*place, "sched_arr_sec", F.explode("in_sets").alias("set_id"))
-    before = F.lag("sched_arr_sec").over(W.partitionBy(*keys).orderBy("sched_arr_sec"))
-    g = s.withColumn("gap", F.col("sched_arr_sec") - before).where((F.col("gap") > 0) & (F.col("gap") <= MAX_HEADWAY_S))
-    hour = F.pmod(F.floor(F.col("sched_arr_sec") / 3600), F.lit(24)).cast("int")
-    cells = g.groupBy(*keys, hour.alias("local_hour")).agg(
-        F.median("gap").alias("sched_median_headway_s"), F.count(F.lit(1)).alias("sched_n")
-    )
-    return sets.select("day", "set_id").join(cells, "set_id").drop("set_id")
+    t = trips.join(masks, "service_id")
+    once = of_trips(st, t, "route_id", "direction_id", "block", "mask")
+    # arrivals without a second go later: a filter here would be pushed to the scan, with the text that the seconds are read from
+    arrivals = F.sort_array(F.collect_set(F.struct("sched_arr_sec", "mask"))).alias("arrivals")
+    per_place = once.select(*place, "block", "sched_arr_sec", "mask").groupBy(*place, "block").agg(arrivals, F.bit_or("mask").alias("masks"))
+    bits = F.filter(F.array(*[F.lit(1 << i) for i in range(WORD)]), lambda b: F.col("masks").bitwiseAND(b) != 0)
+    per_set = per_place.select(*place, "block", "arrivals", F.explode(bits).alias("bit"))
+    own = F.filter("arrivals", lambda a: (a.mask.bitwiseAND(F.col("bit")) != 0) & a.sched_arr_sec.isNotNull())
+    per_set = per_set.select(*place, "block", "bit", F.array_distinct(F.transform(own, lambda a: a.sched_arr_sec)).alias("secs")).where(F.size("secs") > 1)
+    later = F.slice("secs", F.lit(2), F.size("secs") - 1)
+    hour = lambda s: F.pmod(F.floor(s / 3600), F.lit(24)).cast("int")
+    gaps = F.zip_with(later, F.slice("secs", F.lit(1), F.size("secs") - 1), lambda b, a: F.struct(hour(b).alias("hour"), (b - a).alias("gap")))
+    per_set = per_set.select(*place, "block", "bit", F.filter(gaps, lambda g: g.gap <= MAX_HEADWAY_S).alias("gaps"))
+    of_hour = lambda h: F.array_sort(F.transform(F.filter("gaps", lambda g: g.hour == h), lambda g: g.gap))
+    cells = F.transform(F.array_distinct("gaps.hour"), lambda h: F.struct(h.alias("local_hour"), of_hour(h).alias("of")))
+    cells = per_set.select(*place, "block", "bit", F.inline(cells))
+    n = F.size("of")
+    middle = (F.get("of", F.floor((n - 1) / 2).cast("int")) + F.get("of", F.floor(n / 2).cast("int"))) / F.lit(2.0)
+    cells = cells.select(*place, "block", "bit", "local_hour", middle.alias("sched_median_headway_s"), n.cast("long").alias("sched_n"))
+    days = sets.join(numbered, "members").select("day", "block", "bit")
+    return days.join(cells, ["block", "bit"]).select("day", *place, "local_hour", "sched_median_headway_s", "sched_n")
 
 
 def trip_periods(trips: DataFrame, calendar: DataFrame, dates: DataFrame) -> DataFrame:

@@ -255,6 +255,35 @@ def test_scheduled_series_keeps_trips_with_two_points(spark):
     assert sorted(tuple(r) for r in got) == [("a", "r", 0, 100, 1.0), ("a", "r", 0, 200, 2.0)]
 
 
+def test_scheduled_cells_of_many_service_sets(spark):
+    """More sets of services than one number has bits, seconds shared by services, unreadable times, places without names."""
+    gen = random.Random(4)
+    services = [(f"day{d:03}", f"s{k}") for d in range(80) for k in range(8) if d >> k & 1 or k == 7]
+    trips = [(f"t{i}", gen.choice(["r", None]), i % 2, f"s{gen.randrange(8)}") for i in range(120)]
+    st = [(t[0], gen.choice("xy"), gen.choice([None, gen.randrange(20, 60) * 300 + 86_400 * (i % 5 == 0)])) for i, t in enumerate(trips * 3)]
+    got = supply.scheduled_headway_cells(
+        spark.createDataFrame(st, "trip_id string, stop_id string, sched_arr_sec int"), spark.createDataFrame(trips, "trip_id string, route_id string, direction_id int, service_id string"),
+        spark.createDataFrame(services, "day string, service_id string"))
+    of, want = {t[0]: t for t in trips}, {}
+    for day in {d for d, _ in services}:
+        runs, secs = {s for d, s in services if d == day}, {}
+        for t, stop, sec in st:
+            if sec is not None and of[t][3] in runs:
+                secs.setdefault((day, of[t][1], of[t][2], stop), set()).add(sec)
+        for place, s in secs.items():
+            s = sorted(s)
+            for a, b in zip(s, s[1:]):
+                if b - a <= 7200:
+                    want.setdefault((*place, b // 3600 % 24), []).append(b - a)
+    assert got.dtypes[-3:] == [("local_hour", "int"), ("sched_median_headway_s", "double"), ("sched_n", "bigint")]
+    rows = got.collect()
+    assert {tuple(r)[:5]: (r[5], r[6]) for r in rows} == {k: (statistics.median(v), len(v)) for k, v in want.items()} and len(rows) == len(want) > 1000
+    plan = supply.scheduled_headway_cells(
+        spark.createDataFrame(st, "trip_id string, stop_id string, sched_arr_sec int"), spark.createDataFrame(trips, "trip_id string, route_id string, direction_id int, service_id string"),
+        spark.createDataFrame(services, "day string, service_id string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan and "isnotnull(sched_arr_sec" not in plan.split("Aggregate")[-1]
+
+
 def test_sql_functions(spark):
     assert "gtfs_seconds" in register_functions(spark)
     r = spark.sql("SELECT gtfs_seconds('24:10:00') a, route_norm('bx12-SBS') b, bbl('1','23','4') c, wrap_half_day(50000) d, round(haversine_m(0, 0, 0, 1)) e").first()
