@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.tokens import token_ids
 from kerbline.llm.words import as_bytes, chunks
-from kerbline.session import materialize
+from kerbline.session import materialize, small_batches
 
 GRID, SALTS = 128, 64
-#: Bytes of text that are encoded at a time, one text at least.
-CHUNK = 1 << 22
+#: Bytes of text that are cut into pieces at a time, one text at least.
+CHUNK = 1 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -239,7 +239,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    pieces = materialize(plain.mapInArrow(_pieces(tokenizer, size), PIECE), "pieces")
+    with small_batches(spark):
+        pieces = materialize(plain.mapInArrow(_pieces(tokenizer, size), PIECE), "pieces")
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).alias("salt")
     salted = pieces.select("*", salt)
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))

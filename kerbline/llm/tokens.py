@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 
+from kerbline.llm.words import chunks
+
 # What the tokenizer file must say for its pieces to be cut here.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -80,10 +82,24 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return out, np.searchsorted(pieces, offsets)
 
 
+def _windows(data: np.ndarray, offsets: np.ndarray, most: int) -> np.ndarray:
+    """The distinct offsets and, in rows of more than ``most`` bytes, white space about every ``most`` bytes as further ones."""
+    bounds = [offsets]
+    for i in np.flatnonzero(np.diff(offsets) > most).tolist():
+        lo, hi = int(offsets[i]), int(offsets[i + 1])
+        white = np.flatnonzero(_KIND[data[lo:hi]] == SPACE) + lo
+        at = np.searchsorted(white, np.arange(lo + most, hi, most))
+        bounds.append(white[at[at < len(white)]])
+    return np.unique(np.concatenate(bounds))
+
+
 class Encoder:
-    """Ids by piece.  ``MOST`` pieces are kept; when there are more, those not used since the last such time go."""
+    """Ids by piece.  ``MOST`` pieces are kept; when there are more, half of them stay: those that came in most chunks since the last such time.
+
+    Texts go through in windows of about ``WINDOW`` bytes, cut at white space, so memory follows neither the longest text nor the words ever seen.
+    """
 
-    MOST = 1 << 20
+    MOST, WINDOW = 1 << 18, 1 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -112,9 +128,10 @@ class Encoder:
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
         self.begin = np.zeros(self.MOST, np.int64)
         self.length = np.zeros(self.MOST, np.int64)
+        self.uses = np.zeros(self.MOST, np.int64)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -165,6 +182,9 @@ class Encoder:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), len(ids)), np.uint32)])
         n = len(self.place)
+        if n + len(new) > len(self.begin):
+            # a window of more than MOST pieces
+            self.begin, self.length, self.uses = (np.concatenate([x, np.zeros(n + len(new) - len(x), np.int64)]) for x in (self.begin, self.length, self.uses))
         self.flat[self.used : self.used + len(ids)] = ids
         self.begin[n : n + len(new)] = self.used + np.cumsum(count) - count
         self.length[n : n + len(new)] = count
@@ -175,22 +195,35 @@ class Encoder:
         """Where the ids of distinct pieces are, after all are known."""
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(at < 0)
+        known = np.flatnonzero(at >= 0)
+        self.uses[at[known]] += 1
         if len(self.place) + len(new) > self.MOST:
-            # a chunk's pieces are fewer than MOST: those of this chunk that are known stay, with their ids
-            known = np.flatnonzero(at >= 0)
-            ids, count = self._gather(at[known]), self.length[at[known]]
-            self._clear()
-            self._keep([pieces[i] for i in known.tolist()], ids, count)
-            at[known] = np.arange(len(known))
+            at[known] = self._forget(at[known])
         if len(new):
             at[new] = np.arange(len(self.place), len(self.place) + len(new))
             self._learn([pieces[i] for i in new.tolist()])
         return at
 
+    def _forget(self, now: np.ndarray) -> np.ndarray:
+        """Keeps the pieces at ``now`` and, up to half of MOST in all, the others that came most often; the new places of those at ``now``."""
+        uses = self.uses[: len(self.place)]
+        uses[now] += uses.max(initial=0)
+        stay = np.argsort(-uses, kind="stable")[: max(len(now), self.MOST // 2)]
+        stay = np.sort(stay[uses[stay] > 0])
+        ids, count = self._gather(stay), self.length[stay]
+        keep = np.zeros(len(uses), bool)
+        keep[stay] = True
+        pieces = list(compress(self.place, keep.tolist()))
+        self._clear()
+        self._keep(pieces, ids, count)
+        return np.searchsorted(stay, now)
+
     def _keep(self, pieces: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
         if len(ids) > len(self.flat):
             self.flat = np.zeros(2 * len(ids), np.uint32)
         self.flat[: len(ids)], self.used = ids, len(ids)
+        if len(pieces) > len(self.begin):
+            self.begin, self.length, self.uses = (np.zeros(len(pieces), np.int64) for _ in range(3))
         self.begin[: len(pieces)], self.length[: len(pieces)] = np.cumsum(count) - count, count
         self.place = dict(zip(pieces, range(len(pieces)), strict=True))
 
@@ -205,6 +238,17 @@ class Encoder:
         if not self.by_piece:
             lists = [self._ids(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             return np.array([i for x in lists for i in x], np.uint32), np.cumsum([0, *map(len, lists)])
+        parts, ends = [], [0]
+        bounds = _windows(data, offsets, self.WINDOW)
+        for lo, hi in chunks(bounds, self.WINDOW):
+            ids, first = self._encode(data, bounds[lo : hi + 1])
+            parts.append(ids)
+            ends.extend((ends[-1] + first[1:]).tolist())
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return ids, np.array(ends, np.int64)[np.searchsorted(bounds, offsets)]
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, for one window of whole words."""
         pieces, first = cut(data, offsets)
         coded = pieces.dictionary_encode()
         at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]

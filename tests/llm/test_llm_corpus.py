@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline import session
 from kerbline.llm import divergence, exact, lines, mixing, resample, tokens, toxicity
 from kerbline.llm.catalog import tokenizer_path
 from kerbline.llm.words import NOT_ALNUM, as_bytes, chunks, spans
@@ -287,6 +288,55 @@ def test_ids_by_piece_are_the_tokenizers(monkeypatch):
     assert [x.tolist() for x in tokens.token_ids(data, offsets[:50], tokenizer_path())] == want[:49]
 
 
+def test_kept_pieces_are_bounded(monkeypatch):
+    """Words that never come again don't add up in a worker, common ones stay; a long text goes through in windows; its ids are the tokenizer's."""
+    known = tokens.Encoder(tokenizer_path())
+    most = known.MOST
+    assert most <= 1 << 18
+    monkeypatch.setattr(tokens.Encoder, "MOST", 2000)
+    monkeypatch.setattr(tokens.Encoder, "WINDOW", 1000)
+    known._clear()
+    gen = random.Random(5)
+    rare = lambda n: " ".join("".join(gen.choices("abcdefgh\u00e9", k=9)) for _ in range(n))
+    texts = ["often seen " + rare(100) for _ in range(100)] + ["", " ".join("often seen " + rare(50) for _ in range(100)), "y" * 5000, " " * 5000]
+    data, offsets = as_bytes(pa.array(texts))
+    seen = []
+    cut = tokens.cut
+    monkeypatch.setattr(tokens, "cut", lambda d, o: seen.append(int(o[-1] - o[0])) or cut(d, o))
+    monkeypatch.setitem(tokens._CACHE, tokenizer_path(), known)
+    got = [ids.tolist() for lo, hi in chunks(offsets, 4000) for ids in tokens.token_ids(data, offsets[lo : hi + 1], tokenizer_path())]
+    assert got == [known.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert len(known.place) <= 2000 and len(known.begin) == 2000
+    assert {b"often", b"seen"} <= set(known.place)
+    assert sorted(seen)[-2] < 1200 and max(seen) == 5000, "only a word without white space is longer than a window"
+
+
+def test_packing_reads_small_batches(spark):
+    """A batch's bytes are bounded where texts are encoded; the session's setting stays as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('word ', 2000) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    with session.small_batches(spark):
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 3e7 and max(got) < 6e6
+    assert spark.conf.get(key, None) == before
+
+
+def test_a_window_of_more_pieces_than_are_kept(monkeypatch):
+    monkeypatch.setattr(tokens.Encoder, "MOST", 100)
+    known = tokens.Encoder(tokenizer_path())
+    monkeypatch.setitem(tokens._CACHE, tokenizer_path(), known)
+    texts = [" ".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + "q" * (i % 7) for i in range(lo, lo + 700)) for lo in (0, 300, 2000, 0)]
+    for text in texts:
+        data, offsets = as_bytes(pa.array([text]))
+        assert [x.tolist() for x in tokens.token_ids(data, offsets, tokenizer_path())] == [known.tokenizer.encode(text, add_special_tokens=False).ids + [0]]
+
+
 def test_stages_keep_columns_of_any_name(spark):
     odd = spark.createDataFrame([(1, "some text " * 20, (2,), 3), (2, None, (2,), 3)], "doc_id long, text string, `a b` struct<`x y`: int>, `t``ick.dot` int").withColumn("source", F.lit("s"))
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
