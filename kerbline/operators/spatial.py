@@ -82,30 +82,52 @@ def hazard_flags(cells: DataFrame, hazards: DataFrame, x: str, y: str, kinds: li
 
 
 # ------------------------------------------------------------------ distance
-def radius_count(sites: DataFrame, pts: DataFrame, r: float, name: str = "n", key: str = "site_id", split: int = 4) -> DataFrame:
+def radius_count(sites: DataFrame, pts: DataFrame, r: float, name: str = "n", key: str = "site_id", split: int = 4, most: int = 16) -> DataFrame:
     """Number of points within ``r`` of each site, zeros kept.
 
     Points are first counted per exact position and per small cell (r / split).  A small
     cell wholly inside the circle adds its count at once; only cells cut by the
-    circle are looked into.  A dense spot is thus one row for most sites.
+    circle are looked into.  A dense spot is thus one row for most sites.  Cells are cut up once more, into patches of about ``most`` positions
+    where points commonly lie: a patch, too, counts at once or not at all unless the circle cuts the box that its positions fill.
     """
-    s = r / split
+    s, part = r / split, 1024
     at = pts.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
     at = at.withColumns({"cx": F.floor(F.col("x") / s).cast("long"), "cy": F.floor(F.col("y") / s).cast("long")})
-    per_cell = at.groupBy("cx", "cy").agg(F.sum("w").alias("w"))
+    at = materialize(at, "positions")
+    per_cell = at.groupBy("cx", "cy").agg(F.sum("w").alias("w"), F.count(F.lit(1)).cast("double").alias("n"))
+    held = per_cell.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    patch = s / max(1.0, (held / most) ** 0.5)
+    of = ["cx", "cy", F.floor(F.col("x") / patch).alias("px"), F.floor(F.col("y") / patch).alias("py")]
+    turn = F.row_number().over(W.partitionBy(*of).orderBy("x", "y"))
+    ends = [f(c).alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))]
+    patches = at.withColumn("part", F.floor((turn - 1) / part)).groupBy(*of, "part").agg(F.sum("w").alias("w"), *ends, F.collect_list(F.struct("x", "y", "w")).alias("m"))
+    box = [c for i in "xy" for c in (f"{i}0", f"{i}1")]
+    whole = per_cell.select("cx", "cy", "w", *[F.lit(None).cast("double").alias(c) for c in box], F.lit(None).cast(patches.schema["m"].dataType).alias("m"), F.lit(True).alias("inside"))
+    held_in = whole.unionByName(patches.select("cx", "cy", "w", *box, "m", F.lit(False).alias("inside")))
+
     k = split + 1
     near = F.sequence(F.lit(-k), F.lit(k))
-    st = sites.select(key, "sx", "sy").withColumns({"c0": F.floor(F.col("sx") / s).cast("long"), "c1": F.floor(F.col("sy") / s).cast("long")})
+    st = _spread(sites.select(key, "sx", "sy"), key).withColumns({"c0": F.floor(F.col("sx") / s).cast("long"), "c1": F.floor(F.col("sy") / s).cast("long")})
     e = st.withColumn("cx", F.explode(F.transform(near, lambda i: F.col("c0") + i))).withColumn("cy", F.explode(F.transform(near, lambda i: F.col("c1") + i)))
     lo_x, lo_y = F.col("cx") * s - F.col("sx"), F.col("cy") * s - F.col("sy")
     hi_x, hi_y = lo_x + s, lo_y + s
     far = F.hypot(F.greatest(F.abs(lo_x), F.abs(hi_x)), F.greatest(F.abs(lo_y), F.abs(hi_y)))
     zero = F.lit(0.0)
     close = F.hypot(F.greatest(lo_x, -hi_x, zero), F.greatest(lo_y, -hi_y, zero))
-    e = e.withColumn("inside", far <= r).where(close <= r)
-    whole = e.where("inside").join(per_cell, ["cx", "cy"]).select(key, "w")
-    cut = e.where(~F.col("inside")).join(at, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= r).select(key, "w")
-    n = whole.unionByName(cut).groupBy(key).agg(F.sum("w").alias(name))
+    e = e.withColumn("inside", far <= r).where(close <= r).drop("c0", "c1")
+    # the planner doesn't see how many cells a site is spread over, and would send them all to the driver
+    j = e.join(held_in.hint("merge"), ["cx", "cy", "inside"])
+    # squares tell all but what lies at the rim itself
+    sure, may = r * r * (1 - 1e-9), r * r * (1 + 1e-9)
+    square = lambda dx, dy: dx * dx + dy * dy
+    nearest = square(*[F.greatest(F.col(f"{c}0") - F.col(f"s{c}"), F.col(f"s{c}") - F.col(f"{c}1"), zero) for c in "xy"])
+    farthest = square(*[F.greatest(F.abs(F.col(f"{c}0") - F.col(f"s{c}")), F.abs(F.col(f"{c}1") - F.col(f"s{c}"))) for c in "xy"])
+    j = j.where(F.col("inside") | (nearest <= may)).withColumn("inside", F.col("inside") | (farthest <= sure))
+    all_of_it = F.array(F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), "w"))
+    j = j.select(key, "sx", "sy", "inside", F.explode(F.when(F.col("inside"), all_of_it).otherwise(F.col("m"))).alias("p"))
+    dx, dy = F.col("p.x") - F.col("sx"), F.col("p.y") - F.col("sy")
+    within = (square(dx, dy) <= sure) | ((square(dx, dy) <= may) & (F.hypot(dx, dy) <= r))
+    n = j.where(F.col("inside") | within).groupBy(key).agg(F.sum("p.w").alias(name))
     return sites.join(n, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 

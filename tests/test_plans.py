@@ -210,6 +210,19 @@ def test_radius_count_with_a_hot_spot(spark):
     assert got == {s: sum(math.hypot(x - sx, y - sy) <= 900 for x, y in pts) for s, sx, sy in sites}
 
 
+def test_radius_count_sends_no_spread_sites_to_all_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    pts = [(rng.gauss(2500, 300), rng.uniform(0, 5000)) for _ in range(3000)] + [(float(x), float(y)) for x in range(2400, 2600, 4) for y in range(2400, 2600, 4)] + [(None, 1.0)]
+    sites = [(str(i), rng.uniform(0, 5000), rng.uniform(0, 5000)) for i in range(40)] + [("edge", 2400.0 - 900, 2400.0), ("off", None, 1.0)]
+    spark.createDataFrame(sites, "site_id string, sx double, sy double").write.parquet(f"{tmp_path}/sites")
+    spark.createDataFrame(pts, "x double, y double").write.parquet(f"{tmp_path}/points")
+    df = spatial.radius_count(spark.read.parquet(f"{tmp_path}/sites"), spark.read.parquet(f"{tmp_path}/points"), 900.0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [cx" in line]  # the table of sites is small, spread over cells it isn't
+    got = {r.site_id: r.n for r in df.collect()}
+    assert got == {s: 0 if sx is None else sum(math.hypot(x - sx, y - sy) <= 900 for x, y in pts if x is not None) for s, sx, sy in sites}
+
+
 def test_trailing_mean_and_fill(spark):
     ev = spark.createDataFrame([(0, 10.0), (301, 20.0), (3600, 60.0)], "t long, v double")
     got = {r.bin_local: (r.trailing_mean, r.n_trailing) for r in quality.trailing_mean(ev, "t", "v").collect()}
