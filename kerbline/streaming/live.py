@@ -8,10 +8,10 @@ the watermark has closed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -326,9 +326,14 @@ def stream_passages(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * cloc
 
 
 class _InOrder(StatefulProcessor):
-    """Keeps a key's rows until the watermark has passed them, then hands them on in the order of (ts, event_id), with what was
-    remembered of the key.  What is remembered goes after ``ttl`` seconds of silence."""
+    """Keeps a bucket's rows until the watermark has passed them, then hands them on in the order of (ts, event_id) within each key, with what was
+    remembered of the key.  What is remembered goes after ``ttl`` seconds of silence.
 
+    Rows and memories are kept as Arrow batches, one state value for each batch of rows: values of Python per row or key would cost far more than the
+    work itself.  A bucket has one timer, at its first waiting row or its oldest memory.
+    """
+
+    KEY: list[str]
     ROW = MEMORY = ""
 
     def __init__(self, ttl: int):
@@ -336,116 +341,140 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.ROW)
-        self.memory = handle.getValueState("memory", self.MEMORY)
-        self.columns = [c.split()[0] for c in self.ROW.split(", ")]
-        self.kinds = [c.split()[1] for c in self.ROW.split(", ")]
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.memory = handle.getValueState("memory", "rows binary")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
             if len(pdf):
-                self.waiting.appendList([tuple(map(_plain, r, self.kinds)) for r in pdf[self.columns].itertuples(index=False)])
+                self.waiting.appendValue((_packed(pdf, self.ROW),))
                 least = int(pdf["ts"].min())
                 first = least if first is None else min(first, least)
         if first is not None:
-            self.handle.registerTimer(_after(first))
+            self.call(_after(first))
         return iter([])
 
+    def call(self, at: int) -> None:
+        """Have the timer run at ``at``, or earlier if it is set so."""
+        due = self.timer.get()[0] if self.timer.exists() else None
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
-        due = [r for r in rows if r[0] * 1000 < passed]
-        rest = rows[len(due) :]
-        if due or not rest:
+        rows = _unpacked([r[0] for r in self.waiting.get()], self.ROW)
+        memory = _unpacked([self.memory.get()[0]] if self.memory.exists() else [], self.MEMORY)
+        late = rows["ts"].to_numpy(dtype="int64") * 1000 >= passed
+        rest, due = rows[late], rows[~late]
+        if len(due):
             self.waiting.clear()
-            if rest:
-                self.waiting.put(rest)
-        memory = tuple(self.memory.get()) if self.memory.exists() else None
-        if due:
-            out, memory = self.step(key, due, memory)
-            self.memory.update(memory)
-            if out:
-                yield self.frame(out)
-        if rest:
-            self.handle.registerTimer(_after(rest[0][0]))
-        elif memory is not None:
-            until = _after(memory[0] + self.ttl)
-            if until < passed:
-                self.memory.clear()
-            else:
-                self.handle.registerTimer(until)
+            if len(rest):
+                self.waiting.put([(_packed(rest[i : i + BATCH], self.ROW),) for i in range(0, len(rest), BATCH)])
+            out, memory = self.step(*self.in_order(memory, due))
+            if len(out):
+                yield out
+        memory = memory[_after(memory["ts"].to_numpy(dtype="int64") + self.ttl) > passed]
+        if len(memory):
+            self.memory.update((_packed(memory, self.MEMORY),))
+        else:
+            self.memory.clear()
+        for ts in ([int(rest["ts"].min())] if len(rest) else []) + ([int(memory["ts"].min()) + self.ttl] if len(memory) else []):
+            self.call(_after(ts))
+
+    def in_order(self, memory: pd.DataFrame, due: pd.DataFrame) -> tuple[pd.DataFrame, pd.Series, np.ndarray]:
+        """Memories and rows due by key, a key's memory first; which are rows, and which stand behind another of their key."""
+        due = due.sort_values(["ts", "event_id"], kind="stable")
+        both = pd.concat([memory, due], ignore_index=True)
+        k = both.groupby(self.KEY, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(k, kind="stable")
+        return both.iloc[order].reset_index(drop=True), order >= len(memory), np.append(False, k[order][1:] == k[order][:-1])
 
     def close(self) -> None:
         pass
 
 
-def _after(ts: int) -> int:
-    """The timer of a second.  Watermarks stand at whole seconds where the lateness allowed does, and Spark may never call a timer that the watermark
-    has stood on exactly."""
-    return ts * 1000 + 1
+#: Rows of one state value.
+BATCH = 10_000
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def _plain(x, kind: str):
-    """A value of a pandas row as plain Python: whole numbers that pandas holds as floats become whole again, missing ones None."""
-    return None if pd.isna(x) else int(x) if kind in ("int", "long") else x
+def _packed(rows: pd.DataFrame, kinds: str) -> bytes:
+    """Columns as an Arrow batch: whole numbers that pandas holds as floats become whole again, missing ones null."""
+    schema = pa.schema([(c, ARROW[k]) for c, k in (x.split() for x in kinds.split(", "))])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.RecordBatch.from_pandas(rows[schema.names], schema=schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
 
 
-#: A row waits until the watermark is later than its second, so one at the watermark itself is told a batch later, when Spark takes that very
-#: moment as late already; the next state's event time is a little after the second.
-PAST = timedelta(milliseconds=1)
+def _unpacked(parts: list[bytes], kinds: str) -> pd.DataFrame:
+    schema = pa.schema([(c, ARROW[k]) for c, k in (x.split() for x in kinds.split(", "))])
+    read = [pa.ipc.open_stream(x).read_all() for x in parts]
+    table = pa.concat_tables(read) if read else schema.empty_table()
+    return table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+
+
+def _after(ts):
+    """The timer of a second.  Watermarks stand at whole seconds where the lateness allowed does, and Spark may never call a timer that the watermark
+    has stood on exactly."""
+    return ts * 1000 + 1
 
 
 class _Passages(_InOrder):
-    """Vehicle to passage: its rows where the stop changes.  Remembered: the last report's time and stop."""
+    """Vehicle to passage: its rows where the stop changes.  Remembered: the last report's time and stop.
 
-    ROW = "ts long, event_id long, stop_id string, route_id string, direction_id int"
-    MEMORY = "ts long, stop_id string"
-    OUT = "vehicle_id string, route_id string, direction_id int, stop_id string, ts long, event_id long, event_time timestamp"
+    A row waits until the watermark is later than its second, so one at the watermark itself is told a batch later, when Spark takes that very
+    moment as late already; the next state's event time is a millisecond after the second.
+    """
 
-    def step(self, key, due, memory):
-        (last, stop), out = memory or (None, None), []
-        for ts, event, at, route, direction in due:
-            if at != stop or ts - last > self.ttl:
-                out.append((key[0], route, direction, at, ts, event, datetime.fromtimestamp(ts, timezone.utc) + PAST))
-            last, stop = ts, at
-        return out, (last, stop)
+    KEY = ["vehicle_id"]
+    ROW = "vehicle_id string, ts long, event_id long, stop_id string, route_id string, direction_id int"
+    MEMORY = "vehicle_id string, ts long, stop_id string"
+    OUT = "vehicle_id string, route_id string, direction_id int, stop_id string, ts long, event_id long, event_time timestamp"
 
-    def frame(self, out):
-        pdf = pd.DataFrame(out, columns=["vehicle_id", "route_id", "direction_id", "stop_id", "ts", "event_id", "event_time"])
-        return pdf.astype({"direction_id": "Int32"})
+    def step(self, both, row, behind):
+        ts, stop = both["ts"].to_numpy(dtype="int64"), both["stop_id"].to_numpy()
+        same = behind & (np.append(False, stop[1:] == stop[:-1])) & (np.append(0, np.diff(ts)) <= self.ttl)
+        out = both.loc[row & ~same, ["vehicle_id", "route_id", "direction_id", "stop_id", "ts", "event_id"]].reset_index(drop=True)
+        out["event_time"] = pd.to_datetime(_after(out["ts"].to_numpy(dtype="int64")), unit="ms", utc=True)
+        return out.astype({"direction_id": "Int32"}), both.loc[np.append(~behind[1:], True), ["vehicle_id", "ts", "stop_id"]]
 
 
 class _Headways(_InOrder):
     """Stop to the passage before: seconds since then.  Remembered: the time of the last passage."""
 
+    KEY = ["route_id", "direction_id", "stop_id"]
     ROW = "ts long, event_id long, vehicle_id string, route_id string, direction_id int, stop_id string"
-    MEMORY = "ts long"
+    MEMORY = "route_id string, direction_id int, stop_id string, ts long"
     OUT = "route_id string, direction_id int, stop_id string, vehicle_id string, ts long, event_id long, headway_s long"
 
-    def step(self, key, due, memory):
-        last, out = memory[0] if memory else None, []
-        for ts, event, vehicle, route, direction, stop in due:
-            gap = None if last is None or ts - last > self.ttl else ts - last
-            out.append((route, direction, stop, vehicle, ts, event, gap))
-            last = ts
-        return out, (last,)
-
-    def frame(self, out):
-        pdf = pd.DataFrame(out, columns=["route_id", "direction_id", "stop_id", "vehicle_id", "ts", "event_id", "headway_s"])
-        return pdf.astype({"direction_id": "Int32", "headway_s": "Int64"})
+    def step(self, both, row, behind):
+        gap = np.append(0, np.diff(both["ts"].to_numpy(dtype="int64")))
+        both["headway_s"] = pd.array(gap, dtype="Int64")
+        both.loc[~behind | (gap > self.ttl), "headway_s"] = pd.NA
+        out = both.loc[row, ["route_id", "direction_id", "stop_id", "vehicle_id", "ts", "event_id", "headway_s"]].reset_index(drop=True)
+        return out.astype({"direction_id": "Int32", "headway_s": "Int64"}), both.loc[np.append(~behind[1:], True), [*self.KEY, "ts"]]
 
 
-def stream_headways(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * clock.DAY_S) -> DataFrame:
+def stream_headways(pings: DataFrame, late: str = "1 hour", ttl: int = 30 * clock.DAY_S, buckets: int = 256) -> DataFrame:
     """Headways as reports arrive: vehicles tell passages, and passages of a stop (route, direction, stop) tell the seconds since the one before.
 
     Two chained keyed states.  Rows wait until the watermark has passed them, so reports may come in any order within ``late`` and the
     result equals the batch job; later ones are left out.  A vehicle or a stop that is silent for ``ttl`` seconds is forgotten: its next
-    passage has no headway.  Needs :data:`STORE` (``run_to_table(..., chained=True)``).
+    passage has no headway.  Vehicles and stops are dealt to ``buckets``, as a call of Python per bucket costs far less than one per vehicle; a bucket's
+    rows that wait are held by one task at a time, some hundred thousand do no harm.  Needs :data:`STORE` (``run_to_table(..., chained=True)``).
     """
     p = pings.where("stop_id is not null and stop_id <> '' and route_id is not null and ts is not null")
     p = with_event_time(p, "ts", late).select("vehicle_id", "route_id", "direction_id", "stop_id", "ts", "event_id", "event_time")
-    told = p.groupBy("vehicle_id").transformWithStateInPandas(_Passages(ttl), _Passages.OUT, "append", "eventtime", eventTimeColumnName="event_time")
-    # one text as the key: pandas holds a whole number that may be missing as a float, which is no key of the state
-    told = told.withColumn("stop_key", F.to_json(F.struct("route_id", "direction_id", "stop_id")))
-    return told.groupBy("stop_key").transformWithStateInPandas(_Headways(ttl), _Headways.OUT, "append", "eventtime")
+
+    def dealt(rows, keys):
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
+
+    told = dealt(p, _Passages.KEY).transformWithStateInPandas(_Passages(ttl), _Passages.OUT, "append", "eventtime", eventTimeColumnName="event_time")
+    return dealt(told, _Headways.KEY).transformWithStateInPandas(_Headways(ttl), _Headways.OUT, "append", "eventtime")

@@ -80,6 +80,33 @@ def test_headways_of_reports_at_the_watermark(spark, tmp_path):
     assert got == {(1, None), (2, None), (3, 60), (4, 940), (5, 60), (6, 2200), (7, None)}
 
 
+def test_headways_of_vehicles_and_stops_that_share_a_bucket(spark, tmp_path):
+    gen = random.Random(9)
+    rows = [(*r[:2], gen.choice([0, 1, None]), f"s{gen.randrange(12)}", *r[4:]) for r in reports(600, vehicles=60, seed=9)]
+    rows += [(None, "r9", 0, f"s{i % 3}", T0 + i * 30, 10_000 + i, 40.0, -74.0) for i in range(40)] + rows[:50]
+    rows.sort(key=lambda r: r[4])
+    batches = [rows[i : i + 200] for i in range(0, len(rows), 200)] + [[("v0", "r0", 0, "end", T0 + 40 * 600 + 7200, 90_000, 40.0, -74.0)]]
+    stream = live.stream_headways(landed(spark, tmp_path / "in", PING, batches), late="10 minutes", buckets=3)
+    got = sorted(map(repr, (tuple(r) for r in live.run_to_table(stream, "headways", chained=True).collect())))
+    seen, last, expected = {}, {}, []
+    for v, r, d, s, ts, e, *_ in sorted(rows, key=lambda x: (x[4], x[5])):
+        if r is not None and s and last.get(v) != s:
+            expected.append((r, d, s, v, ts, e, ts - seen[(r, d, s)] if (r, d, s) in seen else None))
+            seen[(r, d, s)] = ts
+        if r is not None and s:
+            last[v] = s
+    assert got == sorted(map(repr, expected))
+
+    spark.conf.set(*live.STORE)
+    try:
+        q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(live.STORE[0])
+    q.awaitTermination()
+    # buckets, not vehicles or stops, have rows of state
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) < 40
+
+
 def test_two_newest_with_late_repeated_and_silent(spark, tmp_path):
     rows = reports()
     gen = random.Random(2)
