@@ -76,19 +76,44 @@ def candidate_pairs(positions: DataFrame, headway: DataFrame, cap: float = CAP_M
     return _close(j).where(F.col("gap_m") < cap).drop("cx", "cy")
 
 
-def met_by_window(positions: DataFrame, headway: DataFrame, window: Column) -> DataFrame:
-    """What one cell of a route's direction and the cells beside it hold in one window, a row each: as one aggregation, which a stream can
-    run where it can't join itself.  A position stands in nine rows at most, however many others are near it."""
-    v = _located(positions, headway).withColumnsRenamed({"cx": "home_x", "cy": "home_y"}).withColumn("cy", F.col("home_y"))
-    v = _around(v, "lon").withColumn("home", (F.col("cx") == F.col("home_x")) & (F.col("cy") == F.col("home_y")))
+def _reached(lat: Column, lon: Column, tile: float) -> Column:
+    """The tiles (cx, cy) of ``tile`` degrees, its own among them, in which a vehicle can be within the cap of a position."""
+    near = CAP_M / DEG_M * (1 + 1e-6)
+
+    def across(band):
+        far = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * tile, F.lit(90.0))
+        reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(math.radians(near) / 2) / F.cos(F.radians(far))))) * (1 + 1e-6)
+        n, x = _columns(band, tile), F.pmod(lon, F.lit(360.0))
+        columns = F.sequence(F.floor((x - reach) * n / 360), F.floor((x + reach) * n / 360))
+        return F.transform(F.array_distinct(F.transform(columns, lambda i: F.pmod(i, n))), lambda i: F.struct(i.alias("cx"), band.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor((lat - near) / tile), F.floor((lat + near) / tile)), across))
+
+
+def met_by_window(positions: DataFrame, headway: DataFrame, window: Column, wide: int = 8) -> DataFrame:
+    """What a tile of ``wide`` x ``wide`` cells and a rim of one cap around it hold of one route's direction in one window, a row each: as one
+    aggregation, which a stream can run where it can't join itself.  A position stands in four rows at most, however many others are near it, and in
+    one if it isn't near the edge of its tile: what is shuffled, kept as state and written hardly exceeds the positions themselves."""
+    tile = wide * SIZE_LAT
+    v = _located(positions, headway, tile).withColumnsRenamed({"cx": "home_x", "cy": "home_y"})
+    v = v.withColumn("t", F.explode(_reached(F.col("lat"), F.col("lon"), tile))).select("*", "t.cx", "t.cy")
+    v = v.withColumn("home", (F.col("cx") == F.col("home_x")) & (F.col("cy") == F.col("home_y")))
     met = v.groupBy(window.alias("window"), "route_id", "direction_id", "cx", "cy").agg(F.collect_list(F.struct("vehicle_id", "lat", "lon", "headway", "home")).alias("m"))
     return met.where(F.exists("m", lambda a: a.home) & (F.size("m") > 1)).select("window", "route_id", "direction_id", "m")
 
 
 def pairs_of_met(met: DataFrame) -> DataFrame:
-    """:func:`candidate_pairs` of the rows of :func:`met_by_window`, one after the other: no row holds more than its vehicles."""
+    """:func:`candidate_pairs` of the rows of :func:`met_by_window`, one after the other: no row holds more than its vehicles.
+
+    A row's vehicles are dealt to bands a cap high, and those of a band meet the ones in it and in the two beside it.
+    """
     keys = ["window", "route_id", "direction_id"]
-    a = met.select(*keys, "m", F.explode("m").alias("a")).where("a.home")
+    band = lambda x: F.floor(x.lat / SIZE_LAT)
+    ends = [f(F.transform("m", band)) for f in (F.array_min, F.array_max)]
+    bands = met.select(*keys, F.transform(F.sequence(*ends), lambda k: F.filter("m", lambda x: band(x) == k)).alias("r"))
+    beside = lambda i: F.flatten(F.slice("r", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)))
+    met = bands.select(*keys, F.explode(F.transform("r", lambda x, i: F.struct(F.filter(x, lambda v: v.home).alias("home"), beside(i).alias("near")))).alias("s"))
+    a = met.select(*keys, F.col("s.near").alias("m"), F.explode("s.home").alias("a"))
     side = lambda s: [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("vehicle_id", "lat", "lon")]
     both = a.select(*keys, F.col("a.headway").alias("headway"), *side("a"), F.explode("m").alias("b"))
     both = both.select(*keys, "headway", "vehicle_id_a", "lat_a", "lon_a", *side("b"))

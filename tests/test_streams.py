@@ -1,10 +1,12 @@
 """Streams over several micro-batches against plain Python: order, late rows, silent keys, timers."""
 
+import math
 import random
 import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline.operators import bunching
 from kerbline.operators import quality as Q
@@ -214,3 +216,27 @@ def test_table_of_bunching_grows_with_reports_not_with_pairs(spark, tmp_path):
     told = live.listed_pairs(table).collect()
     assert len({(r.vehicle_id_a, r.vehicle_id_b) for r in told}) == len(told) == 200 * 199 // 2
     assert sum(len(r.m) for r in table.collect()) <= 9 * 200
+
+
+def gap_m(a, b):
+    (la, oa), (lb, ob) = ((math.radians(x) for x in p) for p in (a, b))
+    return 2 * 6_371_000 * math.asin(math.sqrt(math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((ob - oa) / 2) ** 2))
+
+
+@pytest.mark.parametrize("place", ["city", "date line", "pole", "equator"])
+def test_tiles_meet_all_pairs_with_few_copies(spark, place):
+    gen = random.Random(11)
+    lat, lon = {"city": (40.7, -73.9), "date line": (-52.0, 180.0), "pole": (89.97, 0.0), "equator": (0.0, 0.0)}[place]
+    wide = 0.05 / math.cos(math.radians(lat)) if place != "pole" else 180.0
+    at = {}
+    for i in range(600):
+        o = lon + gen.uniform(-wide, wide)
+        at[f"v{i:03}"] = (min(90.0, lat + gen.uniform(-0.05, 0.05)), o - 360 if o > 180 else o)
+    df = spark.createDataFrame([(v, "r", None, *p) for v, p in at.items()] + [("x", "r", None, None, 1.0)], "vehicle_id string, route_id string, direction_id int, lat double, lon double")
+    headway = spark.createDataFrame([("r", None, 900.0)], "route_id string, direction_id int, sched_median_headway_s double")
+    met = bunching.met_by_window(df, headway, F.lit(1)).cache()
+    got = {(r.vehicle_id_a, r.vehicle_id_b): round(r.gap_m, 4) for r in bunching.pairs_of_met(met).collect()}
+    want = {(a, b): round(g, 4) for a in at for b in at if a < b and (g := gap_m(at[a], at[b])) < 500}
+    assert got == want and len(want) > 200
+    if place != "pole":
+        assert sum(len(r.m) for r in met.collect()) <= 2.5 * len(at)
