@@ -120,7 +120,7 @@ query("jon14_k_nearest", f"SELECT site_id, point_id, kind, round(dist, 4) AS dis
         "site_id", "point_id", "kind", r("dist_ft").alias("dist_ft"), F.col("rk").cast("long").alias("rk")))
 
 # ------------------------------------------------------------------ overlap
-query("jon10_disc_overlap")(lambda s, d: S.overlap_with_discs(I.sites(s, d), block_rings(s, d), R, "site_id", "block_id").select("site_id", "block_id", r("overlap_sqft", 2).alias("overlap_sqft")))
+query("jon10_disc_overlap")(lambda s, d: S.overlap_with_discs(I.sites(s, d), block_rings(s, d), R, "site_id", "block_id", digits=2).select("site_id", "block_id", "overlap_sqft"))
 query("agg43_walkshed")(lambda s, d: S.walkshed(I.sites(s, d), block_rings(s, d), R, "site_id", "block_id", ["pop", "jobs"]).select(
     "site_id", r("pop_walkshed", 2).alias("pop_walkshed"), r("jobs_walkshed", 2).alias("jobs_walkshed")))
 query("geo05_overlap_share")(lambda s, d: S.overlap_with_discs(I.sites(s, d), I.areas(s, d), R, "site_id", "area").groupBy("site_id").agg(r(F.sum("overlap_sqft"), 1).alias("covered_sqft")))

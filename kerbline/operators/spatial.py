@@ -207,16 +207,27 @@ def _spread(pairs: DataFrame, *cols: str) -> DataFrame:
     return pairs.repartition(F.xxhash64(*cols))
 
 
-def overlap_with_discs(points: DataFrame, polys: DataFrame, r: float, key: str, poly: str, segments: int = 32) -> DataFrame:
-    """Shared area of each point's disc with each polygon whose box meets it.
+def overlap_with_discs(points: DataFrame, polys: DataFrame, r: float, key: str, poly: str, segments: int = 32, digits: int | None = None) -> DataFrame:
+    """Shared area of each point's disc with each polygon whose box meets it, rounded to ``digits`` if they are given.
 
-    Polygons of one outline meet a disc once; pairs of ids are told only in the end.
+    Polygons of one outline meet a disc once, under a number; outlines whose box lies inside the disc or outside of it are told without their rings.
+    Pairs of ids are told only in the end: what is done for a pair is to write it.
     """
-    b = polys.select("rings").distinct().withColumn("__b", P.bbox(F.flatten("rings")))
+    outlines = polys.select("rings").distinct().select(F.monotonically_increasing_id().alias("__outline"), "rings", P.bbox(F.flatten("rings")).alias("__b"), P.polygon_area(F.col("rings")).alias("poly_area"))
+    outlines = materialize(outlines, "outlines")
     x, y, rr = F.col("sx"), F.col("sy"), F.lit(float(r))
-    j = box_join(points, b, (x - rr, y - rr, x + rr, y + rr), tuple(F.col(f"__b.{c}") for c in BOX), max(2 * r, 500.0))
-    j = _disc_shares(_spread(j.drop("__b"), key, "rings"), r, segments)
-    return _members(j, polys.withColumn("__outline", F.col("rings")), "rings", "__outline").drop("__outline")
+    j = box_join(points, outlines, (x - rr, y - rr, x + rr, y + rr), tuple(F.col(f"__b.{c}") for c in BOX), max(2 * r, 500.0))
+    square = lambda dx, dy: dx * dx + dy * dy
+    close = square(*[F.greatest(F.col(f"__b.{a}0") - F.col(f"s{a}"), F.col(f"s{a}") - F.col(f"__b.{a}1"), F.lit(0.0)) for a in "xy"])
+    far = square(*[F.greatest(F.abs(F.col(f"__b.{a}0") - F.col(f"s{a}")), F.abs(F.col(f"__b.{a}1") - F.col(f"s{a}"))) for a in "xy"])
+    j = j.where(close <= r * r * (1 + 1e-9)).withColumn("__whole", far <= (r * math.cos(math.pi / segments)) ** 2 * (1 - 1e-9))
+    j = j.withColumn("rings", F.when(~F.col("__whole"), F.col("rings"))).drop("__b").withColumnRenamed("poly_area", "__area")
+    j = _disc_shares(_spread(j, key, "__outline"), r, segments, whole=F.col("__whole"), area=F.col("__area")).drop("rings", "__whole", "__area")
+    if digits is not None:
+        j = j.withColumn("overlap_sqft", F.round("overlap_sqft", digits))
+    numbered = outlines.select(F.col("__outline").alias("__of"), F.col("rings").alias("__rings"), F.xxhash64("rings").alias("__hash"))
+    own = polys.withColumn("__own", F.xxhash64("rings")).join(numbered, (F.col("__own") == F.col("__hash")) & (F.col("rings") == F.col("__rings"))).drop("__own", "__hash", "__rings")
+    return j.join(own, F.col("__outline") == F.col("__of")).drop("__outline", "__of")
 
 
 def _members(shapes: DataFrame, rows: DataFrame, shape: str, of: str) -> DataFrame:
@@ -226,16 +237,17 @@ def _members(shapes: DataFrame, rows: DataFrame, shape: str, of: str) -> DataFra
     return s.join(m.hint("merge"), (F.col("__hash") == F.col("__of")) & (F.col("__shape") == F.col(of))).drop("__hash", "__of", "__shape")
 
 
-def _disc_shares(j: DataFrame, r: float, segments: int = 32) -> DataFrame:
+def _disc_shares(j: DataFrame, r: float, segments: int = 32, whole: Column | None = None, area: Column | None = None) -> DataFrame:
     """Pairs (sx, sy, rings) that share area, with ``poly_area`` and ``overlap_sqft``.
 
-    A polygon wholly inside the disc needs no clipping; the batch function only sees the cut ones.
+    A polygon wholly inside the disc needs no clipping; the batch function only sees the cut ones.  ``whole``: known to be inside, rings
+    not needed; ``area``: that of the polygons, if known.
     """
     reach = F.array_max(F.transform(F.get("rings", 0), lambda p: F.hypot(p.x - F.col("sx"), p.y - F.col("sy"))))
     inside = reach <= r * math.cos(math.pi / segments)
-    area = P.polygon_area(F.col("rings"))
-    j = j.withColumns({"poly_area": area, "__inside": inside})
-    cut = overlap_area(F.when(~F.col("__inside"), F.col("rings")), disc(F.col("sx"), F.col("sy"), F.lit(float(r)), segments))
+    inside = inside if whole is None else whole | inside
+    j = j.withColumns({"poly_area": P.polygon_area(F.col("rings")) if area is None else area, "__inside": inside})
+    cut = overlap_area(F.when(~F.col("__inside"), F.col("rings")), F.when(~F.col("__inside"), disc(F.col("sx"), F.col("sy"), F.lit(float(r)), segments)))
     j = j.withColumn("overlap_sqft", F.coalesce(F.when(F.col("__inside"), F.col("poly_area")), cut)).where(F.col("overlap_sqft") > 1e-9)
     return j.drop("__inside")
 

@@ -105,6 +105,26 @@ def test_outlines_of_many_polygons_are_cut_once(spark, met):
     assert seen["_spread"] < 60
 
 
+def test_discs_meet_outlines_by_number_and_tell_pairs_last(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(f"b{i}", rng.randrange(30) * 100.0, rng.randrange(30) * 100.0, rng.choice([40.0, 90.0, 90.0, 90.0, 700.0]), 1) for i in range(500)]
+    polys = _squares(spark, [*rows, *rows[:40], (None, 0.0, 0.0, 40.0, 1), ("none", None, 0.0, 40.0, 1)])
+    sites = spark.createDataFrame([("m", 1500.0, 1500.0), ("m", 1500.0, 1500.0), ("c", 0.0, 0.0), ("off", 90_000.0, 0.0), ("null", None, 0.0)], "site_id string, sx double, sy double")
+    known = polys.where("rings[0][0].x is not null")
+    pairs = sites.where("sx is not null").crossJoin(known).withColumn("a", F.round(overlap_area(F.col("rings"), disc(F.col("sx"), F.col("sy"), F.lit(1000.0))), 2))
+    want = sorted((x.site_id, str(x.b), x.a) for x in pairs.where("a > 0").collect())
+    spread = []
+    monkeypatch.setattr(spatial, "_spread", lambda df, *cols, f=spatial._spread: spread.append(df) or f(df, *cols))
+    found = spatial.overlap_with_discs(sites, polys, 1000.0, "site_id", "b", digits=2)
+    got = sorted((x.site_id, str(x.b), x.overlap_sqft) for x in found.collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(math.isclose(g[2], w[2], abs_tol=0.011) for g, w in zip(got, want)) and len(want) > 300
+    # what is dealt to tasks holds the rings of outlines at the rim only, and no row for outlines outside
+    held = [r.rings for r in spread[0].select("rings").collect()]
+    assert sum(r is not None for r in held) < len(held) / 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("round(overlap_sqft")  # rounded before pairs are told
+
+
 def test_segments_of_one_line_meet_points_once(spark):
     segs = spark.createDataFrame([(i, 0.0, 0.0, 400.0, 0.0) for i in range(30)] + [(30, 5000.0, 0.0, 5400.0, 0.0), (31, None, 0.0, 1.0, 0.0)], "street_id long, x0 double, y0 double, x1 double, y1 double")
     pts = spark.createDataFrame([(float(x), 50.0) for x in range(0, 400, 4)] + [(10.0, 150.0)], "x double, y double")
